@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, token_count
+from . import exact_dedup, packing, pii, quality, token_count
 
 QUERIES = {
+    "op1_pii_pseudonyms": pii.query,
     "op3_token_counts": token_count.query,
+    "op8_exact_dedup": exact_dedup.query,
     "op9_packing": packing.query,
+    "op10_quality_classifier": quality.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_exact_dedup": exact_dedup.SQL,
+}
