@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pii, quality, token_count
+from . import exact_dedup, ngram_join, packing, pii, quality, token_count, topk
 
 QUERIES = {
     "op1_pii_pseudonyms": pii.query,
     "op3_token_counts": token_count.query,
+    "op5_exact_top_k": topk.query,
+    "op7_ngram_jaccard_join": ngram_join.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_packing": packing.query,
     "op10_quality_classifier": quality.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_exact_top_k": topk.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }

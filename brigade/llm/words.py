@@ -13,6 +13,7 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(1, 2**64, 1024, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEPS = np.arange(1, 65, dtype=np.uint64) * _STEP
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -92,15 +93,12 @@ def shingles(h: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.
     n = np.diff(firsts)
     s = np.zeros(len(h), np.uint64)
     for d in range(k):
-        s[: len(h) - d] += mix(h[d:] + np.uint64(d + 1) * _STEP) * _PLACE[d]
+        s[: len(h) - d] += mix(h[d:] + _STEPS[d]) * _PLACE[d]
     row = np.repeat(np.arange(len(n)), n)
     keep = np.arange(len(h)) + k <= firsts[1:][row]
     short = np.flatnonzero((n > 0) & (n < k))
-    tails = np.empty(len(short), np.uint64)
-    for i, r in enumerate(short):
-        t = np.uint64(0)
-        with np.errstate(over="ignore"):
-            for d, x in enumerate(h[firsts[r] : firsts[r + 1]]):
-                t += mix(np.array([x + np.uint64(d + 1) * _STEP]))[0] * _PLACE[d]
-        tails[i] = t + _PLACE[100 + n[r]]
+    tails = _PLACE[100 + n[short]].copy()
+    for d in range(k - 1):
+        has = n[short] > d
+        tails[has] += mix(h[firsts[short[has]] + d] + _STEPS[d]) * _PLACE[d]
     return mix(np.concatenate([s[keep], tails])), np.concatenate([row[keep], short])
