@@ -161,23 +161,50 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, text: str = "text", ke
     labels of neither 0 nor 1 are ignored; without usable labels every score is 0.5. Repeated rows
     give a row each. Extra columns are ignored; an empty table gives an empty result.
     """
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held_out
-    seen = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).alias("quality")).where(~fold)
-    w, bias, a, b = train(docs, seen, text=text, key=key, label="quality", sample=sample, seed=seed) if key == "doc_id" else train(docs, seen.withColumnRenamed("doc_id", key), text=text, key=key, label="quality", sample=sample, seed=seed)
-    shared = docs.sparkSession.sparkContext.broadcast(w)
+    fold = _fold(folds, held_out)
+    shared, bias, a, b = _model(docs, labels, text, key, label, folds, held_out, sample, seed)
 
     def score(batches):
-        weights = shared.value.astype(np.float64)
         for whole in batches:
             for part in byte_batches(whole, most=1 << 20):
-                keys, bounds = features(part.column(1))
-                sums = np.concatenate([[0.0], np.cumsum(weights[keys & ((1 << BITS) - 1)])])
-                m = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.sqrt(np.maximum(LEAST, np.diff(bounds))) + bias
-                s = 1 / (1 + np.exp(-np.clip(a * m + b, -500, 500)))
+                s = _probability(part.column(1), shared.value, bias, a, b)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return tagged(docs, text, key).withColumn("held_out", fold).mapInArrow(score, SCHEMA)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", folds: int = 4, held_out: int = 2, threshold: float = 0.7, sample: int = 6000, seed: int = 11) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``; rows of
+    null keys or texts are scored like any other. Parameters as for quality_scores."""
+    shared, bias, a, b = _model(docs, labels, text, key, label, folds, held_out, sample, seed)
+    at = docs.columns.index(text)
+
+    def keep(batches):
+        for whole in batches:
+            for part in byte_batches(whole, text, most=1 << 20):
+                yield part.filter(pa.array(_probability(part.column(at), shared.value, bias, a, b) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _fold(folds: int, held_out: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held_out
+
+
+def _probability(col, weights, bias, a, b):
+    keys, bounds = features(col)
+    sums = np.concatenate([[0.0], np.cumsum(weights.astype(np.float64)[keys & ((1 << BITS) - 1)])])
+    m = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.sqrt(np.maximum(LEAST, np.diff(bounds))) + bias
+    return 1 / (1 + np.exp(-np.clip(a * m + b, -500, 500)))
+
+
+def _model(docs, labels, text, key, label, folds, held_out, sample, seed):
+    """The fitted model; its 2**18 weights, of one size for any input, are broadcast."""
+    fold = _fold(folds, held_out)
+    seen = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).alias("quality")).where(~fold)
+    w, bias, a, b = train(docs, seen, text=text, key=key, label="quality", sample=sample, seed=seed) if key == "doc_id" else train(docs, seen.withColumnRenamed("doc_id", key), text=text, key=key, label="quality", sample=sample, seed=seed)
+    return docs.sparkSession.sparkContext.broadcast(w), bias, a, b
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join, packing, pii, quality, token_count, topk
+from . import exact_dedup, kneser_ney, ngram_join, packing, pieces, pii, quality, token_count, topk, training_order
 
 QUERIES = {
     "op1_pii_pseudonyms": pii.query,
+    "op2_sentence_pieces": pieces.query,
     "op3_token_counts": token_count.query,
+    "op4_kneser_ney_scores": kneser_ney.query,
     "op5_exact_top_k": topk.query,
+    "op6_training_order": training_order.query,
     "op7_ngram_jaccard_join": ngram_join.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_packing": packing.query,
