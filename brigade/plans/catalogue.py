@@ -2,6 +2,386 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import jscompat, text, urls
+from ..functions.rules import SITES
+from ..operators import cache, classify, html, ingredients, recipe, search, sinks, sites, steps
+from . import synthetic as syn
+
 FLAGSHIP = "normalize_recipe"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with DuckDB SQL for the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = syn.duck(sql)
+        return f
+
+    return add
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+_WORDS = "list_filter(string_split(trim(regexp_replace(lower(strip_accents(replace(replace(replace(replace(replace(text, 'ß', ' '), 'œ', 'oe'), 'Œ', 'oe'), 'æ', 'ae'), 'Æ', 'ae'))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+@query(f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_WORDS} AS w FROM documents)")
+def text_tokenize(spark, sf_dir):
+    t = text.tokenize(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
+
+@query("SELECT p_partkey, lower(strip_accents(p_name)) || 'e' || 'oe' AS folded FROM part")
+def text_ascii_lower(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", text.ascii_lower(F.concat("p_name", F.lit("ÉŒ"))).alias("folded"))
+
+@query(f"SELECT recipe_id, pos, v IN (2) AS milk, v IN (3) AS eggs FROM ({syn.LINES})")
+def keyword_match(spark, sf_dir):
+    return syn.lines(spark, sf_dir).select("recipe_id", "pos", text.matches_keywords(F.col("line"), ["lait"]).alias("milk"), text.matches_keywords(F.col("line"), ["oeuf"]).alias("eggs"))
+
+@query(f"SELECT recipe_id, pos, v = 7 AS chickpeas, v = 17 AS film FROM ({syn.LINES})")
+def phrase_match(spark, sf_dir):
+    return syn.lines(spark, sf_dir).select("recipe_id", "pos", text.matches_keywords(F.col("line"), ["pois chiche"]).alias("chickpeas"), text.matches_keywords(F.col("line"), ["film alimentaire"]).alias("film"))
+
+@query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
+def html_title(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", html.html_title(F.col("html")).alias("title"))
+
+@query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages")
+def strip_tags(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(jscompat.collapse_ws(text.strip_tags(F.col("html")))).alias("digest"))
+
+@query("SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents")
+def collapse_ws(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length(jscompat.collapse_ws(F.col("text"))).cast("long").alias("n"))
+
+@query("SELECT p_partkey, p_name || ' <&> é &amp' AS decoded FROM part")
+def decode_entities(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", text.decode_entities(F.concat("p_name", F.lit(" &LT;&amp;&#x3E; &#233; &amp;amp"))).alias("decoded"))
+
+@query("SELECT p_partkey, upper(p_name[1]) || p_name[2:] AS name FROM part")
+def capitalize_first(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", text.capitalize_first(F.col("p_name")).alias("name"))
+
+_URL = "regexp_replace(url, '#.*$', '')"
+
+@query(f"SELECT page_id, CASE WHEN regexp_matches({_URL}, '^https?://[^/]*$') THEN {_URL} || '/' ELSE {_URL} END AS url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages")
+def url_normalize(spark, sf_dir):
+    u = urls.normalize_url(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", u["url"].alias("url"), u["host"].alias("host"))
+
+@query("SELECT o_orderkey, 'https://www.example.com/a/' || CAST(o_orderkey AS STRING) || '?q=1' AS url, 'www.example.com' AS host FROM orders")
+def url_host(spark, sf_dir):
+    """Unusual spellings, all of which the Python way must take to one form."""
+    k = F.col("o_orderkey").cast("string")
+    spelled = F.when(k % 2 == 0, F.concat(F.lit(" HTTPS://WWW.Example.com:443/x/../a/./"), k, F.lit("?q=1#f"))).otherwise(F.concat(F.lit("www.EXAMPLE.com/%2e/a/"), k, F.lit("?q=1")))
+    u = urls.normalize_url(spelled)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", u["url"].alias("url"), u["host"].alias("host"))
+
+@query("SELECT o_orderkey, 'https://www.example.com/b/' || CAST(o_orderkey AS STRING) AS url FROM orders")
+def resolve_url(spark, sf_dir):
+    k = F.col("o_orderkey").cast("string")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", urls.resolve_url(F.concat(F.lit("../b/"), k, F.lit("#x")), F.lit("https://www.example.com/a/c")).alias("url"))
+
+_PATH = f"regexp_extract({_URL}, '^https?://[^/]*([^?]*)', 1)"
+_LAST = f"list_last(list_filter(string_split({_PATH}, '/'), lambda x: x <> ''))"
+_NICE = f"trim(regexp_replace(regexp_replace({_LAST}, '\\.[^.]+$', ''), '[-_]+', ' ', 'g'))"
+
+@query(f"SELECT page_id, coalesce(nullif(upper({_NICE}[1]) || {_NICE}[2:], ''), regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS name FROM pages")
+def url_fallback_name(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.fallback_name(urls.normalize_url(F.col("url"))["url"]).alias("name"))
+
+@query(f"SELECT id, source_name, source_license FROM ({syn.RECIPES})")
+def source_meta(spark, sf_dir):
+    r = syn.sql(spark, sf_dir, syn.RECIPES)
+    m = sites.source_meta(urls.normalize_url(F.col("source_url"))["host"])
+    return r.select("id", m["source_name"].alias("source_name"), m["source_license"].alias("source_license"))
+
+@query(f"SELECT id, CASE WHEN canonical AND s < 6 THEN {syn._case('s', [syn._text(x[0]) for x in SITES])} END AS site_id FROM ({syn.RECIPES})")
+def site_by_host(spark, sf_dir):
+    r = syn.sql(spark, sf_dir, syn.RECIPES)
+    return r.select("id", sites.site_of(F.upper(urls.normalize_url(F.col("source_url"))["host"])).alias("site_id"))
+
+@query(f"SELECT query_id, site_rank, pos, own AS allowed FROM ({syn.hits_sql(False)})")
+def host_allowed(spark, sf_dir):
+    h = syn.sql(spark, sf_dir, syn.hits_sql(True)).withColumn("u", F.explode(F.array(urls.normalize_url(F.col("url")))))
+    suffix = F.coalesce(*[F.when(F.col("site_rank") == i, F.lit(x[2])) for i, x in enumerate(SITES)])
+    return h.select("query_id", "site_rank", "pos", urls.host_allowed(F.col("u.host"), F.array(suffix)).alias("allowed"))
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{n}', '{h}')" for i, (s, n, h, _, _) in enumerate(SITES)) + ") t(site_rank, site_id, source_name, host)")
+def site_list(spark, sf_dir):
+    return sites.sites(spark).select("site_rank", "site_id", "source_name", F.col("host_suffixes")[0].alias("host"))
+
+@query("SELECT p_partkey, site_id, url || replace(prefix || p_name, ' ', '%20') || '%20!''()*~%C3%A9' AS search_url FROM part, (VALUES " + ", ".join(f"('{s}', '{u}', '{p.replace(':', '%3A')}')" for s, _, _, u, p in SITES) + ") t(site_id, url, prefix)")
+def build_search_url(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select("p_partkey", "p_name", F.explode(F.array(*[F.lit(x[0]) for x in SITES])).alias("site_id"))
+    return p.select("p_partkey", "site_id", sites.build_search_url(F.col("site_id"), F.concat("p_name", F.lit(" !'()*~é"))).alias("search_url"))
+
+# ingredient lines
+
+@query(f"SELECT recipe_id, pos, name, quantity, unit FROM ({syn.LINES})")
+def ing_full(spark, sf_dir):
+    x = syn.lines(spark, sf_dir).select("recipe_id", "pos", ingredients.parse_ingredient(F.col("line")).alias("i"))
+    return x.select("recipe_id", "pos", "i.name", "i.quantity", "i.unit")
+
+@query(f"SELECT recipe_id, pos, CASE WHEN t = 2 THEN quantity / 10 WHEN t = 15 THEN NULL ELSE quantity END AS q FROM ({syn.LINES})")
+def ing_quantity(spark, sf_dir):
+    s = ingredients.ing_fractions(F.regexp_replace("line", "^- ", ""))
+    return syn.lines(spark, sf_dir).select("recipe_id", "pos", ingredients.ing_quantity(s)["q"].alias("q"))
+
+@query(f"SELECT recipe_id, pos, unit, CAST(CASE WHEN t = 2 THEN 10 ELSE 1 END AS INT) AS factor FROM ({syn.LINES}) WHERE t < 8")
+def ing_unit(spark, sf_dir):
+    u = ingredients.ing_unit(F.regexp_replace("line", "^[0-9]+ ", ""))
+    return syn.lines(spark, sf_dir).where("t < 8").select("recipe_id", "pos", u["unit"].alias("unit"), u["factor"].alias("factor"))
+
+@query(f"SELECT recipe_id, pos, CASE WHEN t = 14 THEN '1/2 ' || w ELSE line END AS line FROM ({syn.LINES})")
+def ing_fractions(spark, sf_dir):
+    return syn.lines(spark, sf_dir).select("recipe_id", "pos", ingredients.ing_fractions(F.col("line")).alias("line"))
+
+@query(f"SELECT recipe_id, pos, w AS name FROM ({syn.LINES})")
+def ing_name(spark, sf_dir):
+    """Connectors, container words and quantity hints taken off."""
+    line = F.concat(F.when(F.col("v") % 2 == 0, "de gousses de ").otherwise("des "), "w", F.lit(" ( 1,5 KG )"))
+    return syn.lines(spark, sf_dir).select("recipe_id", "pos", ingredients.ing_paren(ingredients.ing_container(ingredients.ing_connectors(line))).alias("name"))
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE 1 END AS DOUBLE) AS quantity, CASE p_partkey % 3 WHEN 0 THEN 'pincee' WHEN 1 THEN 'unit' END AS unit FROM part")
+def ing_pinch(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    i = ingredients.parse_ingredient(F.when(k == 0, "Sel").when(k == 1, "sel fin").otherwise(" \u00a0"))
+    return _table(spark, sf_dir, "part").select("p_partkey", i["quantity"].alias("quantity"), i["unit"].alias("unit"))
+
+# steps
+
+@query("SELECT conv_id, turn, CAST(CASE WHEN len(s) >= 2 THEN len(s) WHEN trim(text) = '' THEN 0 ELSE 1 END AS BIGINT) AS n FROM (SELECT conv_id, turn, text, list_filter(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.;](?:\\s+|$)'), lambda x: trim(x) <> '') AS s FROM conversations WHERE NOT contains(text, chr(10)))")
+def steps_split(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").where(~F.col("text").contains("\n"))
+    return c.select("conv_id", "turn", F.size(steps.steps_split(F.col("text"))).cast("long").alias("n"))
+
+@query("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 60 * (o_custkey % 9) + 5 WHEN 1 THEN nullif(60 * (o_custkey % 9), 0) WHEN 2 THEN nullif(o_custkey % 9, 0) END AS DOUBLE) AS minutes FROM orders")
+def step_minutes(spark, sf_dir):
+    n = (F.col("o_custkey") % 9).cast("string")
+    s = F.element_at(F.array(F.concat(F.lit("Cuire "), n, F.lit(" heures 5 minutes")), F.concat(F.lit("Cuire "), n, F.lit(" h puis")), F.concat(F.lit("Cuire "), n, F.lit("MIN.")), F.concat(F.lit("Cuire "), n, F.lit(" mn"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", steps.step_minutes(s).alias("minutes"))
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 'étape 1: Servir' ELSE 'Servir' END AS step FROM orders")
+def step_strip_index(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    s = F.concat(F.when(k == 0, F.concat(F.lit(" Etape "), F.col("o_custkey").cast("string"), F.lit(" : "))).when(k == 1, "12)").otherwise("étape 1: "), F.lit("Servir"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", steps.step_strip_index(s).alias("step"))
+
+# classification and numbers
+
+@query(f"SELECT recipe_id, pos, aisle FROM ({syn.LINES})")
+def aisle(spark, sf_dir):
+    return syn.lines(spark, sf_dir).select("recipe_id", "pos", classify.aisle(F.col("line")).alias("aisle"))
+
+@query(f"SELECT coalesce(aisle, 'none') AS aisle, count(*) AS n, sum(quantity) AS quantity FROM ({syn.LINES}) GROUP BY ALL")
+def aisle_counts(spark, sf_dir):
+    x = syn.lines(spark, sf_dir).select(ingredients.parse_ingredient(F.col("line")).alias("i")).select("i.quantity", classify.aisle(F.col("i.name")).alias("aisle"))
+    return x.groupBy(F.coalesce("aisle", F.lit("none")).alias("aisle")).agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
+
+def _names(spark, sf_dir):
+    return syn.lines(spark, sf_dir).groupBy("recipe_id").agg(F.collect_list("line").alias("names"))
+
+@query(f"SELECT recipe_id, allergens FROM ({syn.KINDS})")
+def allergens(spark, sf_dir):
+    return _names(spark, sf_dir).select("recipe_id", F.array_join(classify.allergens(F.col("names")), ",").alias("allergens"))
+
+@query(f"SELECT recipe_id, seasonal FROM ({syn.KINDS})")
+def seasonal(spark, sf_dir):
+    return _names(spark, sf_dir).select("recipe_id", classify.seasonal(F.col("names")).alias("seasonal"))
+
+@query(f"SELECT recipe_id, NOT meat OR recipe_id % 9 = 0 AS vegetarian FROM ({syn.KINDS})")
+def vegetarian(spark, sf_dir):
+    diet = F.when(F.col("recipe_id") % 9 == 0, F.array(F.lit("https://schema.org/VeganDiet")))
+    return _names(spark, sf_dir).select("recipe_id", classify.vegetarian(diet, F.col("names")).alias("vegetarian"))
+
+@query(f"SELECT id, batch FROM ({syn.RECIPES})")
+def batch_friendly(spark, sf_dir):
+    r = syn.sql(spark, sf_dir, syn.RECIPES)
+    return r.select("id", classify.batch_friendly(F.col("name"), F.col("description"), F.array(F.lit("Servir"))).alias("batch"))
+
+@query("SELECT o_orderkey, CAST(nullif(d * 1440 + h * 60 + m + ceil(s / 60.0), 0) AS DOUBLE) AS minutes FROM (SELECT o_orderkey, o_orderkey % 2 AS d, o_custkey % 5 AS h, o_orderkey % 61 AS m, o_custkey % 100 AS s FROM orders)")
+def iso_duration(spark, sf_dir):
+    p = lambda c, n, unit: F.concat((F.col(c) % n).cast("string"), F.lit(unit))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", classify.iso_duration(F.concat(F.lit("P"), p("o_orderkey", 2, "D"), F.lit("T"), p("o_custkey", 5, "H"), p("o_orderkey", 61, "m"), p("o_custkey", 100, "S"))).alias("minutes"))
+
+@query(f"SELECT id, minutes FROM ({syn.RECIPES})")
+def total_minutes(spark, sf_dir):
+    r = syn.sql(spark, sf_dir, syn.RECIPES)
+    return r.select("id", classify.total_minutes(F.col("total_time"), F.col("prep_time"), F.col("cook_time")).alias("minutes"))
+
+@query(f"SELECT id, servings FROM ({syn.RECIPES})")
+def servings(spark, sf_dir):
+    return syn.sql(spark, sf_dir, syn.RECIPES).select("id", classify.servings(F.col("yield_text")).alias("servings"))
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 7 = 0 THEN 5 ELSE greatest(5, least(300, trunc(o_totalprice / 100))) END AS INT) AS clamped FROM orders")
+def clamp_int(spark, sf_dir):
+    v = F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("inf"))).otherwise(F.col("o_totalprice") / 100)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", classify.clamp_int(v, 5, 300).alias("clamped"))
+
+@query("SELECT o_orderkey, CAST(CASE o_orderkey % 7 WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN 1000 * n WHEN 3 THEN 60000 * n + 30000 WHEN 4 THEN 3600000 * n WHEN 5 THEN 86400000 * n END AS BIGINT) AS ms FROM (SELECT o_orderkey, o_custkey % 50 AS n FROM orders)")
+def duration_ms(spark, sf_dir):
+    n = (F.col("o_custkey") % 50).cast("string")
+    s = F.element_at(F.array(*[F.concat(n, F.lit(u)) for u in ("", "ms", "S", ".5m", "h", "d", " weeks")]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", classify.duration_ms(s).alias("ms"))
+
+# pages
+
+def _nodes(spark, sf_dir):
+    return syn.recipe_pages(spark, sf_dir).withColumn("x", F.explode(F.array(html.extract_node(F.col("html")))))
+
+_LINE_LIST = f"SELECT recipe_id, md5(string_agg(line, '|' ORDER BY pos)) AS digest, count(*) AS n FROM ({syn.LINES}) GROUP BY recipe_id"
+
+def _node_columns(p):
+    return p.select("page_id", F.col("x.node.name").alias("name"), F.col("x.node.total_time").alias("total_time"), F.col("x.node.yield_text").alias("yield_text"), F.when(F.size("x.node.lines") > 0, F.md5(F.array_join("x.node.lines", "|"))).alias("digest"), F.size("x.node.step_texts").cast("long").alias("n_steps"))
+
+def _node_sql(where: str) -> str:
+    return f"SELECT id AS page_id, name, total_time, yield_text, digest, CAST(CASE way WHEN 1 THEN 2 ELSE 3 END AS BIGINT) AS n_steps FROM ({syn.RECIPES}) r LEFT JOIN ({_LINE_LIST}) l ON id = recipe_id WHERE {where}"
+
+@query(_node_sql("layout < 3"))
+def jsonld_first_recipe(spark, sf_dir):
+    return _node_columns(_nodes(spark, sf_dir).where("layout < 3"))
+
+@query(_node_sql("layout = 3"))
+def microdata_node(spark, sf_dir):
+    return _node_columns(_nodes(spark, sf_dir).where("layout = 3"))
+
+@query(_node_sql("layout = 4"))
+def merge_nodes(spark, sf_dir):
+    return _node_columns(_nodes(spark, sf_dir).where("layout = 4"))
+
+@query(f"SELECT id AS page_id, CASE WHEN canonical THEN source_url END AS canonical FROM ({syn.RECIPES})")
+def canonical_url(spark, sf_dir):
+    return syn.recipe_pages(spark, sf_dir).select("page_id", html.canonical_url(F.col("html")).alias("canonical"))
+
+@query(f"SELECT id AS page_id, CASE WHEN NOT canonical AND layout = 5 THEN 'https://mirror.example.net/p/' || k ELSE source_url END AS source_url FROM ({syn.RECIPES})")
+def pick_source_url(spark, sf_dir):
+    p = _nodes(spark, sf_dir)
+    return p.select("page_id", html.pick_source_url(F.col("url"), html.canonical_url(F.col("html")), F.col("x.node.main_entity"), F.col("x.node.node_url")).alias("source_url"))
+
+_ERROR = "CASE WHEN layout = 5 THEN 'No recipe data found' WHEN coalesce(n_lines, 0) < 2 THEN 'Not enough ingredients extracted' END"
+_RECIPE = f"SELECT r.*, k.n_lines, k.seasonal, k.meat, k.allergens, {_ERROR} AS error FROM ({syn.RECIPES}) r LEFT JOIN ({syn.KINDS}) k ON id = recipe_id"
+
+@query(f"""SELECT id AS page_id, name, description, NOT meat OR diet AS vegetarian, CAST(greatest(5, least(300, minutes)) AS INT) AS max_prep_time, seasonal AS is_seasonal, batch AS batch_friendly,
+CAST(greatest(1, least(20, servings)) AS INT) AS base_servings, allergens, n_lines AS n_ingredients, CAST(CASE way WHEN 1 THEN 2 ELSE 3 END AS BIGINT) AS n_steps,
+CAST(CASE WHEN way = 1 OR (way = 2 AND layout <> 3) THEN 80 ELSE 10 END AS BIGINT) AS minutes, source_name, source_url, source_license FROM ({_RECIPE}) WHERE error IS NULL""")
+def normalize_recipe(spark, sf_dir):
+    r = recipe.valid(recipe.normalize_nodes(syn.recipe_pages(spark, sf_dir)))
+    return r.select("page_id", "name", "description", "vegetarian", "max_prep_time", "is_seasonal", "batch_friendly", "base_servings", F.array_join("allergens", ",").alias("allergens"), F.size("ingredients").cast("long").alias("n_ingredients"), F.size("steps").cast("long").alias("n_steps"), F.aggregate("steps", F.lit(0).cast("long"), lambda a, s: a + F.coalesce(s["minutes"], F.lit(0))).alias("minutes"), "source_name", "source_url", "source_license")
+
+@query(f"SELECT id AS page_id, error FROM ({_RECIPE}) WHERE error IS NOT NULL")
+def recipe_errors(spark, sf_dir):
+    return recipe.errors(recipe.normalize_nodes(syn.recipe_pages(spark, sf_dir))).select("page_id", "error")
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'max_prep_time' WHEN 2 THEN 'name,ingredients' ELSE 'allergens,source_url' END AS violations FROM orders")
+def validate_schema(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    line = lambda q: F.struct(F.lit("Sel").alias("name"), q.alias("quantity"), F.lit("g").alias("unit"), F.lit(None).cast("string").alias("aisle"))
+    step = F.struct(F.lit("Servir").alias("description"), F.lit(None).cast("bigint").alias("minutes"))
+    r = {
+        "name": F.when(k == 2, " ").otherwise("x"), "description": F.lit(""), "max_prep_time": F.when(k == 1, 301).otherwise(300), "base_servings": F.lit(1), "allergens": F.when(k == 3, F.array(F.lit("lait"))).otherwise(F.array(F.lit("lactose"))),
+        "ingredients": F.array(line(F.lit(1.0)), line(F.when(k == 2, 0.0).otherwise(2.0))), "steps": F.array(step, step), "source_name": F.lit("a"), "source_license": F.lit("b"), "source_attribution": F.lit("c"), "source_url": F.when(k == 3, "nowhere").otherwise("https://a.org/"),
+    }
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(recipe.violations(r), ",").alias("violations"))
+
+# search
+
+_DEDUP = f"SELECT * FROM ({syn.hits_sql(False)}) WHERE own QUALIFY row_number() OVER (PARTITION BY query_id, site_rank, url ORDER BY pos) = 1"
+
+@query(f"SELECT query_id, site_rank, url, name FROM ({_DEDUP}) WHERE site_rank IN (0, 2)")
+def itemlist_extract(spark, sf_dir):
+    p = syn.search_pages(spark, sf_dir).where("not engine and site_rank < 3")
+    return search.page_hits(p, ["query_id", "site_rank"]).select("query_id", "site_rank", "url", "name")
+
+@query(f"SELECT query_id, site_rank, url, name FROM ({_DEDUP}) WHERE site_rank > 2")
+def anchor_results(spark, sf_dir):
+    p = syn.search_pages(spark, sf_dir).where("engine and site_rank > 2")
+    return search.page_hits(p, ["query_id", "site_rank"]).select("query_id", "site_rank", "url", "name")
+
+_ANCHORS = "SELECT page_id, unnest(range(len(a))) AS pos, unnest(a) AS a, unnest(t) AS t FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b([^>]*)>(.*?)</a>', 1) AS a, regexp_extract_all(html, '(?is)<a\\b([^>]*)>(.*?)</a>', 2) AS t FROM pages)"
+_HREFS = f"SELECT page_id, CAST(pos AS INT) AS pos, regexp_extract(a, '(?i)\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1) AS href, trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM ({_ANCHORS})"
+
+@query(f"SELECT * FROM ({_HREFS}) WHERE href <> ''")
+def anchor_extract(spark, sf_dir):
+    return search.anchors_native(_table(spark, sf_dir, "pages"), ["page_id"])
+
+@query(f"SELECT page_id, href, name FROM ({_HREFS}) WHERE href <> '' QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1")
+def dedup_in_page(spark, sf_dir):
+    a = search.anchors_native(_table(spark, sf_dir, "pages"), ["page_id"]).withColumnRenamed("href", "url")
+    return search.dedup_in_page(a, ["page_id"]).select("page_id", F.col("url").alias("href"), "name")
+
+def _routed(spark, sf_dir):
+    pages = syn.search_pages(spark, sf_dir)
+    keys = ["query_id", "site_rank", "site_id"]
+    own = search.page_hits(pages.where(F.when(F.col("site_rank") > 2, F.col("engine")).otherwise(~F.col("engine"))), keys)
+    more = search.page_hits(search.fallback_pages(own, pages.where("engine"), keys), keys)
+    return own, more
+
+@query(f"SELECT query_id, site_rank, url, name FROM ({_DEDUP}) WHERE site_rank = 1")
+def fallback_branch(spark, sf_dir):
+    return _routed(spark, sf_dir)[1].select("query_id", "site_rank", "url", "name")
+
+@query(f"""SELECT query_id, CAST(rank AS INT) AS rank, url, name, source_name FROM (
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY site_rank, pos) AS rank FROM (
+  SELECT *, {syn._case("site_rank", [syn._text(x[1]) for x in SITES])} AS source_name FROM ({_DEDUP})
+  QUALIFY row_number() OVER (PARTITION BY query_id, site_rank ORDER BY pos) <= 5)) WHERE rank <= 10""")
+def search_merge(spark, sf_dir):
+    own, more = _routed(spark, sf_dir)
+    merged = search.search_merge(own.unionByName(more), query="query_id")
+    name = F.coalesce(*[F.when(F.col("site_id") == x[0], F.lit(x[1])) for x in SITES])
+    return merged.select("query_id", "rank", "url", "name", name.alias("source_name"))
+
+# cache, schedule, sinks
+
+_RESPONSES = "SELECT event_id AS seq, 'https://h' || CAST(user_id AS STRING) || '.example.org/' || CAST(event_id % 3 AS STRING) AS url, CAST(epoch_us(ts) // 1000 AS BIGINT) AS fetched_at_ms, CAST(CASE WHEN event_id % 5 = 0 THEN 404 ELSE 200 END AS INT) AS status, event_type AS body FROM events"
+
+def _responses(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    url = F.concat(F.lit("https://h"), F.col("user_id").cast("string"), F.lit(".example.org/"), (F.col("event_id") % 3).cast("string"))
+    ms = F.expr("unix_millis(to_utc_timestamp(cast(ts as timestamp), 'UTC'))")
+    return e.select(F.col("event_id").alias("seq"), url.alias("url"), ms.alias("fetched_at_ms"), F.when(F.col("event_id") % 5 == 0, 404).otherwise(200).alias("status"), F.col("event_type").alias("body"))
+
+@query(f"SELECT url, max_by(fetched_at_ms, seq) AS fetched_at_ms, max_by(body, seq) AS body, max_by(status, seq) AS status FROM ({_RESPONSES}) GROUP BY url")
+def cache_upsert(spark, sf_dir):
+    r = _responses(spark, sf_dir)
+    old = r.where("seq % 4 = 0").groupBy("url").agg(F.max_by(F.struct("fetched_at_ms", "status", "body"), "seq").alias("v")).select("url", "v.*")
+    # the older entries lose against any write; where there's none they are the last write themselves
+    return cache.cache_upsert(old, r).select("url", "fetched_at_ms", "body", "status")
+
+@query(f"WITH c AS (SELECT url, max(fetched_at_ms) AS f, max_by(body, (fetched_at_ms, seq)) AS body FROM ({_RESPONSES}) WHERE seq % 2 = 0 GROUP BY url), n AS (SELECT max(f) AS now FROM c) SELECT r.seq, coalesce(n.now - c.f <= 86400000, false) AS from_cache, CASE WHEN n.now - c.f <= 86400000 THEN c.body END AS body FROM ({_RESPONSES}) r CROSS JOIN n LEFT JOIN c USING (url)")
+def cache_lookup(spark, sf_dir):
+    r = _responses(spark, sf_dir)
+    c = r.where("seq % 2 = 0").groupBy("url").agg(F.max("fetched_at_ms").alias("fetched_at_ms"), F.max_by("body", F.struct("fetched_at_ms", "seq")).alias("body"))
+    now = c.agg(F.max("fetched_at_ms")).first()[0]
+    return cache.cache_lookup(r.select("seq", "url"), c, now_ms=F.lit(now), ttl_ms=86_400_000).select("seq", "from_cache", "body")
+
+@query(f"SELECT seq, CASE WHEN seq % 11 = 0 THEN 'Request timed out after 30000ms' WHEN status = 404 THEN 'Request failed: 404' END AS error FROM ({_RESPONSES})")
+def fetch_errors(spark, sf_dir):
+    elapsed = F.when(F.col("seq") % 11 == 0, 30_001).otherwise(30_000)
+    return _responses(spark, sf_dir).select("seq", cache.fetch_errors(F.col("status"), elapsed, 30_000).alias("error"))
+
+@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) AS i FROM (SELECT seq, seq % 97 AS host, fetched_at_ms AS arrival_ms, 1500 + seq % 500 AS gap FROM ({_RESPONSES}) WHERE seq < 3000)),
+s AS (SELECT host, i, seq, arrival_ms AS start_ms, gap FROM r WHERE i = 1 UNION ALL SELECT r.host, r.i, r.seq, greatest(r.arrival_ms, s.start_ms + s.gap), r.gap FROM s JOIN r ON r.host = s.host AND r.i = s.i + 1) SELECT seq, CAST(start_ms AS BIGINT) AS start_ms FROM s""")
+def rate_schedule(spark, sf_dir):
+    """The oracle goes request by request, so it looks at the first 3000 events; so does this."""
+    r = _responses(spark, sf_dir).select("seq", (F.col("seq") % 97).alias("host"), F.col("fetched_at_ms").alias("arrival_ms"))
+    return cache.rate_schedule(r, delay_ms=1500, jitter=F.col("seq") % 500).where("seq < 3000").select("seq", "start_ms")
+
+@query("SELECT p_partkey, '{\"name\":\"' || p_name || '\",\"quantity\":' || CAST(p_size AS STRING) || ',\"half\":' || CAST(p_size AS STRING) || '.5}' AS value FROM part")
+def sink_jsonl(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("quantity"), (F.col("p_size") + 0.5).cast("double").alias("half"), F.lit(None).cast("string").alias("aisle"))
+    return p.select("p_partkey", sinks.to_js_json(p, ["name", "quantity", "half", "aisle"]).alias("value"))
+
+@query("SELECT '[' || string_agg('{\"r_name\":\"' || r_name || '\"}', ',' ORDER BY r_regionkey) || ']' AS value FROM region")
+def sink_json(spark, sf_dir):
+    return sinks.sink_json(_table(spark, sf_dir, "region").select("r_regionkey", "r_name"), "r_regionkey")
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.' || key), '') AS value FROM (SELECT event_id, props, json_keys(props)[1] AS key FROM events)")
+def header_decode(spark, sf_dir):
+    m = cache.decode_headers(F.col("props"))
+    return _table(spark, sf_dir, "events").select("event_id", F.coalesce(F.element_at(F.map_values(m), 1), F.lit("")).alias("value"))
+
