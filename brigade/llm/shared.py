@@ -29,11 +29,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def stash(df: DataFrame, name: str, by: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
     writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(path)
+    writer.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

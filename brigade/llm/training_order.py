@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
-from .shared import byte_batches, documents, filesystem, shared_folder, tagged, write_file
+from .shared import byte_batches, documents, filesystem, shared_folder, stash, tagged, write_file
 from .words import mix
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, slot long, offset long, shard long, byte_offset long"
@@ -36,8 +37,9 @@ def materialise(docs: DataFrame, folder: str, *, text: str = "text", key: str =
     """Write shards ``folder``/shard-NNNNNN.bin and return a row for each piece of a document in them.
 
     Each task joins its documents' ids, an end id after each, and cuts them into sequences of
-    ``length``, the last one filled up with end ids. Sequences are numbered task by task, which takes
-    one pass of counting; the number's place under the keyed permutation is its slot. Sequence s is
+    ``length``, the last one filled up with end ids. They are written to the shared folder under the
+    task's number and their own; counts of each task then give every sequence its number over all,
+    whose place under the keyed permutation is its slot. Sequence s is
     at byte (s mod per_shard) * length * width of shard s div per_shard: a reader finds any step of
     training without an index. A shard is written whole and then renamed, and is left alone when it
     is there already with the same bytes, so an interrupted run goes on where it stopped.
@@ -48,36 +50,24 @@ def materialise(docs: DataFrame, folder: str, *, text: str = "text", key: str =
     path = tokenizer or bpe.default_path()
     rows = tagged(docs, text, key)
 
-    def count(batches):
-        enc, n = bpe.encoder(path), 0
-        for whole in batches:
-            for b in byte_batches(whole):
-                n += sum(1 + sum(len(enc.ids(p)) for p in bpe.safe_pieces(t)) for t in b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["task", "n"])
-
-    counts = {r["task"]: -(-r["n"] // length) for r in rows.mapInArrow(count, "task int, n long").collect()}
-    total, firsts = 0, {}
-    for task in sorted(counts):
-        firsts[task] = total
-        total += counts[task]
     width = 2 if bpe.encoder(path).size <= 1 << 16 else 4
     kind = "<u2" if width == 2 else "<u4"
 
     def cut(batches):
-        enc, at = bpe.encoder(path), firsts.get(TaskContext.get().partitionId(), 0)
+        enc, task, at = bpe.encoder(path), TaskContext.get().partitionId(), 0
         ids, pieces, out = [], [], []
+        pack = zstandard.ZstdCompressor(level=3)
 
         def put(part):
             nonlocal at
             data = np.full(length, end_id, kind)
             data[: len(part)] = part
-            out.append((at, data.tobytes(), np.array(pieces, "<i8").tobytes()))
+            out.append((at, pack.compress(data.tobytes()), np.array(pieces, "<i8").tobytes()))
             pieces.clear()
             at += 1
 
         def batch():
-            slots = permute(np.array([x[0] for x in out]), total, seed)
-            made = pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["shard", "slot", "ids", "pieces"])
+            made = pa.RecordBatch.from_arrays([pa.array([task] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["task", "i", "ids", "pieces"])
             out.clear()
             return made
 
@@ -101,8 +91,15 @@ def materialise(docs: DataFrame, folder: str, *, text: str = "text", key: str =
         if out:
             yield batch()
 
+    def place(batches):
+        for b in batches:
+            first = np.array([firsts[t] for t in b.column(0).to_pylist()], np.int64)
+            slots = permute(first + b.column(1).to_numpy(), total, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), b.column(2), b.column(3)], names=["shard", "slot", "ids", "pieces"])
+
     def write(batches):
         held, now = [], None
+        unpack = zstandard.ZstdDecompressor()
 
         def shard():
             n = min(per_shard, total - now * per_shard)
@@ -125,12 +122,18 @@ def materialise(docs: DataFrame, folder: str, *, text: str = "text", key: str =
                     yield shard()
                     held.clear()
                 now = row[0]
-                held.append(row[1:])
+                slot, ids, pieces = row[1:]
+                held.append((slot, unpack.decompress(ids), pieces))
         if held:
             yield shard()
 
+    sequences = stash(rows.mapInArrow(cut, "task int, i long, ids binary, pieces binary"), "sequences")
+    total, firsts = 0, {}
+    for task, n in sorted(map(tuple, sequences.groupBy("task").count().collect())):
+        firsts[task] = total
+        total += n
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(cut, "shard long, slot long, ids binary, pieces binary").repartition(parts, "shard").sortWithinPartitions("shard", "slot")
+    dealt = sequences.mapInArrow(place, "shard long, slot long, ids binary, pieces binary").repartition(parts, "shard").sortWithinPartitions("shard", "slot")
     return dealt.mapInArrow(write, SCHEMA)
 
 

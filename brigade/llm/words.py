@@ -92,7 +92,7 @@ def shingles(h: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     n = np.diff(firsts)
     s = np.zeros(len(h), np.uint64)
-    for d in range(k):
+    for d in range(min(k, len(h))):
         s[: len(h) - d] += mix(h[d:] + _STEPS[d]) * _PLACE[d]
     row = np.repeat(np.arange(len(n)), n)
     keep = np.arange(len(h)) + k <= firsts[1:][row]

@@ -1,0 +1,288 @@
+"""The training-data operators against brute force, round trips and held-out labels, on small tables."""
+
+import collections
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from brigade.llm import bpe, exact_dedup, kneser_ney, ngram_join, packing, pieces, pii, quality, token_count, topk, training_order
+from brigade.llm.components import components
+from brigade.llm.shared import shared_folder
+
+SF = "/root/testdata/sf0.001"
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, name string, n int"
+
+
+def words(t):
+    return WORDS.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows and columns whose names the operators use themselves."""
+    long = "word " * 30000 + "x" * 20000
+    texts = [(1, None), (2, ""), (3, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "zz yy"), (6, long), (7, long), (8, "<|endoftext|> A b é▁ 12"), (9, " \n\t "), (10, "A B c D e f")]
+    return spark.createDataFrame([(i, t, None, "s", None, True, "n", 1) for i, t in texts], DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_token_counts(spark, odd, none):
+    own = bpe.encoder(bpe.default_path()).own
+    for t in (docs(spark), odd):
+        want = sorted((len((r.text or "").encode()), len(own.encode(r.text or "", add_special_tokens=False).ids)) for r in t.collect())
+        assert sorted((r.n_bytes, r.n_tokens) for r in token_count.token_counts(t, piece_chars=5000).collect()) == want
+    assert token_count.token_counts(none).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=200))
+def test_both_bpe_engines_agree(t):
+    e = bpe.encoder(bpe.default_path())
+    want = e.own.encode(t, add_special_tokens=False).ids
+    assert e.ids(t) == want and [i for p in bpe.safe_pieces(t, 20) for i in e.ids(p)] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 2048), max_size=60), st.booleans())
+def test_windows(sizes, cut):
+    w = packing.windows(sizes, 2048, cut)
+    got = collections.defaultdict(list)
+    for part in w:
+        assert sum(n for _, _, n in part) <= 2048
+        for i, start, n in part:
+            got[i].append((start, n))
+    for i, n in enumerate(sizes):
+        at = 0
+        for start, m in sorted(got[i]):
+            assert start == at and m > 0
+            at += m
+        assert at == n and (cut or len(got[i]) == 1)
+    if cut and sizes:
+        assert len(w) == -(-sum(sizes) // 2048)
+
+
+def test_packing(spark, odd, none):
+    e = bpe.encoder(bpe.default_path())
+    t = docs(spark)
+    text = {r.doc_id: r.text for r in t.collect()}
+    rows = packing.pack(t).collect()
+    ids = {i: np.array(e.ids(x) + [1], "<u4") for i, x in text.items()}
+    assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id]) for r in rows)
+    seq = collections.defaultdict(list)
+    for r in rows:
+        seq[r.sequence_id].append((r.offset, r.length))
+    for s in seq.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(seq) * 2048 < 1.05 * sum(map(len, ids.values())) + 2048
+    assert packing.pack(none).count() == 0 and packing.pack(odd).where("doc_id = 1").first().length == 1
+
+
+def test_training_order(spark, odd, none, tmp_path):
+    e = bpe.encoder(bpe.default_path())
+    folder = str(tmp_path / "shards")
+    rows = training_order.materialise(odd, folder, length=64, per_shard=100).collect()
+    again = training_order.materialise(odd, folder, length=64, per_shard=100).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    got = collections.Counter()
+    for r in rows:
+        part = np.fromfile(f"{folder}/shard-{r.shard:06d}.bin", "<u2", count=64, offset=r.byte_offset)[r.offset : r.offset + r.length].astype("<u4")
+        assert zlib.crc32(part.tobytes()) == r.ids_crc32
+        got[r.doc_id] += r.length
+    assert got[6] == len(e.ids("word " * 30000 + "x" * 20000)) + 1 and got[1] == 1 and got[None] == len(e.ids("zz yy")) + 1
+    n = len({r.slot for r in rows})
+    assert {r.slot for r in rows} == set(range(n)) and training_order.materialise(none, folder).count() == 0
+    for n in (1, 2, 5, 1000):
+        assert sorted(training_order.permute(np.arange(n), n, 3)) == list(range(n))
+
+
+def test_pieces(spark, odd, none):
+    p = pieces.Pieces(pieces.default_path())
+
+    def whole(text):
+        best, back = [0.0] + [None] * len(text), {}
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - p.longest), end):
+                x = p.score.get(text[start:end]) or ((-1, p.lost) if start == end - 1 else None)
+                if x and (best[end] is None or best[start] + x[1] > best[end]):
+                    best[end], back[end] = best[start] + x[1], (start, x[0])
+        return list(p._path(text, back, len(text), 0))
+
+    random.seed(3)
+    for _ in range(60):
+        t = "".join(random.choice("abcdeth ing▁né\n") for _ in range(random.randint(1, 400)))
+        assert list(p.viterbi(t, 17)) == whole(t) and p.encode(t) == whole("▁" + t.replace(" ", "▁"))
+        assert p.decode(p.encode(t)) == t.replace("▁", " ")
+    assert all(r.round_trip for r in pieces.digest(docs(spark)).collect()) and pieces.digest(none).count() == 0
+    back = pieces.decode(pieces.encode(odd)).collect()
+    assert sorted((r.text for r in back)) == sorted((r.text or "").replace("▁", " ") for r in odd.collect())
+
+
+def test_kneser_ney(spark, odd, none):
+    for t in (docs(spark), odd):
+        rows = t.collect()
+        learn = collections.Counter(w for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 != 1 for w in [*words(r.text), "end"])
+        n, v = sum(learn.values()), len(learn)
+        want = sorted((len(words(r.text)) + 1, round(sum(math.log10((learn[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*words(r.text), "end"]), 4)) for r in rows)
+        got = kneser_ney.scores(t).collect()
+        assert sorted((r.n_tokens, round(r.base_score, 4)) for r in got) == want and {r.train_tokens for r in got} == {n}
+        assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    held = [r for r in kneser_ney.scores(docs(spark)).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert kneser_ney.scores(none).count() == 0
+
+
+def brute(rows, k, num, den):
+    sets = {}
+    for r in rows:
+        w = words(r.text)
+        sets[r.doc_id] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    top = {i: i for i in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    names = sorted(sets)
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and den * (c := len(x & y)) >= num * (len(x) + len(y) - c):
+                p, q = find(a), find(b)
+                top[max(p, q)] = min(p, q)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 4, 5), (2, 3, 5)])
+def test_ngram_join(spark, k, num, den):
+    random.seed(k)
+    rows, n = [], 0
+    for _ in range(6):  # families of near copies, with sizes around the threshold
+        base = [random.choice("abcdefghijklmnop") * 3 + str(random.randint(0, 60)) for _ in range(random.choice([2, 30, 120]))]
+        for _ in range(25):
+            t = [w if random.random() > random.choice([0, 0.01, 0.03, 0.06]) else "z" + str(random.random()) for w in base]
+            rows.append((n, " ".join(t)))
+            n += 1
+    t = spark.createDataFrame([*rows, (n, None), (n + 1, " ")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(t, words=k, threshold=(num, den)).collect()}
+    assert got == brute(t.collect(), k, num, den)
+
+
+def test_ngram_join_edges(spark, odd, none):
+    rows = ngram_join.ngram_components(odd, words=4).collect()
+    assert len(rows) == 11 and {r.component_id for r in rows if r.doc_id in (3, 4, 10)} == {3} and {r.component_id for r in rows if r.doc_id in (6, 7)} == {6}
+    assert ngram_join.ngram_components(none).count() == 0
+
+
+def test_components(spark):
+    random.seed(5)
+    edges = [(i, i + 1) for i in range(300, 330)] + [(random.randint(0, 200), random.randint(0, 200)) for _ in range(150)] + [(999, 999)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    top = {x: x for e in edges for x in e}
+    for _ in top:
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    assert got == top
+
+
+def test_exact_dedup(spark, odd, none):
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = sorted(c.sql(exact_dedup.SQL).fetchall())
+    for size in (64, 4096):
+        rows = exact_dedup.exact_duplicates(docs(spark), block_bytes=size).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows) == want
+    got = exact_dedup.exact_duplicates(odd, block_bytes=100).collect()
+    assert sorted((str(r.doc_id), r.keep_id, r.group_size) for r in got) == sorted([("1", 2, 2), ("2", 2, 2), ("3", 4, 3), ("4", 4, 3), ("4", 4, 3), ("None", None, 1), ("6", 7, 2), ("7", 7, 2), ("8", 8, 1), ("9", 9, 1), ("10", 10, 1)])
+    assert exact_dedup.exact_duplicates(none).count() == 0
+
+
+def luhn(s):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def test_pii(spark, odd, none):
+    text = "Mail a.b1@x.example.org, +1 (771) 555-1655, card 4465-7583-8288-9437 or 4465758382889437, not 4465758382889438; ip 42.144.35.254, 1.2.3.4.5, iban DE89370400440532013000, ssn 123-45-6789 000-12-3456, 1985-03-12 12/03/1985 31/02/2020."
+    t = spark.createDataFrame([(1, text), (2, text), (3, None), (4, ""), (5, "no data; 12 apples")], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(t, count="n").collect()}
+    new = out[1].text
+    assert out[1].text == out[2].text and out[1].n == 9 and out[3].text is None and (out[3].n, out[4].text, out[5].text) == (0, "", "no data; 12 apples")
+    for old in ("a.b1@", "555-1655", "4465-7583-8288-9437", "42.144.35.254", "DE89370400440532013000", "123-45-6789", "1985-03-12"):
+        assert old not in new
+    assert "4465758382889438" in new and "1.2.3.4.5" in new and "000-12-3456" in new and "31/02/2020" in new
+    cards = re.findall(r"card (\S+) or (\d+),", new)[0]
+    assert cards[0].replace("-", "") == cards[1] and luhn(cards[1]) and re.search(r"[a-z]\.[a-z]\d@x\.example\.org, \+1 \(\d{3}\) \d{3}-\d{4}", new)
+    iban = re.search("iban ([A-Z0-9]+)", new)[1]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    iso, slash = re.findall(r"(\d{4}-\d\d-\d\d) (\d\d/\d\d/\d{4})", new)[0]
+    assert iso == "-".join(reversed(slash.split("/")))
+    assert pii.pseudonymise(odd).columns == odd.columns and pii.pseudonymise(none).count() == 0
+
+
+def test_pseudonyms_are_permutations(spark):
+    t = spark.range(100, 1000).selectExpr("id doc_id", "concat('8.8.', id % 250, '.', id div 250) text")
+    got = [r.text for r in pii.pseudonymise(t).collect()]
+    assert len(set(got)) == 900 and all(all(int(x) < 256 for x in g.split(".")) for g in got)
+    days = spark.range(0, 3000).selectExpr("id doc_id", "cast(date_add(date'1900-01-01', cast(id * 24 as int)) as string) text")
+    assert len({r.text for r in pii.pseudonymise(days).collect()}) == 3000
+
+
+def test_quality(spark, odd, none):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.quality_scores(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.93 and all(0 <= r.score <= 1 for r in rows)
+    assert quality.quality_scores(odd, labels).count() == 11 and quality.quality_scores(none, labels).count() == 0
+    assert {r.score for r in quality.quality_scores(odd, labels.limit(0)).collect()} == {0.5}
+    assert quality.keep_good(odd, labels).columns == odd.columns
+
+
+def test_top_k(spark):
+    rows = [(i, [float(random.Random(i % 40).uniform(-1, 1)) + j / 7 for j in range(5)]) for i in range(300)]
+    rows += [(300, None), (301, [float("nan")] * 5), (302, [None] * 5), (None, [1.0] * 5), (303, [1.0]), (50, [0.5] * 5)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    good = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and len(v) == 5 and None not in v and not np.isnan(v).any()]
+    want = []
+    for q in sorted({i for i, _ in good if i % 50 == 0}):
+        x = min((tuple(v) for i, v in good if i == q))
+        best = sorted((-int(np.dot(x, v)), i) for i, v in good if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    got = topk.top_k(t, row_block=64, query_block=4).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    assert topk.top_k(t.limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    shared_folder(spark, "x")
+    before = docs(spark)
+    kept = before
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, SF)
+        assert kept.columns == before.columns
+    rows = kept.collect()
+    assert len({r.text for r in rows}) == len(rows) and {i for i, (_, c) in brute(rows, 5, 4, 5).items() if c != i} == set()
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in rows}
