@@ -189,6 +189,24 @@ def test_ngram_join(spark, k, num, den):
     assert got == brute(t.collect(), k, num, den)
 
 
+def test_ngram_join_shared_passages(spark):
+    """Passages in many documents make columns of many components; links across them all stay."""
+    random.seed(11)
+    new = lambda n: ["w" + str(random.random()) for _ in range(n)]
+    passages, rows = [new(12), new(50)], []
+    for i in range(90):
+        t = new(random.choice([4, 6, 8, 40, 90])) + passages[i % 2]
+        rows.append((2 * i, " ".join(t)))
+        for at in random.sample(range(len(t)), random.choice([0, 1, 2])):
+            t[at] = "z" + str(random.random())
+        rows.append((2 * i + 1, " ".join(t)))
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(t, words=4, threshold=(85, 100)).collect()}
+    want = brute(rows_of := t.collect(), 4, 85, 100)
+    assert len(rows_of) > len({c for _, c in want.values()}) > 20
+    assert got == want
+
+
 def test_ngram_join_edges(spark, odd, none):
     rows = ngram_join.ngram_components(odd, words=4).collect()
     assert len(rows) == 11 and {r.component_id for r in rows if r.doc_id in (3, 4, 10)} == {3} and {r.component_id for r in rows if r.doc_id in (6, 7)} == {6}
