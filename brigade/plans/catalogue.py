@@ -160,6 +160,13 @@ def steps_split(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations").where(~F.col("text").contains("\n"))
     return c.select("conv_id", "turn", F.size(steps.steps_split(F.col("text"))).cast("long").alias("n"))
 
+@query(r"""SELECT conv_id, turn, CAST(CASE WHEN one = '' THEN 0 WHEN len(l) >= 2 THEN len(l) WHEN len(s) >= 2 THEN len(s) ELSE 1 END AS BIGINT) AS n FROM (
+SELECT conv_id, turn, one, list_filter(string_split_regex(text, '[\r\n]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '') AS l, list_filter(string_split_regex(one, '[.;](?:\s+|$)'), lambda x: trim(x) <> '') AS s
+FROM (SELECT conv_id, turn, coalesce(text, '') AS text, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS one FROM conversations))""")
+def steps_split_all(spark, sf_dir):
+    """Every turn, those of several lines too; steps_split has its SQL's turns only."""
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(steps.steps_split(F.col("text"))).cast("long").alias("n"))
+
 @query("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 60 * (o_custkey % 9) + 5 WHEN 1 THEN nullif(60 * (o_custkey % 9), 0) WHEN 2 THEN nullif(o_custkey % 9, 0) END AS DOUBLE) AS minutes FROM orders")
 def step_minutes(spark, sf_dir):
     n = (F.col("o_custkey") % 9).cast("string")
