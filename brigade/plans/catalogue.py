@@ -378,6 +378,14 @@ def rate_schedule(spark, sf_dir):
     r = _responses(spark, sf_dir).select("seq", (F.col("seq") % 97).alias("host"), F.col("fetched_at_ms").alias("arrival_ms"))
     return cache.rate_schedule(r, delay_ms=1500, jitter=F.col("seq") % 500).where("seq < 3000").select("seq", "start_ms")
 
+@query(f"""WITH r AS (SELECT seq, seq % 97 AS host, fetched_at_ms AS arrival_ms, 1500 + seq % 500 AS gap FROM ({_RESPONSES})),
+d AS (SELECT seq, host, arrival_ms, coalesce(sum(gap) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM r)
+SELECT seq, CAST(d + max(arrival_ms - d) OVER (PARTITION BY host ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS start_ms FROM d""")
+def rate_schedule_all(spark, sf_dir):
+    """Every event; its SQL has the operator's windows, so a test goes request by request."""
+    r = _responses(spark, sf_dir).select("seq", (F.col("seq") % 97).alias("host"), F.col("fetched_at_ms").alias("arrival_ms"))
+    return cache.rate_schedule(r, delay_ms=1500, jitter=F.col("seq") % 500).select("seq", "start_ms")
+
 @query("SELECT p_partkey, '{\"name\":\"' || p_name || '\",\"quantity\":' || CAST(p_size AS STRING) || ',\"half\":' || CAST(p_size AS STRING) || '.5}' AS value FROM part")
 def sink_jsonl(spark, sf_dir):
     p = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("quantity"), (F.col("p_size") + 0.5).cast("double").alias("half"), F.lit(None).cast("string").alias("aisle"))

@@ -15,3 +15,17 @@ def test_steps_split_all(spark, tmp_path):
         got = entry.queries()["steps_split_all"](spark, at).collect()
         assert sorted((r.conv_id, r.turn, r.n) for r in got) == sorted((r.conv_id, r.turn, len(steps.split_text(r.text or ""))) for r in rows)
     assert any("\n" in r.text for r in rows)
+
+
+def test_rate_schedule_all(spark, tmp_path):
+    """Request by request, beyond the events that the recursive SQL looks at."""
+    rows = spark.range(7000).selectExpr("id AS event_id", "id % 50 AS user_id", "timestamp_millis(1700000000000 + id * 37 % 1000000 + id * 11) AS ts", "'x' AS event_type", "'{}' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    for at, base in ((str(tmp_path), 7000), (SF, spark.read.parquet(f"{SF}/events.parquet").count())):
+        events = spark.read.parquet(f"{at}/events.parquet").selectExpr("event_id", "unix_millis(to_utc_timestamp(cast(ts as timestamp), 'UTC'))").collect()
+        free, want = {}, {}
+        for seq, arrival in sorted(map(tuple, events)):
+            want[seq] = max(arrival, free.get(seq % 97, arrival))
+            free[seq % 97] = want[seq] + 1500 + seq % 500
+        got = entry.queries()["rate_schedule_all"](spark, at).collect()
+        assert len(got) == base and {r.seq: r.start_ms for r in got} == want
