@@ -121,11 +121,11 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(k - 0.05, max(0.05, d)) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def train(docs: DataFrame, *, least: int = 2, flush_tokens: int = 1 << 21) -> tuple:
+def train(docs: DataFrame, *, least: int = 1, flush_tokens: int = 1 << 21) -> tuple:
     """Count words and bigrams of ``docs`` (doc_id, text) and write the model to the shared folder.
 
     All bigrams are counted and enter the discounts and the lower order; those seen fewer than
-    ``least`` times are then left to the lower order, as count cutoffs do. Tasks sum their own
+    ``least`` times, none by default, are then left to the lower order, as count cutoffs do. Tasks sum their own
     counts before the shuffle, ranges of codes are summed apart, and each range is a file of sorted
     hashes; the driver gets a row of totals for each range.
     """
@@ -203,7 +203,7 @@ def train(docs: DataFrame, *, least: int = 2, flush_tokens: int = 1 << 21) -> tu
     return folder, n, m, [int(x) for x in stats]
 
 
-def scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", folds: int = 5, held_out: int = 1, least: int = 2, batch_bytes: int = 8 << 20) -> DataFrame:
+def scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", folds: int = 5, held_out: int = 1, least: int = 1, batch_bytes: int = 8 << 20) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each input row.
 
     The model learns from rows whose crc32(key as text) mod ``folds`` isn't ``held_out``, and from
