@@ -179,9 +179,11 @@ def _rows(kind, a, b, n, m):
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int32))], names=["kind", "a", "b", "n", "m"])
 
 
-def _unit_links(a: np.ndarray, bounds: np.ndarray, sig: np.ndarray, num: int, den: int):
-    """Links that connect what is linked among the sets of a unit (each of bounds' slices of ``a``):
-    overlap counts come from products of the incidence matrix, some thousand columns at a time."""
+def _unit_links(a: np.ndarray, bounds: np.ndarray, sig: np.ndarray, part: np.ndarray, num: int, den: int):
+    """Of the sets of a unit (each of bounds' slices of ``a``) links that connect what is linked, and
+    each set's number of links: overlap counts come from products of the incidence matrix, some
+    thousand columns at a time. A unit of two parts has the links between them only, those within
+    a part are in its own unit: each link counts once."""
     n = np.diff(bounds)
     row = np.repeat(np.arange(len(n)), n)
     order = np.argsort(a, kind="stable")
@@ -200,6 +202,8 @@ def _unit_links(a: np.ndarray, bounds: np.ndarray, sig: np.ndarray, num: int, de
     common = overlap.astype(np.int64)
     linked = den * common >= num * (n[:, None] + n[None, :] - common)
     np.fill_diagonal(linked, False)
+    if part.min() != part.max():
+        linked &= part[:, None] != part[None, :]
     left = np.ones(len(n), bool)
     out = []
     while left.any():  # a spanning tree of each component, breadth first
@@ -211,48 +215,52 @@ def _unit_links(a: np.ndarray, bounds: np.ndarray, sig: np.ndarray, num: int, de
             left[new] = False
             edge += new.tolist()
             out += [(sig[i], sig[j]) for j in new]
-    return out
+    return out, linked.sum(1)
 
 
 def _cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int, block: int = 256) -> DataFrame:
-    """Links (a, b) connecting all that is linked within each cluster (node, component).
+    """Rows (a, b, n) of each cluster (node, component): links that connect all that is linked
+    within it, with n null, and the number n of links that a set has to others of its part or to
+    those of one other, with b null.
 
     A cluster is cut into blocks of about ``block`` sets, and each two of its blocks are multiplied
     in a task of their own, so that no task holds a cluster and no pair becomes a row.
     """
     parts = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")).where("nb > 0")
     dealt = stash(clusters.join(parts, "component").select(F.col("node").alias("sig"), "component", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("p")), "blocks")
-    units = dealt.select("sig", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda q: F.struct(F.least("p", q).alias("p"), F.greatest("p", q).alias("q")))).alias("u"))
+    units = dealt.select("sig", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda q: F.struct(F.least("p", q).alias("p"), F.greatest("p", q).alias("q")))).alias("u"), "p")
 
     def run(t: pa.Table) -> pa.Table:
         sig = t.column("sig").to_numpy()
         s = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s").combine_chunks()]
-        got = _unit_links(np.concatenate(s), np.concatenate([[0], np.cumsum([len(x) for x in s])]), sig, num, den)
-        return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
+        got, degree = _unit_links(np.concatenate(s), np.concatenate([[0], np.cumsum([len(x) for x in s])]), sig, t.column("p").to_numpy(), num, den)
+        some = np.flatnonzero(degree)
+        a, b, n = [x for x, _ in got] + sig[some].tolist(), [y for _, y in got] + [None] * len(some), [None] * len(got) + degree[some].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    return units.join(sets.hint("merge"), "sig").groupBy("component", "u").applyInArrow(run, "a long, b long")
+    return units.join(sets.hint("merge"), "sig").groupBy("component", "u").applyInArrow(run, "a long, b long, n long")
 
 
-def _cross(columns: DataFrame, labels: DataFrame, clusters: DataFrame, num: int, den: int, block: int = 256) -> DataFrame:
-    """Rows (a, b, n, m, c) for the pairs of a column's sets of different components; the sum of c is
-    the number of leading columns that a pair shares.
+def _cross(columns: DataFrame, reps: DataFrame, clusters: DataFrame, num: int, den: int, block: int = 256) -> DataFrame:
+    """Rows (a, b, n, m, c) for the pairs of a column's sets (of ``reps``) of different clusters; the sum of c
+    is the number of leading columns that a pair shares. A set of no cluster is one of its own.
 
-    Columns of a single component are dropped before anything is sorted: pairs wanted here share
+    Columns of a single cluster are dropped before anything is sorted: pairs wanted here share
     none of them. Of a set's remaining columns, from those of few sets to those of many, all but the
     last ``_fewest`` - 1 lead: a pair that shares enough columns shares a leading one, and a column
     of many sets leads only where a set has little else. Leading columns are multiplied,
     those of up to ``block`` sets side by side; pairs are dropped by their sizes and where the
-    components or the clusters, which are settled, are the same.
+    clusters, which are settled, are the same.
     """
-    labels = labels.join(clusters.select("node", F.col("component").alias("cluster")), "node", "left")
-    known = stash(columns.join(labels, columns.b == labels.node).select("a", "b", "n", "component", F.coalesce("cluster", "node").alias("cluster")), "columns")
-    mixed = stash(known.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("cluster").alias("from"), F.max("cluster").alias("to"), F.count("*").alias("sets")).where("lo <> hi and from <> to").select("a", "sets"), "mixed")
+    labels = reps.select(F.col("sig").alias("node")).join(clusters.select("node", F.col("component").alias("cluster")), "node", "left")
+    known = stash(columns.join(labels, columns.b == labels.node).select("a", "b", "n", F.coalesce("cluster", "node").alias("cluster")), "columns")
+    mixed = stash(known.groupBy("a").agg(F.min("cluster").alias("from"), F.max("cluster").alias("to"), F.count("*").alias("sets")).where("from <> to").select("a", "sets"), "mixed")
     last = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sets"), F.desc("a")))
     leading = known.join(mixed, "a").withColumn("last", last).where(F.col("last") >= _fewest("n", num, den))
-    open_ = leading.select("a", "b", "n", "component", "cluster").repartition("a").sortWithinPartitions("a", "n", "b")
+    open_ = leading.select("a", "b", "n", "cluster").repartition("a").sortWithinPartitions("a", "n", "b")
 
     def work(batches):
-        for a, b, n, c, g in _runs(batches):
+        for a, b, n, g in _runs(batches):
             first = np.append(np.flatnonzero(_heads(a)), len(a))
             size = np.repeat(np.diff(first), np.diff(first))
             end = np.repeat(first[1:], np.diff(first))
@@ -261,7 +269,7 @@ def _cross(columns: DataFrame, labels: DataFrame, clusters: DataFrame, num: int,
             for d in range(1, int(size[small].max()) if len(small) else 0):  # columns side by side, d rows apart
                 small = small[small + d < end[small]]
                 y = small + d
-                ok = (c[small] != c[y]) & (g[small] != g[y]) & (den * n[small].astype(np.int64) >= num * n[y].astype(np.int64))
+                ok = (g[small] != g[y]) & (den * n[small].astype(np.int64) >= num * n[y].astype(np.int64))
                 got.append((small[ok], y[ok]))
                 small = small[den * n[small].astype(np.int64) >= num * n[y].astype(np.int64)]
                 if sum(len(x) for x, _ in got) > 1 << 18:
@@ -270,7 +278,7 @@ def _cross(columns: DataFrame, labels: DataFrame, clusters: DataFrame, num: int,
             for lo, hi in zip(first, first[1:]):
                 for y in range(lo + 1, hi) if hi - lo > block else ():
                     start = lo + int(np.searchsorted(n[lo:hi], (num * int(n[y]) + den - 1) // den))
-                    x = start + np.flatnonzero((c[start:y] != c[y]) & (g[start:y] != g[y]))
+                    x = start + np.flatnonzero(g[start:y] != g[y])
                     got.append((x, np.full(len(x), y)))
                     if sum(len(x) for x, _ in got) > 1 << 18:
                         yield from _pairs(got, b, n)
@@ -316,16 +324,15 @@ def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
 
     Sets of ``words``-word shingles are linked where their Jaccard similarity is at least
     ``threshold`` (a fraction); component_id is the smallest key reachable by links. class_id is the
-    smallest key with the very same set, and n_links how many other classes a class was found linked
-    to on the way: enough links are found to connect every component, not all within it.
+    smallest key with the very same set, and n_links how many other classes a class is linked to, all
+    of them counted.
 
     Documents with one set are one row of the matrix. The product document by shingle is taken
     column by column. First every set of a column meets only those of the smallest and the
     largest hash; overlaps are counted, and each set keeps its best candidates. Sets joined by candidates that have much in
-    common form clusters, whose part of the product is taken block by block with whole sets; other
-    candidates are compared one by one. Then only columns that still hold several components and
-    clusters are multiplied out between those, where they lead, overlaps are counted again, pairs below
-    the bound are discarded, and the rest compared one by one. No pair within the bounds is left out unless its sets are already connected.
+    common form clusters, whose part of the product is taken block by block with whole sets. Then only columns
+    that hold several clusters are multiplied out between those, where they lead, overlaps are counted
+    again, pairs below the bound are discarded, and the rest compared one by one. No pair within the bounds is left out.
 
     Null or empty texts, and those of white space, have no shingles and stay alone. Repeated rows
     share a component; a set that only rows of null keys have is linked to no other, and a null key
@@ -358,21 +365,16 @@ def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     # sort-merge joins wherever texts or sets are joined: one plan for every size
     texts = own.join(reps.hint("merge"), "doc_id").select("doc_id", "text", "sig")
     sets = stash(texts.mapInArrow(whole, "sig long, s binary"), "sets")
-    inside, outside = _cluster_links(clusters, sets, num, den), _verified(best.where(~close & (F.col("count") >= _least_column(F.col("n")))), sets, num, den)
-    links = stash(inside.unionByName(outside).distinct(), "links")
-    named = reps.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
-    labels = stash(components(links.unionByName(named), "a", "b"), "labels")
+    inside = stash(_cluster_links(clusters, sets, num, den), "links")
     # behind its leading columns a set has at most _fewest - 1 more in common with a partner
     behind = F.greatest(_fewest("n", num, den), _fewest("m", num, den)) - 1
     enough = F.col("count") + behind >= F.least(_least_column(F.col("n")), _least_column(F.col("m")))
-    crossed = _cross(columns, labels, clusters, num, den).groupBy("a", "b", "n", "m").agg(F.sum("c").alias("count")).where(enough)
-    done = best.where(~close & (F.col("count") >= _least_column(F.col("n"))))
-    tried = done.select("a", "b").union(done.select("b", "a"))
-    more = stash(crossed.select("a", "b").join(tried, ["a", "b"], "left_anti"), "candidates")
-    if not more.isEmpty():
-        links = links.unionByName(stash(_verified(more, sets, num, den), "links"))
-        labels = stash(components(links.unionByName(named), "a", "b"), "labels")
-    degree = links.select(F.col("a").alias("sig")).union(links.select("b")).groupBy("sig").agg(F.count("*").alias("n_links"))
+    crossed = stash(_cross(columns, reps, clusters, num, den).groupBy("a", "b", "n", "m").agg(F.sum("c").alias("count")).where(enough), "candidates")
+    links = stash(_verified(crossed, sets, num, den), "links")
+    named = reps.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
+    labels = stash(components(inside.where("n is null").select("a", "b").unionByName(links).unionByName(named), "a", "b"), "labels")
+    each = inside.where("n is not null").select(F.col("a").alias("sig"), "n").union(links.select("a", F.lit(1))).union(links.select("b", F.lit(1)))
+    degree = each.groupBy("sig").agg(F.sum("n").alias("n_links"))
     firsts = labels.withColumnRenamed("node", "sig").join(classes, "sig", "right").select("sig", "doc_id", F.coalesce("component", "sig").alias("component"))
     firsts = stash(firsts, "classes")
     lowest = firsts.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -1,13 +1,15 @@
 """Training-data operators that leave nothing out, against brute force."""
 
 import collections
+import itertools
 import math
+import random
 import re
 import zlib
 
 import pytest
 
-from brigade.llm import kneser_ney
+from brigade.llm import kneser_ney, ngram_join
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -43,3 +45,29 @@ def test_kneser_ney_keeps_bigrams_seen_once(spark):
     assert sum(c == 1 for c in pairs.values()) > 1000
     for r in kneser_ney.scores(docs).collect():
         assert r.score == pytest.approx(sum(score(h, w) for h, w in zip(rows[r.doc_id], rows[r.doc_id][1:])), rel=1e-6)
+
+
+def test_ngram_join_counts_every_link(spark):
+    """Families of one block and of several, and pairs that only columns between clusters find."""
+    random.seed(17)
+    rows = []
+    for copies, length, changed in ((100, 200, [0, 1]), (600, 60, [0, 1]), (60, 80, [0, 1, 2, 3]), (40, 12, [0, 1])):
+        base = ["w" + str(random.random()) for _ in range(length)]
+        for _ in range(copies):
+            t = list(base)
+            for at in random.sample(range(length), random.choice(changed)):
+                t[at] = "z" + str(random.random())
+            rows.append((len(rows), " ".join(t)))
+    t = spark.createDataFrame([*rows, (len(rows), None)], "doc_id long, text string")
+    for k, num, den in ((4, 85, 100), (2, 3, 5)):
+        sets = collections.defaultdict(list)
+        for i, text in rows:
+            w = text.split()
+            sets[frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1))].append(i)
+        found = collections.Counter()
+        for x, y in itertools.combinations(sets, 2):
+            if den * (c := len(x & y)) >= num * (len(x) + len(y) - c):
+                found.update((x, y))
+        want = {i: found[x] for x, ids in sets.items() for i in ids} | {len(rows): 0}
+        assert max(want.values()) > 256
+        assert {r.doc_id: r.n_links for r in ngram_join.ngram_components(t, words=k, threshold=(num, den)).collect()} == want
