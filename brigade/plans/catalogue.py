@@ -137,6 +137,14 @@ def ing_unit(spark, sf_dir):
     u = ingredients.ing_unit(F.regexp_replace("line", "^[0-9]+ ", ""))
     return syn.lines(spark, sf_dir).where("t < 8").select("recipe_id", "pos", u["unit"].alias("unit"), u["factor"].alias("factor"))
 
+@query(f"SELECT recipe_id, pos, nullif(unit, 'unit') AS unit, CAST(CASE WHEN t = 2 THEN 10 WHEN unit <> 'unit' THEN 1 END AS INT) AS factor FROM ({syn.LINES})")
+def ing_unit_all(spark, sf_dir):
+    """Every line, behind its quantity of any form; null where no unit is given."""
+    x = syn.lines(spark, sf_dir).withColumn("s", ingredients.ing_fractions(F.regexp_replace("line", "^- ", "")))
+    x = x.withColumn("n", F.coalesce(ingredients.ing_quantity(F.col("s"))["n"], F.lit(0)))
+    u = ingredients.ing_unit(jscompat.js_trim(F.substring(F.col("s"), F.col("n") + 1, F.length("s"))))
+    return x.select("recipe_id", "pos", u["unit"].alias("unit"), u["factor"].alias("factor"))
+
 @query(f"SELECT recipe_id, pos, CASE WHEN t = 14 THEN '1/2 ' || w ELSE line END AS line FROM ({syn.LINES})")
 def ing_fractions(spark, sf_dir):
     return syn.lines(spark, sf_dir).select("recipe_id", "pos", ingredients.ing_fractions(F.col("line")).alias("line"))

@@ -2,6 +2,7 @@
 
 import __spark_entry__ as entry
 from brigade.operators import steps
+from brigade.plans import synthetic
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +30,13 @@ def test_rate_schedule_all(spark, tmp_path):
             free[seq % 97] = want[seq] + 1500 + seq % 500
         got = entry.queries()["rate_schedule_all"](spark, at).collect()
         assert len(got) == base and {r.seq: r.start_ms for r in got} == want
+
+
+def test_ing_unit_all(spark):
+    """One row for each ingredient line, with units where a bullet comes first and none behind a glued one."""
+    got = entry.queries()["ing_unit_all"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    lines = {(r.recipe_id, r.pos): (r.t, r.unit if r.t < 8 or r.t == 12 else None) for r in synthetic.lines(spark, SF).collect()}
+    rows = got.collect()
+    assert {lines[r.recipe_id, r.pos][0] for r in rows} == set(range(16))
+    assert all((r.unit, r.factor) == ((u := lines[r.recipe_id, r.pos])[1], (10 if u[0] == 2 else 1) if u[1] else None) for r in rows)
