@@ -18,42 +18,59 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def karmarkar_karp(sizes, k: int) -> list[list[int]]:
     """Deal items into ``k`` parts with near-equal sums: the two partial partitions with the
-    largest imbalance are merged again and again, large sums of one with small sums of the other."""
+    largest imbalance are merged again and again, large sums of one with small sums of the other.
+
+    A partial partition holds only its parts that have items, by ascending sum, each a tree of item
+    numbers: memory grows with the items, not with items times ``k``.
+    """
     if k <= 1 or not len(sizes):
         return [list(range(len(sizes)))] + [[] for _ in range(k - 1)]
-    heap = []
-    for i, s in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[-1] = s
-        heap.append((-int(s), i, sums, [[] for _ in range(k - 1)] + [[i]]))
+    heap = [(-int(s), i, np.array([s], np.int64), [i]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     tie = len(sizes)
     while len(heap) > 1:
-        _, _, a, pa_ = heapq.heappop(heap)
-        _, _, b, pb = heapq.heappop(heap)
-        sums = a + b[::-1]
+        _, _, a, ta = heapq.heappop(heap)
+        _, _, b, tb = heapq.heappop(heap)
+        # beside empty parts nothing is added; where both have more than k, their smallest meet, in opposite order
+        both = max(0, len(a) + len(b) - k)
+        sums = np.concatenate([a[:both] + b[:both][::-1], a[both:], b[both:]])
+        trees = list(zip(ta[:both], tb[:both][::-1])) + ta[both:] + tb[both:]
         order = np.argsort(sums, kind="stable")
-        parts = [pa_[i] + pb[k - 1 - i] for i in order]
-        sums = sums[order] - sums[order[0]]  # only differences matter from here on
-        heapq.heappush(heap, (-int(sums[-1]), tie, sums, parts))
+        sums, trees = sums[order], [trees[i] for i in order]
+        if len(sums) == k:
+            sums = sums - sums[0]  # only differences matter from here on
+        heapq.heappush(heap, (-int(sums[-1]), tie, sums, trees))
         tie += 1
-    return heap[0][3]
+    out = [_leaves(t) for t in heap[0][3]]
+    return [[] for _ in range(k - len(out))] + out
+
+
+def _leaves(tree) -> list[int]:
+    out, todo = [], [tree]
+    while todo:
+        t = todo.pop()
+        if isinstance(t, tuple):
+            todo += t
+        else:
+            out.append(t)
+    return out
 
 
-def windows(sizes, capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
+def windows(sizes, capacity: int, cut: bool = True, spare: float = 1 / 128) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start, length), each of at most ``capacity`` in sum.
 
-    Items above the capacity must have been cut before. The count starts at ceil(total/capacity).
-    With ``cut`` what a window holds beyond its capacity is cut off its largest items and dealt to
-    windows with room, so that count is enough; without it, items stay whole and the count rises
-    whenever the capacity is exceeded.
+    Items above the capacity must have been cut before. The count starts at ceil(total/capacity)
+    and rises by one whenever a window of the differencing exceeds the capacity. With ``cut`` it
+    rises by the share ``spare`` at most, as each more is padding; what a window then still holds
+    beyond its capacity is cut off its largest items and dealt to windows with room. Without ``cut`` items stay whole and the count rises until all fit.
     """
     total = int(sum(sizes))
     k = max(1, -(-total // capacity))
+    most = k + int(k * spare)
     while True:
         dealt = karmarkar_karp(sizes, k)
         sums = [sum(int(sizes[i]) for i in p) for p in dealt]
-        if max(sums, default=0) <= capacity or cut:
+        if max(sums, default=0) <= capacity or (cut and k >= most):
             break
         k += 1
     out = [[(i, 0, int(sizes[i])) for i in p] for p in dealt]
@@ -81,13 +98,15 @@ def windows(sizes, capacity: int, cut: bool = True) -> list[list[tuple[int, int,
     return [w for w in out if w]
 
 
-def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, group_tokens: int = 1 << 19, cut: bool = True, texts: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, group_tokens: int = 1 << 19, group_docs: int = 1 << 17, small: int = 64, cut: bool = True) -> DataFrame:
     """One row for each piece of a document: where it starts, how long it is, and its place.
 
-    Each task tokenises its own split and packs groups of about ``group_tokens`` tokens, so no row
-    is shuffled and memory is bounded; sequence ids are the task's number times 2**33 plus a count,
-    so a repeated task gives the same ids. Documents longer than the capacity first give full
-    windows; what is left of each document goes through the differencing.
+    Each task tokenises its own split and packs groups of about ``group_tokens`` tokens and of at
+    most ``group_docs`` documents, so no row is shuffled; sequence ids are the task's number times
+    2**33 plus a count, so a repeated task gives the same ids. Documents longer than the capacity
+    first give full windows; what is left of each document goes through the differencing, documents
+    of fewer than ``small`` tokens in runs of about so many, as one item: a group has at most
+    2 * group_tokens / small items or so, and memory is bounded whatever the texts' lengths.
     Null or empty texts hold the end id alone. Repeated rows or keys are packed as separate
     documents. Extra columns are ignored; an empty table gives an empty result.
     """
@@ -105,12 +124,26 @@ def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer:
 
         def flush():
             nonlocal made, held, waiting
-            for w in windows([len(h[1]) for h in held], capacity, cut):
+            runs, size = [], small  # items: runs of documents
+            for i, h in enumerate(held):
+                n = len(h[1])
+                if cut and n < small and size < small:
+                    runs[-1].append(i)
+                    size += n
+                else:
+                    runs.append([i])
+                    size = n if n < small else small
+            bounds = [np.concatenate([[0], np.cumsum([len(held[i][1]) for i in r])]) for r in runs]
+            for w in windows([int(b[-1]) for b in bounds], capacity, cut):
                 at = 0
-                for i, start, n in w:
-                    doc, ids, first, total = held[i]
-                    rows.append((doc, first + start, n, crc(ids[start : start + n]), total, base + made, at))
-                    at += n
+                for item, start, n in w:
+                    j = int(np.searchsorted(bounds[item], start, "right")) - 1
+                    while n:
+                        doc, ids, first, total = held[runs[item][j]]
+                        here = start - int(bounds[item][j])
+                        take = min(n, len(ids) - here)
+                        rows.append((doc, first + here, take, crc(ids[here : here + take]), total, base + made, at))
+                        at, start, n, j = at + take, start + take, n - take, j + 1
                 made += 1
             held, waiting = [], 0
 
@@ -131,8 +164,9 @@ def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer:
                     if full < len(ids):
                         held.append((doc, ids[full:].copy(), full, len(ids)))
                         waiting += len(ids) - full
-                    if waiting >= group_tokens:
+                    if waiting >= group_tokens or len(held) >= group_docs:
                         flush()
+                        yield out()
                 if rows:
                     yield out()
         flush()
