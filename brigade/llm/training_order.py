@@ -9,6 +9,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe
 from .shared import byte_batches, documents, filesystem, shared_folder, stash, tagged, write_file
@@ -17,6 +18,20 @@ from .words import mix
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, slot long, offset long, shard long, byte_offset long"
 
 
+#: So many sequences of a task are compressed together in the stash; each goes alone through the shuffle.
+FRAME = 64
+
+
+def _bytes(rows: list[tuple]) -> bytes:
+    """Integers of several rows, bytes of one place together, which compresses well."""
+    return np.array(rows, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    """The rows of five integers again."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1, 5)
+
+
 def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     """A keyed permutation of 0..n-1: a Feistel network over the next even power of two, walked on
     along its cycle while a value is outside."""
@@ -41,8 +56,11 @@ def materialise(docs: DataFrame, folder: str, *, text: str = "text", key: str =
     task's number and their own; counts of each task then give every sequence its number over all,
     whose place under the keyed permutation is its slot. Sequence s is
     at byte (s mod per_shard) * length * width of shard s div per_shard: a reader finds any step of
-    training without an index. A shard is written whole and then renamed, and is left alone when it
-    is there already with the same bytes, so an interrupted run goes on where it stopped.
+    training without an index. Range partitions of shards, each of whole shards, write them: a shard
+    is written whole and then renamed, and is left alone when it is there already with the same
+    bytes, so an interrupted run goes on where it stopped. Numbers follow the order of the input's
+    splits, so that holds for the same files read with the same split sizes; with others every slot
+    may be another one's and shards are written anew. A shard short of sequences is an error.
 
     Null or empty texts hold the end id alone. Repeated rows or keys are documents of their own.
     Extra columns are ignored; an empty table writes nothing and gives an empty result.
@@ -54,22 +72,29 @@ def materialise(docs: DataFrame, folder: str, *, text: str = "text", key: str =
     kind = "<u2" if width == 2 else "<u4"
 
     def cut(batches):
-        enc, task, at = bpe.encoder(path), TaskContext.get().partitionId(), 0
-        ids, pieces, out = [], [], []
+        enc, task, made = bpe.encoder(path), TaskContext.get().partitionId(), 0
+        ids, pieces, held, out = [], [], [], []
         pack = zstandard.ZstdCompressor(level=3)
 
         def put(part):
-            nonlocal at
             data = np.full(length, end_id, kind)
             data[: len(part)] = part
-            out.append((at, pack.compress(data.tobytes()), np.array(pieces, "<i8").tobytes()))
+            held.append((data.tobytes(), _bytes(pieces)))
             pieces.clear()
-            at += 1
+            if len(held) == FRAME:
+                frame()
+
+        def frame():
+            nonlocal made
+            sizes = np.array([len(p) for _, p in held], "<i8").tobytes()
+            out.append((made, len(held), pack.compress(sizes + b"".join(x for x, _ in held) + b"".join(p for _, p in held))))
+            made += len(held)
+            held.clear()
 
         def batch():
-            made = pa.RecordBatch.from_arrays([pa.array([task] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["task", "i", "ids", "pieces"])
+            cols = [pa.array([task] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())]
             out.clear()
-            return made
+            return pa.RecordBatch.from_arrays(cols, names=["task", "i", "n", "data"])
 
         for whole in batches:
             for b in byte_batches(whole):
@@ -88,14 +113,21 @@ def materialise(docs: DataFrame, folder: str, *, text: str = "text", key: str =
                     yield batch()
         if ids:
             put(ids)
+        if held:
+            frame()
         if out:
             yield batch()
 
     def place(batches):
+        pack, unpack = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
         for b in batches:
-            first = np.array([firsts[t] for t in b.column(0).to_pylist()], np.int64)
-            slots = permute(first + b.column(1).to_numpy(), total, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), b.column(2), b.column(3)], names=["shard", "slot", "ids", "pieces"])
+            for task, i, n, data in zip(*(c.to_pylist() for c in b.columns)):
+                raw = unpack.decompress(data)
+                at = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i8", n))]) + n * (8 + length * width)
+                parts_ = [pack.compress(raw[8 * n + j * length * width : 8 * n + (j + 1) * length * width] + raw[at[j] : at[j + 1]]) for j in range(n)]
+                slots = permute(firsts[task] + i + np.arange(n), total, seed)
+                shards = slots // per_shard
+                yield pa.RecordBatch.from_arrays([pa.array((shards * parts // n_shards).astype(np.int32)), pa.array(shards), pa.array(slots), pa.array(parts_, pa.binary())], names=["part", "shard", "slot", "data"])
 
     def write(batches):
         held, now = [], None
@@ -106,12 +138,14 @@ def materialise(docs: DataFrame, folder: str, *, text: str = "text", key: str =
             data = b"".join(x[1] for x in held)
             name = f"{folder}/shard-{now:06d}.bin"
             fs_, at = filesystem(name)
-            if len(held) == n and not (fs_.get_file_info(at).is_file and fs_.open_input_file(at).read() == data):
+            if len(held) != n:
+                raise RuntimeError(f"shard {now}: {len(held)} sequences of {n}")
+            if not (fs_.get_file_info(at).is_file and fs_.open_input_file(at).read() == data):
                 write_file(name, data)
             rows = []
             for slot, ids, pieces in held:
                 seq = np.frombuffer(ids, kind).astype("<u4")
-                for doc, null, start, size, offset in np.frombuffer(pieces, "<i8").reshape(-1, 5).tolist():
+                for doc, null, start, size, offset in pieces.tolist():
                     rows.append((None if null else doc, start, size, zlib.crc32(seq[offset : offset + size].tobytes()), slot, offset, now, slot % per_shard * length * width))
             names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
@@ -122,19 +156,21 @@ def materialise(docs: DataFrame, folder: str, *, text: str = "text", key: str =
                     yield shard()
                     held.clear()
                 now = row[0]
-                slot, ids, pieces = row[1:]
-                held.append((slot, unpack.decompress(ids), pieces))
+                x = unpack.decompress(row[2])
+                held.append((row[1], x[: length * width], _numbers(x[length * width :])))
         if held:
             yield shard()
 
-    sequences = stash(rows.mapInArrow(cut, "task int, i long, ids binary, pieces binary"), "sequences")
+    sequences = stash(rows.mapInArrow(cut, "task int, i long, n int, data binary"), "sequences")
     total, firsts = 0, {}
-    for task, n in sorted(map(tuple, sequences.groupBy("task").count().collect())):
+    for task, n in sorted(map(tuple, sequences.groupBy("task").agg(F.sum("n")).collect())):
         firsts[task] = total
         total += n
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sequences.mapInArrow(place, "shard long, slot long, ids binary, pieces binary").repartition(parts, "shard").sortWithinPartitions("shard", "slot")
-    return dealt.mapInArrow(write, SCHEMA)
+    n_shards = max(1, -(-total // per_shard))
+    # whole shards to a task, and no more than 64 of them, whatever the session's number of partitions
+    parts = min(n_shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_shards // 64)))
+    dealt = sequences.mapInArrow(place, "part int, shard long, slot long, data binary").repartitionById(parts, F.col("part")).select("shard", "slot", "data")
+    return dealt.sortWithinPartitions("slot").mapInArrow(write, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
