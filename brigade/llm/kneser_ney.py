@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
@@ -14,7 +15,7 @@ from .words import word_hashes
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_32 = np.uint64(32)
+_16 = np.uint64(16)
 
 
 def _tokens(col: pa.Array):
@@ -30,88 +31,163 @@ def _tokens(col: pa.Array):
     return w, before, row
 
 
-def _pairs(w, before):
-    """One integer for each bigram, ordered by the second word's upper 32 bits, then the first's."""
-    return w >> _32 << _32 | before >> _32
+def _codes(h: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of a word's hash: its code as a context."""
+    return h >> _16
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
 def _sum(keys: np.ndarray, counts: np.ndarray):
+    """Ascending distinct keys and the sums of their counts (one row of ``counts`` for each column)."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    keys, counts = keys[order], counts[:, order]
+    first = _heads(keys)
+    return keys[first], np.add.reduceat(counts, first, axis=1) if len(first) else counts
+
+
+def _planes(x: np.ndarray, used: int = 8) -> bytes:
+    """Bytes of one place together, which compresses well in a shuffle; the upper ones may be left out."""
+    return x.view(np.uint8).reshape(-1, x.itemsize)[:, :used].T.tobytes()
+
+
+def _back(data: np.ndarray, n: int, kind: str, used: int = 8) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :used] = data.reshape(-1, n).T
+    return out.view(kind).ravel()
 
 
 def _pack(keys, counts) -> bytes:
-    """Ascending keys as differences, bytes of one place together: this compresses well in a shuffle."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Ascending keys as differences, and their counts."""
+    return _planes(np.diff(keys, prepend=np.uint64(0))) + b"".join(_planes(c.astype("<u4")) for c in counts)
 
 
-def _unpack(data) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(data, columns: int) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer(data, np.uint8)
-    n = len(x) // 12
-    steps = np.ascontiguousarray(x[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(x[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    n = len(x) // (8 + 4 * columns)
+    counts = [_back(x[(8 + 4 * c) * n : (12 + 4 * c) * n], n, "<u4") for c in range(columns)]
+    return np.cumsum(_back(x[: 8 * n], n, "<u8"), dtype=np.uint64), np.array(counts, np.int64).reshape(columns, n)
 
 
-def _bucket(codes: np.ndarray, n: int) -> np.ndarray:
-    """The range of 32-bit codes that each belongs to."""
-    return (codes.astype(np.uint64) * np.uint64(n) >> _32).astype(np.int64)
+def _pack_pairs(w, code, counts) -> bytes:
+    """Bigrams by second word, then by the first's code: each second word once, with how many it has."""
+    first = _heads(w)
+    many = np.diff(np.append(first, len(w))).astype("<u4")
+    return np.array([len(first)], "<u4").tobytes() + _planes(np.diff(w[first], prepend=np.uint64(0))) + _planes(many) + _planes(code, 6) + _planes(counts.astype("<u4"))
 
 
-def _merge(parts):
-    got = [_unpack(x.as_buffer()) for x in parts]
+def _unpack_pairs(data) -> tuple:
+    x = np.frombuffer(data, np.uint8)
+    m = int(x[:4].view("<u4")[0])
+    w, many = np.cumsum(_back(x[4 : 4 + 8 * m], m, "<u8"), dtype=np.uint64), _back(x[4 + 8 * m : 4 + 12 * m], m, "<u4")
+    x, n = x[4 + 12 * m :], int(many.sum())
+    return w, many, _back(x[: 6 * n], n, "<u8", 6), _back(x[6 * n :], n, "<u4").astype(np.int64)
+
+
+def _merge(parts, columns: int = 1):
+    got = [_unpack(x.as_buffer(), columns) for x in parts]
     if not got:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return _sum(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got]))
+        return np.zeros(0, np.uint64), np.zeros((columns, 0), np.int64)
+    return _sum(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got], axis=1))
 
 
-def _split(kind: int, keys, counts, n: int, shift: bool = True):
-    at = np.searchsorted(_bucket(keys >> _32 if shift else keys, n), np.arange(n + 1))
-    return [(kind, b, _pack(keys[i:j], counts[i:j])) for b, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+def _split(kind: int, buckets, pack, *columns):
+    """Rows (kind, bucket, packed) of columns whose ``buckets`` ascend."""
+    first = np.append(_heads(buckets), len(buckets))
+    return [(kind, int(buckets[i]), pack(*(c[..., i:j] for c in columns))) for i, j in zip(first, first[1:])]
 
 
 class Model:
-    """A model's sorted hash arrays, memory-mapped where the shared folder is mounted."""
+    """A model's sorted hash arrays, memory-mapped where the shared folder is mounted.
 
-    def __init__(self, folder: str, buckets: int, context_buckets: int):
-        self.folder, self.n = folder, {"word": buckets, "pair": buckets, "context": context_buckets}
-        self.open: dict = {}
+    ``bits`` name a word's bucket, ``context_bits`` a context's; ``present`` holds the buckets of
+    either that have a file. A file that should be there and isn't is an error. Where the folder is
+    a store that can't be mapped, files are read, and the least recently used go beyond ``most`` bytes.
+    """
+
+    def __init__(self, folder: str, bits: int, context_bits: int, present: dict, most: int = 1 << 29):
+        self.folder, self.bits, self.present, self.most = folder, {"word": bits, "pair": bits, "context": context_bits}, present, most
+        self.open: OrderedDict = OrderedDict()
+        self.held = 0
 
     def arrays(self, kind: str, b: int):
-        """(keys, values) of one range of codes; values have one column or more."""
+        """(keys, columns) of one bucket. A column is (counts of a byte, places, values): a count of
+        255 or more is 255, and found by its place among the values."""
         if (kind, b) not in self.open:
             fs_, path = filesystem(f"{self.folder}/{kind}-{b}")
-            try:
-                raw = np.memmap(path, np.uint64, "r") if fs_.type_name == "local" else np.frombuffer(fs_.open_input_file(path).read(), np.uint64)
-                n, width = int(raw[0]), int(raw[1])
-                self.open[kind, b] = raw[2 : 2 + n], raw[2 + n :].view(np.int64).reshape(width, n)
-            except FileNotFoundError:
-                self.open[kind, b] = np.zeros(0, np.uint64), np.zeros((4, 0), np.int64)
-        return self.open[kind, b]
-
-    def find(self, kind: str, keys: np.ndarray, columns: int) -> np.ndarray:
-        """The values of ascending keys, zeros where a key isn't there."""
-        out = np.zeros((columns, len(keys)), np.int64)
-        at = np.searchsorted(_bucket(keys if kind == "context" else keys >> _32, self.n[kind]), np.arange(self.n[kind] + 1))
-        for b in np.flatnonzero(np.diff(at)):
-            i, j = at[b], at[b + 1]
-            have, values = self.arrays(kind, b)
-            if len(have):
-                p = np.minimum(np.searchsorted(have, keys[i:j]), len(have) - 1)
-                hit = have[p] == keys[i:j]
-                out[:, i:j][:, hit] = values[:columns, p[hit]]
+            mapped = fs_.type_name == "local"
+            raw = np.memmap(path, np.uint8, "r") if mapped else np.frombuffer(fs_.open_input_file(path).read(), np.uint8)
+            n, width, bits = (int(x) for x in raw[:24].view(np.uint64))
+            at, columns = 24 + 8 * n, []
+            for _ in range(width):
+                m = int(raw[at : at + 8].view(np.uint64)[0])
+                wide = raw[at + 8 : at + 8 + 16 * m].view(np.int64)
+                at += 8 + 16 * m
+                columns.append((raw[at : at + n], wide[:m], wide[m:]))
+                at += -(-n // 8) * 8
+            self.open[kind, b] = raw[24 : 24 + 8 * n].view(np.uint64), columns, bits, 0 if mapped else len(raw)
+            self.held += self.open[kind, b][3]
+            while self.held > self.most and len(self.open) > 1:
+                self.held -= self.open.popitem(last=False)[1][3]
+        self.open.move_to_end((kind, b))
+        return self.open[kind, b][:3]
+
+    def find(self, kind: str, words: np.ndarray, columns: int, rank=None, code=None) -> np.ndarray:
+        """The values of ``words``, which ascend, and behind them their ranks in their buckets; zeros
+        and rank -1 where one isn't there. Bigrams are found by the second word's rank and the
+        first's code, words and contexts by their hashes."""
+        out = np.zeros((columns + 1, len(words)), np.int64)
+        out[columns] = -1
+        bucket = _bucket(words, self.bits[kind])
+        first = np.append(_heads(bucket), len(words))
+        there = self.present["context" if kind == "context" else "word"]
+        for i, j in zip(first, first[1:]):
+            b = int(bucket[i])
+            if not there[b >> 3] >> (b & 7) & 1:
+                continue
+            have, values, bits = self.arrays(kind, b)
+            if not len(have):
+                continue
+            if rank is None:
+                keys, known = words[i:j], True
+            else:
+                keys, known = _key(rank[i:j].astype(np.uint64), code[i:j], bits), rank[i:j] >= 0
+            p = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+            hit = np.flatnonzero((have[p] == keys) & known)
+            out[columns, i + hit] = p[hit]
+            for c in range(columns):
+                small, place, wide = values[c]
+                x = small[p[hit]].astype(np.int64)
+                big = np.flatnonzero(x == 255)
+                x[big] = wide[np.searchsorted(place, p[hit[big]])]
+                out[c, i + hit] = x
         return out
 
 
+def _key(rank: np.ndarray, code: np.ndarray, bits: int) -> np.ndarray:
+    """A bigram within its bucket: the second word's rank there, and ``bits`` bits of the first's code."""
+    return rank << np.uint64(bits) | code >> np.uint64(48 - bits)
+
+
+def _bucket(words: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket that a word's hash belongs to: its upper bits."""
+    return (words >> np.uint64(64 - bits)).astype(np.int64)
+
+
 @lru_cache(maxsize=1)
-def model(folder: str, buckets: int, context_buckets: int) -> Model:
-    return Model(folder, buckets, context_buckets)
+def model(folder: str, bits: int, context_bits: int, words: bytes, contexts: bytes) -> Model:
+    return Model(folder, bits, context_bits, {"word": words, "context": contexts})
 
 
-def _save(folder: str, kind: str, b: int, keys, *values) -> None:
-    write_file(f"{folder}/{kind}-{b}", np.array([len(keys), len(values)], np.uint64).tobytes(), keys.astype(np.uint64).tobytes(), *(v.astype(np.int64).tobytes() for v in values))
+def _save(folder: str, kind: str, b: int, keys, *values, bits: int = 48) -> None:
+    parts = [np.array([len(keys), len(values), bits], np.uint64).tobytes(), keys.astype(np.uint64).tobytes()]
+    for v in values:
+        v = v.astype(np.int64)
+        big = np.flatnonzero(v >= 255)
+        parts += [np.array([len(big)], np.uint64).tobytes(), big.astype(np.int64).tobytes(), v[big].tobytes(), np.minimum(v, 255).astype(np.uint8).tobytes(), bytes(-len(v) % 8)]
+    write_file(f"{folder}/{kind}-{b}", *parts)
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -121,30 +197,33 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(k - 0.05, max(0.05, d)) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def train(docs: DataFrame, *, least: int = 1, flush_tokens: int = 1 << 21) -> tuple:
+def train(docs: DataFrame, *, least: int = 1, flush_tokens: int = 1 << 21, bucket_bytes: int = 2 << 20) -> tuple:
     """Count words and bigrams of ``docs`` (doc_id, text) and write the model to the shared folder.
 
     All bigrams are counted and enter the discounts and the lower order; those seen fewer than
-    ``least`` times, none by default, are then left to the lower order, as count cutoffs do. Tasks sum their own
-    counts before the shuffle, ranges of codes are summed apart, and each range is a file of sorted
-    hashes; the driver gets a row of totals for each range.
+    ``least`` times, none by default, are then left to the lower order, as count cutoffs do. Tasks
+    sum their own counts before the shuffle, buckets of words, about one for each ``bucket_bytes`` of
+    text, are summed apart, and each is a file of sorted hashes; the driver gets a row of totals
+    and a bitmap of the buckets from each task.
     """
-    spark = docs.sparkSession
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n, m = 4 * shuffles, max(1, shuffles // 4)
-    folder = shared_folder(spark, "kneser-ney")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(18, max(5, int(size // bucket_bytes).bit_length()))
+    context_bits = bits - 4
+    folder = shared_folder(docs.sparkSession, "kneser-ney")
 
     def count(batches):
         held, size = [], 0
 
         def flush():
             w, before = (np.concatenate(x) for x in zip(*held))
-            rows = []
-            for kind, keys in ((0, w), (1, _pairs(w, before))):
-                k, c = np.unique(keys, return_counts=True)
-                rows += _split(kind, k, c, n)
-            kinds, buckets, data = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], names=["kind", "bucket", "data"])
+            words, back = np.unique(np.concatenate([w, before]), return_inverse=True)
+            own = np.bincount(back[: len(w)], minlength=len(words))
+            k = np.flatnonzero(own)
+            rows = _split(0, _bucket(words[k], bits), _pack, words[k], own[k][None])
+            pairs, c = np.unique(back[: len(w)] * len(words) + back[len(w) :], return_counts=True)
+            k = words[pairs // len(words)]
+            rows += _split(1, _bucket(k, bits), _pack_pairs, k, _codes(words[pairs % len(words)]), c)
+            return _table(rows).to_batches()[0]
 
         for whole in batches:
             for b in byte_batches(whole):
@@ -161,46 +240,60 @@ def train(docs: DataFrame, *, least: int = 1, flush_tokens: int = 1 << 21) -> tu
         b = key[0].as_py()
         kinds = t.column("kind").to_numpy()
         data = t.column("data").combine_chunks()
-        w, c = _merge([data[int(i)] for i in np.flatnonzero(kinds == 0)])
-        pairs, pc = _merge([data[int(i)] for i in np.flatnonzero(kinds == 1)])
-        code, before = pairs >> _32, pairs & np.uint64(0xFFFFFFFF)
-        words, preceding = np.unique(code, return_counts=True)
-        found = np.zeros(len(w), np.int64)
-        if len(words):
-            at = np.minimum(np.searchsorted(words, w >> _32), len(words) - 1)
-            # of words with one code the first has its continuations, so that none counts twice
-            own = (words[at] == w >> _32) & np.concatenate([[True], (w >> _32)[1:] != (w >> _32)[:-1]])
-            found[own] = preceding[at[own]]
+        w, (c,) = _merge([data[int(i)] for i in np.flatnonzero(kinds == 0)])
+        hold = min(48, 64 - max(1, len(w) - 1).bit_length())
+        parts = [_unpack_pairs(data[int(i)].as_buffer()) for i in np.flatnonzero(kinds == 1)]
+        # every token follows another or the beginning, so its word is among the bucket's
+        keys = np.concatenate([_key(np.repeat(np.searchsorted(w, x).astype(np.uint64), n), code, hold) for x, n, code, _ in parts])
+        order = np.argsort(keys)
+        first = _heads(pairs := keys[order])
+        pairs, pc = pairs[first], np.add.reduceat(np.concatenate([p[3] for p in parts])[order], first)
+        before = np.concatenate([p[2] for p in parts])[order[first]]
+        found = np.bincount((pairs >> np.uint64(hold)).astype(np.int64), minlength=len(w))
         _save(folder, "word", b, w, c, found)
         kept = pc >= least
-        _save(folder, "pair", b, pairs[kept], pc[kept])
+        _save(folder, "pair", b, pairs[kept], pc[kept], bits=hold)
         rows = [(-1, b, np.array([c.sum(), len(w), *((pc == k).sum() for k in (1, 2, 3, 4)), *((found == k).sum() for k in (1, 2, 3, 4)), (found >= 3).sum(), found.sum()], "<i8").tobytes())]
         if kept.any():
-            h, x = before[kept], pc[kept]
-            for k, part in enumerate((x, x == 1, x == 2, x >= 3)):
-                rows += _split(k, *_sum(h, part.astype(np.int64)), m, shift=False)
-        kinds, buckets, out = zip(*rows)
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "data": pa.array(out, pa.binary())})
+            h, x = before[kept] << _16, pc[kept]
+            h, sums = _sum(h, np.stack([x, x == 1, x == 2, x >= 3]).astype(np.int64))
+            rows += _split(0, _bucket(h, context_bits), _pack, h, sums)
+        return _table(rows)
 
     def contexts(key, t):
-        kinds = t.column("kind").to_numpy()
-        data = t.column("data").combine_chunks()
-        h, mass = _merge([data[int(i)] for i in np.flatnonzero(kinds == 0)])
-        columns = [mass]
-        for k in (1, 2, 3):
-            keys, c = _merge([data[int(i)] for i in np.flatnonzero(kinds == k)])
-            values = np.zeros(len(h), np.int64)
-            values[np.searchsorted(h, keys)] = c
-            columns.append(values)
-        _save(folder, "context", key[0].as_py(), h, *columns)
-        return pa.table({"done": pa.array([1], pa.int32())})
-
-    totals = stash(docs.mapInArrow(count, "kind int, bucket int, data binary").groupBy("bucket").applyInArrow(total, "kind int, bucket int, data binary"), "kneser-ney-totals")
-    totals.where("kind >= 0").groupBy("bucket").applyInArrow(contexts, "done int").agg(F.sum("done")).collect()
-    stats = np.zeros(12, np.int64)
-    for r in totals.where("kind = -1").select("data").collect():
-        stats += np.frombuffer(r[0], "<i8")
-    return folder, n, m, [int(x) for x in stats]
+        h, sums = _merge(t.column("data").combine_chunks(), 4)
+        _save(folder, "context", b := key[0].as_py(), h, *sums)
+        return _table([(-1, b, b"")])
+
+    def gather(batches):
+        """One row a task: the sum of its totals, and the bitmap of its buckets."""
+        stats, there = np.zeros(12, np.int64), bytearray(1 << bits >> 3)
+        for t in batches:
+            for b, data in zip(t.column(1).to_pylist(), t.column(2).to_pylist()):
+                there[b >> 3] |= 1 << (b & 7)
+                if data:
+                    stats += np.frombuffer(data, "<i8")
+        yield _table([(-1, 0, stats.tobytes() + there)]).to_batches()[0]
+
+    def gathered(rows):
+        stats, there = np.zeros(12, np.int64), np.zeros(1 << bits >> 3, np.uint8)
+        for r in rows.coalesce(64).mapInArrow(gather, ROWS).select("data").collect():
+            stats += np.frombuffer(r[0][:96], "<i8")
+            there |= np.frombuffer(r[0][96:], np.uint8)
+        return [int(x) for x in stats], there.tobytes()
+
+    totals = stash(docs.mapInArrow(count, ROWS).groupBy("bucket").applyInArrow(total, ROWS), "kneser-ney-totals")
+    done = stash(totals.where("kind >= 0").groupBy("bucket").applyInArrow(contexts, ROWS), "kneser-ney-contexts")
+    stats, words = gathered(totals.where("kind = -1"))
+    return folder, bits, context_bits, words, gathered(done)[1], stats
+
+
+ROWS = "kind int, bucket int, data binary"
+
+
+def _table(rows) -> pa.Table:
+    kinds, buckets, data = zip(*rows)
+    return pa.table({"kind": pa.array(kinds, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "data": pa.array([bytes(x) for x in data], pa.binary())})
 
 
 def scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", folds: int = 5, held_out: int = 1, least: int = 1, batch_bytes: int = 8 << 20) -> DataFrame:
@@ -209,36 +302,37 @@ def scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", folds: i
     The model learns from rows whose crc32(key as text) mod ``folds`` isn't ``held_out``, and from
     those of null keys. p(w|h) = max(c(hw) - D, 0) / c(h) + g(h) p(w), with p(w) from the number of
     different words before w, discounted likewise and interpolated with 1 / (V + 1); g(h) is what
-    the kept bigrams of h leave. Bigrams are told apart by two 32-bit codes, words by 64-bit hashes.
+    the kept bigrams of h leave. Words are told apart by 64-bit hashes, as contexts by 48 bits of them.
     Workers look up each batch's distinct words and bigrams, sorted, in the mapped arrays, so the
     model takes no memory of theirs and text isn't shuffled.
     Null and empty texts hold the end alone. Repeated rows count and score as rows of their own.
     Extra columns are ignored; an empty table gives an empty result.
     """
     rows = tagged(docs, text, key).withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held_out, F.lit(False)))
-    folder, n, m, stats = train(rows.where("not held_out").select("doc_id", "text"), least=least)
+    *where, stats = train(rows.where("not held_out").select("doc_id", "text"), least=least)
+    bits = where[1]
     total, types = stats[:2]
     d, low = (np.array([0.0, *_discounts(stats[i : i + 4])]) for i in (2, 6))
     three, pairs = stats[10], max(1, stats[11])
     rest = (low[1] * stats[6] + low[2] * stats[7] + low[3] * three) / pairs if stats[11] else 1.0
 
     def run(batches):
-        at = model(folder, n, m)
+        at = model(*where)
         docs_seen = at.find("word", np.array([END]), 1)[0, 0]
         for whole in batches:
             for b in byte_batches(whole, most=batch_bytes):
                 w, before, row = _tokens(b.column(1))
                 words, back = np.unique(np.concatenate([w, before]), return_inverse=True)
                 iw, ih = back[: len(w)], back[len(w) :]
-                c, follows = at.find("word", words, 2)
+                c, follows, rank = at.find("word", words, 2)
                 lower = np.maximum(follows - low[np.minimum(follows, 3)], 0) / pairs + rest / (types + 1)
                 seen = np.where(words == BEGIN, docs_seen, np.where(words == END, 0, c)).astype(float)
-                codes, code = np.unique(words >> _32, return_inverse=True)
-                mass, k1, k2, k3 = at.find("context", codes, 4)[:, code]
+                mass, k1, k2, k3, _ = at.find("context", _codes(words) << _16, 4)
                 left = 1 - (mass - d[1] * k1 - d[2] * k2 - d[3] * k3) / np.maximum(seen, 1)
                 left = np.where(seen > 0, np.clip(left, 1e-9, 1), 1.0)
-                pairs_, ip = np.unique(_pairs(w, before), return_inverse=True)
-                both = at.find("pair", pairs_, 1)[0][ip]
+                one, ip = np.unique(iw * len(words) + ih, return_inverse=True)  # distinct bigrams in the order of their second words
+                one, h = one // len(words), one % len(words)
+                both = at.find("pair", words[one], 1, rank[one], _codes(words[h]))[0][ip]
                 p = np.where(both > 0, (both - d[np.minimum(both, 3)]) / np.maximum(np.maximum(seen[ih], both), 1), 0.0) + left[ih] * lower[iw]
                 base = np.log10((c[iw] + 0.5) / (total + 0.5 * (types + 1)))
                 k = b.num_rows
