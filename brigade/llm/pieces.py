@@ -14,6 +14,8 @@ from .shared import byte_batches, documents, tagged
 
 SCHEMA = "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, round_trip boolean"
 MARK = "▁"
+#: Characters that no piece covers are numbered from here, above all pieces.
+LOST = 1 << 21
 
 
 def default_path() -> str:
@@ -23,13 +25,21 @@ def default_path() -> str:
 
 
 class Pieces:
-    """A model's pieces, with the best segmentation of a text by the sum of the pieces' scores.
+    """A model's pieces, and the segmentation of a text that the model gives, by a streaming Viterbi search.
+
+    Every boundary of a text keeps a backpointer to where its last piece begins, and all pieces that
+    end there are tried at once. Models of merges (type BPE, whose scores are ranks) are exact too:
+    a text's segmentation continues that of each of its own boundaries, and two pieces may stand side
+    by side where merging their characters alone gives just these two, so of the pieces that end at a
+    boundary the one that may follow is the path to it. In other models (unigram) the path of the
+    highest sum of scores counts, ties to the longer last piece.
 
     Text is taken as the model's identity normalisation does: a dummy space first, spaces as marks.
     A character that no piece covers becomes its UTF-8 bytes' pieces, or the unknown id.
     """
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 400_000, merges: bool | None = None):
+        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -38,92 +48,142 @@ class Pieces:
         self.bytes = {int(self.names[i][3:5], 16): i for i in range(len(self.names)) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = sp.unk_id()
-        worst = min((s for i in own if (s := sp.get_score(i)) > -1e8), default=0.0)
-        # scores that only fill a place (-1e9) would swamp the sums: they count as the worst real one less 1
-        self.score = {self.names[i]: (i, max(sp.get_score(i), worst - 1)) for i in own}
-        self.lost = worst - 10.0
+        self.score = {self.names[i]: sp.get_score(i) for i in own}
+        # ranks are whole numbers, log probabilities aren't
+        self.merges = all(s == int(s) for s in self.score.values()) if merges is None else merges
+        if not self.merges:  # scores that only fill a place (-1e9) would swamp the sums: they count as the worst real one less 1
+            worst = min((s for s in self.score.values() if s > -1e8), default=0.0)
+            self.score = {n: max(s, worst - 1) for n, s in self.score.items()}
+            self.lost = worst - 10.0
+        self.id = {self.names[i]: i for i in own}
         self.longest = max(map(len, self.score), default=1)
+        self.machine = ahocorasick.Automaton()
+        for name, i in self.id.items():
+            self.machine.add_word(name, (len(name), i))
+        self.machine.make_automaton()
         inner = {c for p in self.score if len(p) > 1 for c in p}
         # no piece has a mark after another character: all paths meet before such a mark
         self.marks = not any(MARK in p.lstrip(MARK) for p in self.score)
         self.apart = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n") if self.marks and "\n" not in inner else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if self.marks else "(?s).+")
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.cache: dict[str, bytes] = {}
+        self.odd: set[str] = set()
         self.most = cache
 
+    def merged(self, text: str) -> list[str]:
+        """The symbols left of a short text when the neighbours of the highest score have merged, the
+        first ones of equal score, as often as any two can."""
+        parts = list(text)
+        while len(parts) > 1:
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                s = self.score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def _name(self, i: int) -> str:
+        return chr(i - LOST) if i >= LOST else self.names[i]
+
+    def _follows(self, a: int, b: int) -> bool:
+        """Whether piece ``b`` may follow piece ``a`` (-1: begin a text); characters without a piece count from LOST."""
+        key = (a + 1) * (2 * LOST) + b
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= 1 << 20:
+                self.pairs.clear()
+            x, y = self._name(a) if a >= 0 else "", self._name(b)
+            found = self.pairs[key] = self.merged(x + y) == ([x, y] if x else [y])
+        return found
+
     def viterbi(self, text: str, hold: int = 256):
-        """Yield ids of the best segmentation, committing early.
+        """Yield the ids of the segmentation, committing early.
 
         Only the last ``longest`` boundaries can still be reached back to. When ``hold`` boundaries
         wait, the paths from all of those are followed back, and what they have in common is
         committed, so memory is bounded by how far paths stay apart, not by the text.
-        Ties go to the longer last piece.
         """
-        best, back = {0: 0.0}, {}
-        done = waiting = 0
-        for end in range(1, len(text) + 1):
-            top, link = None, None
-            for start in range(max(done, end - self.longest), end):
-                if start in best:
-                    piece = self.score.get(text[start:end])
-                    if piece is None:
-                        if start < end - 1:
-                            continue
-                        piece = (-1, self.lost)
-                    if top is None or best[start] + piece[1] > top:
-                        top, link = best[start] + piece[1], (start, piece[0])
-            best[end], back[end] = top, link
-            best.pop(end - self.longest - 1, None)
-            waiting += 1
-            if waiting >= hold:
-                live = [i for i in range(max(done + 1, end - self.longest + 1), end + 1) if i in back]
-                meet = self._meet(live, back, done)
-                if meet > done:
-                    yield from self._path(text, back, meet, done)
-                    for i in [i for i in back if i <= meet]:
-                        del back[i]
-                    for i in [i for i in best if i < meet]:
-                        del best[i]
-                    done = meet
-                waiting = 0
-        if len(text) > done:
-            yield from self._path(text, back, len(text), done)
-
-    def _meet(self, live, back, done) -> int:
-        """The last boundary that the paths from all ``live`` boundaries have in common."""
-        at = set(live)
-        while len(at) > 1:
-            i = max(at)
-            at.remove(i)
-            at.add(back[i][0] if i > done else done)
-        return at.pop() if at else done
-
-    def _path(self, text, back, end, start):
+        base, starts, ids, best = 0, [0], [-1], [0.0]  # of the boundaries from base on
+        ranked, follows, pairs, stride = self.merges, self._follows, self.pairs, 2 * LOST
+        for e, (n, piece) in self.machine.iter(text):
+            while base + len(starts) <= e:  # boundaries that no piece has settled
+                self._lost(text, base, starts, ids, best)
+            k = e + 1 - n - base
+            if len(starts) == e + 2 - base:  # settled: only a higher sum changes it
+                if ranked or best[k] + self.score[self.names[piece]] <= best[-1]:
+                    continue
+                starts.pop(), ids.pop(), best.pop()
+            elif ranked:
+                found = pairs.get((ids[k] + 1) * stride + piece)
+                if not (follows(ids[k], piece) if found is None else found):
+                    continue
+            starts.append(e + 1 - n)
+            ids.append(piece)
+            best.append(0.0 if ranked else best[k] + self.score[self.names[piece]])
+            if len(starts) > hold and len(starts) % hold == 1:
+                meet = self._meet(starts, base)
+                if meet > base:
+                    yield from self._path(text, starts, ids, base, meet)
+                    cut = meet - base
+                    starts, ids, best, base = starts[cut:], ids[cut:], best[cut:], meet
+        while base + len(starts) <= len(text):
+            self._lost(text, base, starts, ids, best)
+        yield from self._path(text, starts, ids, base, len(text))
+
+    def _lost(self, text, base, starts, ids, best):
+        """Settle the next boundary by a character without a piece."""
+        at = base + len(starts) - 1
+        starts.append(at)
+        ids.append(LOST + ord(text[at]))
+        best.append(0.0 if self.merges else best[-1] + self.lost)
+
+    def _meet(self, starts, base) -> int:
+        """The last boundary that the paths from all boundaries still within reach have in common."""
+        end = base + len(starts) - 1
+        live = set(range(max(base, end - self.longest + 1), end + 1))
+        while len(live) > 1:
+            i = max(live)
+            live.remove(i)
+            live.add(max(base, starts[i - base]))
+        return live.pop()
+
+    def _path(self, text, starts, ids, base, end):
         out = []
-        while end > start:
-            begin, piece = back[end]
-            if piece >= 0:
-                out.append(piece)
-            else:
-                raw = text[begin:end].encode()
-                out += [self.bytes.get(b, self.unknown) for b in reversed(raw)]
-            end = begin
+        while end > base:
+            i = ids[end - base]
+            out += [i] if i < LOST else [self.bytes.get(b, self.unknown) for b in reversed(chr(i - LOST).encode())]
+            end = starts[end - base]
         return reversed(out)
 
-    def chunks(self, text: str):
-        """(ids as bytes, what they decode to) for parts of a text between which every path meets."""
-        for part in self.apart.findall(MARK + text.replace(" ", MARK)) if text else ():
-            got = self.cache.get(part)
-            if got is None:
-                ids = array("I", self.viterbi(part))
-                got = ids.tobytes(), self.plain(ids)
-                if len(part) <= 48:
-                    if len(self.cache) >= self.most:
-                        self.cache.clear()
-                    self.cache[part] = got
-            yield got
+    def chunks(self, text: str) -> list[bytes]:
+        """Ids, as bytes, of the parts of a text between which every path meets."""
+        parts = self.split(text)
+        cache = self.cache
+        if len(cache) >= self.most:
+            cache.clear()
+            self.odd.clear()
+        long = {}
+        for part in set(parts).difference(cache):
+            ids = array("I", self.viterbi(part))
+            (cache if len(part) <= 48 else long)[part] = ids.tobytes()
+            if self.plain(ids) != part:
+                self.odd.add(part)
+        return [cache[x] for x in parts] if not long else [cache[x] if x in cache else long[x] for x in parts]
+
+    def split(self, text: str) -> list[str]:
+        return self.apart.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.chunks(text) for i in array("I", ids)]
+        return array("I", b"".join(self.chunks(text))).tolist()
+
+    def round_trip(self, text: str, ids: bytes) -> bool:
+        """Whether ``ids``, just encoded, decode to the text. Parts are decoded when they are first met."""
+        if self.odd and not self.odd.isdisjoint(self.split(text)):
+            return self.decode(array("I", ids)) == text
+        return MARK not in text
 
     def plain(self, ids) -> str:
         """The normalised text of ids: pieces one after another, runs of byte pieces decoded together."""
@@ -188,9 +248,8 @@ def digest(docs: DataFrame, *, text: str = "text", key: str = "doc_id", model: s
             for b in byte_batches(whole):
                 rows = []
                 for t in b.column(1).to_pylist():
-                    got = list(p.chunks(t))
-                    ids = b"".join(x for x, _ in got)
-                    rows.append((len(t.encode()), len(ids) // 4, zlib.crc32(ids), "".join(x for _, x in got).replace(MARK, " ")[1:] == t))
+                    ids = b"".join(p.chunks(t))
+                    rows.append((len(t.encode()), len(ids) // 4, zlib.crc32(ids), p.round_trip(t, ids)))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())], names=["doc_id", "n_bytes", "n_pieces", "ids_crc32", "round_trip"])
 
