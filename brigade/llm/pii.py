@@ -7,23 +7,30 @@ every document, different values stay different, and the pseudonym passes the sa
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents
 
 ROUNDS = 10
+SECRET = "spark.brigade.pii.secret"
 
-#: What each kind looks like. The first that matches at a place counts; all but mail are validated.
+#: What each kind looks like. The first that matches at a place counts; mail and secrets apart, all are validated.
 PATTERNS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}-])",
+    "secret": r"(?i:(?<![a-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']? ?[:=] ?[\"']?)[A-Za-z0-9+/_=-]{16,512}+|(?<![A-Za-z0-9])(?:AKIA|ASIA|gh[pousr]_)[A-Za-z0-9]{16,64}+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){1,4}|\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:]|\.[0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){1,5}|\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}|0[1-9]([ .-])[0-9]{2}(?:\1[0-9]{2}){3})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
 }
+#: Country calling codes are of one digit, of these two, or of three: the code of a number needs no separator.
+CODES = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 
 
 def _lit(s: str) -> str:
@@ -72,51 +79,86 @@ def _mod97(s: str) -> str:
     return f"aggregate(sequence(1, length({s})), 0, (t, i) -> (t * if({value} > 9, 100, 10) + {value}) % 97)"
 
 
-def _mail(m: str, key: str) -> str:
-    """SQL shifting the letters and digits before the @, each within its alphabet: a Feistel network
-    over the two halves of the string, the shifts of one half drawn from the other."""
-    local, rest = f"substring_index({m}, '@', 1)", f"substr({m}, instr({m}, '@'))"
-    shift = f"cast(conv(substr(sha2(concat_ws('|', {_lit(key)}, 'mail', r, i, length(s.a), length(s.b), if(r % 2 = 1, s.b, s.a)), 256), 1, 8), 16, 10) as bigint)"
+def _shifted(text: str, kind: str, key: str, hexa: str = "false") -> str:
+    """SQL shifting the letters and digits of a string, each within its alphabet (where ``hexa`` holds
+    within the hexadecimal digits of its case): a Feistel network over the two halves of the string,
+    the shifts of one half drawn from the other. Other characters stay."""
+    shift = f"cast(conv(substr(sha2(concat_ws('|', {_lit(key)}, {_lit(kind)}, r, i, length(s.a), length(s.b), if(r % 2 = 1, s.b, s.a)), 256), 1, 8), 16, 10) as bigint)"
 
     def moved(x: str) -> str:
         c = f"substr({x}, i, 1)"
-        spin = f"case when {c} between 'a' and 'z' then chr(97 + (ascii({c}) - 97 + {shift}) % 26) when {c} between 'A' and 'Z' then chr(65 + (ascii({c}) - 65 + {shift}) % 26) when {c} between '0' and '9' then chr(48 + (ascii({c}) - 48 + {shift}) % 10) else {c} end"
+        spin = f"case when {hexa} and {c} between '0' and '9' or {hexa} and {c} between 'a' and 'f' then substr('0123456789abcdef', 1 + (instr('0123456789abcdef', {c}) - 1 + {shift}) % 16, 1) when {c} between 'a' and 'z' then chr(97 + (ascii({c}) - 97 + {shift}) % 26) when {c} between 'A' and 'Z' then chr(65 + (ascii({c}) - 65 + {shift}) % 26) when {c} between '0' and '9' then chr(48 + (ascii({c}) - 48 + {shift}) % 10) else {c} end"
         return f"array_join(transform(if(length({x}) = 0, array(), sequence(1, length({x}))), i -> {spin}), '')"
 
-    start = f"named_struct('a', substr({local}, 1, length({local}) div 2), 'b', substr({local}, length({local}) div 2 + 1))"
+    start = f"named_struct('a', substr({text}, 1, length({text}) div 2), 'b', substr({text}, length({text}) div 2 + 1))"
     done = f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(r % 2 = 1, named_struct('a', {moved('s.a')}, 'b', s.b), named_struct('a', s.a, 'b', {moved('s.b')})))"
-    return _let("z", done, f"concat(z.a, z.b, {rest})")
+    return _let("z", done, "concat(z.a, z.b)")
+
+
+def _mail(m: str, key: str) -> str:
+    """SQL shifting what stands before the @."""
+    return _let("local", f"substring_index({m}, '@', 1)", f"concat({_shifted('local', 'mail', key)}, substr({m}, instr({m}, '@')))")
+
+
+def _secret(m: str, key: str) -> str:
+    """SQL shifting the value behind a name and its sign, or behind the four letters that mark a key."""
+    named = r"^(?i:[a-z_-]+[\"']? ?[:=] ?[\"']?)"
+    head = f"if({m} rlike '^(?:AKIA|ASIA|gh[pousr]_)', substr({m}, 1, 4), regexp_extract({m}, {_lit(named)}, 0))"
+    return _let("head", head, _let("v", f"substr({m}, length(head) + 1)", f"concat(head, {_shifted('v', 'secret', key, 'not v rlike ' + _lit('[^0-9a-f]'))})"))
+
+
+def _ip6(m: str, key: str) -> str:
+    """SQL permuting the 32 hexadecimal digits of an address; it is written in full, without leading zeros."""
+    gap = f"array_repeat('0', 8 - size(filter(split({m}, ':'), x -> x <> '')))"
+    parts = f"if({m} like '%::%', concat(split(substring_index({m}, '::', 1), ':'), {gap}, split(substring_index({m}, '::', -1), ':')), split({m}, ':'))"
+    digits = f"lower(array_join(transform({parts}, x -> lpad(x, 4, '0')), ''))"
+    return _let("d", digits, _let("w", _shifted("d", "ip6", key, "true"), "array_join(transform(sequence(1, 29, 4), i -> coalesce(nullif(ltrim('0', substr(w, i, 4)), ''), '0')), ':')"))
 
 
 def _date(m: str, key: str) -> str:
-    """SQL permuting the days from 1900 to 2099 (73,049 = 17 x 4,297 of them)."""
+    """SQL permuting the days from 1900 to 2099 (73,049 = 17 x 4,297 of them). With slashes the day
+    comes first; what is a date only with the month first goes on along its cycle to such a date."""
     form = f"case when {m} like '____-%' then 'yyyy-MM-dd' when {m} like '%/%' then 'dd/MM/yyyy' else 'dd.MM.yyyy' end"
     y = f"if({m} like '____-%', substr({m}, 1, 4), substr({m}, 7, 4))"
     mo = f"if({m} like '____-%', substr({m}, 6, 2), substr({m}, 4, 2))"
     d = f"if({m} like '____-%', substr({m}, 9, 2), substr({m}, 1, 2))"
     n = f"datediff(try_cast(concat_ws('-', {y}, {mo}, {d}) as date), date'1900-01-01')"
-    pair = _feistel("day div 4297", "day % 4297", "17", "4297", "'date'", key)
-    new = _let("z", pair, f"date_format(date_add(date'1900-01-01', cast(z.a * 4297 + z.b as int)), {form})")
-    return _let("day", n, f"if(day between 0 and 73048, {new}, {m})")
+    step = lambda day: _let("z", _feistel(f"{day} div 4297", f"{day} % 4297", "17", "4297", "'date'", key), "cast(z.a * 4297 + z.b as int)")
+    on = lambda day: f"date_add(date'1900-01-01', {day})"
+    new = f"date_format({on(step('day'))}, {form})"
+    back = f"datediff(try_cast(concat_ws('-', substr({m}, 7, 4), substr({m}, 1, 2), substr({m}, 4, 2)) as date), date'1900-01-01')"
+    # two of five days are up to the twelfth: 64 steps miss with a chance of 2**-85, and then the date stays
+    found = f"named_struct('day', t, 'done', dayofmonth({on('t')}) > 12)"
+    walk = f"aggregate(sequence(1, 64), named_struct('day', back, 'done', false), (u, k) -> if(u.done, u, {_let('t', step('u.day'), found)}))"
+    ended = _let("u", walk, f"if(u.done, date_format({on('u.day')}, 'MM/dd/yyyy'), {m})")
+    month_first = _let("back", back, f"if(back between 0 and 73048, {ended}, {m})")
+    return _let("day", n, f"case when day between 0 and 73048 then {new} when {m} like '%/%' and day is null then {month_first} else {m} end")
 
 
 def _pseudonym(m: str, key: str) -> str:
     """SQL for what takes the place of a match; a match that fails its validation stays."""
     octet = lambda i: f"cast(element_at(split({m}, '[.]'), {i}) as bigint)"
     ip = _let("z", _feistel(f"{octet(1)} * 256 + {octet(2)}", f"{octet(3)} * 256 + {octet(4)}", "65536", "65536", "'ip'", key), "concat_ws('.', z.a div 256, z.a % 256, z.b div 256, z.b % 256)")
-    phone_head = f"if(substr({m}, 1, 1) = '+', length(regexp_extract({m}, '^[+]([0-9]+)', 1)), 0)"
-    # a country code stays where a separator ends it; else the first digit does
-    phone_head = f"case when substr({m}, 1, 1) <> '+' then 0 when {m} rlike '^[+][0-9]{{1,3}}[ .(-]' then {phone_head} else 1 end"
-    phone = _let("head", phone_head, _let("all", _only(m), _refill(m, f"concat(substr(all, 1, head), {_digits('substr(all, head + 1)', _lit('phone'), key)})")))
-    card_new = _let("p", _digits(f"substr({_only(m)}, 1, length({_only(m)}) - 1)", _lit("card"), key), f"concat(p, (10 - {_luhn(chr(40) + 'concat(p, ' + _lit('0') + '))')} % 10) % 10)")
-    iban_body = _let("body", f"substr({m}, 5)", f"if(length({_only('body')}) > 1, {_refill('body', _digits(_only('body'), _lit('iban'), key))}, body)")
-    iban = _let("bban", iban_body, f"concat(substr({m}, 1, 2), lpad(cast(98 - {_mod97(f'concat(bban, substr({m}, 1, 2), {_lit(chr(48) * 2)})')} as string), 2, '0'), bban)")
+    # what the form demands stays: a calling code, a national prefix with its zero, an area code's first digit
+    phone_head = f"case when substr({m}, 1, 1) = '0' then 2 when substr({m}, 1, 1) <> '+' then 1 when all rlike {_lit(CODES)} then length(regexp_extract(all, {_lit(CODES)}, 0)) else 3 end"
+    phone = _let("all", _only(m), _let("head", phone_head, _refill(m, f"concat(substr(all, 1, head), {_digits('substr(all, head + 1)', _lit('phone'), key)})")))
+    card_new = _let("p", _digits(f"substr({_only(m)}, 1, length({_only(m)}) - 1)", _lit("card"), key), f"concat(p, (10 - {_luhn("(concat(p, '0'))")} % 10) % 10)")
+    iban_body = _let("body", "substr(c, 5)", f"if(length({_only('body')}) > 1, {_refill('body', _digits(_only('body'), _lit('iban'), key))}, body)")
+    iban_new = _let("bban", iban_body, f"concat(substr(c, 1, 2), lpad(cast(98 - {_mod97("concat(bban, substr(c, 1, 2), '00')")} as string), 2, '0'), bban)")
+    # of a number in groups the longest run of groups that is valid; a word in capitals may follow it
+    valid = f"length(c) between 15 and 34 and {_mod97('concat(substr(c, 5), substr(c, 1, 4))')} = 1"
+    runs = f"transform(reverse(sequence(1, size(split({m}, ' ')))), g -> substring_index({m}, ' ', g))"
+    good = f"get(filter({runs}, x -> {_let('c', "replace(x, ' ', '')", valid)}), 0)"
+    spaced = "array_join(transform(sequence(1, length(good)), i -> if(substr(good, i, 1) = ' ', ' ', substr(w, length(replace(substr(good, 1, i), ' ', '')), 1))), '')"
+    iban = _let("good", good, f"if(good is null, {m}, {_let('c', "replace(good, ' ', '')", _let('w', iban_new, f"concat({spaced}, substr({m}, length(good) + 1))"))})")
     area, group, serial = (f"cast(substr({m}, {i}, {n}) as bigint)" for i, n in ((1, 3), (5, 2), (8, 4)))
     ssn = _let("z", _feistel(f"{area} - if({area} > 666, 2, 1)", f"({group} - 1) * 9999 + {serial} - 1", "898", "989901", "'ssn'", key), "concat_ws('-', lpad(cast(z.a + if(z.a >= 665, 2, 1) as string), 3, '0'), lpad(cast(z.b div 9999 + 1 as string), 2, '0'), lpad(cast(z.b % 9999 + 1 as string), 4, '0'))")
     is_ = {k: f"{m} rlike {_lit('^(?:' + p + ')$')}" for k, p in PATTERNS.items()}
     return (
-        f"case when instr({m}, '@') > 0 then {_mail(m, key)} "
-        f"when {is_['iban']} then if({_mod97(f'concat(substr({m}, 5), substr({m}, 1, 4))')} = 1, {iban}, {m}) "
+        f"case when {is_['mail']} then {_mail(m, key)} "
+        f"when {is_['secret']} then {_secret(m, key)} "
+        f"when {is_['iban']} then {iban} "
+        f"when {is_['ip6']} then if(size(filter(split({m}, ':'), x -> x <> '')) >= 3, {_ip6(m, key)}, {m}) "
         f"when {is_['ip']} then if(forall(split({m}, '[.]'), o -> cast(o as int) < 256), {ip}, {m}) "
         f"when {is_['ssn']} then if({area} between 1 and 899 and {area} <> 666 and {group} > 0 and {serial} > 0, {ssn}, {m}) "
         f"when {is_['date']} then {_date(m, key)} "
@@ -126,26 +168,48 @@ def _pseudonym(m: str, key: str) -> str:
     )
 
 
-def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = "brigade-demo-key", count: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; ``count`` names a column for how many were.
 
-    Handled: mail addresses, account numbers (IBAN, mod 97), IPv4 addresses, telephone numbers, US
-    social security numbers, dates from 1900 to 2099, card numbers (Luhn). What fails its validation
-    is left alone, and so is every other byte of the text. Rows are neither shuffled nor dropped.
-    Null texts stay null (count 0), empty texts empty; all other columns pass unchanged, whatever
-    their names but the given ones. Repeated rows give repeated results.
+    ``key`` is the secret of the permutations: who has it can reverse them, and without it pseudonyms
+    of two runs don't match. It stands in the query's plan, so keep plans as closely as the key.
+
+    Handled: mail addresses, account numbers (IBAN, mod 97, solid or in groups), IPv4 and IPv6
+    addresses, telephone numbers (with a calling code, or in groups), US social security numbers,
+    dates from 1900 to 2099, card numbers (Luhn), and values named as a token, secret, password or
+    key. Equal values get equal pseudonyms however they are grouped; a number with its calling code
+    isn't linked to one without, nor a date with the month first to other forms. What fails its
+    validation is left alone, and so is every other byte of the text. Rows are neither shuffled nor
+    dropped. Null texts stay null (count 0), empty texts empty; all other columns pass unchanged,
+    whatever their names. Repeated rows give repeated results.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     every = "|".join(f"(?:{p})" for p in PATTERNS.values())
-    t = f"`{text}`"
+    t = _name(text)
     work = f"named_struct('m', regexp_extract_all({t}, {_lit(every)}, 0), 'gaps', split({t}, {_lit(every)}, -1))"
     new = f"transform(q.m, m -> {_pseudonym('m', key)})"
     joined = _let("n", new, "named_struct('text', concat(array_join(transform(n, (x, i) -> concat(q.gaps[i], x)), ''), element_at(q.gaps, -1)), 'n', size(array_except(array_distinct(transform(n, (x, i) -> if(x <> q.m[i], i, -1))), array(-1))))")
-    done = F.expr(f"if({t} rlike '[0-9@]', {_let('q', work, joined)}, named_struct('text', {t}, 'n', 0))")
-    names = docs.columns
-    out = docs.withColumn("__pii", done)
-    cols = [(F.col("__pii.text") if c == text else F.col(f"`{c}`")).alias(c) for c in names]
-    return out.select(*cols, *([F.coalesce(F.col("__pii.n"), F.lit(0)).cast("long").alias(count)] if count else []))
+    done = F.expr(f"if({t} rlike '[0-9@:=]', {_let('q', work, joined)}, named_struct('text', {t}, 'n', 0))")
+    own = "pii"
+    while own in {c.lower() for c in docs.columns}:  # a name that no column has
+        own += "_"
+    out = docs.withColumn(own, done)
+    cols = [F.col(f"{own}.text" if c == text else _name(c)).alias(c) for c in docs.columns]
+    return out.select(*cols, *([F.coalesce(F.col(f"{own}.n"), F.lit(0)).cast("long").alias(count)] if count else []))
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def secret(spark: SparkSession) -> str:
+    """The session's key, ``spark.brigade.pii.secret``; where none is set, one is drawn for this session,
+    whose pseudonyms can't be linked to those of another."""
+    if not spark.conf.get(SECRET, None):
+        spark.conf.set(SECRET, secrets.token_hex(32))
+    return spark.conf.get(SECRET)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), count="n_pseudonyms")
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key=secret(spark), count="n_pseudonyms")
