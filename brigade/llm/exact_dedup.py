@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .shared import documents, stash, tagged
+from .shared import documents, numbered, stash, tagged
 
 #: So many of the most frequent blocks are named apart, so that their copies never meet in one task;
 #: any other block has at most 1/HOT of all blocks' rows.
@@ -72,6 +72,21 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     return rows.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def drop_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", block_bytes: int = 4096) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which no other row has the same text: of
+    equal texts the row of the largest key stays, of several such the last one.
+
+    Rows go, not keys: other rows of a dropped row's key stay. A null key loses against any other;
+    null texts count as empty. An empty table gives an empty result.
+    """
+    rows, row = numbered(docs)
+    names = block_identities(rows, text=text, key=row, block_bytes=block_bytes).select(F.col("doc_id").alias(row), "level", "name")
+    keys = rows.select(row, F.col(f"`{key}`").alias("key"))
+    best = names.join(keys, row).groupBy("level", "name").agg(F.max(F.struct("key", row)).alias("best"))
+    stays = stash(best.select(F.col(f"best.{row}").alias(row)), "kept-rows")
+    return rows.join(stays, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 

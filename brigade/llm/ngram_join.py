@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import byte_batches, documents, stash, tagged
+from .shared import byte_batches, documents, numbered, stash, tagged
 from .words import mix, shingles, word_hashes
 
 #: So many of the most frequent shingles (by a count over one document in SHARE) come last in the order of shingles.
@@ -384,5 +384,20 @@ def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     return some.unionByName(none)
 
 
+def drop_near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of ``docs``, with all their columns, one of each component of linked texts: the one of
+    the smallest key, a null key after all others, and of several such the first row.
+
+    Rows go, not keys: other rows of a dropped row's key stay. Texts without words are linked to
+    nothing and all stay. An empty table gives an empty result.
+    """
+    rows, row = numbered(docs)
+    parts = ngram_components(rows, text=text, key=row, words=words, threshold=threshold).select(F.col("doc_id").alias(row), "component_id")
+    keys = rows.select(row, F.col(f"`{key}`").alias("key"))
+    best = parts.join(keys, row).groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", row)).alias("best"))
+    stays = stash(best.select(F.col(f"best.{row}").alias(row)), "kept-rows")
+    return rows.join(stays, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir), words=4, threshold=(85, 100))

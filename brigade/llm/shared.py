@@ -20,10 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which every executor sees.
 
-    Only where the cluster names no such folder (tests, local mode) is one made on this machine.
+    Only in local mode, where all run on this machine, is a folder made if none is named.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='brigade-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -37,6 +39,15 @@ def stash(df: DataFrame, name: str, by: str | None = None, codec: str = "snappy"
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder with a number for each row, and the number's column, whose
+    name no other column has. Decisions on rows can be taken by it where keys are null or repeated."""
+    name = "row"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return stash(df.withColumn(name, F.monotonically_increasing_id()), "numbered", codec="zstd"), name
+
+
 def tagged(df: DataFrame, text: str, key: str) -> DataFrame:
     """Only the key and the text; null texts become empty."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
