@@ -9,39 +9,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brigade.llm.exact_dedup import exact_duplicates
-from brigade.llm.ngram_join import ngram_components
+from brigade.llm.exact_dedup import drop_copies
+from brigade.llm.ngram_join import drop_near_copies
 from brigade.llm.packing import pack
-from brigade.llm.pii import pseudonymise
+from brigade.llm.pii import pseudonymise, secret
 from brigade.llm.quality import keep_good
 from brigade.llm.shared import documents, stash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null texts are scored as empty ones; texts without n-grams have the score of the bias, very long
+    texts are scored whole. Rows of null or repeated keys are scored one by one, repeated rows alike,
+    so all or none of them stay. Extra columns, whatever their names, pass unchanged. An empty table
+    gives an empty one; without labels every score is 0.5 and every document goes.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document of the largest id stays. The ids of those that go are a table of
-    their own; Spark broadcasts it only while it is below the session's threshold."""
-    gone = stash(exact_duplicates(docs).where("not kept").select("doc_id").distinct(), "exact-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of equal whole texts one row stays, that of the largest id.
+
+    Rows go, not ids: another text of a dropped row's id stays. Of rows equal in text and id the last
+    stays, a null id loses against any other. Null texts equal empty ones. Extra columns pass
+    unchanged. An empty table gives an empty one.
+    """
+    return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by five-word shingle similarities of 0.8 or more the smallest id stays."""
-    gone = stash(ngram_components(docs, words=5, threshold=(4, 5)).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of documents connected by five-word shingle similarities of 0.8 or more the row of the smallest
+    id stays.
+
+    Rows go, not ids; a null id comes after all others, and of rows of one id the first stays. Null
+    and empty texts, and those without words, are linked to nothing and stay; texts of fewer than
+    five words are one shingle. Extra columns pass unchanged. An empty table gives an empty one.
+    """
+    return drop_near_copies(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms of the same format."""
-    return pseudonymise(docs)
+    """Personal data become pseudonyms of the same format, under the session's key
+    (``spark.brigade.pii.secret``).
+
+    Null texts stay null and empty ones empty; texts of any length are read whole; repeated rows get
+    the same pseudonyms. Other columns, n_chars too, pass unchanged. An empty table gives an empty one.
+    """
+    return pseudonymise(docs, key=secret(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens.
+
+    Null and empty texts hold the end id alone. Long texts are cut; rows of null or repeated ids are
+    documents of their own. Extra columns are left out. An empty table gives an empty result.
+    """
     return pack(docs)
 
 
