@@ -20,7 +20,7 @@ def rx(pattern: str) -> str:
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rx("^{s}+|{s}+$"), "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse_ws(c: Column) -> Column:

@@ -26,13 +26,16 @@ def _marks() -> tuple[str, str]:
 
 
 def strip_diacritics(c: Column) -> Column:
+    """Letters without their marks; translate drops what has no counterpart, here marks of their own."""
     source, target = _marks()
-    return F.regexp_replace(F.translate(c, source, target), "[\\u0300-\\u036f]", "")
+    return F.translate(c, source + "".join(map(chr, range(0x300, 0x370))), target)
 
 
 def ascii_lower(c: Column) -> Column:
     """Marks off, ligatures written out, lower case; other letters stay."""
-    c = F.regexp_replace(F.regexp_replace(strip_diacritics(c), "[Œœ]", "oe"), "[Ææ]", "ae")
+    c = strip_diacritics(c)
+    for glyph, text in (("Œ", "oe"), ("œ", "oe"), ("Æ", "ae"), ("æ", "ae")):
+        c = F.replace(c, F.lit(glyph), F.lit(text))
     return F.lower(c)
 
 

@@ -12,25 +12,54 @@ from ..functions.text import ascii_lower, fold, keyword_regex, tokens_text
 
 def aisle(name: Column) -> Column:
     """The first rule's aisle that a name matches; null if none does."""
-    return let(tokens_text(name), lambda t: F.coalesce(*[F.when(t.rlike(keyword_regex(k)), F.lit(a)) for a, k in AISLE_RULES]))
+    return let(tokens_text(name), _aisle)
 
 
-def _any(names: Column, keywords: list[str]) -> Column:
-    return F.exists(names, lambda n: tokens_text(n).rlike(keyword_regex(keywords)))
+def _aisle(tokens: Column) -> Column:
+    return F.coalesce(*[F.when(tokens.rlike(keyword_regex(k)), F.lit(a)) for a, k in AISLE_RULES])
+
+
+def folded(names: Column) -> Column:
+    """All names of a recipe folded at once: a line of tokens for each."""
+    lines = F.array_join(F.transform(names, lambda n: F.translate(n, "\n", " ")), "\n")
+    return F.regexp_replace(ascii_lower(lines), "[^a-z0-9\n]+", " ")
+
+
+def _any(lines: Column, keywords: list[str]) -> Column:
+    """Whether a line of folded names has one of the keywords."""
+    return lines.rlike("(?m)" + keyword_regex(keywords))
+
+
+def aisles(ingredients: Column, lines: Column) -> Column:
+    """Ingredients with their aisles, from the folded names' lines."""
+    each = F.zip_with(ingredients, F.split(lines, "\n"), lambda i, t: i.withField("aisle", _aisle(t)))
+    return F.when(F.size(ingredients) > 0, each).otherwise(F.transform(ingredients, lambda i: i.withField("aisle", F.lit(None).cast("string"))))
 
 
 def allergens(names: Column) -> Column:
-    return F.filter(F.array(*[F.when(_any(names, k), F.lit(a)) for a, k in ALLERGEN_RULES]), lambda x: x.isNotNull())
+    return allergens_in(folded(names))
+
+
+def allergens_in(lines: Column) -> Column:
+    return let(lines, lambda t: F.filter(F.array(*[F.when(_any(t, k), F.lit(a)) for a, k in ALLERGEN_RULES]), lambda x: x.isNotNull()))
 
 
 def seasonal(names: Column) -> Column:
-    return _any(names, SEASONAL)
+    return seasonal_in(folded(names))
+
+
+def seasonal_in(lines: Column) -> Column:
+    return _any(lines, SEASONAL)
 
 
 def vegetarian(diets: Column, names: Column) -> Column:
     """A vegetarian or vegan diet says so; else no ingredient may be of meat or fish."""
+    return vegetarian_in(diets, folded(names))
+
+
+def vegetarian_in(diets: Column, lines: Column) -> Column:
     said = F.exists(F.coalesce(diets, F.array().cast("array<string>")), lambda d: ascii_lower(d).contains("vegetariandiet") | ascii_lower(d).contains("vegandiet"))
-    return said | ~_any(names, NOT_VEGETARIAN)
+    return said | ~_any(lines, NOT_VEGETARIAN)
 
 
 def batch_friendly(name: Column, description: Column, steps: Column) -> Column:

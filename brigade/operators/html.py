@@ -7,23 +7,33 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.jscompat import WS_CHARS, js_trim, rx, struct_type
 from ..functions.text import decode_entities, decode_text
-from ..functions.urls import normalize, resolve
+from ..functions.urls import host_of, normalize, resolve, url_parts
 from .steps import flatten, truthy
 
 _S = f"[{re.escape(WS_CHARS)}]"
 _NS = f"[^{re.escape(WS_CHARS)}>]"
 #: A script with a type; the last type= of its tag counts.
 _SCRIPT = re.compile(rf"<script\b[^>]*\btype{_S}*={_S}*(?:\"([^\"]*)\"|'([^']*)'|({_NS}+))[^>]*>(.*?)</script>", re.I | re.S | re.A)
+_LINK, _META = (re.compile(rf"<{t}(?![0-9A-Za-z_])[^>]*>", re.I | re.A) for t in ("link", "meta"))
+_ATTRS = {n: re.compile(rf"{n}{_S}*={_S}*(?:\"([^\"]*)\"|'([^']*)'|([^\"'>{re.escape(WS_CHARS)}]+))", re.I | re.A) for n in ("rel", "href", "property", "name", "content")}
 _TEXT_KEYS = ["name", "description", "totalTime", "prepTime", "cookTime", "recipeYield", "suitableForDiet", "url"]
 MAX_DEPTH = 2000
 
 
+def _attr(tag: str, name: str) -> str | None:
+    """html_attr for one tag."""
+    m = _ATTRS[name].search(tag)
+    return m and _trim(next((g for g in m.groups() if g is not None), "")) or None
+
+
 def _trim(s: str) -> str:
     return s.strip(WS_CHARS)
 
@@ -238,6 +248,8 @@ def _diets(v) -> list[str]:
 
 NODE = "name string, description string, total_time string, prep_time string, cook_time string, yield_text string, yield_error boolean, diets array<string>, lines array<string>, step_texts array<string>, main_entity string, node_url string"
 
+NODE_FIELDS = [f.split(" ")[0] for f in NODE.split(", ")]
+
 
 def typed(node: dict) -> dict:
     """What later stages read of a node, with JavaScript's notions of missing values."""
@@ -255,19 +267,78 @@ def typed(node: dict) -> dict:
     }
 
 
-def page_node(html: str | None) -> dict:
+def page_node(html: str | None, jsonld: bool = True, micro: bool = True) -> dict:
     """(node, error) of a page: its merged recipe, typed; an error instead of one that can't be read."""
     try:
-        node = merge_nodes(first_recipe(html or ""), microdata_node(html or ""))
+        node = merge_nodes(first_recipe(html or "") if jsonld else None, microdata_node(html or "") if micro else None)
         return {"node": typed(node) if node is not None else None, "error": None}
     except (ValueError, OverflowError, RecursionError) as e:
         return {"node": None, "error": f"Unreadable page: {e}"}
 
 
-@F.pandas_udf(T.StructType([T.StructField("node", struct_type(NODE)), T.StructField("error", T.StringType())]))
-def extract_node(html: pd.Series) -> pd.DataFrame:
-    rows = [page_node(h) for h in html]
-    return pd.DataFrame({"node": [r["node"] for r in rows], "error": [r["error"] for r in rows]})
+def _fields(more: str = "") -> T.StructType:
+    return T.StructType([T.StructField("node", struct_type(NODE)), T.StructField("error", T.StringType()), *(struct_type(more).fields if more else [])])
+
+
+def _rows(rows: list[dict], kind: T.StructType) -> pa.Array:
+    return pa.array(rows, to_arrow_type(kind))
+
+
+@F.arrow_udf(_fields())
+def extract_node(html: pa.Array) -> pa.Array:
+    """The merged recipe of each page."""
+    return _rows([page_node(h) for h in html.to_pylist()], _fields())
+
+
+@F.arrow_udf(_fields())
+def extract_jsonld(html: pa.Array) -> pa.Array:
+    """The JSON-LD recipe of each page alone."""
+    return _rows([page_node(h, micro=False) for h in html.to_pylist()], _fields())
+
+
+@F.arrow_udf(_fields())
+def extract_microdata(html: pa.Array) -> pa.Array:
+    """The microdata recipe of each page alone."""
+    return _rows([page_node(h, jsonld=False) for h in html.to_pylist()], _fields())
+
+
+def canonical_of(html: str) -> str | None:
+    """canonical_url for one page."""
+    low = html.lower()
+    found = None
+    if "canonical" in low:
+        found = next((u for t in _LINK.findall(html) if (_attr(t, "rel") or "").lower() == "canonical" and (u := _attr(t, "href"))), None)
+    if found is None and "og:url" in low:
+        found = next((u for t in _META.findall(html) if (_attr(t, "property") or _attr(t, "name") or "").lower() == "og:url" and (u := _attr(t, "content"))), None)
+    try:
+        return None if found is None else decode_text(found)
+    except (ValueError, OverflowError):
+        return None
+
+
+def source_of(url: str | None, canonical: str | None, node: dict | None) -> tuple[str | None, str | None, str | None]:
+    """(source URL, its host, error): the first of the page's own URLs that resolves against the one asked for, or that one."""
+    base, _, error = url_parts(url)
+    if base is None:
+        return None, None, error
+    node = node or {}
+    source = next((u for c in (canonical, node.get("main_entity"), node.get("node_url")) if c and (u := resolve(c, base))), base)
+    return source, host_of(source), None
+
+
+_PAGE = "canonical string, source_url string, host string, url_error string"
+
+
+@F.arrow_udf(_fields(_PAGE))
+def extract_page(html: pa.Array, url: pa.Array) -> pa.Array:
+    """All that needs Python of each page, in one pass: its merged recipe and its URLs."""
+    rows = []
+    for h, u in zip(html.to_pylist(), url.to_pylist()):
+        r = page_node(h)
+        c = canonical_of(h or "")
+        source, host, error = source_of(u, c, r["node"])
+        rows.append(r | {"canonical": c, "source_url": source, "host": host, "url_error": error})
+    return _rows(rows, _fields(_PAGE))
 
 
 @F.pandas_udf(T.StringType())

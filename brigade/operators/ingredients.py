@@ -10,23 +10,14 @@ from ..functions.rules import FRACTIONS, NUMBER_WORDS
 from ..functions.text import ascii_lower, capitalize_first
 
 _NUM = r"\d+(?:[.,]\d+)?"
-RANGE = rx(rf"(?iu)^({_NUM}){{s}}*(?:-|–|—|a|à){{s}}*({_NUM}){{e}}").replace("{{", "{")
-MIXED = rx(r"^(\d+){s}+(\d+)/(\d+){e}")
-FRACTION = rx(r"^(\d+)/(\d+){e}")
-DECIMAL = rx(rf"^({_NUM})") + rx("{e}")
-WORD = rx("(?iu)^(" + "|".join(NUMBER_WORDS) + "){e}")
-
-#: unit, factor, pattern, whether it is looked for in the folded text. Tried in this order.
-UNIT_RULES = [
-    ("kg", 1, "(?i)^(?:kg|kilogrammes?|kilos?){e}", False),
-    ("g", 1, "(?i)^(?:g|gr|grammes?){e}", False),
-    ("ml", 1, "(?i)^(?:ml|millilitres?){e}", False),
-    ("ml", 10, "(?i)^(?:cl|centilitres?){e}", False),
-    ("l", 1, "(?i)^(?:l|litres?){e}", False),
-    ("cs", 1, r"^(?:cs|c\.?{s}*a{s}*soupe|cuilleres?{s}*a{s}*soupe){e}", True),
-    ("cc", 1, r"^(?:cc|c\.?{s}*a{s}*cafe|cuilleres?{s}*a{s}*cafe){e}", True),
-    ("pincee", 1, "^pincees?{e}", True),
-]
+#: The forms of a quantity, the first that fits counts: a range, a mixed number, a fraction, a number, a word.
+QUANTITY = rx("(?iu)^(?:" + "|".join([_NUM + "{s}*(?:-|–|—|a|à){s}*" + _NUM + "{e}", r"\d+{s}+\d+/0*[1-9]\d*{e}", r"\d+/0*[1-9]\d*{e}", _NUM + "{e}", "(?:" + "|".join(NUMBER_WORDS) + "){e}"]) + ")")
+
+#: Measures, told apart by their first letter: unit and factor.
+MEASURE = rx("(?i)^(?:kg|kilogrammes?|kilos?|g|gr|grammes?|ml|millilitres?|cl|centilitres?|l|litres?){e}")
+MEASURES = {"k": ("kg", 1), "g": ("g", 1), "m": ("ml", 1), "c": ("ml", 10), "l": ("l", 1)}
+#: Spoons and pinches, looked for in the folded text.
+SPOON = rx(r"^(?:cs|c\.?{s}*a{s}*soupe|cuilleres?{s}*a{s}*soupe|cc|c\.?{s}*a{s}*cafe|cuilleres?{s}*a{s}*cafe|pincees?){e}")
 
 
 def ing_fractions(c: Column) -> Column:
@@ -35,46 +26,43 @@ def ing_fractions(c: Column) -> Column:
     return c
 
 
-def _part(s: Column, pattern: str, i: int) -> Column:
-    return number(F.replace(F.regexp_extract(s, pattern, i), F.lit(","), F.lit(".")))
-
-
-def _found(s: Column, pattern: str, value: Column, *conditions: Column) -> Column:
-    whole = F.regexp_extract(s, pattern, 0)
-    ok = whole != ""
-    for c in conditions:
-        ok = ok & c
-    return F.when(ok, F.struct(value.cast("double").alias("q"), F.length(whole).alias("n")))
+def _value(w: Column) -> Column:
+    """The number that a quantity's text stands for."""
+    plain = lambda c: number(F.replace(c, F.lit(","), F.lit(".")))
+    first, last = F.regexp_extract(w, "^" + _NUM, 0), F.regexp_extract(w, _NUM + "$", 0)
+    left = F.substring_index(w, "/", 1)
+    part = F.try_divide(number(F.regexp_extract(left, r"\d+$", 0)), number(F.substring_index(w, "/", -1)))
+    mixed = F.when(left.rlike("[^0-9]"), number(F.regexp_extract(left, r"^\d+", 0)) + part).otherwise(part)
+    words = F.create_map(*[F.lit(x) for w_, v in NUMBER_WORDS.items() for x in (w_, float(v))])
+    ranged = F.when(w.rlike("[-–—aAàÀ]"), (plain(first) + plain(last)) / 2).otherwise(plain(w))
+    return F.when(w.rlike("^[0-9]"), F.when(w.contains("/"), mixed).otherwise(ranged)).otherwise(F.try_element_at(words, F.lower(w)))
 
 
 def ing_quantity(s: Column) -> Column:
     """struct(q, n): the leading quantity and its length; null if there's none. The first rule counts."""
-    word = F.lower(F.regexp_extract(s, WORD, 1))
-    value = F.coalesce(*[F.when(word == w, F.lit(v)) for w, v in NUMBER_WORDS.items()])
-    return F.coalesce(
-        _found(s, RANGE, (_part(s, RANGE, 1) + _part(s, RANGE, 2)) / 2),
-        _found(s, MIXED, _part(s, MIXED, 1) + F.try_divide(_part(s, MIXED, 2), _part(s, MIXED, 3)), _part(s, MIXED, 3) > 0),
-        _found(s, FRACTION, F.try_divide(_part(s, FRACTION, 1), _part(s, FRACTION, 2)), _part(s, FRACTION, 2) > 0),
-        _found(s, DECIMAL, _part(s, DECIMAL, 1)),
-        _found(s, WORD, value, value.isNotNull()),
-    )
+    return let(F.regexp_extract(s, QUANTITY, 0), lambda w: F.when(w != "", F.struct(_value(w).cast("double").alias("q"), F.length(w).alias("n"))))
 
 
 def ing_unit(s: Column) -> Column:
     """struct(unit, factor, n): the leading unit; null if there's none. Spoons and pinches are looked
     for in the folded text, and its length is taken off the text as it stands."""
-    rules = []
-    folded = ascii_lower(s)
-    for unit, factor, pattern, fold in UNIT_RULES:
-        whole = F.regexp_extract(folded if fold else s, rx(pattern), 0)
-        rules.append(F.when(whole != "", F.struct(F.lit(unit).alias("unit"), F.lit(factor).alias("factor"), F.length(whole).alias("n"))))
-    return F.coalesce(*rules)
+    found = lambda unit, factor, w: F.struct(unit.alias("unit"), factor.alias("factor"), F.length(w).alias("n"))
+
+    def measure(w: Column) -> Column:
+        letter = F.lower(F.substring(w, 1, 1))
+        unit, factor = (F.coalesce(*[F.when(letter == k, F.lit(v[i])) for k, v in MEASURES.items()]) for i in (0, 1))
+        return F.when(w != "", found(unit, factor, w)).when(s.rlike(r"^[cCpP\x{80}-\x{10FFFF}]"), let(F.regexp_extract(ascii_lower(s), SPOON, 0), spoon))
+
+    def spoon(w: Column) -> Column:
+        unit = F.when(w.startswith("p"), "pincee").when((w == "cs") | w.endswith("soupe"), "cs").otherwise("cc")
+        return F.when(w != "", found(unit, F.lit(1), w))
+
+    return let(F.regexp_extract(s, MEASURE, 0), measure)
 
 
 def ing_connectors(c: Column) -> Column:
-    for p in ("(?i)^de{s}+", "(?i)^du{s}+", "(?i)^des{s}+", "(?i)^d['’]{s}*"):
-        c = F.regexp_replace(c, rx(p), "")
-    return js_trim(c)
+    """Leading de, du, des and d' taken off, each once and in this order."""
+    return js_trim(F.regexp_replace(c, rx("(?i)^(?:de{s}+)?(?:du{s}+)?(?:des{s}+)?(?:d['’]{s}*)?"), ""))
 
 
 def ing_container(c: Column) -> Column:
@@ -82,7 +70,8 @@ def ing_container(c: Column) -> Column:
 
 
 def ing_paren(c: Column) -> Column:
-    return js_trim(F.regexp_replace(c, rx(r"(?i)\({s}*[\d.,]+{s}*(?:g|gr|kg|ml|cl|l){s}*\)"), " "))
+    bare = F.regexp_replace(c, rx(r"(?i)\({s}*[\d.,]+{s}*(?:g|gr|kg|ml|cl|l){s}*\)"), " ")
+    return js_trim(F.when(c.contains("("), bare).otherwise(c))
 
 
 def ing_clean(c: Column) -> Column:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jscompat import js_trim
+from ..functions.jscompat import js_trim, let
 from ..functions.rules import AISLES, ALLERGENS, UNITS
-from ..functions.urls import normalize_url
 from . import classify
-from .html import canonical_url, extract_node, html_title, pick_source_url
+from .html import NODE_FIELDS, extract_page, html_title
 from .ingredients import parse_ingredient
 from .sites import source_meta
 from .steps import steps_normalize
@@ -30,13 +29,14 @@ def violations(r: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in checks]), lambda x: x.isNotNull())
 
 
-def normalize_nodes(pages: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
+def normalize_nodes(pages: DataFrame, *, keep: list[str] | None = None, only_errors: bool = False) -> DataFrame:
     """Rows of the recipe's fields and ``error`` from (url, html, and optionally overrides name,
-    license and attribution of the source, and an error of fetching).
+    license and attribution of the source, the URL that answered as resolved_url, and an error of fetching).
 
     The error is the first that applies: fetching, no recipe, bad URL, no name, under two
     ingredients, under two steps, a yield without text, the schema. Arrays stay arrays throughout,
-    so nothing is shuffled, and each page goes to Python once.
+    so nothing is shuffled, and each page goes to Python once. ``only_errors`` leaves out the fields
+    that no error depends on, and gives (keep, error).
     """
     have = pages.columns
     own = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
@@ -44,31 +44,41 @@ def normalize_nodes(pages: DataFrame, *, keep: list[str] | None = None) -> DataF
     # exploding an array of one keeps filters on the result from being moved below, which would
     # evaluate the Python function and all that is built on it once more
     once = lambda c: F.explode(F.array(c))
-    p = pages.withColumn("x", once(extract_node(F.col("html")))).withColumns({"n": F.col("x.node"), "page_title": html_title(F.col("html")), "canonical": canonical_url(F.col("html"))})
-    p = p.withColumn("source_url", pick_source_url(F.col("url"), F.col("canonical"), F.col("n.main_entity"), F.col("n.node_url")))
-    p = p.withColumn("host", normalize_url(F.col("source_url"))["host"]).withColumn("meta", source_meta(F.col("host")))
+    asked = F.coalesce(own("resolved_url"), F.col("url"))
+    p = pages.withColumn("x", once(extract_page(F.col("html"), asked))).withColumn("page_title", html_title(F.col("html")))
+    flat = {f"n_{f}": F.col(f"x.node.{f}") for f in NODE_FIELDS} | {"no_node": F.col("x.node").isNull(), "page_error": F.col("x.error"), "url_error": F.col("x.url_error"), "source_url": F.col("x.source_url"), "meta": source_meta(F.col("x.host"))}
+    p = p.withColumns(flat).drop("x", "html")
     texts = {
-        "name": js_trim(F.coalesce(F.col("n.name"), F.col("page_title"), F.lit(""))), "description": js_trim(F.coalesce(F.col("n.description"), F.lit(""))),
-        "ingredients": F.filter(F.transform("n.lines", parse_ingredient), lambda i: i.isNotNull()), "steps": steps_normalize(F.col("n.step_texts")),
+        "name": js_trim(F.coalesce(F.col("n_name"), F.col("page_title"), F.lit(""))), "description": js_trim(F.coalesce(F.col("n_description"), F.lit(""))),
+        "ingredients": F.filter(F.transform("n_lines", parse_ingredient), lambda i: i.isNotNull()), "steps": steps_normalize(F.col("n_step_texts")),
     }
     p = p.withColumn("r", once(F.struct(*[c.alias(k) for k, c in texts.items()]))).withColumns({k: F.col(f"r.{k}") for k in texts})
-    p = p.withColumn("ingredients", once(F.transform("ingredients", lambda i: i.withField("aisle", classify.aisle(i["name"])))))
-    names = F.transform("ingredients", lambda i: i["name"])
-    p = p.withColumns({
-        "vegetarian": classify.vegetarian(F.col("n.diets"), names), "max_prep_time": classify.clamp_int(classify.total_minutes(F.col("n.total_time"), F.col("n.prep_time"), F.col("n.cook_time")), 5, 300),
-        "is_seasonal": classify.seasonal(names), "batch_friendly": classify.batch_friendly(F.col("name"), F.col("description"), F.transform("steps", lambda s: s["description"])),
-        "base_servings": classify.clamp_int(classify.servings(F.col("n.yield_text")), 1, 20), "allergens": classify.allergens(names),
-        "source_name": F.coalesce(own("source_name_override"), F.col("meta.source_name")), "source_license": F.coalesce(own("source_license_override"), F.col("meta.source_license")), "source_attribution": F.coalesce(own("source_attribution_override"), F.col("meta.source_attribution")),
-    })
-    broken = violations({c: F.col(c) for c in FIELDS})
+    none = F.lit(None).cast("string")
+    if only_errors:
+        # classes of names and clamped numbers are within the schema whatever they are
+        p = p.withColumns({"ingredients": F.transform("ingredients", lambda i: i.withField("aisle", none)), "allergens": F.array().cast("array<string>"), "max_prep_time": F.lit(5), "base_servings": F.lit(1)})
+    else:
+        p = p.withColumn("lines", once(classify.folded(F.transform("ingredients", lambda i: i["name"]))))
+        p = p.withColumn("ingredients", classify.aisles(F.col("ingredients"), F.col("lines")))
+        p = p.withColumns({
+            "vegetarian": classify.vegetarian_in(F.col("n_diets"), F.col("lines")), "max_prep_time": classify.clamp_int(classify.total_minutes(F.col("n_total_time"), F.col("n_prep_time"), F.col("n_cook_time")), 5, 300),
+            "is_seasonal": classify.seasonal_in(F.col("lines")), "batch_friendly": classify.batch_friendly(F.col("name"), F.col("description"), F.transform("steps", lambda s: s["description"])),
+            "base_servings": classify.clamp_int(classify.servings(F.col("n_yield_text")), 1, 20), "allergens": classify.allergens_in(F.col("lines")),
+        })
+    p = p.withColumns({f"source_{k}": F.coalesce(own(f"source_{k}_override"), F.col(f"meta.source_{k}")) for k in ("name", "license", "attribution")})
+    if not only_errors:  # arrays of whole ingredients are computed once, and then checked
+        p = p.withColumn("ingredients", once(F.col("ingredients")))
+    broken = violations({c: F.col(c) for c in FIELDS if c in p.columns})
     error = (
-        F.when(own("fetch_error").isNotNull(), own("fetch_error")).when(F.col("x.error").isNotNull(), F.col("x.error")).when(F.col("n").isNull(), F.lit("No recipe data found"))
-        .when(F.col("source_url").isNull(), normalize_url(F.col("url"))["error"]).when(F.col("name") == "", F.lit("Unable to derive recipe name"))
+        F.when(own("fetch_error").isNotNull(), own("fetch_error")).when(F.col("page_error").isNotNull(), F.col("page_error")).when(F.col("no_node"), F.lit("No recipe data found"))
+        .when(F.col("source_url").isNull(), F.col("url_error")).when(F.col("name") == "", F.lit("Unable to derive recipe name"))
         .when(F.size("ingredients") < 2, F.lit("Not enough ingredients extracted")).when(F.size("steps") < 2, F.lit("Not enough steps extracted"))
-        .when(F.col("n.yield_error"), F.lit("Yield has no text")).when(F.size(broken) > 0, F.concat(F.lit("Invalid: "), F.array_join(broken, ", ")))
+        .when(F.col("n_yield_error"), F.lit("Yield has no text"))
     )
-    done = p.select(*keep, once(F.struct(*FIELDS, error.alias("error"))).alias("done"))
-    return done.select(*keep, *[F.col(f"done.{c}").alias(c) for c in (*FIELDS, "error")])
+    error = F.coalesce(error, let(broken, lambda b: F.when(F.size(b) > 0, F.concat(F.lit("Invalid: "), F.array_join(b, ", ")))))
+    fields = [] if only_errors else FIELDS
+    done = p.select(*keep, once(F.struct(*fields, error.alias("error"))).alias("done"))
+    return done.select(*keep, *[F.col(f"done.{c}").alias(c) for c in (*fields, "error")])
 
 
 def valid(recipes: DataFrame) -> DataFrame:

@@ -132,13 +132,8 @@ def ing_quantity(spark, sf_dir):
     s = ingredients.ing_fractions(F.regexp_replace("line", "^- ", ""))
     return syn.lines(spark, sf_dir).select("recipe_id", "pos", ingredients.ing_quantity(s)["q"].alias("q"))
 
-@query(f"SELECT recipe_id, pos, unit, CAST(CASE WHEN t = 2 THEN 10 ELSE 1 END AS INT) AS factor FROM ({syn.LINES}) WHERE t < 8")
-def ing_unit(spark, sf_dir):
-    u = ingredients.ing_unit(F.regexp_replace("line", "^[0-9]+ ", ""))
-    return syn.lines(spark, sf_dir).where("t < 8").select("recipe_id", "pos", u["unit"].alias("unit"), u["factor"].alias("factor"))
-
 @query(f"SELECT recipe_id, pos, nullif(unit, 'unit') AS unit, CAST(CASE WHEN t = 2 THEN 10 WHEN unit <> 'unit' THEN 1 END AS INT) AS factor FROM ({syn.LINES})")
-def ing_unit_all(spark, sf_dir):
+def ing_unit(spark, sf_dir):
     """Every line, behind its quantity of any form; null where no unit is given."""
     x = syn.lines(spark, sf_dir).withColumn("s", ingredients.ing_fractions(F.regexp_replace("line", "^- ", "")))
     x = x.withColumn("n", F.coalesce(ingredients.ing_quantity(F.col("s"))["n"], F.lit(0)))
@@ -163,16 +158,11 @@ def ing_pinch(spark, sf_dir):
 
 # steps
 
-@query("SELECT conv_id, turn, CAST(CASE WHEN len(s) >= 2 THEN len(s) WHEN trim(text) = '' THEN 0 ELSE 1 END AS BIGINT) AS n FROM (SELECT conv_id, turn, text, list_filter(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.;](?:\\s+|$)'), lambda x: trim(x) <> '') AS s FROM conversations WHERE NOT contains(text, chr(10)))")
-def steps_split(spark, sf_dir):
-    c = _table(spark, sf_dir, "conversations").where(~F.col("text").contains("\n"))
-    return c.select("conv_id", "turn", F.size(steps.steps_split(F.col("text"))).cast("long").alias("n"))
-
 @query(r"""SELECT conv_id, turn, CAST(CASE WHEN one = '' THEN 0 WHEN len(l) >= 2 THEN len(l) WHEN len(s) >= 2 THEN len(s) ELSE 1 END AS BIGINT) AS n FROM (
 SELECT conv_id, turn, one, list_filter(string_split_regex(text, '[\r\n]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '') AS l, list_filter(string_split_regex(one, '[.;](?:\s+|$)'), lambda x: trim(x) <> '') AS s
 FROM (SELECT conv_id, turn, coalesce(text, '') AS text, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS one FROM conversations))""")
-def steps_split_all(spark, sf_dir):
-    """Every turn, those of several lines too; steps_split has its SQL's turns only."""
+def steps_split(spark, sf_dir):
+    """Every turn, those of several lines too."""
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(steps.steps_split(F.col("text"))).cast("long").alias("n"))
 
 @query("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 60 * (o_custkey % 9) + 5 WHEN 1 THEN nullif(60 * (o_custkey % 9), 0) WHEN 2 THEN nullif(o_custkey % 9, 0) END AS DOUBLE) AS minutes FROM orders")
@@ -246,28 +236,35 @@ def duration_ms(spark, sf_dir):
 
 # pages
 
-def _nodes(spark, sf_dir):
-    return syn.recipe_pages(spark, sf_dir).withColumn("x", F.explode(F.array(html.extract_node(F.col("html")))))
+def _nodes(spark, sf_dir, extract=html.extract_node):
+    return syn.recipe_pages(spark, sf_dir).withColumn("x", F.explode(F.array(extract(F.col("html")))))
 
 _LINE_LIST = f"SELECT recipe_id, md5(string_agg(line, '|' ORDER BY pos)) AS digest, count(*) AS n FROM ({syn.LINES}) GROUP BY recipe_id"
 
 def _node_columns(p):
-    return p.select("page_id", F.col("x.node.name").alias("name"), F.col("x.node.total_time").alias("total_time"), F.col("x.node.yield_text").alias("yield_text"), F.when(F.size("x.node.lines") > 0, F.md5(F.array_join("x.node.lines", "|"))).alias("digest"), F.size("x.node.step_texts").cast("long").alias("n_steps"))
+    steps_ = F.when(F.col("x.node").isNotNull(), F.size("x.node.step_texts").cast("long"))
+    return p.select("page_id", F.col("x.node.name").alias("name"), F.col("x.node.total_time").alias("total_time"), F.col("x.node.yield_text").alias("yield_text"), F.when(F.size("x.node.lines") > 0, F.md5(F.array_join("x.node.lines", "|"))).alias("digest"), steps_.alias("n_steps"))
 
-def _node_sql(where: str) -> str:
-    return f"SELECT id AS page_id, name, total_time, yield_text, digest, CAST(CASE way WHEN 1 THEN 2 ELSE 3 END AS BIGINT) AS n_steps FROM ({syn.RECIPES}) r LEFT JOIN ({_LINE_LIST}) l ON id = recipe_id WHERE {where}"
+def _node_sql(found: str, bare: str = "false", n_steps: str = "CASE way WHEN 1 THEN 2 ELSE 3 END") -> str:
+    """Every page; nulls where the form isn't ``found``, neither name nor lines where a node is ``bare``."""
+    of = lambda c: f"CASE WHEN {found} THEN {c} END"
+    steps_ = of(f"CAST({n_steps} AS BIGINT)")
+    return f"SELECT id AS page_id, {of(f"CASE WHEN {bare} THEN '' ELSE name END")} AS name, {of('total_time')} AS total_time, {of('yield_text')} AS yield_text, {of(f'CASE WHEN NOT ({bare}) THEN digest END')} AS digest, {steps_} AS n_steps FROM ({syn.RECIPES}) r LEFT JOIN ({_LINE_LIST}) l ON id = recipe_id"
 
-@query(_node_sql("layout < 3"))
+@query(_node_sql("layout IN (0, 1, 2, 4)", "layout = 4"))
 def jsonld_first_recipe(spark, sf_dir):
-    return _node_columns(_nodes(spark, sf_dir).where("layout < 3"))
+    """JSON-LD alone, of every page; that of the fifth layout has neither name nor lines."""
+    return _node_columns(_nodes(spark, sf_dir, html.extract_jsonld))
 
-@query(_node_sql("layout = 3"))
+@query(_node_sql("layout IN (3, 4)", n_steps="3"))
 def microdata_node(spark, sf_dir):
-    return _node_columns(_nodes(spark, sf_dir).where("layout = 3"))
+    """Microdata alone, of every page; the number before a list item's text counts as a sentence there."""
+    return _node_columns(_nodes(spark, sf_dir, html.extract_microdata))
 
-@query(_node_sql("layout = 4"))
+@query(_node_sql("layout < 5"))
 def merge_nodes(spark, sf_dir):
-    return _node_columns(_nodes(spark, sf_dir).where("layout = 4"))
+    """Both forms of every page, merged."""
+    return _node_columns(_nodes(spark, sf_dir))
 
 @query(f"SELECT id AS page_id, CASE WHEN canonical THEN source_url END AS canonical FROM ({syn.RECIPES})")
 def canonical_url(spark, sf_dir):
@@ -290,7 +287,7 @@ def normalize_recipe(spark, sf_dir):
 
 @query(f"SELECT id AS page_id, error FROM ({_RECIPE}) WHERE error IS NOT NULL")
 def recipe_errors(spark, sf_dir):
-    return recipe.errors(recipe.normalize_nodes(syn.recipe_pages(spark, sf_dir))).select("page_id", "error")
+    return recipe.errors(recipe.normalize_nodes(syn.recipe_pages(spark, sf_dir), only_errors=True)).select("page_id", "error")
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'max_prep_time' WHEN 2 THEN 'name,ingredients' ELSE 'allergens,source_url' END AS violations FROM orders")
 def validate_schema(spark, sf_dir):
@@ -307,15 +304,17 @@ def validate_schema(spark, sf_dir):
 
 _DEDUP = f"SELECT * FROM ({syn.hits_sql(False)}) WHERE own QUALIFY row_number() OVER (PARTITION BY query_id, site_rank, url ORDER BY pos) = 1"
 
-@query(f"SELECT query_id, site_rank, url, name FROM ({_DEDUP}) WHERE site_rank IN (0, 2)")
+@query(f"SELECT query_id, site_rank, false AS from_engine, url, name FROM ({_DEDUP}) WHERE site_rank <> 1")
 def itemlist_extract(spark, sf_dir):
-    p = syn.search_pages(spark, sf_dir).where("not engine and site_rank < 3")
-    return search.page_hits(p, ["query_id", "site_rank"]).select("query_id", "site_rank", "url", "name")
+    """Item lists of every page, the engine's too, which have none."""
+    p = syn.search_pages(spark, sf_dir).withColumns({"from_engine": F.col("engine"), "engine": F.lit(False)})
+    return search.page_hits(p, ["query_id", "site_rank", "from_engine"]).select("query_id", "site_rank", "from_engine", "url", "name")
 
-@query(f"SELECT query_id, site_rank, url, name FROM ({_DEDUP}) WHERE site_rank > 2")
+@query(f"SELECT query_id, site_rank, true AS from_engine, url, name FROM ({_DEDUP})")
 def anchor_results(spark, sf_dir):
-    p = syn.search_pages(spark, sf_dir).where("engine and site_rank > 2")
-    return search.page_hits(p, ["query_id", "site_rank"]).select("query_id", "site_rank", "url", "name")
+    """Result links of every page, the sites' own too, which have none."""
+    p = syn.search_pages(spark, sf_dir).withColumns({"from_engine": F.col("engine"), "engine": F.lit(True)})
+    return search.page_hits(p, ["query_id", "site_rank", "from_engine"]).select("query_id", "site_rank", "from_engine", "url", "name")
 
 _ANCHORS = "SELECT page_id, unnest(range(len(a))) AS pos, unnest(a) AS a, unnest(t) AS t FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b([^>]*)>(.*?)</a>', 1) AS a, regexp_extract_all(html, '(?is)<a\\b([^>]*)>(.*?)</a>', 2) AS t FROM pages)"
 _HREFS = f"SELECT page_id, CAST(pos AS INT) AS pos, regexp_extract(a, '(?i)\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1) AS href, trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM ({_ANCHORS})"
@@ -379,17 +378,10 @@ def fetch_errors(spark, sf_dir):
     elapsed = F.when(F.col("seq") % 11 == 0, 30_001).otherwise(30_000)
     return _responses(spark, sf_dir).select("seq", cache.fetch_errors(F.col("status"), elapsed, 30_000).alias("error"))
 
-@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) AS i FROM (SELECT seq, seq % 97 AS host, fetched_at_ms AS arrival_ms, 1500 + seq % 500 AS gap FROM ({_RESPONSES}) WHERE seq < 3000)),
-s AS (SELECT host, i, seq, arrival_ms AS start_ms, gap FROM r WHERE i = 1 UNION ALL SELECT r.host, r.i, r.seq, greatest(r.arrival_ms, s.start_ms + s.gap), r.gap FROM s JOIN r ON r.host = s.host AND r.i = s.i + 1) SELECT seq, CAST(start_ms AS BIGINT) AS start_ms FROM s""")
-def rate_schedule(spark, sf_dir):
-    """The oracle goes request by request, so it looks at the first 3000 events; so does this."""
-    r = _responses(spark, sf_dir).select("seq", (F.col("seq") % 97).alias("host"), F.col("fetched_at_ms").alias("arrival_ms"))
-    return cache.rate_schedule(r, delay_ms=1500, jitter=F.col("seq") % 500).where("seq < 3000").select("seq", "start_ms")
-
 @query(f"""WITH r AS (SELECT seq, seq % 97 AS host, fetched_at_ms AS arrival_ms, 1500 + seq % 500 AS gap FROM ({_RESPONSES})),
 d AS (SELECT seq, host, arrival_ms, coalesce(sum(gap) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM r)
 SELECT seq, CAST(d + max(arrival_ms - d) OVER (PARTITION BY host ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS start_ms FROM d""")
-def rate_schedule_all(spark, sf_dir):
+def rate_schedule(spark, sf_dir):
     """Every event; its SQL has the operator's windows, so a test goes request by request."""
     r = _responses(spark, sf_dir).select("seq", (F.col("seq") % 97).alias("host"), F.col("fetched_at_ms").alias("arrival_ms"))
     return cache.rate_schedule(r, delay_ms=1500, jitter=F.col("seq") % 500).select("seq", "start_ms")

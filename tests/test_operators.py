@@ -101,7 +101,7 @@ def test_rate_schedule(spark):
 def test_recipe_plan_has_no_shuffle_and_one_pass(spark):
     pages = spark.createDataFrame([(1, "https://a.b/", "<title>t</title>")], "page_id long, url string, html string")
     plan = normalize_nodes(pages)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and plan.count("extract_node(") >= 1
+    assert "Exchange" not in plan and plan.count("extract_page(") == plan.count("ArrowEvalPython") == 1
     assert normalize_nodes(pages).first()["error"] == "No recipe data found"
 
 
