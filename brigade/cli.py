@@ -1,15 +1,19 @@
 """Command line: ``extract`` pages to recipes and ``search`` sites, over stored responses.
 
-Spark jobs fetch nothing: ``--responses`` names a Parquet table (url, status, html) of fetched pages.
+Spark jobs fetch nothing: ``--responses`` names a Parquet table of fetched pages (url, status, html;
+and, where known, status_text, resolved_url, headers, elapsed_ms, user_agent, accept_language), and
+``--plan`` a place for a table of the requests to send, when each may start, and their headers.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+import time
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.jscompat import WS_CHARS
@@ -20,7 +24,7 @@ from .operators import cache, recipe, search, sinks, sites
 HELP = """Usage: brigade extract <urls...> [options]
        brigade search <words...> [options] [--sites a,b] [--max-results N] [--max-results-per-site N]
 
-Options: --responses PATH --format json|jsonl --no-cache --cache-path PATH --cache-ttl DURATION
+Options: --responses PATH --plan PATH --format json|jsonl --no-cache --cache-path PATH --cache-ttl DURATION
          --timeout DURATION --rate DURATION --user-agent TEXT --accept-language TEXT
 Durations: 1500, 250ms, 2s, 1.5s, 2m, 1h, 1d
 """
@@ -42,9 +46,10 @@ class Options:
     cache_ttl: int = 7 * DAY
     timeout: int = 30_000
     rate: int = 1500
-    user_agent: str = ""
+    user_agent: str = "brigade/1.0"
     accept_language: str = "fr-FR,fr;q=0.9,en;q=0.8"
     responses: str = "responses.parquet"
+    plan: str = ""
     sites: list[str] = field(default_factory=lambda: [s[0] for s in SITES])
     max_results: int = 10
     max_results_per_site: int = 5
@@ -72,7 +77,7 @@ def parse_args(args: list[str]) -> Options:
         raise UsageError(f"Unknown command: {command}")
     o = Options(command, cache_ttl=DAY if command == "search" else 7 * DAY)
     rest = list(args[1:])
-    texts = {"--cache-path": "cache_path", "--user-agent": "user_agent", "--accept-language": "accept_language", "--responses": "responses"}
+    texts = {"--cache-path": "cache_path", "--user-agent": "user_agent", "--accept-language": "accept_language", "--responses": "responses", "--plan": "plan"}
     while rest:
         a = rest.pop(0)
         value = rest[0] if rest else None
@@ -115,49 +120,59 @@ def parse_args(args: list[str]) -> Options:
     return o
 
 
-def _responses(spark: SparkSession, o: Options):
-    r = spark.read.parquet(o.responses)
-    return r.withColumn("fetch_error", cache.fetch_errors(F.col("status"), F.lit(0), o.timeout))
+def _fetch(spark: SparkSession, o: Options, now: int):
+    """(a function from requests to pages, the pages that it gave)."""
+    responses = spark.read.parquet(o.responses)
+    cache_ = cache.open_store(spark, o.cache_path) if o.cache else None
+    given = []
 
+    def fetch(requests):
+        pages = cache.fetch_pages(requests, responses, cache_, now_ms=now, ttl_ms=o.cache_ttl, timeout_ms=o.timeout, rate_ms=o.rate, user_agent=o.user_agent, accept_language=o.accept_language)
+        given.append(pages)
+        return pages
 
-def extract(spark: SparkSession, o: Options):
-    """(recipes in the order of the URLs, errors)."""
+    return fetch, given
+
+
+def _remember(o: Options, given: list) -> None:
+    """Put what was fetched into the cache; write the requests and when they start where asked to."""
+    if o.plan:
+        sent = [p.where("start_ms is not null").select("url", "start_ms", cache.request_headers(o.user_agent, o.accept_language).alias("headers")) for p in given]
+        reduce(DataFrame.unionByName, sent).write.mode("overwrite").parquet(o.plan)
+    if o.cache:
+        cache.upsert_store(reduce(DataFrame.unionByName, [cache.store_writes(p) for p in given]), o.cache_path)
+
+
+def extract(spark: SparkSession, o: Options, now: int):
+    """(recipes in the order of the URLs, errors, pages fetched)."""
     asked = []
     for i, u in enumerate(o.words):
         try:
             asked.append((i, u, normalize(u), None))
         except (ValueError, UnicodeError) as e:
             asked.append((i, u, None, str(e)))
-    want = spark.createDataFrame(asked, "page_id int, spec string, url string, bad string")
-    pages = want.join(_responses(spark, o), "url", "left")
-    pages = pages.withColumn("fetch_error", F.coalesce("bad", F.when(F.col("status").isNull(), "No response"), "fetch_error"))
-    done = recipe.normalize_nodes(pages.withColumn("url", F.coalesce("url", "spec")))
-    return recipe.valid(done).select("page_id", *recipe.FIELDS), recipe.errors(done)
+    want = spark.createDataFrame(asked, "seq int, spec string, url string, bad string")
+    fetch, given = _fetch(spark, o, now)
+    pages = fetch(want).withColumn("fetch_error", F.coalesce("bad", "fetch_error")).withColumn("url", F.coalesce("url", "spec"))
+    done = recipe.normalize_nodes(pages, keep=["seq", "url"])
+    return recipe.valid(done).select("seq", *recipe.FIELDS), recipe.errors(done).orderBy("seq").drop("seq"), given
 
 
-def search_sites(spark: SparkSession, o: Options):
-    """(results in rank order, errors) of the sites' stored search pages for a query."""
+def search_sites(spark: SparkSession, o: Options, now: int):
+    """(results in rank order, errors, pages fetched) of the sites' search pages for a query."""
     query = " ".join(o.words).strip(WS_CHARS)
     want = sites.sites(spark).where(F.col("site_id").isin(o.sites)).withColumn("search_url", sites.build_search_url(F.col("site_id"), F.lit(query)))
     # the order of --sites is the order of the results
     want = want.withColumn("site_rank", F.array_position(F.array(*map(F.lit, o.sites)), F.col("site_id")).cast("int"))
     fallback = F.concat(F.lit(ENGINE_URL), encode_component(F.concat(F.lit("site:"), F.col("host_suffixes")[0], F.lit(f" recette {query}"))))
-    engine = F.col("search_url").startswith(f"https://{ENGINE_HOST}/")
-    own = want.select("site_rank", "site_id", "source_name", F.col("host_suffixes").alias("allowed"), "search_url", engine.alias("engine"), F.col("search_url").alias("base_url"))
-    more = want.where(F.col("site_id").isin(FALLBACK_SITES)).select("site_rank", "site_id", "source_name", F.col("host_suffixes").alias("allowed"), "search_url", F.lit(True).alias("engine"), fallback.alias("base_url"))
-    stored = _responses(spark, o).withColumnRenamed("url", "base_url")
-    keys = ["site_rank", "site_id", "source_name"]
-    first = own.join(stored, "base_url", "left").withColumn("fetch_error", F.coalesce("fetch_error", F.when(F.col("status").isNull(), "No response")))
-    hits = search.page_hits(first.where("fetch_error is null"), keys)
-    second = search.fallback_pages(hits, more.join(stored, "base_url", "left"), keys).join(first.where("fetch_error is null").select("site_id"), "site_id", "left_semi")
-    second = second.withColumn("fetch_error", F.concat(F.lit("DuckDuckGo fallback failed: "), F.coalesce("fetch_error", F.when(F.col("status").isNull(), "No response"))))
-    found = hits.unionByName(search.page_hits(second.where("fetch_error is null"), keys))
-    merged = search.search_merge(found, per_site=o.max_results_per_site, total=o.max_results)
-    failed = first.where("fetch_error is not null").unionByName(second.where("fetch_error is not null").select(first.columns))
-    return merged.select("rank", "name", "source_name", F.col("url").alias("source_url")), failed.select("site_id", F.col("source_name").alias("site_name"), "search_url", F.col("fetch_error").alias("message"))
-
-
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    want = want.withColumns({"allowed": F.col("host_suffixes"), "engine": F.col("search_url").startswith(f"https://{ENGINE_HOST}/"), "fallback_url": F.when(F.col("site_id").isin(FALLBACK_SITES), fallback), "seq": F.col("site_rank")})
+    fetch, given = _fetch(spark, o, now)
+    results, failed = search.search_recipes(want.select("seq", "site_rank", "site_id", "source_name", "allowed", "search_url", "engine", "fallback_url"), fetch, per_site=o.max_results_per_site, total=o.max_results)
+    return results.select("rank", "name", "source_name", F.col("url").alias("source_url")), failed.orderBy("site_rank").select("site_id", F.col("source_name").alias("site_name"), "search_url", "message"), given
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, now: int | None = None) -> int:
+    """Run a command; ``now`` is the time in milliseconds, the clock's if none is given."""
     args = list(sys.argv[1:] if argv is None else argv)
     if not args or any(a in ("-h", "--help") for a in args):
         print(HELP)
@@ -168,7 +183,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(e, file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.getOrCreate()
-    rows, failed = (extract if o.command == "extract" else search_sites)(spark, o)
+    rows, failed, given = (extract if o.command == "extract" else search_sites)(spark, o, now or int(time.time() * 1000))
     order = rows.columns[0]
     if o.format == "jsonl":
         out = [r["value"] for r in rows.orderBy(order).select(sinks.to_js_json(rows, rows.columns[1:]).alias("value")).collect()]
@@ -177,6 +192,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for line in out:
         print(line)
     bad = failed.collect()
+    _remember(o, given)
     for r in bad:
         print(" | ".join(str(x) for x in r), file=sys.stderr)
     return int(bool(bad))

@@ -82,8 +82,13 @@ def decode_numeric(s: str) -> str:
     """Numeric entities of one string; a number beyond Unicode is an error, as in a browser engine's fromCodePoint."""
     import re
 
-    s = re.sub(r"&#x([0-9a-fA-F]+);", lambda m: chr(int(m[1], 16)), s, flags=re.I)
-    return re.sub(r"&#([0-9]+);", lambda m: chr(int(m[1])), s)
+    def char(n: int) -> str:
+        if n > 0x10FFFF:
+            raise ValueError(f"Invalid code point {n}")
+        return chr(n)
+
+    s = re.sub(r"&#x([0-9a-fA-F]+);", lambda m: char(int(m[1], 16)), s, flags=re.I)
+    return re.sub(r"&#([0-9]+);", lambda m: char(int(m[1])), s)
 
 
 def decode_text(s: str) -> str:

@@ -1,11 +1,13 @@
-"""The page cache: lookup with a time to live, upsert, and the request schedule."""
+"""Pages from stored responses and a cache with a time to live: lookup, upsert, errors, the request schedule."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.urls import normalize_url
+
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, *, now_ms: Column, ttl_ms: int) -> DataFrame:
     """``requests`` (url) with the cache's columns where an entry is no older than ``ttl_ms``, and from_cache."""
@@ -28,16 +30,130 @@ def cache_upsert(cache: DataFrame, writes: DataFrame, *, seq: str = "seq") -> Da
     return both.groupBy("url").agg(F.max_by(F.struct(*values), F.struct(seq, "fetched_at_ms")).alias("v")).select("url", *[F.col(f"v.{c}").alias(c) for c in values if c != seq])
 
 
-def fetch_errors(status: Column, elapsed_ms: Column, timeout_ms: int) -> Column:
-    """What goes wrong with a response: a time-out, or a status other than 2xx."""
-    return F.when(elapsed_ms > timeout_ms, F.format_string("Request timed out after %dms", F.lit(timeout_ms))).when(~status.between(200, 299), F.concat(F.lit("Request failed: "), status.cast("string")))
+#: What a cache holds of each page.
+STORE = "url string, fetched_at_ms long, resolved_url string, status int, headers_json string, body string"
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """A cache kept at ``path``, empty where there's none yet."""
+    parts = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(parts)
+    return spark.read.schema(STORE + ", b int").parquet(path) if there else spark.createDataFrame([], STORE + ", b int")
+
+
+def upsert_store(writes: DataFrame, path: str, *, seq: str = "seq", buckets: int = 64) -> None:
+    """Bring the cache at ``path`` up to date with ``writes`` (its columns and ``seq``). It is kept in
+    ``buckets`` by the URLs' hashes, and only those that the writes touch are written anew, each as a
+    whole; the same writes once more give the same cache."""
+    spark = writes.sparkSession
+    to = writes.withColumn("b", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int"))
+    touched = [r.b for r in to.select("b").distinct().collect()]  # at most `buckets`
+    if not touched:
+        return
+    old = open_store(spark, path).where(F.col("b").isin(touched))
+    new = cache_upsert(old, to, seq=seq)
+    new.repartition("b").write.partitionBy("b").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def fetch_errors(status: Column, elapsed_ms: Column, timeout_ms: int, status_text: Column | None = None) -> Column:
+    """What goes wrong with a response: a time-out, or a status other than 2xx, which is named with its text."""
+    text = F.coalesce(status_text, F.lit("")) if status_text is not None else F.lit("")
+    failed = F.concat(F.lit("Request failed: "), status.cast("string"), F.lit(" "), text)
+    return F.when(elapsed_ms > timeout_ms, F.format_string("Request timed out after %dms", F.lit(timeout_ms))).when(~status.between(200, 299), failed)
+
+
+def header_map(headers: Column) -> Column:
+    """A map of lower-case names from an array of structs (name, value): values of one name are joined
+    by commas, but of several set-cookie the last counts."""
+    named = lambda n: F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == n), lambda h: h["value"])
+    names = F.array_sort(F.array_distinct(F.transform(headers, lambda h: F.lower(h["name"]))))
+    values = F.transform(names, lambda n: F.when(n == "set-cookie", F.element_at(named(n), -1)).otherwise(F.array_join(named(n), ", ")))
+    return F.coalesce(F.map_from_arrays(names, values), F.create_map().cast("map<string,string>"))
+
+
+def resolved(answered: Column, asked: Column) -> Column:
+    """The URL that answered after redirects, normalised; the URL asked for where it has none."""
+    return F.coalesce(normalize_url(F.coalesce(F.nullif(answered, F.lit("")), asked))["url"], asked)
+
 
+def default_jitter(rate_ms: int) -> int:
+    """A third of the delay, half a second at most."""
+    return min(500, max(0, int(rate_ms / 3)))
 
-def rate_schedule(requests: DataFrame, *, delay_ms: int, jitter: Column | None = None, host: str = "host", seq: str = "seq", arrival: str = "arrival_ms") -> DataFrame:
+
+def request_headers(user_agent: str, accept_language: str) -> Column:
+    pairs = {"Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8", "Accept-Language": accept_language, "User-Agent": user_agent}
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
+def plan_requests(requests: DataFrame, cache: DataFrame | None, *, now_ms: int, ttl_ms: int, rate_ms: int, jitter_ms: int | None = None, seq: str = "seq") -> DataFrame:
+    """``requests`` (seq, url; null URLs are not asked) with the cache's columns where they are fresh,
+    from_cache, and start_ms of those to be sent: those of one host a delay and a jitter apart."""
+    if cache is None:
+        values = [f.strip().split(" ") for f in STORE.split(",")[1:]]
+        asked = requests.select("*", *[F.lit(None).cast(k).alias(n) for n, k in values], F.lit(False).alias("from_cache"))
+    else:
+        asked = cache_lookup(requests, cache.drop("b"), now_ms=F.lit(now_ms).cast("long"), ttl_ms=ttl_ms)
+    jitter_ms = default_jitter(rate_ms) if jitter_ms is None else jitter_ms
+    wait = F.pmod(F.xxhash64("url", seq), F.lit(jitter_ms)) if jitter_ms > 0 else None
+    sent = asked.where("not from_cache and url is not null").withColumns({"host": F.regexp_extract("url", r"^https?://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)", 1), "arrival_ms": F.lit(now_ms).cast("long")})
+    sent = rate_schedule(sent, delay_ms=rate_ms, jitter=wait, seq=seq).drop("host", "arrival_ms")
+    return sent.unionByName(asked.where("from_cache or url is null").withColumn("start_ms", F.lit(None).cast("long")))
+
+
+def fetch_pages(requests: DataFrame, responses: DataFrame, cache: DataFrame | None = None, *, now_ms: int, ttl_ms: int, timeout_ms: int = 30_000, rate_ms: int = 1500, jitter_ms: int | None = None, user_agent: str = "", accept_language: str = "", seq: str = "seq") -> DataFrame:
+    """Pages for ``requests`` (seq, url): from the cache while fresh, else from stored ``responses``.
+
+    Responses have url, status and html, and may have status_text, resolved_url, headers (an array of
+    name and value), elapsed_ms, and the user_agent and accept_language that they were sent with: such
+    a response answers requests with the same only. Adds html, status, resolved_url, headers_json,
+    fetched_at_ms, from_cache, start_ms and fetch_error. A URL's responses should be one for each
+    request's headers. Nulls: a request without a URL gets no page and no error.
+    """
+    have = responses.columns
+    own = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    for c, value in (("user_agent", user_agent), ("accept_language", accept_language)):
+        if c in have:
+            responses = responses.where(F.col(c).isNull() | (F.col(c) == value))
+    headers = F.to_json(header_map(F.col("headers"))) if "headers" in have else F.lit("{}")
+    r = responses.select(
+        F.col("url").alias("r_url"), F.col("status").alias("r_status"), F.col("html").alias("r_html"), own("resolved_url", "string").alias("r_resolved"), headers.alias("r_headers"),
+        fetch_errors(F.col("status"), F.coalesce(own("elapsed_ms", "long"), F.lit(0)), timeout_ms, own("status_text", "string")).alias("r_error"),
+    )
+    j = plan_requests(requests, cache, now_ms=now_ms, ttl_ms=ttl_ms, rate_ms=rate_ms, jitter_ms=jitter_ms, seq=seq).join(r, F.col("url") == F.col("r_url"), "left")
+    error = F.when(F.col("url").isNotNull() & ~F.col("from_cache"), F.when(F.col("r_url").isNull(), "No response").otherwise(F.col("r_error")))
+    j = j.withColumn("fetch_error", error)
+    sent = ~F.col("from_cache") & F.col("fetch_error").isNull() & F.col("url").isNotNull()
+    either = lambda a, b: F.when(F.col("from_cache"), F.col(a)).when(sent, b)
+    return j.select(
+        *requests.columns, either("body", F.col("r_html")).alias("html"), either("status", F.col("r_status")).alias("status"), either("resolved_url", resolved(F.col("r_resolved"), F.col("url"))).alias("resolved_url"),
+        either("headers_json", F.col("r_headers")).alias("headers_json"), either("fetched_at_ms", F.col("start_ms")).alias("fetched_at_ms"), "from_cache", "start_ms", "fetch_error",
+    )
+
+
+def store_writes(pages: DataFrame, *, seq: str = "seq") -> DataFrame:
+    """What of fetched pages goes to the cache: those that came from responses without an error."""
+    new = pages.where("not from_cache and fetch_error is null and url is not null and html is not null")
+    return new.select(F.col(seq).alias("seq"), "url", "fetched_at_ms", "resolved_url", "status", "headers_json", F.col("html").alias("body"))
+
+
+def rate_schedule(requests: DataFrame, *, delay_ms: int, jitter: Column | None = None, host: str = "host", seq: str = "seq", arrival: str = "arrival_ms", span: int = 1 << 16) -> DataFrame:
     """``start_ms`` of each request: no earlier than its arrival, and a host's requests at least the
-    delay and the jitter of the one before apart. A running sum and a running maximum give it at once."""
-    w = W.Window.partitionBy(host).orderBy(seq)
+    delay and the jitter of the one before apart. A running sum and a running maximum give it at once.
+
+    Both run within ``span`` numbers of ``seq`` (whole numbers), whose totals then run over a host's
+    spans: a host of any number of requests is dealt to many tasks.
+    """
     gap = F.lit(max(0, int(delay_ms))) + (F.greatest(F.lit(0), jitter) if jitter is not None else F.lit(0))
-    d = requests.withColumn("d", F.coalesce(F.sum(gap).over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
-    late = F.max(F.col(arrival) - F.col("d")).over(w.rowsBetween(W.Window.unboundedPreceding, 0))
-    return d.withColumn("start_ms", (F.col("d") + late).cast("long")).drop("d")
+    w = W.Window.partitionBy(host, "_span").orderBy(seq)
+    before = w.rowsBetween(W.Window.unboundedPreceding, -1)
+    local = requests.withColumns({"_span": F.floor(F.col(seq) / span), "_gap": gap})
+    local = local.withColumn("_d", F.coalesce(F.sum("_gap").over(before), F.lit(0)))
+    local = local.withColumn("_late", F.max(F.col(arrival) - F.col("_d")).over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
+    spans = local.groupBy(F.col(host).alias("_h"), F.col("_span").alias("_s")).agg(F.sum("_gap").alias("all"), F.max("_late").alias("late"))
+    over = W.Window.partitionBy("_h").orderBy("_s").rowsBetween(W.Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_sum", F.coalesce(F.sum("all").over(over), F.lit(0)))
+    spans = spans.withColumn("_max", F.max(F.col("late") - F.col("_sum")).over(over)).select("_h", "_s", "_sum", "_max")
+    d = local.join(spans, F.col(host).eqNullSafe(F.col("_h")) & (F.col("_span") == F.col("_s")))
+    start = F.col("_sum") + F.col("_d") + F.greatest(F.col("_max"), F.col("_late") - F.col("_sum"))
+    return d.withColumn("start_ms", start.cast("long")).select(*requests.columns, "start_ms")

@@ -84,7 +84,7 @@ def _hits(html, base, engine):
         found = (anchor_links if engine else itemlist_links)(html or "", base)
         return {"hits": [{"pos": i, "url": u, "name": n, "host": host_of(u)} for i, (u, n) in enumerate(found)], "error": None}
     except (ValueError, OverflowError, UnicodeError) as e:
-        return {"hits": [], "error": str(e)}
+        return {"hits": [], "error": str(e) or "Unreadable page"}
 
 
 @F.pandas_udf(T.StructType([T.StructField("hits", T.ArrayType(struct_type("pos int, url string, name string, host string"))), T.StructField("error", T.StringType())]))
@@ -96,13 +96,26 @@ def is_engine(host: Column) -> Column:
     return (host == ENGINE_HOST) | host.endswith("." + ENGINE_HOST)
 
 
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` (html, base_url, engine) with ``x``, their hits and what went wrong with parsing them."""
+    return pages.withColumn("x", F.explode(F.array(parse_search(F.col("html"), F.col("base_url"), F.col("engine")))))
+
+
 def page_hits(pages: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, url, name) for each page (html, base_url, engine, allowed), the first of each URL kept."""
-    p = pages.withColumn("x", F.explode(F.array(parse_search(F.col("html"), F.col("base_url"), F.col("engine")))))
-    hits = p.select(*keys, "allowed", F.explode("x.hits").alias("hit")).select(*keys, "allowed", "hit.*")
+    return parsed_hits(parse_pages(pages), keys)
+
+
+def parsed_hits(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    hits = parsed.select(*keys, "allowed", F.explode("x.hits").alias("hit")).select(*keys, "allowed", "hit.*")
     return dedup_in_page(hits.where(host_allowed(F.col("host"), F.col("allowed"))).select(*keys, "pos", "url", "name"), keys)
 
 
+def page_errors(parsed: DataFrame, columns: list[str]) -> DataFrame:
+    """(columns, message) of the pages that couldn't be fetched or parsed."""
+    return parsed.withColumn("message", F.coalesce("fetch_error", "x.error")).where("message is not null").select(*columns, "message")
+
+
 def dedup_in_page(hits: DataFrame, keys: list[str]) -> DataFrame:
     w = W.Window.partitionBy(*keys, "url").orderBy("pos")
     return hits.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
@@ -137,3 +150,26 @@ def search_merge(hits: DataFrame, *, per_site: int = 5, total: int = 10, query:
         return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= total)
     top = out.orderBy("site_rank", "pos").limit(total)  # at most `total` rows are left to number
     return top.withColumn("rank", F.row_number().over(W.Window.partitionBy(F.lit(0)).orderBy("site_rank", "pos")))
+
+
+def search_recipes(requests: DataFrame, fetch, *, per_site: int = 5, total: int = 10, query: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, errors) for ``requests``: a row for each site and query, with site_rank, site_id,
+    source_name, allowed, search_url, engine and fallback_url. ``fetch`` gives a table (url and its
+    other columns) html, resolved_url and fetch_error.
+
+    A site whose page can't be fetched or parsed is an error of its own and stops no other. A site
+    that may fall back on the engine does so where its own page was read and has no hits; what goes
+    wrong with that is an error too.
+    """
+    keys = [*([query] if query else []), "site_rank", "site_id", "source_name"]
+    fetched = lambda rows: parse_pages(fetch(rows).withColumnRenamed("resolved_url", "base_url"))
+    first = fetched(requests.withColumn("url", F.col("search_url")))
+    hits = parsed_hits(first.where("fetch_error is null"), keys)
+    read = first.where("fetch_error is null and x.error is null and fallback_url is not null and not engine").select(*keys)
+    # hits and pages are keyed by site and query alike
+    again = requests.join(read.join(hits.select(*keys).distinct(), keys, "left_anti"), keys, "left_semi")
+    second = fetched(again.withColumns({"url": F.col("fallback_url"), "engine": F.lit(True)}))
+    more = parsed_hits(second.where("fetch_error is null"), keys)
+    at = [*keys, "search_url"]
+    failed = page_errors(second, at).withColumn("message", F.concat(F.lit("DuckDuckGo fallback failed: "), "message"))
+    return search_merge(hits.unionByName(more), per_site=per_site, total=total, query=query), page_errors(first, at).unionByName(failed)

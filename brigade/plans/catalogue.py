@@ -349,6 +349,23 @@ def search_merge(spark, sf_dir):
     name = F.coalesce(*[F.when(F.col("site_id") == x[0], F.lit(x[1])) for x in SITES])
     return merged.select("query_id", "rank", "url", "name", name.alias("source_name"))
 
+@query(f"""SELECT query_id, site_rank, site_id, message FROM (SELECT query_id, site_rank, {syn._case("site_rank", [syn._text(x[0]) for x in SITES])} AS site_id,
+CASE (query_id + site_rank) % 5 WHEN 0 THEN 'Request failed: 503 Down' WHEN 1 THEN CASE WHEN site_rank > 2 THEN 'Invalid code point 1114112' WHEN site_rank = 1 THEN CASE WHEN query_id % 2 = 0 THEN 'DuckDuckGo fallback failed: No response' ELSE 'DuckDuckGo fallback failed: Invalid code point 1114112' END END END AS message
+FROM (SELECT DISTINCT query_id, site_rank FROM ({syn.hits_sql(False)}))) WHERE message IS NOT NULL""")
+def search_errors(spark, sf_dir):
+    """What goes wrong with a site's page or with its fallback is an error of its own; other sites go on."""
+    pages = syn.search_pages(spark, sf_dir)
+    at = F.concat(F.lit("u/"), F.col("query_id").cast("string"), F.lit("/"), F.col("site_rank").cast("string"), F.lit("/"))
+    k = (F.col("query_id") + F.col("site_rank")) % 5
+    own = pages.where(F.when(F.col("site_rank") > 2, F.col("engine")).otherwise(~F.col("engine")))
+    name = F.coalesce(*[F.when(F.col("site_id") == x[0], F.lit(x[1])) for x in SITES])
+    want = own.select("query_id", "site_rank", "site_id", name.alias("source_name"), "allowed", F.concat(at, F.lit("own")).alias("search_url"), "engine", F.when(F.col("site_rank") < 2, F.concat(at, F.lit("more"))).alias("fallback_url"))
+    bad = F.lit('<a class="result__a" href="//duckduckgo.com/l/?uddg=x&#x110000;">x</a>')
+    first = own.select(F.concat(at, F.lit("own")).alias("url"), F.when((k == 1) & F.col("engine"), bad).otherwise(F.col("html")).alias("html"), F.col("base_url").alias("resolved_url"), F.when(k == 0, "Request failed: 503 Down").alias("fetch_error"))
+    again = pages.where("site_rank = 1 and engine").select(F.concat(at, F.lit("more")).alias("url"), F.when(k == 1, bad).otherwise(F.col("html")).alias("html"), F.col("base_url").alias("resolved_url"), F.when((k == 1) & (F.col("query_id") % 2 == 0), "No response").alias("fetch_error"))
+    stored = first.unionByName(again)
+    return search.search_recipes(want, lambda rows: rows.join(stored, "url"), query="query_id")[1].select("query_id", "site_rank", "site_id", "message")
+
 # cache, schedule, sinks
 
 _RESPONSES = "SELECT event_id AS seq, 'https://h' || CAST(user_id AS STRING) || '.example.org/' || CAST(event_id % 3 AS STRING) AS url, CAST(epoch_us(ts) // 1000 AS BIGINT) AS fetched_at_ms, CAST(CASE WHEN event_id % 5 = 0 THEN 404 ELSE 200 END AS INT) AS status, event_type AS body FROM events"
@@ -373,10 +390,48 @@ def cache_lookup(spark, sf_dir):
     now = c.agg(F.max("fetched_at_ms")).first()[0]
     return cache.cache_lookup(r.select("seq", "url"), c, now_ms=F.lit(now), ttl_ms=86_400_000).select("seq", "from_cache", "body")
 
-@query(f"SELECT seq, CASE WHEN seq % 11 = 0 THEN 'Request timed out after 30000ms' WHEN status = 404 THEN 'Request failed: 404' END AS error FROM ({_RESPONSES})")
+@query(f"SELECT seq, CASE WHEN seq % 11 = 0 THEN 'Request timed out after 30000ms' WHEN status = 404 THEN 'Request failed: 404 ' || CASE WHEN seq % 2 = 0 THEN 'Not Found' ELSE '' END END AS error FROM ({_RESPONSES})")
 def fetch_errors(spark, sf_dir):
+    """The status's text stands behind its number; without one the blank before it stays."""
     elapsed = F.when(F.col("seq") % 11 == 0, 30_001).otherwise(30_000)
-    return _responses(spark, sf_dir).select("seq", cache.fetch_errors(F.col("status"), elapsed, 30_000).alias("error"))
+    return _responses(spark, sf_dir).select("seq", cache.fetch_errors(F.col("status"), elapsed, 30_000, F.when(F.col("seq") % 2 == 0, "Not Found")).alias("error"))
+
+_LATEST = f"SELECT url, max(fetched_at_ms) AS f, max_by(body, (fetched_at_ms, seq)) AS body, max_by(status, (fetched_at_ms, seq)) AS status, max_by(seq, (fetched_at_ms, seq)) AS s FROM ({_RESPONSES}) WHERE {{}} GROUP BY url"
+
+@query(f"""WITH c AS ({_LATEST.format("seq % 2 = 0 AND status = 200")}), n AS (SELECT max(f) AS now FROM c), r AS ({_LATEST.format("seq % 2 = 1")}),
+j AS (SELECT q.seq, q.url, coalesce(n.now - c.f <= 86400000, false) AS from_cache, c.f, c.body AS old, r.body AS new, r.status, r.s, n.now,
+  CASE WHEN r.url IS NULL THEN 'No response' WHEN r.s % 11 = 0 THEN 'Request timed out after 30000ms' WHEN r.status = 404 THEN 'Request failed: 404 Not Found' END AS wrong
+  FROM ({_RESPONSES}) q CROSS JOIN n LEFT JOIN c USING (url) LEFT JOIN r USING (url)),
+w AS (SELECT seq, now + 1500 * CAST(row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY seq) - 1 AS BIGINT) AS start_ms FROM j WHERE NOT from_cache)
+SELECT j.seq, from_cache, CASE WHEN from_cache THEN old WHEN wrong IS NULL THEN new END AS html, CASE WHEN from_cache OR wrong IS NULL THEN 200 END AS status,
+CASE WHEN from_cache THEN url WHEN wrong IS NULL THEN url || '?to=' || s END AS resolved_url, start_ms, CASE WHEN from_cache THEN f WHEN wrong IS NULL THEN start_ms END AS fetched_at_ms, CASE WHEN NOT from_cache THEN wrong END AS error
+FROM j LEFT JOIN w USING (seq)""")
+def fetch_page(spark, sf_dir):
+    """Every request from the cache while its entry is fresh, else from the URL's last response, at a delay of the host's one before."""
+    r = _responses(spark, sf_dir)
+    latest = lambda x, *more: x.groupBy("url").agg(F.max_by(F.struct("fetched_at_ms", "status", "body", "seq"), F.struct("fetched_at_ms", "seq")).alias("v")).select("url", "v.*")
+    kept = latest(r.where("seq % 2 = 0 and status = 200")).select("url", "fetched_at_ms", F.col("url").alias("resolved_url"), "status", F.lit("{}").alias("headers_json"), "body", F.lit(0).alias("b"))
+    new = latest(r.where("seq % 2 = 1")).select("url", "status", F.col("body").alias("html"), F.lit("Not Found").alias("status_text"), F.when(F.col("seq") % 11 == 0, 30_001).otherwise(5).alias("elapsed_ms"), F.concat("url", F.lit("?to="), F.col("seq").cast("string")).alias("resolved_url"))
+    now = kept.agg(F.max("fetched_at_ms")).first()[0] or 0
+    p = cache.fetch_pages(r.select("seq", "url"), new, kept, now_ms=now, ttl_ms=86_400_000, rate_ms=1500, jitter_ms=0)
+    return p.select("seq", "from_cache", "html", "status", "resolved_url", "start_ms", "fetched_at_ms", F.col("fetch_error").alias("error"))
+
+@query("SELECT event_id, 'https://h' || CAST(user_id AS VARCHAR) || CASE event_id % 5 WHEN 0 THEN '.example.org/a?b=1' WHEN 1 THEN '.example.org/' WHEN 2 THEN '.example.net/y' ELSE '.example.org/x' END AS resolved_url FROM events")
+def redirects(spark, sf_dir):
+    """The URL that answered, normalised; the one asked for where there's none or none that can be read."""
+    host = F.concat(F.lit("https://h"), F.col("user_id").cast("string"))
+    k = F.col("event_id") % 5
+    upper = F.concat(F.lit("HTTPS://H"), F.col("user_id").cast("string"))
+    answered = F.when(k == 0, F.concat(upper, F.lit(".Example.org:443/x/../a?b=1#top"))).when(k == 1, F.concat(host, F.lit(".example.org"))).when(k == 2, F.concat(host, F.lit(".example.net/./y"))).when(k == 3, "").otherwise("ftp://elsewhere/")
+    return _table(spark, sf_dir, "events").select("event_id", cache.resolved(answered, F.concat(host, F.lit(".example.org/x"))).alias("resolved_url"))
+
+@query("SELECT event_id, CAST(user_id AS VARCHAR) || ', b' AS accept, 'c2' AS cookie, CAST(2 AS BIGINT) AS n FROM events")
+def header_capture(spark, sf_dir):
+    """Headers of one name joined, of several cookies the last."""
+    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
+    m = cache.header_map(F.array(pair("Set-Cookie", F.lit("c1")), pair("ACCEPT", F.col("user_id").cast("string")), pair("set-cookie", F.lit("c2")), pair("accept", F.lit("b"))))
+    e = _table(spark, sf_dir, "events").withColumn("m", m)
+    return e.select("event_id", F.col("m")["accept"].alias("accept"), F.col("m")["set-cookie"].alias("cookie"), F.size("m").cast("long").alias("n"))
 
 @query(f"""WITH r AS (SELECT seq, seq % 97 AS host, fetched_at_ms AS arrival_ms, 1500 + seq % 500 AS gap FROM ({_RESPONSES})),
 d AS (SELECT seq, host, arrival_ms, coalesce(sum(gap) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM r)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.cache import cache_upsert
+from ..operators.cache import upsert_store
 from ..operators.recipe import normalize_nodes
 
 PAGES = "page_id long, url string, html string"
@@ -15,13 +15,11 @@ def recipe_stream(spark: SparkSession, path: str) -> DataFrame:
     return normalize_nodes(spark.readStream.schema(PAGES).parquet(path))
 
 
-def upsert_batches(writes: DataFrame, store: str, checkpoint: str):
-    """Keep a Parquet cache up to date with a stream of responses; each batch makes a new version
-    ``store``/v=N of the whole cache, so a repeated batch gives the same version."""
+def upsert_batches(writes: DataFrame, store: str, checkpoint: str, *, buckets: int = 64):
+    """Keep the cache at ``store`` up to date with a stream of responses (its columns and seq). A batch
+    writes the buckets anew that it touches; a repeated batch gives the same cache."""
 
-    def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{store}/v={n - 1}") if n else spark.createDataFrame([], batch.drop("seq").schema)
-        cache_upsert(old, batch).write.mode("overwrite").parquet(f"{store}/v={n}")
+    def apply(batch: DataFrame, _: int) -> None:
+        upsert_store(batch, store, buckets=buckets)
 
     return writes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -109,7 +109,7 @@ def test_cli(spark, tmp_path, capsys):
     node = {"@type": "Recipe", "name": "Riz", "recipeIngredient": ["200 g de riz", "sel"], "recipeInstructions": "Cuire 10 min. Servir.", "totalTime": "PT20M"}
     pages = [("https://a.b/x", 200, f'<script type="application/ld+json">{json.dumps(node)}</script>'), ("https://a.b/y", 404, "")]
     spark.createDataFrame(pages, "url string, status int, html string").write.parquet(path := str(tmp_path / "r.parquet"))
-    assert cli.main(["extract", "a.b/x", "a.b/y", "--responses", path], spark) == 1
+    assert cli.main(["extract", "a.b/x", "a.b/y", "--responses", path, "--no-cache"], spark) == 1
     out = capsys.readouterr()
     got = json.loads(out.out)
     assert got["ingredients"][0] == {"name": "Riz", "quantity": 200, "unit": "g", "aisle": "epicerie"} and "Request failed: 404" in out.err
