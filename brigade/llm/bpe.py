@@ -44,11 +44,25 @@ class Encoder:
         self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = self.own.get_vocab_size()
 
+    def _needs_own(self, text: str) -> bool:
+        return (len(text) >= 4096 and _RUN.search(text) is not None) or any(s in text for s in self.specials)
+
     def ids(self, text: str) -> list[int]:
-        if (len(text) >= 4096 and _RUN.search(text)) or any(s in text for s in self.specials):
+        if self._needs_own(text):
             return self.own.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    def lengths(self, texts: list[str]) -> list[int]:
+        """How many ids each text has; one call of either engine for all of them."""
+        own = [i for i, t in enumerate(texts) if self._needs_own(t)]
+        out = [0] * len(texts)
+        for i, e in zip(own, self.own.encode_batch([texts[i] for i in own], add_special_tokens=False)):
+            out[i] = len(e.ids)
+        rest = sorted(set(range(len(texts))).difference(own))
+        for i, ids in zip(rest, self.fast.encode_ordinary_batch([texts[i] for i in rest], num_threads=1)):
+            out[i] = len(ids)
+        return out
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
