@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
@@ -17,6 +16,7 @@ from ..functions.jscompat import WS_CHARS, js_trim, rx, struct_type
 from ..functions.text import decode_entities, decode_text
 from ..functions.urls import host_of, normalize, resolve, url_parts
 from .steps import flatten, truthy
+from .tree import Node, Tree
 
 _S = f"[{re.escape(WS_CHARS)}]"
 _NS = f"[^{re.escape(WS_CHARS)}>]"
@@ -25,7 +25,6 @@ _SCRIPT = re.compile(rf"<script\b[^>]*\btype{_S}*={_S}*(?:\"([^\"]*)\"|'([^']*)'
 _LINK, _META = (re.compile(rf"<{t}(?![0-9A-Za-z_])[^>]*>", re.I | re.A) for t in ("link", "meta"))
 _ATTRS = {n: re.compile(rf"{n}{_S}*={_S}*(?:\"([^\"]*)\"|'([^']*)'|([^\"'>{re.escape(WS_CHARS)}]+))", re.I | re.A) for n in ("rel", "href", "property", "name", "content")}
 _TEXT_KEYS = ["name", "description", "totalTime", "prepTime", "cookTime", "recipeYield", "suitableForDiet", "url"]
-MAX_DEPTH = 2000
 
 
 def _attr(tag: str, name: str) -> str | None:
@@ -114,70 +113,7 @@ def first_recipe(html: str) -> dict | None:
     return None
 
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-_BOUND = {"li": {"ul", "ol"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "p": {"div", "section", "article", "td", "li", "body"}}
-
-
-class _Node:
-    __slots__ = ("tag", "attrs", "kids")
-
-    def __init__(self, tag, attrs):
-        self.tag, self.attrs, self.kids = tag, attrs, []
-
-    def below(self):
-        todo = [k for k in reversed(self.kids) if isinstance(k, _Node)]
-        while todo:
-            n = todo.pop()
-            yield n
-            todo += [k for k in reversed(n.kids) if isinstance(k, _Node)]
-
-    def text(self) -> str:
-        out, todo = [], [self]
-        while todo:
-            n = todo.pop()
-            if isinstance(n, str):
-                out.append(n)
-            else:
-                todo += reversed(n.kids)
-        return "".join(out)
-
-
-class _Tree(HTMLParser):
-    """A tree of a page's elements; unclosed list items, paragraphs and cells end where HTML says."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("", {})
-        self.stack = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _CLOSES:
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag in _CLOSES[tag]:
-                    del self.stack[i:]
-                    break
-                if self.stack[i].tag in _BOUND[tag]:
-                    break
-        first = {}
-        for k, v in attrs:
-            first.setdefault(k, v or "")
-        node = _Node(tag, first)
-        self.stack[-1].kids.append(node)
-        if tag not in _VOID and len(self.stack) < MAX_DEPTH:
-            self.stack.append(node)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-
-    def handle_data(self, data):
-        self.stack[-1].kids.append(data)
-
-
-def _value(n: _Node) -> str:
+def _value(n: Node) -> str:
     """An element's value: its first attribute of these that isn't empty, or its text."""
     return tidy(next((v for a in ("content", "value", "href", "src") if (v := n.attrs.get(a))), None) or n.text())
 
@@ -190,17 +126,14 @@ def microdata_node(html: str) -> dict | None:
     """The first schema.org recipe element's properties; None if there are none."""
     if "itemscope" not in html.lower():
         return None
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    for root in tree.root.below():
+    for root in Tree(html).root.below():
         kind = root.attrs.get("itemtype", "").lower()
         if "itemscope" in root.attrs and "schema.org" in kind and "recipe" in kind:
             break
     else:
         return None
     below = list(root.below())
-    by: dict[str, list[_Node]] = {}
+    by: dict[str, list[Node]] = {}
     for n in below:
         by.setdefault(n.attrs.get("itemprop", ""), []).append(n)
     node = {}

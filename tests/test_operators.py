@@ -9,6 +9,7 @@ from brigade.operators import classify, html, search, steps
 from brigade.operators.cache import rate_schedule
 from brigade.operators.ingredients import parse_ingredient
 from brigade.operators.recipe import normalize_nodes
+from brigade.operators.tree import Tree
 
 
 def column(spark, values, f, kind="string"):
@@ -115,3 +116,22 @@ def test_cli(spark, tmp_path, capsys):
     assert got["ingredients"][0] == {"name": "Riz", "quantity": 200, "unit": "g", "aisle": "epicerie"} and "Request failed: 404" in out.err
     assert [cli.main(a, spark) for a in (["nope"], ["extract"], ["search", "x", "--max-results", "0"], ["search", "x", "--sites", "q"], ["extract", "u", "--cache-ttl", "0"])] == [1] * 5
     assert cli.parse_args(["search", "a", "b", "--max-results", "10abc", "--rate", "0"]).max_results == 10
+
+
+def test_tree_as_the_standard_builds_it():
+    def show(n):
+        return "".join(k if isinstance(k, str) else f"<{k.tag}>{show(k)}</{k.tag}>" for k in n.kids)
+
+    built = {
+        "<p>1<b>2<i>3</b>4</i>5</p>": "<p>1<b>2<i>3</i></b><i>4</i>5</p>", "<b>1<p>2</b>3</p>": "<b>1</b><p><b>2</b>3</p>", "<a>x<a>y</a>z": "<a>x</a><a>y</a>z", "<b><em>x<p>y</b>z</p>": "<b><em>x</em></b><em><p><b>y</b>z</p></em>",
+        "<div><table>x<tr><td>1</div>2<td>3</table>4</div>5": "<div>x<table><tbody><tr><td>12</td><td>3</td></tr></tbody></table>4</div>5", "<p>a<div>b</div>c</p>d": "<p>a</p><div>b</div>c<p></p>d", "<h1>a<h2>b</h1>c": "<h1>a</h1><h2>b</h2>c",
+        "<ul><li>1<li>2<ul><li>3</ul><li>4</ul>": "<ul><li>1</li><li>2<ul><li>3</li></ul></li><li>4</li></ul>", "<dl><dt>a<dd>b<dt>c</dl>": "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>", "<tr><td>x</td>": "x", "<table><col><caption>c</table>": "<table><colgroup><col></col></colgroup><caption>c</caption></table>",
+    }
+    assert {p: show(Tree(p).root) for p in built} == built
+    deep = Tree("<div>" * 5000 + "x").root
+    assert deep.text() == "x"
+
+
+def test_microdata_of_misnested_pages():
+    page = '<div itemscope itemtype="http://schema.org/Recipe"><table><tr><td></div><h1 itemprop="name">N</h1><b itemprop="description">one<p>two</b>three</p></td></tr><li itemprop="recipeIngredient">riz<li itemprop="recipeIngredient">sel</table></div>'
+    assert html.microdata_node(page) == {"name": "N", "description": "one", "recipeIngredient": ["riz", "sel"]}
