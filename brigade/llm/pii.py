@@ -79,40 +79,42 @@ def _mod97(s: str) -> str:
     return f"aggregate(sequence(1, length({s})), 0, (t, i) -> (t * if({value} > 9, 100, 10) + {value}) % 97)"
 
 
-def _shifted(text: str, kind: str, key: str, hexa: str = "false") -> str:
+def _shifted(text: str, kind: str, hexa: str, key: str) -> str:
     """SQL shifting the letters and digits of a string, each within its alphabet (where ``hexa`` holds
-    within the hexadecimal digits of its case): a Feistel network over the two halves of the string,
-    the shifts of one half drawn from the other. Other characters stay."""
-    shift = f"cast(conv(substr(sha2(concat_ws('|', {_lit(key)}, {_lit(kind)}, r, i, length(s.a), length(s.b), if(r % 2 = 1, s.b, s.a)), 256), 1, 8), 16, 10) as bigint)"
+    within the hexadecimal digits): a Feistel network over the two halves of the string, the shifts
+    of one half drawn from the other. Other characters stay."""
+    shift = f"cast(conv(substr(sha2(concat_ws('|', {_lit(key)}, {kind}, r, i, length(s.a), length(s.b), if(r % 2 = 1, s.b, s.a)), 256), 1, 8), 16, 10) as bigint)"
+    # of each alphabet its first place and its size among these characters; the place of a character in all of them
+    row = "0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    first = f"case when {hexa} and c between '0' and '9' or {hexa} and c between 'a' and 'f' then struct(0, 16) when c between 'A' and 'Z' then struct(16, 26) when c between 'a' and 'z' then struct(42, 26) when c between '0' and '9' then struct(68, 10) end"
 
     def moved(x: str) -> str:
-        c = f"substr({x}, i, 1)"
-        spin = f"case when {hexa} and {c} between '0' and '9' or {hexa} and {c} between 'a' and 'f' then substr('0123456789abcdef', 1 + (instr('0123456789abcdef', {c}) - 1 + {shift}) % 16, 1) when {c} between 'a' and 'z' then chr(97 + (ascii({c}) - 97 + {shift}) % 26) when {c} between 'A' and 'Z' then chr(65 + (ascii({c}) - 65 + {shift}) % 26) when {c} between '0' and '9' then chr(48 + (ascii({c}) - 48 + {shift}) % 10) else {c} end"
-        return f"array_join(transform(if(length({x}) = 0, array(), sequence(1, length({x}))), i -> {spin}), '')"
+        at = f"instr(substr('{row}', f.col1 + 1, f.col2), c) - 1"
+        one = _let("f", first, f"if(f is null, c, substr('{row}', 1 + f.col1 + cast(({at} + {shift}) % f.col2 as int), 1))")
+        return f"array_join(transform(sequence(1, length({x})), i -> {_let('c', f'substr({x}, i, 1)', one)}), '')"
 
     start = f"named_struct('a', substr({text}, 1, length({text}) div 2), 'b', substr({text}, length({text}) div 2 + 1))"
-    done = f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(r % 2 = 1, named_struct('a', {moved('s.a')}, 'b', s.b), named_struct('a', s.a, 'b', {moved('s.b')})))"
-    return _let("z", done, "concat(z.a, z.b)")
+    # a string of one character has no first half, and then only the second one moves
+    step = f"if(r % 2 = 1, named_struct('a', if(s.a = '', '', {moved('s.a')}), 'b', s.b), named_struct('a', s.a, 'b', {moved('s.b')}))"
+    return _let("z", f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step})", "concat(z.a, z.b)")
 
 
-def _mail(m: str, key: str) -> str:
-    """SQL shifting what stands before the @."""
-    return _let("local", f"substring_index({m}, '@', 1)", f"concat({_shifted('local', 'mail', key)}, substr({m}, instr({m}, '@')))")
-
-
-def _secret(m: str, key: str) -> str:
-    """SQL shifting the value behind a name and its sign, or behind the four letters that mark a key."""
-    named = r"^(?i:[a-z_-]+[\"']? ?[:=] ?[\"']?)"
+def _named(m: str, key: str, is_: dict) -> str:
+    """SQL for mail addresses (what stands before the @ is shifted), secrets (the value behind a name and
+    its sign, or behind the four letters that mark a key), and IPv6 addresses, whose 32 hexadecimal
+    digits are shifted and written in full, without leading zeros."""
+    named = r"^(?i:[a-z_-]+[\"\']? ?[:=] ?[\"\']?)"
     head = f"if({m} rlike '^(?:AKIA|ASIA|gh[pousr]_)', substr({m}, 1, 4), regexp_extract({m}, {_lit(named)}, 0))"
-    return _let("head", head, _let("v", f"substr({m}, length(head) + 1)", f"concat(head, {_shifted('v', 'secret', key, 'not v rlike ' + _lit('[^0-9a-f]'))})"))
-
-
-def _ip6(m: str, key: str) -> str:
-    """SQL permuting the 32 hexadecimal digits of an address; it is written in full, without leading zeros."""
     gap = f"array_repeat('0', 8 - size(filter(split({m}, ':'), x -> x <> '')))"
     parts = f"if({m} like '%::%', concat(split(substring_index({m}, '::', 1), ':'), {gap}, split(substring_index({m}, '::', -1), ':')), split({m}, ':'))"
-    digits = f"lower(array_join(transform({parts}, x -> lpad(x, 4, '0')), ''))"
-    return _let("d", digits, _let("w", _shifted("d", "ip6", key, "true"), "array_join(transform(sequence(1, 29, 4), i -> coalesce(nullif(ltrim('0', substr(w, i, 4)), ''), '0')), ':')"))
+    cut = (
+        f"case when {is_['mail']} then named_struct('kind', 'mail', 'head', '', 'body', substring_index({m}, '@', 1), 'tail', substr({m}, instr({m}, '@'))) "
+        f"when {is_['ip6']} then named_struct('kind', 'ip6', 'head', '', 'body', lower(array_join(transform({parts}, x -> lpad(x, 4, '0')), '')), 'tail', '') "
+        f"else {_let('head', head, f"named_struct('kind', 'secret', 'head', head, 'body', substr({m}, length(head) + 1), 'tail', '')")} end"
+    )
+    written = "array_join(transform(sequence(1, 29, 4), i -> coalesce(nullif(ltrim('0', substr(w, i, 4)), ''), '0')), ':')"
+    hexa = "(u.kind = 'ip6' or u.kind = 'secret' and not u.body rlike '[^0-9a-f]')"
+    return _let("u", cut, _let("w", _shifted("u.body", "u.kind", hexa, key), f"if(u.kind = 'ip6', {written}, concat(u.head, w, u.tail))"))
 
 
 def _date(m: str, key: str) -> str:
@@ -155,10 +157,9 @@ def _pseudonym(m: str, key: str) -> str:
     ssn = _let("z", _feistel(f"{area} - if({area} > 666, 2, 1)", f"({group} - 1) * 9999 + {serial} - 1", "898", "989901", "'ssn'", key), "concat_ws('-', lpad(cast(z.a + if(z.a >= 665, 2, 1) as string), 3, '0'), lpad(cast(z.b div 9999 + 1 as string), 2, '0'), lpad(cast(z.b % 9999 + 1 as string), 4, '0'))")
     is_ = {k: f"{m} rlike {_lit('^(?:' + p + ')$')}" for k, p in PATTERNS.items()}
     return (
-        f"case when {is_['mail']} then {_mail(m, key)} "
-        f"when {is_['secret']} then {_secret(m, key)} "
+        f"case when {is_['ip6']} and size(filter(split({m}, ':'), x -> x <> '')) < 3 then {m} "
+        f"when {is_['mail']} or {is_['secret']} or {is_['ip6']} then {_named(m, key, is_)} "
         f"when {is_['iban']} then {iban} "
-        f"when {is_['ip6']} then if(size(filter(split({m}, ':'), x -> x <> '')) >= 3, {_ip6(m, key)}, {m}) "
         f"when {is_['ip']} then if(forall(split({m}, '[.]'), o -> cast(o as int) < 256), {ip}, {m}) "
         f"when {is_['ssn']} then if({area} between 1 and 899 and {area} <> 666 and {group} > 0 and {serial} > 0, {ssn}, {m}) "
         f"when {is_['date']} then {_date(m, key)} "
