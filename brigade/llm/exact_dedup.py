@@ -82,9 +82,10 @@ def drop_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", blo
     rows, row = numbered(docs)
     names = block_identities(rows, text=text, key=row, block_bytes=block_bytes).select(F.col("doc_id").alias(row), "level", "name")
     keys = rows.select(row, F.col(f"`{key}`").alias("key"))
-    best = names.join(keys, row).groupBy("level", "name").agg(F.max(F.struct("key", row)).alias("best"))
-    stays = stash(best.select(F.col(f"best.{row}").alias(row)), "kept-rows")
-    return rows.join(stays, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = stash(names.join(keys, row), "named-rows")
+    best = named.groupBy("level", "name").agg(F.count("*").alias("n"), F.max(F.struct("key", row)).alias("best")).where("n > 1")
+    gone = stash(named.join(best, ["level", "name"]).where(F.col(row) != F.col(f"best.{row}")).select(row), "dropped-rows")
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
