@@ -84,6 +84,7 @@ def drop_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", blo
     keys = rows.select(row, F.col(f"`{key}`").alias("key"))
     named = stash(names.join(keys, row), "named-rows")
     best = named.groupBy("level", "name").agg(F.count("*").alias("n"), F.max(F.struct("key", row)).alias("best")).where("n > 1")
+    best = stash(best, "best-rows")  # a join of two tables, whose large partitions Spark can split
     gone = stash(named.join(best, ["level", "name"]).where(F.col(row) != F.col(f"best.{row}")).select(row), "dropped-rows")
     return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

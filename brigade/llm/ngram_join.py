@@ -72,10 +72,11 @@ def _frequent(docs: DataFrame, k: int):
     return s[order], top.column("c").to_numpy()[order]
 
 
-def _incidence(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
+def _incidence(docs: DataFrame, k: int, num: int, den: int, frequent, most: int) -> DataFrame:
     """Rows (kind, a, b, n): kind 0 a document (its number, its set's hash, the set's size; kind 3
     where it has no number), kind 1
-    an entry of the incidence matrix (shingle, set's hash, size).
+    an entry of the incidence matrix (shingle, set's hash, size), with the part p of its column that
+    it is dealt to where that is likely to have more than ``most`` sets (else -1). Documents are dealt by their sets' hashes.
 
     Only a set's first n - ceil(t n) + l shingles in the common order are needed: sets that overlap
     enough share l of those, l = _least(n). Copies of a set within a task give its entries once.
@@ -91,7 +92,7 @@ def _incidence(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFra
                 n, sig = np.diff(bounds), _set_hashes(h, bounds)
                 row = np.repeat(np.arange(len(n)), n)
                 kind = np.where(b.column(0).is_null().to_numpy(zero_copy_only=False), 3, 0).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(kind), b.column(0).fill_null(0), pa.array(_signed(sig)), pa.array(n.astype(np.int32))], names=["kind", "a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), b.column(0).fill_null(0), pa.array(_signed(sig)), pa.array(n.astype(np.int32)), pa.array((sig & np.uint64(0xFFFF)).astype(np.int32))], names=["kind", "a", "b", "n", "p"])
                 fresh = np.zeros(len(n), bool)
                 for i, (x, m) in enumerate(zip(sig.tolist(), n.tolist())):
                     if m and x not in seen:
@@ -107,14 +108,16 @@ def _incidence(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFra
                     at = np.minimum(np.searchsorted(top, h), len(top) - 1)
                     rank = np.where(top[at] == h, counts[at], 0)
                 order = np.lexsort((h, rank, row))
-                h, row = h[order], row[order]
+                h, row, rank = h[order], row[order], rank[order]
                 first = np.searchsorted(row, row)
                 need = n + (num * n // -den) + _least(n)  # n - ceil(t n) + l
                 lead = np.arange(len(h)) - first < need[row]
-                h, row = h[lead], row[lead]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), pa.array(_signed(h)), pa.array(_signed(sig[row])), pa.array(n[row].astype(np.int32))], names=["kind", "a", "b", "n"])
+                h, row, rank = h[lead], row[lead], rank[lead]
+                parts = rank * SHARE // most
+                part = np.where(parts > 0, (sig[row] >> np.uint64(16)) % (parts + 1).astype(np.uint64), 0).astype(np.int32) - (parts == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), pa.array(_signed(h)), pa.array(_signed(sig[row])), pa.array(n[row].astype(np.int32)), pa.array(part.astype(np.int32))], names=["kind", "a", "b", "n", "p"])
 
-    return docs.mapInArrow(run, "kind byte, a long, b long, n int")
+    return docs.mapInArrow(run, "kind byte, a long, b long, n int, p int")
 
 
 def _runs(batches, most: int = 1 << 18):
@@ -135,35 +138,42 @@ def _runs(batches, most: int = 1 << 18):
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def _heads(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any of the columns."""
+    new = np.zeros(len(columns[0]), bool)
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    new[:1] = True
+    return new
 
 
 def _shared_columns(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Of the incidence entries only those whose shingle several sets have (kind 1), and for each
     set and column a candidate (kind 2: a, b the sets' hashes, n of the first, m of the other):
     the column's sets of the smallest and the largest hash, which near copies mostly have in common,
-    if the sizes allow it. A column of many sets so gives two candidates a set, not their square."""
+    if the sizes allow it. A column of many sets so gives two candidates a set, not their square.
+    The parts of a frequent column are in tasks of their own and have smallest and largest sets of
+    their own: candidates only say which sets to take first, links don't depend on them."""
 
     def work(batches):
-        for a, b, n, kind in _runs(batches):
+        for a, p, b, n, kind in _runs(batches):
             for k in (0, 3):
                 if (doc := kind == k).any():
                     yield _rows(k, a[doc], b[doc], n[doc], np.zeros(int(doc.sum()), np.int32))
             doc = kind != 1
-            a, b, n = a[~doc], b[~doc], n[~doc]
+            a, p, b, n = a[~doc], p[~doc], b[~doc], n[~doc]
             if not len(a):
                 continue
-            same = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
-            a, b, n = a[~same], b[~same], n[~same]
-            first = np.flatnonzero(_heads(a))
+            new = _heads(a, p, b)
+            a, p, b, n = a[new], p[new], b[new], n[new]
+            first = np.flatnonzero(_heads(a, p))
             size = np.diff(np.append(first, len(a)))
-            many = np.repeat(size > 1, size)
-            a, b, n = a[many], b[many], n[many]
+            many = np.repeat(size > 1, size) | (p >= 0)  # a part's column has more sets in other parts
+            a, p, b, n = a[many], p[many], b[many], n[many]
             if not len(a):
                 continue
             yield _rows(1, a, b, n, np.zeros(len(a), np.int32))
-            head = np.flatnonzero(_heads(a))
+            head = np.flatnonzero(_heads(a, p))
             tail = np.append(head[1:], len(a)) - 1
             for ends in (head, tail):
                 lead = np.repeat(ends, tail - head + 1)
@@ -171,7 +181,7 @@ def _shared_columns(rows: DataFrame, num: int, den: int) -> DataFrame:
                 pair = (lead != np.arange(len(a))) & (den * np.minimum(x, y) >= num * np.maximum(x, y))
                 yield _rows(2, b[lead[pair]], b[pair], n[lead[pair]], n[pair])
 
-    keyed = rows.select("a", "b", "n", "kind").repartition("a").sortWithinPartitions("a", "kind", "b")
+    keyed = rows.select("a", "p", "b", "n", "kind").repartition("a", "p").sortWithinPartitions("a", "p", "kind", "b")
     return keyed.mapInArrow(work, "kind byte, a long, b long, n int, m int")
 
 
@@ -241,7 +251,7 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int, blo
     return units.join(sets.hint("merge"), "sig").groupBy("component", "u").applyInArrow(run, "a long, b long, n long")
 
 
-def _cross(columns: DataFrame, reps: DataFrame, clusters: DataFrame, num: int, den: int, block: int = 256) -> DataFrame:
+def _cross(columns: DataFrame, reps: DataFrame, clusters: DataFrame, num: int, den: int, block: int = 256, wide: int = 256) -> DataFrame:
     """Rows (a, b, n, m, c) for the pairs of a column's sets (of ``reps``) of different clusters; the sum of c
     is the number of leading columns that a pair shares. A set of no cluster is one of its own.
 
@@ -249,19 +259,26 @@ def _cross(columns: DataFrame, reps: DataFrame, clusters: DataFrame, num: int, d
     none of them. Of a set's remaining columns, from those of few sets to those of many, all but the
     last ``_fewest`` - 1 lead: a pair that shares enough columns shares a leading one, and a column
     of many sets leads only where a set has little else. Leading columns are multiplied,
-    those of up to ``block`` sets side by side; pairs are dropped by their sizes and where the
-    clusters, which are settled, are the same.
+    those of up to ``block`` sets side by side; of one of more than ``wide`` sets each two blocks of
+    so many meet in a task of their own. Pairs are dropped by their sizes and where the clusters,
+    which are settled, are the same.
     """
     labels = reps.select(F.col("sig").alias("node")).join(clusters.select("node", F.col("component").alias("cluster")), "node", "left")
     known = stash(columns.join(labels, columns.b == labels.node).select("a", "b", "n", F.coalesce("cluster", "node").alias("cluster")), "columns")
     mixed = stash(known.groupBy("a").agg(F.min("cluster").alias("from"), F.max("cluster").alias("to"), F.count("*").alias("sets")).where("from <> to").select("a", "sets"), "mixed")
     last = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sets"), F.desc("a")))
-    leading = known.join(mixed, "a").withColumn("last", last).where(F.col("last") >= _fewest("n", num, den))
-    open_ = leading.select("a", "b", "n", "cluster").repartition("a").sortWithinPartitions("a", "n", "b")
+    leading = stash(known.join(mixed, "a").withColumn("last", last).where(F.col("last") >= _fewest("n", num, den)).select("a", "b", "n", "cluster"), "leading")
+    blocks = stash(leading.groupBy("a").agg(F.ceil(F.count("*") / wide).cast("int").alias("nb")), "blocks")
+    part = F.pmod(F.xxhash64("b"), F.col("nb")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    dealt = leading.join(blocks, "a").select("a", "b", "n", "cluster", part.alias("part"), other.alias("other"))
+    unit = F.col("a"), F.least("part", "other").alias("u"), F.greatest("part", "other").alias("v")
+    open_ = dealt.select(*unit, "b", "n", "cluster", "part").repartition("a", "u", "v").sortWithinPartitions("a", "u", "v", "n", "b")
 
     def work(batches):
-        for a, b, n, g in _runs(batches):
-            first = np.append(np.flatnonzero(_heads(a)), len(a))
+        for a, u, v, b, n, g, part in _runs(batches):
+            apart = u != v  # two blocks: pairs within either are in its own unit
+            first = np.append(np.flatnonzero(_heads(a, u, v)), len(a))
             size = np.repeat(np.diff(first), np.diff(first))
             end = np.repeat(first[1:], np.diff(first))
             got = []
@@ -269,7 +286,7 @@ def _cross(columns: DataFrame, reps: DataFrame, clusters: DataFrame, num: int, d
             for d in range(1, int(size[small].max()) if len(small) else 0):  # columns side by side, d rows apart
                 small = small[small + d < end[small]]
                 y = small + d
-                ok = (g[small] != g[y]) & (den * n[small].astype(np.int64) >= num * n[y].astype(np.int64))
+                ok = (g[small] != g[y]) & ~(apart[small] & (part[small] == part[y])) & (den * n[small].astype(np.int64) >= num * n[y].astype(np.int64))
                 got.append((small[ok], y[ok]))
                 small = small[den * n[small].astype(np.int64) >= num * n[y].astype(np.int64)]
                 if sum(len(x) for x, _ in got) > 1 << 18:
@@ -278,7 +295,7 @@ def _cross(columns: DataFrame, reps: DataFrame, clusters: DataFrame, num: int, d
             for lo, hi in zip(first, first[1:]):
                 for y in range(lo + 1, hi) if hi - lo > block else ():
                     start = lo + int(np.searchsorted(n[lo:hi], (num * int(n[y]) + den - 1) // den))
-                    x = start + np.flatnonzero(g[start:y] != g[y])
+                    x = start + np.flatnonzero((g[start:y] != g[y]) & ~(apart[y] & (part[start:y] == part[y])))
                     got.append((x, np.full(len(x), y)))
                     if sum(len(x) for x, _ in got) > 1 << 18:
                         yield from _pairs(got, b, n)
@@ -319,7 +336,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, threshold: tuple[int, int] = (4, 5), part: int = 4096, wide: int = 256) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, class_id, n_links), one for each input row.
 
     Sets of ``words``-word shingles are linked where their Jaccard similarity is at least
@@ -333,6 +350,8 @@ def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     common form clusters, whose part of the product is taken block by block with whole sets. Then only columns
     that hold several clusters are multiplied out between those, where they lead, overlaps are counted
     again, pairs below the bound are discarded, and the rest compared one by one. No pair within the bounds is left out.
+    A column of more than about ``part`` sets is dealt to several tasks, and one of more than ``wide``
+    is multiplied out block by block, so that no task holds a frequent column.
 
     Null or empty texts, and those of white space, have no shingles and stay alone. Repeated rows
     share a component; a set that only rows of null keys have is linked to no other, and a null key
@@ -340,7 +359,7 @@ def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     """
     num, den = threshold
     own = tagged(docs, text, key)
-    rows = _incidence(own, words, num, den, _frequent(own, words))
+    rows = _incidence(own, words, num, den, _frequent(own, words), part)
     made = stash(_shared_columns(rows, num, den), "columns", by="kind")
     members = made.where("kind in (0, 3)").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("sig"), "n")
     columns = made.where("kind = 1").select("a", "b", "n")
@@ -369,7 +388,7 @@ def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     # behind its leading columns a set has at most _fewest - 1 more in common with a partner
     behind = F.greatest(_fewest("n", num, den), _fewest("m", num, den)) - 1
     enough = F.col("count") + behind >= F.least(_least_column(F.col("n")), _least_column(F.col("m")))
-    crossed = stash(_cross(columns, reps, clusters, num, den).groupBy("a", "b", "n", "m").agg(F.sum("c").alias("count")).where(enough), "candidates")
+    crossed = stash(_cross(columns, reps, clusters, num, den, wide=wide).groupBy("a", "b", "n", "m").agg(F.sum("c").alias("count")).where(enough), "candidates")
     links = stash(_verified(crossed, sets, num, den), "links")
     named = reps.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
     labels = stash(components(inside.where("n is null").select("a", "b").unionByName(links).unionByName(named), "a", "b"), "labels")
@@ -377,7 +396,7 @@ def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     degree = each.groupBy("sig").agg(F.sum("n").alias("n_links"))
     firsts = labels.withColumnRenamed("node", "sig").join(classes, "sig", "right").select("sig", "doc_id", F.coalesce("component", "sig").alias("component"))
     firsts = stash(firsts, "classes")
-    lowest = firsts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    lowest = stash(firsts.groupBy("component").agg(F.min("doc_id").alias("component_id")), "lowest")
     known = stash(firsts.join(lowest, "component").join(degree, "sig", "left").select("sig", F.col("doc_id").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
     none = members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     some = members.where("n > 0").join(known, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
@@ -394,9 +413,11 @@ def drop_near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     rows, row = numbered(docs)
     parts = ngram_components(rows, text=text, key=row, words=words, threshold=threshold).select(F.col("doc_id").alias(row), "component_id")
     keys = rows.select(row, F.col(f"`{key}`").alias("key"))
-    best = parts.join(keys, row).groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", row)).alias("best"))
-    stays = stash(best.select(F.col(f"best.{row}").alias(row)), "kept-rows")
-    return rows.join(stays, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = stash(parts.join(keys, row), "named-rows")
+    best = named.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("key").isNull().alias("last"), "key", row)).alias("best")).where("n > 1")
+    best = stash(best, "best-rows")  # a join of two tables, whose large partitions Spark can split
+    gone = stash(named.join(best, "component_id").where(F.col(row) != F.col(f"best.{row}")).select(row), "dropped-rows")
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -28,7 +29,30 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='brigade-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _watched:
+        made.append(path)
+    return path
+
+
+_watched: list[list[str]] = []
+
+
+@contextmanager
+def folders():
+    """The list of the shared folders named while it is open."""
+    _watched.append(made := [])
+    try:
+        yield made
+    finally:
+        _watched[:] = [m for m in _watched if m is not made]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete shared folders that nothing reads any more."""
+    for p in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stash(df: DataFrame, name: str, by: str | None = None, codec: str = "snappy") -> DataFrame:

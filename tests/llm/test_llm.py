@@ -304,6 +304,10 @@ def test_ngram_join_shared_passages(spark):
     want = brute(rows_of := t.collect(), 4, 85, 100)
     assert len(rows_of) > len({c for _, c in want.values()}) > 20
     assert got == want
+    # the same when every column is dealt in parts and multiplied out by blocks
+    dealt = ngram_join.ngram_components(t, words=4, threshold=(85, 100), part=8, wide=5).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in dealt} == want
+    assert {r.doc_id: r.n_links for r in dealt} == {r.doc_id: r.n_links for r in ngram_join.ngram_components(t, words=4, threshold=(85, 100)).collect()}
 
 
 def test_ngram_join_edges(spark, odd, none):
