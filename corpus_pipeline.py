@@ -14,7 +14,7 @@ from brigade.llm.ngram_join import drop_near_copies
 from brigade.llm.packing import pack
 from brigade.llm.pii import pseudonymise, secret
 from brigade.llm.quality import keep_good
-from brigade.llm.shared import documents, stash
+from brigade.llm.shared import discard, documents, folders, stash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return stash(STAGES[-1][1](spark, docs, sf_dir), "pipeline-packed")
+    """The rows of the last stage. What a stage has read or kept aside is deleted when its own rows are
+    written, so the shared folder holds the working data of one stage at a time."""
+    docs, before = documents(spark, sf_dir), []
+    for name, stage in STAGES:
+        with folders() as made:
+            docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, before + made[:-1])  # the last one is the stage's own
+        before = made[-1:]
+    return docs
