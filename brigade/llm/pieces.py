@@ -115,14 +115,16 @@ class Pieces:
             if len(starts) == e + 2 - base:  # settled: only a higher sum changes it
                 if ranked or best[k] + self.score[self.names[piece]] <= best[-1]:
                     continue
-                starts.pop(), ids.pop(), best.pop()
+                for held in (starts, ids, best):
+                    held.pop()
             elif ranked:
                 found = pairs.get((ids[k] + 1) * stride + piece)
                 if not (follows(ids[k], piece) if found is None else found):
                     continue
             starts.append(e + 1 - n)
             ids.append(piece)
-            best.append(0.0 if ranked else best[k] + self.score[self.names[piece]])
+            if not ranked:
+                best.append(best[k] + self.score[self.names[piece]])
             if len(starts) > hold and len(starts) % hold == 1:
                 meet = self._meet(starts, base)
                 if meet > base:
@@ -133,12 +135,38 @@ class Pieces:
             self._lost(text, base, starts, ids, best)
         yield from self._path(text, starts, ids, base, len(text))
 
+    def _short(self, text: str) -> list[int]:
+        """viterbi for a short text of a model of merges, where nothing needs to be committed early."""
+        whole = self.id.get(text)
+        if whole is not None and self._follows(-1, whole):
+            return [whole]
+        starts, ids = [0], [-1]
+        pairs, stride = self.pairs, 2 * LOST
+        settled = 0
+        for e, (n, piece) in self.machine.iter(text):
+            if settled > e:
+                continue
+            while settled < e:
+                self._lost(text, 0, starts, ids, [])
+                settled += 1
+            before = ids[e + 1 - n]
+            found = pairs.get((before + 1) * stride + piece)
+            if self._follows(before, piece) if found is None else found:
+                starts.append(e + 1 - n)
+                ids.append(piece)
+                settled = e + 1
+        while settled < len(text):
+            self._lost(text, 0, starts, ids, [])
+            settled += 1
+        return list(self._path(text, starts, ids, 0, len(text)))
+
     def _lost(self, text, base, starts, ids, best):
         """Settle the next boundary by a character without a piece."""
         at = base + len(starts) - 1
         starts.append(at)
         ids.append(LOST + ord(text[at]))
-        best.append(0.0 if self.merges else best[-1] + self.lost)
+        if not self.merges:
+            best.append(best[-1] + self.lost)
 
     def _meet(self, starts, base) -> int:
         """The last boundary that the paths from all boundaries still within reach have in common."""
@@ -167,7 +195,7 @@ class Pieces:
             self.odd.clear()
         long = {}
         for part in set(parts).difference(cache):
-            ids = array("I", self.viterbi(part))
+            ids = array("I", self._short(part) if self.merges and len(part) <= 48 else self.viterbi(part))
             (cache if len(part) <= 48 else long)[part] = ids.tobytes()
             if self.plain(ids) != part:
                 self.odd.add(part)
