@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 import zlib
 from array import array
@@ -38,7 +40,7 @@ class Pieces:
     A character that no piece covers becomes its UTF-8 bytes' pieces, or the unknown id.
     """
 
-    def __init__(self, path: str, cache: int = 400_000, merges: bool | None = None):
+    def __init__(self, path: str, cache: int = 1_500_000, merges: bool | None = None):
         import ahocorasick
         import sentencepiece
 
@@ -70,20 +72,25 @@ class Pieces:
         self.odd: set[str] = set()
         self.most = cache
 
-    def merged(self, text: str) -> list[str]:
-        """The symbols left of a short text when the neighbours of the highest score have merged, the
-        first ones of equal score, as often as any two can."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def together(self, x: str, y: str) -> bool:
+        """Whether merging the characters of ``x`` and ``y`` gives these two symbols: neighbours of the highest
+        score merge, the first ones of equal score, as often as any two can. ``x`` may be empty."""
+        parts, edge = [*x, *y], len(x)  # so many symbols are before the edge between the two
+        score, none = self.score.get, -math.inf
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            i = scores.index(best)
+            if i == edge - 1:
+                return False
+            if i < edge:
+                edge -= 1
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1], none)
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i], none)
+        return len(parts) == (2 if x else 1)
 
     def _name(self, i: int) -> str:
         return chr(i - LOST) if i >= LOST else self.names[i]
@@ -96,7 +103,7 @@ class Pieces:
             if len(self.pairs) >= 1 << 20:
                 self.pairs.clear()
             x, y = self._name(a) if a >= 0 else "", self._name(b)
-            found = self.pairs[key] = self.merged(x + y) == ([x, y] if x else [y])
+            found = self.pairs[key] = self.together(x, y)
         return found
 
     def viterbi(self, text: str, hold: int = 256):
@@ -135,30 +142,52 @@ class Pieces:
             self._lost(text, base, starts, ids, best)
         yield from self._path(text, starts, ids, base, len(text))
 
-    def _short(self, text: str) -> list[int]:
-        """viterbi for a short text of a model of merges, where nothing needs to be committed early."""
-        whole = self.id.get(text)
-        if whole is not None and self._follows(-1, whole):
-            return [whole]
-        starts, ids = [0], [-1]
-        pairs, stride = self.pairs, 2 * LOST
-        settled = 0
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """viterbi for many short texts of a model of merges, one after another in one pass: nothing needs to
+        be committed early, and no piece crosses the character between two of them."""
+        text = "\0".join(words)
+        ids, starts = [-2] * (len(text) + 1), [0] * (len(text) + 1)  # -2: not settled
+        at = 0
+        for w in words:
+            ids[at] = -1
+            at += len(w) + 1
+        follows, pairs, stride = self._follows, self.pairs, 2 * LOST
         for e, (n, piece) in self.machine.iter(text):
-            if settled > e:
+            if ids[e + 1] != -2:
                 continue
-            while settled < e:
-                self._lost(text, 0, starts, ids, [])
-                settled += 1
-            before = ids[e + 1 - n]
+            begin = e + 1 - n
+            before = ids[begin]
+            if before == -2:
+                before = self._fill(text, ids, starts, begin)
             found = pairs.get((before + 1) * stride + piece)
-            if self._follows(before, piece) if found is None else found:
-                starts.append(e + 1 - n)
-                ids.append(piece)
-                settled = e + 1
-        while settled < len(text):
-            self._lost(text, 0, starts, ids, [])
-            settled += 1
-        return list(self._path(text, starts, ids, 0, len(text)))
+            if follows(before, piece) if found is None else found:
+                ids[e + 1] = piece
+                starts[e + 1] = begin
+        out, at = [], 0
+        for w in words:
+            end, got = at + len(w), []
+            while end > at:
+                i = ids[end]
+                if i == -2:
+                    i = self._fill(text, ids, starts, end)
+                if i < LOST:
+                    got.append(i)
+                else:
+                    got += [self.bytes.get(x, self.unknown) for x in reversed(chr(i - LOST).encode())]
+                end = starts[end]
+            got.reverse()
+            out.append(got)
+            at += len(w) + 1
+        return out
+
+    def _fill(self, text, ids, starts, at) -> int:
+        """Settle a boundary, and those before it, by characters without a piece."""
+        first = at
+        while ids[first - 1] == -2:
+            first -= 1
+        for i in range(first, at + 1):
+            ids[i], starts[i] = LOST + ord(text[i - 1]), i - 1
+        return ids[at]
 
     def _lost(self, text, base, starts, ids, best):
         """Settle the next boundary by a character without a piece."""
@@ -193,13 +222,17 @@ class Pieces:
         if len(cache) >= self.most:
             cache.clear()
             self.odd.clear()
+        new = set(parts).difference(cache)
+        if not new:
+            return [cache[x] for x in parts]
+        short = [x for x in new if len(x) <= 48 and "\0" not in x] if self.merges else []
         long = {}
-        for part in set(parts).difference(cache):
-            ids = array("I", self._short(part) if self.merges and len(part) <= 48 else self.viterbi(part))
+        for part, ids in itertools.chain(zip(short, self._words(short)), ((x, self.viterbi(x)) for x in new.difference(short))):
+            ids = array("I", ids)
             (cache if len(part) <= 48 else long)[part] = ids.tobytes()
             if self.plain(ids) != part:
                 self.odd.add(part)
-        return [cache[x] for x in parts] if not long else [cache[x] if x in cache else long[x] for x in parts]
+        return [cache[x] if x in cache else long[x] for x in parts] if long else [cache[x] for x in parts]
 
     def split(self, text: str) -> list[str]:
         return self.apart.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -230,7 +263,7 @@ class Pieces:
 
 @lru_cache(maxsize=1)
 def pieces(path: str) -> Pieces:
-    """One set of pieces for each Python worker; its cache of parts is bounded."""
+    """One set of pieces for each Python worker; its cache of parts is bounded, at about 350 MB."""
     return Pieces(path)
 
 
