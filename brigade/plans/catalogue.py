@@ -185,7 +185,9 @@ def aisle(spark, sf_dir):
 
 @query(f"SELECT coalesce(aisle, 'none') AS aisle, count(*) AS n, sum(quantity) AS quantity FROM ({syn.LINES}) GROUP BY ALL")
 def aisle_counts(spark, sf_dir):
-    x = syn.lines(spark, sf_dir).select(ingredients.parse_ingredient(F.col("line")).alias("i")).select("i.quantity", classify.aisle(F.col("i.name")).alias("aisle"))
+    # the lines' table may be one split, and parsing is work on each line
+    spread = syn.lines(spark, sf_dir).select("recipe_id", "line").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "recipe_id")
+    x = spread.select(ingredients.parse_ingredient(F.col("line")).alias("i")).select("i.quantity", classify.aisle(F.col("i.name")).alias("aisle"))
     return x.groupBy(F.coalesce("aisle", F.lit("none")).alias("aisle")).agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
 
 def _names(spark, sf_dir):

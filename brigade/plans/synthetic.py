@@ -100,6 +100,8 @@ def recipe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, html, layout): JSON-LD plain, in a graph, with a type array; microdata; both; neither."""
     r = sql(spark, sf_dir, RECIPES)
     ing = lines(spark, sf_dir).groupBy("recipe_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
+    # orders come in one split, and what follows is work on each page
+    r = r.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     p = r.join(ing, r.id == ing.recipe_id, "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
     text = {0: "Préparer. Cuire 10 min. Servir.", 2: "Préparer\n2) Cuire 1 h 20\nServir"}
     both = F.array(F.struct(F.lit("HowToStep").alias("@type"), F.lit("1. Mélanger").alias("text")), F.struct(F.lit("HowToStep").alias("@type"), F.lit("Cuire 1 h 20").alias("text")))
