@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, kneser_ney, ngram_join, packing, pieces, pii, quality, token_count, topk, training_order
+from . import exact_dedup, kneser_ney, licences, ngram_join, packing, pieces, pii, quality, token_count, topk, training_order, whitening
 
 QUERIES = {
     "op1_pii_pseudonyms": pii.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_packing": packing.query,
     "op10_quality_classifier": quality.query,
+    "op11_embedding_whitening": whitening.query,
+    "op12_license_scans": licences.query,
 }
 
 ORACLES: dict[str, str] = {
