@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, kneser_ney, licences, ngram_join, packing, pieces, pii, quality, token_count, topk, training_order, whitening
+from . import alignment, exact_dedup, kneser_ney, licences, ngram_join, packing, pieces, pii, quality, token_count, topk, training_order, whitening
 
 QUERIES = {
     "op1_pii_pseudonyms": pii.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_classifier": quality.query,
     "op11_embedding_whitening": whitening.query,
     "op12_license_scans": licences.query,
+    "op13_tokenizer_alignment": alignment.query,
 }
 
 ORACLES: dict[str, str] = {
