@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -14,19 +16,26 @@ from pyspark.sql import functions as F
 from . import bpe, pieces
 from .shared import byte_batches, documents, stash
 
-#: Events are kept in runs: the ends, as 16-bit distances from ``at``, and ids of one side's tokens that end in a stretch of the text.
-EVENTS = "row long, doc_id long, at long, side int, ends binary, ids binary"
+#: Events are kept in runs: ``ids`` (compressed) are tokens of one side one after another, the first of
+#: which begins at ``at``; where each ends follows from its bytes.
+EVENTS = "row long, doc_id long, at long, side int, ids binary"
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, last boolean, whole boolean, pairs array<long>, times array<long>"
+#: A run's tokens end in one stretch of so many bytes of the text.
 _STRETCH = 1 << 15
-#: Ids are below this.
+#: Ids are below 1 << this.
 _IDS = 21
-_MASK = (1 << _IDS) - 1
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 class Tokenizers:
-    """Ids of both sides with special strings as plain text, and the bytes of each id."""
+    """Ids of both sides with special strings as plain text, and the bytes of each id.
 
-    def __init__(self, a: str, b: str):
+    Both sides have a boundary before a single space, and before a single newline, between two
+    characters that aren't white space. What stands between such places is encoded once and kept,
+    if it's short, in a cache that is bounded by its entries.
+    """
+
+    def __init__(self, a: str, b: str, cache: int = 700_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -41,74 +50,127 @@ class Tokenizers:
         self.own = Tokenizer.from_file(a)
         self.own.encode_special_tokens = True
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=b)
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(pieces.MARK, " ").encode() for i, p in ((i, sp.id_to_piece(i)) for i in range(sp.vocab_size()))]
+        names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(pieces.MARK, " ").encode() for i, p in enumerate(names)]
         self.lengths = [np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
+        self.kind = np.dtype("<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4")
+        marks = not any(pieces.MARK in p.lstrip(pieces.MARK) for p in names)
+        lines = not any("\n" in p for p in names)
+        apart = " " * marks + "\n" * lines
+        # white space that isn't one character of `apart` binds what stands around it together
+        self.units = re.compile(rf"\s+\S+(?:(?:\s{{2,}}|[^\S{apart}])\S+)*(?:\s+\Z)?|\s+|\S+" if apart else r"(?s).+")
+        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
+        self.most = cache
+
+    def _new(self, units: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Ids of both sides for units, None where the bytes of either differ. Units that have boundaries
+        on both ends wherever they stand are encoded as one text, the others one by one."""
+        plain, other = [], []
+        for u in units:
+            (plain if u[0] in " \n" and len(u) < 4096 and not u[1:2].isspace() and not u[-1].isspace() else other).append(u)
+        out = self._joined(plain) if plain else {}
+        for u in other:
+            # the fast engine's time grows with the square of a run
+            a = self.own.encode(u, add_special_tokens=False).ids if bpe._RUN.search(u) else self.fast.encode_ordinary(u)
+            b = self.sp.encode(u[1:]) if u[0] == " " else self.sp.encode(u)[1:]
+            raw = u.encode()
+            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+            out[u] = (np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()) if same else None
+        return out
+
+    def _joined(self, units: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        units = [" .", *units]  # the first begins with a space, as each text does
+        text = "".join(units)
+        found = self.fast.encode_ordinary(text), self.sp.encode(text[1:])
+        raw = text.encode()
+        if len(units) > 2 and not all(b"".join(map(side.__getitem__, ids)) == raw for side, ids in zip((self.a_bytes, self.b_bytes), found)):
+            half = len(units) // 2 + 1  # one of them isn't given back: look for it
+            return self._joined(units[1:half]) | self._joined(units[half:])
+        if len(units) == 2 and not all(b"".join(map(side.__getitem__, ids)) == raw for side, ids in zip((self.a_bytes, self.b_bytes), found)):
+            return {units[1]: None}
+        bounds = np.cumsum([len(u.encode()) for u in units])
+        cuts = []
+        for ids, lengths in zip(found, self.lengths):
+            ids = np.array(ids, self.kind)
+            at = np.searchsorted(np.cumsum(lengths[ids]), bounds, "right").tolist()
+            cuts.append([ids[i:j].tobytes() for i, j in zip(at, at[1:])])
+        return dict(zip(units[1:], zip(*cuts)))
 
     def encode(self, sections: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both sides for sections that each begin with a space, None where the bytes of either differ."""
-        odd = [i for i, s in enumerate(sections) if len(s) >= 4096 and bpe._RUN.search(s)]  # the fast engine's time grows with the square of a run
-        found = dict(zip(odd, (e.ids for e in self.own.encode_batch([sections[i] for i in odd], add_special_tokens=False))))
-        rest = [i for i in range(len(sections)) if i not in found]
-        found |= zip(rest, self.fast.encode_ordinary_batch([sections[i] for i in rest], num_threads=1))
+        """Ids of both sides for sections that each begin with white space at a boundary of both, None
+        where the bytes of either differ."""
+        split = [self.units.findall(s) for s in sections]
+        cache = self.cache
+        new = set().union(*split).difference(cache)
+        if new:
+            if len(cache) + len(new) > self.most:
+                cache.clear()
+                new = set().union(*split)
+            got = self._new(list(new))
+            long = {u: x for u, x in got.items() if len(u) > 64}
+            cache.update((u, x) for u, x in got.items() if len(u) <= 64)
+        else:
+            long = {}
         out = []
-        for i, b in enumerate(self.sp.encode([s[1:] for s in sections], num_threads=1)):
-            raw, a = sections[i].encode(), found[i]
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else None)
+        for units in split:
+            got = [cache[u] if u in cache else long[u] for u in units] if long else [cache[u] for u in units]
+            out.append(None if None in got else tuple(np.frombuffer(b"".join([x[side] for x in got]), self.kind) for side in (0, 1)))
         return out
 
+    def runs(self, side: int, ids: np.ndarray, start: int):
+        """(at, side, ids) of a section's tokens, whose bytes begin at ``start``, stretch by stretch."""
+        lengths = self.lengths[side][ids]
+        ends = start + np.cumsum(lengths)
+        stretch = (ends - 1) // _STRETCH
+        cuts = np.flatnonzero(np.diff(stretch)) + 1
+        for i, j in zip([0, *cuts], [*cuts, len(ids)]):
+            if j > i:
+                yield int(ends[i] - lengths[i]), side, ids[i:j]
+
 
 @lru_cache(maxsize=1)
 def tokenizers(a: str, b: str) -> Tokenizers:
     return Tokenizers(a, b)
 
 
-def _binary(parts: list[np.ndarray], kind) -> pa.Array:
-    return pa.array([p.astype(kind).tobytes() for p in parts], pa.binary())
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as bytes: their size, then compressed."""
+    raw = ids.tobytes()
+    return struct.pack("<I", len(raw)) + _CODEC.compress(raw, asbytes=True)
 
 
-def _runs(side: int, ids: np.ndarray, lengths: np.ndarray, start: int):
-    """(at, side, ends, ids) of a section's tokens, whose bytes begin at ``start``, stretch by stretch."""
-    ends = start + np.cumsum(lengths[ids])
-    stretch = (ends - 1) // _STRETCH
-    cuts = np.flatnonzero(np.diff(stretch)) + 1
-    for i, j in zip([0, *cuts], [*cuts, len(ids)]):
-        if j > i:
-            at = max(start, int(stretch[i]) * _STRETCH)
-            yield at, side, ends[i:j] - 1 - at, ids[i:j]
+def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    (size,) = struct.unpack_from("<I", data)
+    return np.frombuffer(_CODEC.decompress(data[4:], size, asbytes=True) if size else b"", kind).astype(np.int64)
 
 
 def token_events(docs: DataFrame, *, text: str = "text", key: str = "doc_id", a: str | None = None, b: str | None = None, section: int = 1 << 20) -> DataFrame:
     """The end events of both tokenizers' tokens over a space and the text, a few runs for each row.
 
-    Rows are told apart by ``row``. A text is encoded in sections cut where both tokenizers have a
-    boundary; one of many sections is encoded once to compare its bytes and once for its events, so
-    that only a section is held. A row without tokens has one empty run.
+    Rows are told apart by ``row``. A long text is encoded in sections cut where both tokenizers have a
+    boundary, once to compare its bytes and once for its events, so that only a section is held. A row
+    without tokens has one empty run.
     """
     paths = a or bpe.default_path(), b or pieces.default_path()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
-    def events(tok, sections):
-        """(at, side, ends, ids) of one text, or nothing where its bytes differ."""
-        if len(sections) > 4 and not all(tok.encode([s])[0] is not None for s in sections):
-            return
-        held = tok.encode(sections) if len(sections) <= 4 else (tok.encode([s])[0] for s in sections)
-        if len(sections) <= 4 and any(h is None for h in held):
-            return
-        start = 0
-        for a_ids, b_ids in held:
-            yield from _runs(0, a_ids, tok.lengths[0], start)
-            yield from _runs(1, b_ids, tok.lengths[1], start)
-            start += int(tok.lengths[0][a_ids].sum())
+    def long(tok, text):
+        """The runs of one long text, or none where its bytes differ."""
+        if all(tok.encode([s])[0] is not None for s in bpe.safe_pieces(text, section)):
+            start = 0
+            for s in bpe.safe_pieces(text, section):
+                found = tok.encode([s])[0]
+                for side in (0, 1):
+                    yield from tok.runs(side, found[side], start)
+                start += len(s.encode())
 
     def batch(rows):
         cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), _binary(cols[4], "<u2"), _binary(cols[5], "<i4")], names=[f.split()[0] for f in EVENTS.split(", ")])
-
-    none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.int32()), pa.array(map(packed, cols[4]), pa.binary())], names=[f.split()[0] for f in EVENTS.split(", ")])
 
     def run(batches):
         tok = tokenizers(*paths)
+        none = np.zeros(0, tok.kind)
         for whole in batches:
             for b in byte_batches(whole, most=2 << 20):
                 out, size = [], 0
@@ -118,19 +180,19 @@ def token_events(docs: DataFrame, *, text: str = "text", key: str = "doc_id", a:
                 for i, (row, doc, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts)):
                     if i in ready:
                         found = ready.pop(i)
-                        got = [] if found is None else [r for side in (0, 1) for r in _runs(side, found[side], tok.lengths[side], 0)]
+                        got = [] if found is None else [r for side in (0, 1) for r in tok.runs(side, found[side], 0)]
                     else:
-                        got = events(tok, list(bpe.safe_pieces(" " + t, section))) if t else []
-                    any_ = False
-                    for at, side, ends, ids in got:
-                        any_ = True
-                        out.append((row, doc, at, side, ends, ids))
+                        got = long(tok, " " + t) if t else []
+                    empty = True
+                    for at, side, ids in got:
+                        empty = False
+                        out.append((row, doc, at, side, ids))
                         size += len(ids)
                         if size > 1 << 20:
                             yield batch(out)
                             out, size = [], 0
-                    if not any_:
-                        out.append((row, doc, 0, 0, none, none))
+                    if empty:
+                        out.append((row, doc, 0, 0, none))
                 if out:
                     yield batch(out)
 
@@ -180,12 +242,13 @@ class Sweep:
     Between two calls it holds the last document's open group, counts and hash, and at most about
     ``hold`` of its distinct pairs."""
 
-    def __init__(self, hold: int = 1 << 21, products: int = 1 << 21):
+    def __init__(self, lengths: list[np.ndarray], hold: int = 1 << 21, products: int = 1 << 21):
         self.doc: _Document | None = None
+        self.lengths = lengths
         self.hold, self.products = hold, products
         self.digits, self.count = _digits(1 << 16)
 
-    def feed(self, rows, doc_ids, ats, sides, ends, ids):
+    def feed(self, rows, doc_ids, ats, sides, ids):
         """Yield the records of documents that are over, or have too many pairs to hold."""
         change = np.flatnonzero(np.diff(rows)) + 1
         firsts = np.concatenate([[0], change])
@@ -199,15 +262,19 @@ class Sweep:
         keys, tokens, new = [], [], []
         for side in (0, 1):
             mine = np.flatnonzero(sides == side)
-            e = [np.frombuffer(ends[i], "<u2").astype(np.int64) for i in mine]
-            t = [np.frombuffer(ids[i], "<i4").astype(np.int64) for i in mine]
+            t = [ids[i] for i in mine if len(ids[i])]
+            mine = np.array([i for i in mine if len(ids[i])], np.int64)
             sizes = np.array([len(x) for x in t], np.int64)
+            t = np.concatenate(t) if t else np.zeros(0, np.int64)
             owner = np.repeat(ordinal[mine], sizes)
-            key = (owner << 42) + (np.concatenate(e) if e else np.zeros(0, np.int64)) + np.repeat(ats[mine], sizes) + 1
+            total = np.cumsum(self.lengths[side][t])
+            before = np.concatenate([[0], total[np.cumsum(sizes)[:-1] - 1]]) if len(mine) else np.zeros(0, np.int64)
+            key = total + np.repeat((ordinal[mine] << 42) + ats[mine] - before, sizes)
             new.append(np.bincount(owner, minlength=len(docs)))
             keys.append(np.concatenate([docs[0].open[side][0], key]))  # the open group is of document 0
-            tokens.append(np.concatenate([docs[0].open[side][1], *t]))
-        common = np.intersect1d(keys[0], keys[1])
+            tokens.append(np.concatenate([docs[0].open[side][1], t]))
+        at = np.searchsorted(keys[1], keys[0])  # both rise
+        common = keys[0][np.append(keys[1], -1)[at] == keys[0]]
         of = common >> 42
         group = []
         for side in (0, 1):
@@ -305,7 +372,7 @@ class Sweep:
             self.doc = None
 
 
-def sweep(events: DataFrame, *, hold: int = 1 << 21) -> DataFrame:
+def sweep(events: DataFrame, *, a: str | None = None, b: str | None = None, hold: int = 1 << 21) -> DataFrame:
     """Groups and links of documents from the end events of two tokenizers, by documents and offset.
 
     Rows of ALIGNED: the last one of each document has its counts and the hash of its groups. ``pairs``
@@ -313,6 +380,7 @@ def sweep(events: DataFrame, *, hold: int = 1 << 21) -> DataFrame:
     rows, which aren't ``whole``. What follows the last common end is in no group.
     """
     order = events.repartition("row").sortWithinPartitions("row", "at", "side")
+    paths = a or bpe.default_path(), b or pieces.default_path()
 
     def batch(records):
         cols = list(zip(*records))
@@ -323,12 +391,13 @@ def sweep(events: DataFrame, *, hold: int = 1 << 21) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in ALIGNED.split(", ")])
 
     def run(batches):
-        machine = Sweep(hold)
+        tok = tokenizers(*paths)
+        machine = Sweep(tok.lengths, hold)
         for b in batches:
-            for part in byte_batches(b, "ends", most=1 << 19):
+            for part in byte_batches(b, "ids", most=1 << 20):
                 rows, ats, sides = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
                 held, size = [], 0
-                for r in machine.feed(rows, part.column(1).to_pylist(), ats, sides, part.column(4).to_pylist(), part.column(5).to_pylist()):
+                for r in machine.feed(rows, part.column(1).to_pylist(), ats, sides, [unpacked(x, tok.kind) for x in part.column(4).to_pylist()]):
                     held.append(r)
                     size += len(r[9])
                     if size > 1 << 20:
@@ -366,9 +435,9 @@ def align(docs: DataFrame, *, text: str = "text", key: str = "doc_id", a: str |
     that most documents hold is split by the adaptive join. Extra columns are ignored, whatever their
     names; an empty table gives an empty result.
     """
-    aligned = stash(sweep(token_events(docs, text=text, key=key, a=a, b=b, section=section), hold=hold), "aligned", codec="zstd")
+    aligned = stash(sweep(token_events(docs, text=text, key=key, a=a, b=b, section=section), a=a, b=b, hold=hold), "aligned", codec="zstd", tidy=True)
     links = linked(aligned)
-    counts = stash(pair_counts(links), "pair-counts")
+    counts = stash(pair_counts(links), "pair-counts", tidy=True)
     sums = links.join(counts, "pair").groupBy("row").agg(F.sum(F.col("times") * F.col("held")).alias("count_sum"), F.sum(F.when(F.col("held") == F.col("best"), F.col("times")).otherwise(F.lit(0))).alias("n_best"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     done = aligned.where("last").select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")

@@ -11,6 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -55,12 +56,21 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stash(df: DataFrame, name: str, by: str | None = None, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
+def stash(df: DataFrame, name: str, by: str | None = None, codec: str = "snappy", tidy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors.
+    ``tidy``: what the write has shuffled is deleted when it's done."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
     writer = df.write.partitionBy(by) if by else df.write
-    writer.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    if tidy:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.option("compression", codec).parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:

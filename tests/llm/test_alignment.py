@@ -93,23 +93,23 @@ def test_machine_holds_only_the_open_group():
         runs, want = [], {}
         for row in range(random.randint(1, 6)):
             sides = [sorted(random.sample(range(1, 400), random.randint(0, 120))) + [400] * (random.random() < 0.9) for _ in (0, 1)]
-            sides = [[(e, random.randint(0, 9)) for e in s] for s in sides]
+            sides = [[(e, 10 * (e - b) + random.randint(0, 9)) for b, e in zip([0, *s], s)] for s in sides]  # ids tell lengths
             groups = groups_of(*sides)
             want[row] = (len(sides[0]), len(sides[1]), len(groups), sum(len(p) * len(q) for p, q in groups), collections.Counter((x, y) for p, q in groups for x in p for y in q), ";".join(f"{','.join(map(str, p))}|{','.join(map(str, q))}" for p, q in groups))
-            mine = [(row, 0, 0, [], [])]
+            mine = [(row, 0, 0, [])]
             for side in (0, 1):
                 for at in range(0, 401, 50):
                     part = [(e, i) for e, i in sides[side] if at < e <= at + 50]
                     if part:
-                        mine.append((row, at, side, [e - 1 - at for e, _ in part], [i for _, i in part]))
+                        mine.append((row, part[0][0] - part[0][1] // 10, side, [i for _, i in part]))
             runs += sorted(mine, key=lambda r: r[:3])
-        machine = alignment.Sweep(hold=random.choice([4, 1 << 21]), products=random.choice([3, 1 << 21]))
+        machine = alignment.Sweep([np.arange(5000) // 10] * 2, hold=random.choice([4, 1 << 21]), products=random.choice([3, 1 << 21]))
         got, pairs, at = {}, collections.defaultdict(collections.Counter), 0
         records = []
         while at < len(runs):
             n = random.randint(1, 9)
             part, at = runs[at : at + n], at + n
-            records += machine.feed(np.array([r[0] for r in part]), [r[0] for r in part], np.array([r[1] for r in part]), np.array([r[2] for r in part]), [np.array(r[3], "<u2").tobytes() for r in part], [np.array(r[4], "<i4").tobytes() for r in part])
+            records += machine.feed(np.array([r[0] for r in part]), [r[0] for r in part], np.array([r[1] for r in part]), np.array([r[2] for r in part]), [np.array(r[3], np.int64) for r in part])
         records += machine.close()
         for row, _, n_a, n_b, n_groups, n_links, sha, last, whole, p, times in records:
             for x, n in zip(p.tolist(), times.tolist()):
