@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import struct
@@ -31,8 +32,8 @@ class Tokenizers:
     """Ids of both sides with special strings as plain text, and the bytes of each id.
 
     Both sides have a boundary before a single space, and before a single newline, between two
-    characters that aren't white space. What stands between such places is encoded once and kept,
-    if it's short, in a cache that is bounded by its entries.
+    characters that aren't white space. What stands between such places is encoded once and kept in
+    a cache that is bounded by its entries and their characters.
     """
 
     def __init__(self, a: str, b: str, cache: int = 700_000):
@@ -59,62 +60,90 @@ class Tokenizers:
         apart = " " * marks + "\n" * lines
         # white space that isn't one character of `apart` binds what stands around it together
         self.units = re.compile(rf"\s+\S+(?:(?:\s{{2,}}|[^\S{apart}])\S+)*(?:\s+\Z)?|\s+|\S+" if apart else r"(?s).+")
-        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
         self.most = cache
+        self._clear()
 
-    def _new(self, units: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Ids of both sides for units, None where the bytes of either differ. Units that have boundaries
-        on both ends wherever they stand are encoded as one text, the others one by one."""
+    def _new(self, units: list[str]) -> None:
+        """Take units up into the cache: those that have boundaries on both ends wherever they stand are
+        encoded as one text, the others one by one."""
         plain, other = [], []
         for u in units:
             (plain if u[0] in " \n" and len(u) < 4096 and not u[1:2].isspace() and not u[-1].isspace() else other).append(u)
-        out = self._joined(plain) if plain else {}
+        if plain:
+            self._joined(plain)
         for u in other:
             # the fast engine's time grows with the square of a run
             a = self.own.encode(u, add_special_tokens=False).ids if bpe._RUN.search(u) else self.fast.encode_ordinary(u)
             b = self.sp.encode(u[1:]) if u[0] == " " else self.sp.encode(u)[1:]
-            raw = u.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            out[u] = (np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()) if same else None
-        return out
+            if self._same((a, b), u):
+                self._add([u], [[np.array(x, self.kind)] for x in (a, b)])
+            else:
+                self.cache[u] = -1
 
-    def _joined(self, units: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        units = [" .", *units]  # the first begins with a space, as each text does
-        text = "".join(units)
-        found = self.fast.encode_ordinary(text), self.sp.encode(text[1:])
+    def _same(self, found, text: str) -> bool:
         raw = text.encode()
-        if len(units) > 2 and not all(b"".join(map(side.__getitem__, ids)) == raw for side, ids in zip((self.a_bytes, self.b_bytes), found)):
-            half = len(units) // 2 + 1  # one of them isn't given back: look for it
-            return self._joined(units[1:half]) | self._joined(units[half:])
-        if len(units) == 2 and not all(b"".join(map(side.__getitem__, ids)) == raw for side, ids in zip((self.a_bytes, self.b_bytes), found)):
-            return {units[1]: None}
-        bounds = np.cumsum([len(u.encode()) for u in units])
-        cuts = []
+        return all(b"".join(map(side.__getitem__, ids)) == raw for side, ids in zip((self.a_bytes, self.b_bytes), found))
+
+    def _add(self, units: list[str], found) -> None:
+        first = len(self.bounds[0]) - 1
+        self.cache.update(zip(units, range(first, first + len(units))))
+        self.held += sum(map(len, units))
+        for side in (0, 1):
+            sizes = np.array([len(x) for x in found[side]], np.int64)
+            self.bounds[side] = np.concatenate([self.bounds[side], self.bounds[side][-1] + np.cumsum(sizes)])
+            self.ids[side] = np.concatenate([self.ids[side], *found[side]])
+
+    def _joined(self, units: list[str]) -> None:
+        text = " ." + "".join(units)  # it begins with a space, as each text does
+        found = self.fast.encode_ordinary(text), self.sp.encode(text[1:])
+        if not self._same(found, text):
+            if len(units) == 1:
+                self.cache[units[0]] = -1
+            else:  # one of them isn't given back: look for it
+                self._joined(units[: len(units) // 2])
+                self._joined(units[len(units) // 2 :])
+            return
+        bounds = 2 + np.cumsum([0, *(len(u.encode()) for u in units)])
+        out = []
         for ids, lengths in zip(found, self.lengths):
             ids = np.array(ids, self.kind)
-            at = np.searchsorted(np.cumsum(lengths[ids]), bounds, "right").tolist()
-            cuts.append([ids[i:j].tobytes() for i, j in zip(at, at[1:])])
-        return dict(zip(units[1:], zip(*cuts)))
+            at = np.searchsorted(np.cumsum(lengths[ids]), bounds, "right")
+            out.append([ids[i:j] for i, j in zip(at, at[1:])])
+        self._add(units, out)
+
+    def _clear(self) -> None:
+        self.cache: dict[str, int] = {}  # a unit's number among those kept; -1: its bytes differ
+        self.ids = [np.zeros(0, self.kind)] * 2
+        self.bounds = [np.zeros(1, np.int64)] * 2
+        self.held = 0
 
     def encode(self, sections: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides for sections that each begin with white space at a boundary of both, None
         where the bytes of either differ."""
         split = [self.units.findall(s) for s in sections]
-        cache = self.cache
-        new = set().union(*split).difference(cache)
+        new = set().union(*split).difference(self.cache)
         if new:
-            if len(cache) + len(new) > self.most:
-                cache.clear()
+            if len(self.cache) + len(new) > self.most or self.held > 32 << 20:
+                self._clear()
                 new = set().union(*split)
-            got = self._new(list(new))
-            long = {u: x for u, x in got.items() if len(u) > 64}
-            cache.update((u, x) for u, x in got.items() if len(u) <= 64)
-        else:
-            long = {}
-        out = []
-        for units in split:
-            got = [cache[u] if u in cache else long[u] for u in units] if long else [cache[u] for u in units]
-            out.append(None if None in got else tuple(np.frombuffer(b"".join([x[side] for x in got]), self.kind) for side in (0, 1)))
+            self._new(list(new))
+        bounds = np.cumsum([0, *map(len, split)])
+        units = np.fromiter(map(self.cache.__getitem__, itertools.chain.from_iterable(split)), np.int64, bounds[-1])
+        bad = np.concatenate([[0], np.cumsum(units < 0)])
+        good = [i for i in range(len(split)) if bad[bounds[i]] == bad[bounds[i + 1]]]
+        units = np.maximum(units, 0)
+        sides = []
+        for ids, at in zip(self.ids, self.bounds):
+            if len(at) == 1:
+                sides.append([])
+                continue
+            sizes = at[units + 1] - at[units]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            every = ids[np.repeat(at[units] - ends[:-1], sizes) + np.arange(ends[-1])]
+            sides.append((every, ends[bounds]))
+        out = [None] * len(split)
+        for i in good:
+            out[i] = tuple(every[cuts[i] : cuts[i + 1]] for every, cuts in sides)
         return out
 
     def runs(self, side: int, ids: np.ndarray, start: int):
