@@ -11,15 +11,15 @@ import re
 import sys
 import time
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.jscompat import WS_CHARS
 from .functions.rules import ENGINE_HOST, ENGINE_URL, FALLBACK_SITES, SITES
 from .functions.urls import encode_component, normalize
 from .operators import cache, recipe, search, sinks, sites
+from .sources.shared import stash
 
 HELP = """Usage: brigade extract <urls...> [options]
        brigade search <words...> [options] [--sites a,b] [--max-results N] [--max-results-per-site N]
@@ -120,31 +120,20 @@ def parse_args(args: list[str]) -> Options:
     return o
 
 
-def _fetch(spark: SparkSession, o: Options, now: int):
-    """(a function from requests to pages, the pages that it gave)."""
-    responses = spark.read.parquet(o.responses)
-    cache_ = cache.open_store(spark, o.cache_path) if o.cache else None
-    given = []
+def _run(spark: SparkSession, o: Options, now: int) -> cache.Run:
+    store = cache.page_store(spark, o.cache_path) if o.cache else None
+    return cache.Run(spark, spark.read.parquet(o.responses), store, now_ms=now, ttl_ms=o.cache_ttl, timeout_ms=o.timeout, rate_ms=o.rate, jitter_ms=None, user_agent=o.user_agent, accept_language=o.accept_language)
 
-    def fetch(requests):
-        pages = cache.fetch_pages(requests, responses, cache_, now_ms=now, ttl_ms=o.cache_ttl, timeout_ms=o.timeout, rate_ms=o.rate, user_agent=o.user_agent, accept_language=o.accept_language)
-        given.append(pages)
-        return pages
 
-    return fetch, given
-
-
-def _remember(o: Options, given: list) -> None:
+def _remember(o: Options, run: cache.Run) -> None:
     """Put what was fetched into the cache; write the requests and when they start where asked to."""
     if o.plan:
-        sent = [p.where("start_ms is not null").select("url", "start_ms", cache.request_headers(o.user_agent, o.accept_language).alias("headers")) for p in given]
-        reduce(DataFrame.unionByName, sent).write.mode("overwrite").parquet(o.plan)
-    if o.cache:
-        cache.upsert_store(reduce(DataFrame.unionByName, [cache.store_writes(p) for p in given]), o.cache_path)
+        run.sent().withColumn("headers", cache.request_headers(o.user_agent, o.accept_language)).write.mode("overwrite").parquet(o.plan)
+    run.remember()
 
 
 def extract(spark: SparkSession, o: Options, now: int):
-    """(recipes in the order of the URLs, errors, pages fetched)."""
+    """(recipes in the order of the URLs, errors, the run)."""
     asked = []
     for i, u in enumerate(o.words):
         try:
@@ -152,23 +141,23 @@ def extract(spark: SparkSession, o: Options, now: int):
         except (ValueError, UnicodeError) as e:
             asked.append((i, u, None, str(e)))
     want = spark.createDataFrame(asked, "seq int, spec string, url string, bad string")
-    fetch, given = _fetch(spark, o, now)
-    pages = fetch(want).withColumn("fetch_error", F.coalesce("bad", "fetch_error")).withColumn("url", F.coalesce("url", "spec"))
-    done = recipe.normalize_nodes(pages, keep=["seq", "url"])
-    return recipe.valid(done).select("seq", *recipe.FIELDS), recipe.errors(done).orderBy("seq").drop("seq"), given
+    run = _run(spark, o, now)
+    pages = run(want).withColumn("fetch_error", F.coalesce("bad", "fetch_error")).withColumn("url", F.coalesce("url", "spec"))
+    done = stash(recipe.normalize_nodes(pages, keep=["seq", "url"]), "recipes")
+    return recipe.valid(done).select("seq", *recipe.FIELDS), recipe.errors(done).orderBy("seq").drop("seq"), run
 
 
 def search_sites(spark: SparkSession, o: Options, now: int):
-    """(results in rank order, errors, pages fetched) of the sites' search pages for a query."""
+    """(results in rank order, errors, the run) of the sites' search pages for a query."""
     query = " ".join(o.words).strip(WS_CHARS)
     want = sites.sites(spark).where(F.col("site_id").isin(o.sites)).withColumn("search_url", sites.build_search_url(F.col("site_id"), F.lit(query)))
     # the order of --sites is the order of the results
     want = want.withColumn("site_rank", F.array_position(F.array(*map(F.lit, o.sites)), F.col("site_id")).cast("int"))
     fallback = F.concat(F.lit(ENGINE_URL), encode_component(F.concat(F.lit("site:"), F.col("host_suffixes")[0], F.lit(f" recette {query}"))))
     want = want.withColumns({"allowed": F.col("host_suffixes"), "engine": F.col("search_url").startswith(f"https://{ENGINE_HOST}/"), "fallback_url": F.when(F.col("site_id").isin(FALLBACK_SITES), fallback), "seq": F.col("site_rank")})
-    fetch, given = _fetch(spark, o, now)
-    results, failed = search.search_recipes(want.select("seq", "site_rank", "site_id", "source_name", "allowed", "search_url", "engine", "fallback_url"), fetch, per_site=o.max_results_per_site, total=o.max_results)
-    return results.select("rank", "name", "source_name", F.col("url").alias("source_url")), failed.orderBy("site_rank").select("site_id", F.col("source_name").alias("site_name"), "search_url", "message"), given
+    run = _run(spark, o, now)
+    results, failed = search.search_recipes(want.select("seq", "site_rank", "site_id", "source_name", "allowed", "search_url", "engine", "fallback_url"), run, per_site=o.max_results_per_site, total=o.max_results)
+    return results.select("rank", "name", "source_name", F.col("url").alias("source_url")), failed.orderBy("site_rank").select("site_id", F.col("source_name").alias("site_name"), "search_url", "message"), run
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, now: int | None = None) -> int:
@@ -183,7 +172,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
         print(e, file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.getOrCreate()
-    rows, failed, given = (extract if o.command == "extract" else search_sites)(spark, o, now or int(time.time() * 1000))
+    rows, failed, run = (extract if o.command == "extract" else search_sites)(spark, o, now or int(time.time() * 1000))
     order = rows.columns[0]
     if o.format == "jsonl":
         out = [r["value"] for r in rows.orderBy(order).select(sinks.to_js_json(rows, rows.columns[1:]).alias("value")).collect()]
@@ -192,7 +181,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
     for line in out:
         print(line)
     bad = failed.collect()
-    _remember(o, given)
+    _remember(o, run)
     for r in bad:
         print(" | ".join(str(x) for x in r), file=sys.stderr)
     return int(bool(bad))

@@ -14,6 +14,7 @@ from ..functions.jscompat import WS_CHARS, collapse_ws, js_trim, rx, struct_type
 from ..functions.rules import ENGINE_HOST, FALLBACK_SITES
 from ..functions.text import decode_text
 from ..functions.urls import fallback_name, host_allowed, host_of, normalize, parse, resolve
+from ..sources.shared import stash
 from .html import has_type, jsonld_texts, parse_json, tidy, walk
 from .steps import truthy
 
@@ -162,7 +163,8 @@ def search_recipes(requests: DataFrame, fetch, *, per_site: int = 5, total: int
     wrong with that is an error too.
     """
     keys = [*([query] if query else []), "site_rank", "site_id", "source_name"]
-    fetched = lambda rows: parse_pages(fetch(rows).withColumnRenamed("resolved_url", "base_url"))
+    # what is made of a pass's pages reads them parsed
+    fetched = lambda rows: stash(parse_pages(fetch(rows).withColumnRenamed("resolved_url", "base_url")).drop("html"), "searched")
     first = fetched(requests.withColumn("url", F.col("search_url")))
     hits = parsed_hits(first.where("fetch_error is null"), keys)
     read = first.where("fetch_error is null and x.error is null and fallback_url is not null and not engine").select(*keys)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import jscompat, text, urls
 from ..functions.rules import SITES
 from ..operators import cache, classify, html, ingredients, recipe, search, sinks, sites, steps
+from ..sources.shared import shared_folder, stash
 from . import synthetic as syn
 
 FLAGSHIP = "normalize_recipe"
@@ -111,9 +112,12 @@ def host_allowed(spark, sf_dir):
     suffix = F.coalesce(*[F.when(F.col("site_rank") == i, F.lit(x[2])) for i, x in enumerate(SITES)])
     return h.select("query_id", "site_rank", "pos", urls.host_allowed(F.col("u.host"), F.array(suffix)).alias("allowed"))
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{n}', '{h}')" for i, (s, n, h, _, _) in enumerate(SITES)) + ") t(site_rank, site_id, source_name, host)")
+@query("SELECT site_rank, site_id, source_name, host, count(r.id) AS n_recipes FROM (VALUES " + ", ".join(f"({i}, '{s}', '{n}', '{h}')" for i, (s, n, h, _, _) in enumerate(SITES)) + f") t(site_rank, site_id, source_name, host) LEFT JOIN (SELECT id, s FROM ({syn.RECIPES}) WHERE canonical) r ON r.s = site_rank GROUP BY ALL")
 def site_list(spark, sf_dir):
-    return sites.sites(spark).select("site_rank", "site_id", "source_name", F.col("host_suffixes")[0].alias("host"))
+    """The sites in their order, and how many of the recipes are theirs by their URLs' hosts."""
+    found = syn.sql(spark, sf_dir, f"SELECT source_url FROM ({syn.RECIPES})").groupBy(sites.site_of(F.regexp_extract("source_url", "^https://([^/]+)", 1)).alias("site_id")).agg(F.count("*").alias("n"))
+    listed = sites.sites(spark).join(found, "site_id", "left")
+    return listed.select("site_rank", "site_id", "source_name", F.col("host_suffixes")[0].alias("host"), F.coalesce("n", F.lit(0).cast("long")).alias("n_recipes"))
 
 @query("SELECT p_partkey, site_id, url || replace(prefix || p_name, ' ', '%20') || '%20!''()*~%C3%A9' AS search_url FROM part, (VALUES " + ", ".join(f"('{s}', '{u}', '{p.replace(':', '%3A')}')" for s, _, _, u, p in SITES) + ") t(site_id, url, prefix)")
 def build_search_url(spark, sf_dir):
@@ -401,23 +405,55 @@ def fetch_errors(spark, sf_dir):
 _LATEST = f"SELECT url, max(fetched_at_ms) AS f, max_by(body, (fetched_at_ms, seq)) AS body, max_by(status, (fetched_at_ms, seq)) AS status, max_by(seq, (fetched_at_ms, seq)) AS s FROM ({_RESPONSES}) WHERE {{}} GROUP BY url"
 
 @query(f"""WITH c AS ({_LATEST.format("seq % 2 = 0 AND status = 200")}), n AS (SELECT max(f) AS now FROM c), r AS ({_LATEST.format("seq % 2 = 1")}),
-j AS (SELECT q.seq, q.url, coalesce(n.now - c.f <= 86400000, false) AS from_cache, c.f, c.body AS old, r.body AS new, r.status, r.s, n.now,
+j AS (SELECT q.seq, q.url, coalesce(n.now - c.f <= 86400000, false) AS stored, c.f, c.body AS old, r.body AS new, r.s, n.now, q.seq = min(q.seq) OVER (PARTITION BY q.url) AS first,
   CASE WHEN r.url IS NULL THEN 'No response' WHEN r.s % 11 = 0 THEN 'Request timed out after 30000ms' WHEN r.status = 404 THEN 'Request failed: 404 Not Found' END AS wrong
   FROM ({_RESPONSES}) q CROSS JOIN n LEFT JOIN c USING (url) LEFT JOIN r USING (url)),
-w AS (SELECT seq, now + 1500 * CAST(row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY seq) - 1 AS BIGINT) AS start_ms FROM j WHERE NOT from_cache)
-SELECT j.seq, from_cache, CASE WHEN from_cache THEN old WHEN wrong IS NULL THEN new END AS html, CASE WHEN from_cache OR wrong IS NULL THEN 200 END AS status,
-CASE WHEN from_cache THEN url WHEN wrong IS NULL THEN url || '?to=' || s END AS resolved_url, start_ms, CASE WHEN from_cache THEN f WHEN wrong IS NULL THEN start_ms END AS fetched_at_ms, CASE WHEN NOT from_cache THEN wrong END AS error
-FROM j LEFT JOIN w USING (seq)""")
+w AS (SELECT seq, url, wrong, now + 1500 * CAST(row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY seq) - 1 AS BIGINT) AS start_ms FROM j WHERE NOT stored AND (first OR wrong IS NOT NULL)),
+d AS (SELECT url, start_ms + 5 AS done FROM w WHERE wrong IS NULL)
+SELECT j.seq, start_ms IS NULL AS from_cache, CASE WHEN stored THEN old WHEN j.wrong IS NULL THEN new END AS html, CASE WHEN stored OR j.wrong IS NULL THEN 200 END AS status,
+CASE WHEN stored THEN j.url WHEN j.wrong IS NULL THEN j.url || '?to=' || s END AS resolved_url, start_ms, CASE WHEN stored THEN f WHEN j.wrong IS NULL THEN done END AS fetched_at_ms, CASE WHEN NOT stored THEN j.wrong END AS error
+FROM j LEFT JOIN w USING (seq) LEFT JOIN d ON d.url = j.url""")
 def fetch_page(spark, sf_dir):
-    """Every request from the cache while its entry is fresh, else from the URL's last response, at a delay of the host's one before."""
+    """Every request from the cache while its entry is fresh; else the URL's last response, at a delay of the
+    host's request before, for its first request, and for later ones what that has brought."""
     r = _responses(spark, sf_dir)
     latest = lambda x, *more: x.groupBy("url").agg(F.max_by(F.struct("fetched_at_ms", "status", "body", "seq"), F.struct("fetched_at_ms", "seq")).alias("v")).select("url", "v.*")
-    kept = latest(r.where("seq % 2 = 0 and status = 200")).select("url", "fetched_at_ms", F.col("url").alias("resolved_url"), "status", F.lit("{}").alias("headers_json"), "body", F.lit(0).alias("b"))
+    kept = latest(r.where("seq % 2 = 0 and status = 200")).select("url", "fetched_at_ms", F.col("url").alias("resolved_url"), "status", F.lit("{}").alias("headers_json"), "body")
     new = latest(r.where("seq % 2 = 1")).select("url", "status", F.col("body").alias("html"), F.lit("Not Found").alias("status_text"), F.when(F.col("seq") % 11 == 0, 30_001).otherwise(5).alias("elapsed_ms"), F.concat("url", F.lit("?to="), F.col("seq").cast("string")).alias("resolved_url"))
     now = kept.agg(F.max("fetched_at_ms")).first()[0] or 0
     p = cache.fetch_pages(r.select("seq", "url"), new, kept, now_ms=now, ttl_ms=86_400_000, rate_ms=1500, jitter_ms=0)
     return p.select("seq", "from_cache", "html", "status", "resolved_url", "start_ms", "fetched_at_ms", F.col("fetch_error").alias("error"))
 
+@query(f"""WITH RECURSIVE r AS (SELECT seq, split_part(url, '/', 3) AS host, seq % 3 AS u, fetched_at_ms AS t, user_id % 7 <> 0 AS ok, 20 + user_id % 50 AS elapsed, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY seq) AS n
+  FROM (SELECT x.*, event.user_id FROM ({_RESPONSES}) x JOIN events event ON event.event_id = x.seq)),
+s AS (SELECT DISTINCT host, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS u, CAST(NULL AS BIGINT) AS start_ms, CAST(NULL AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS d0, CAST(NULL AS BIGINT) AS d1, CAST(NULL AS BIGINT) AS d2 FROM r
+  UNION ALL
+  SELECT host, n, seq, u, start_ms, CASE WHEN start_ms IS NULL THEN slot ELSE start_ms + 1500 END, CASE WHEN u = 0 AND ok AND start_ms IS NOT NULL THEN start_ms + elapsed ELSE d0 END, CASE WHEN u = 1 AND ok AND start_ms IS NOT NULL THEN start_ms + elapsed ELSE d1 END, CASE WHEN u = 2 AND ok AND start_ms IS NOT NULL THEN start_ms + elapsed ELSE d2 END
+  FROM (SELECT r.host, r.n, r.seq, r.u, r.ok, r.elapsed, s.slot, s.d0, s.d1, s.d2, CASE WHEN coalesce(r.t - CASE r.u WHEN 0 THEN s.d0 WHEN 1 THEN s.d1 ELSE s.d2 END <= 864000000, false) THEN NULL ELSE greatest(r.t, coalesce(s.slot, r.t)) END AS start_ms
+    FROM s JOIN r ON r.host = s.host AND r.n = s.n + 1))
+SELECT seq, start_ms, start_ms IS NULL AS from_cache, CASE u WHEN 0 THEN d0 WHEN 1 THEN d1 ELSE d2 END AS fetched_at_ms FROM s WHERE n > 0""")
+def fetch_run(spark, sf_dir):
+    """Every event is a request at its time: URLs are asked again while their answers are fresh and after.
+    The SQL goes from request to request of each host."""
+    r = _responses(spark, sf_dir)
+    user = F.regexp_extract("url", "h([0-9]+)", 1).cast("long")
+    answers = r.select("url").distinct().select("url", (user % 7 != 0).alias("ok"), (user % 50 + 20).alias("elapsed_ms"))
+    plan = cache.plan_requests(r, answers, None, now_ms=0, ttl_ms=864_000_000, rate_ms=1500, jitter_ms=0, arrival="fetched_at_ms")
+    return plan.select(F.col("at").alias("seq"), "start_ms", F.col("start_ms").isNull().alias("from_cache"), "fetched_at_ms")
+
+@query(f"""WITH q AS (SELECT DISTINCT query_id * 10 + site_rank AS seq, site_rank, CASE WHEN site_rank > 2 THEN 'duckduckgo.com' ELSE 'www.' || {syn._case("site_rank", [syn._text(x[2]) for x in SITES])} END AS host FROM ({syn.hits_sql(False)})),
+a AS (SELECT seq, 1 AS pass, CAST(1000000 + 1500 * (row_number() OVER (PARTITION BY host ORDER BY seq) - 1) AS BIGINT) AS start_ms FROM q)
+SELECT * FROM a UNION ALL SELECT seq, 2, CAST(1000000 + 1500 * ((SELECT count(*) FROM q WHERE site_rank > 2) + row_number() OVER (ORDER BY seq) - 1) AS BIGINT) FROM q WHERE site_rank = 1""")
+def search_schedule(spark, sf_dir):
+    """When the sites' search pages may be asked for, and then, in a second pass of the same run, the engine's
+    pages for the site that falls back on it: a host's requests keep their distance over both."""
+    pages = syn.search_pages(spark, sf_dir).select("query_id", "site_rank", F.col("allowed")[0].alias("site")).distinct()
+    host = F.when(F.col("site_rank") > 2, F.lit("duckduckgo.com")).otherwise(F.concat(F.lit("www."), F.col("site")))
+    own = pages.select((F.col("query_id") * 10 + F.col("site_rank")).alias("seq"), F.concat(F.lit("https://"), host, F.lit("/?q="), "query_id", F.lit("-"), "site_rank").alias("url"))
+    again = pages.where("site_rank = 1").select((F.col("query_id") * 10 + 1).alias("seq"), F.concat(F.lit("https://duckduckgo.com/?q=again-"), "query_id").alias("url"))
+    run = cache.Run(spark, spark.createDataFrame([], "url string, status int, html string"), now_ms=1_000_000, ttl_ms=1, jitter_ms=0)
+    return run(own).select("seq", F.lit(1).alias("pass"), "start_ms").unionByName(run(again).select("seq", F.lit(2).alias("pass"), "start_ms"))
+
 @query("SELECT event_id, 'https://h' || CAST(user_id AS VARCHAR) || CASE event_id % 5 WHEN 0 THEN '.example.org/a?b=1' WHEN 1 THEN '.example.org/' WHEN 2 THEN '.example.net/y' ELSE '.example.org/x' END AS resolved_url FROM events")
 def redirects(spark, sf_dir):
     """The URL that answered, normalised; the one asked for where there's none or none that can be read."""
@@ -443,6 +479,31 @@ def rate_schedule(spark, sf_dir):
     r = _responses(spark, sf_dir).select("seq", (F.col("seq") % 97).alias("host"), F.col("fetched_at_ms").alias("arrival_ms"))
     return cache.rate_schedule(r, delay_ms=1500, jitter=F.col("seq") % 500).select("seq", "start_ms")
 
+@query(f"""WITH r AS (SELECT seq, seq % 97 AS host, fetched_at_ms AS arrival_ms, 1500 + seq % 500 AS gap FROM ({_RESPONSES})),
+d AS (SELECT seq, host, arrival_ms, coalesce(sum(gap) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM r)
+SELECT seq, CAST(d + max(arrival_ms - d) OVER (PARTITION BY host ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS start_ms FROM d""")
+def limiter_batches(spark, sf_dir):
+    """The events in three batches, one after another, with the hosts' slots carried over: what one batch gives."""
+    r = _responses(spark, sf_dir).select("seq", (F.col("seq") % 97).cast("string").alias("host"), F.col("fetched_at_ms").alias("arrival_ms"))
+    jitter, end = F.col("seq") % 500, (r.agg(F.max("seq")).first()[0] or 0) + 1
+    state, done = spark.createDataFrame([], cache.LIMITS), []
+    for n in range(3):
+        batch = r.where((F.col("seq") >= end * n // 3) & (F.col("seq") < end * (n + 1) // 3))
+        rows = stash(cache.rate_schedule(batch, delay_ms=1500, jitter=jitter, state=state), "batch")
+        state = cache.later_slots(state, rows.groupBy("host").agg(F.max(F.col("start_ms") + 1500 + jitter).alias("next_ms")))
+        done.append(rows.select("seq", "start_ms"))
+    return done[0].unionByName(done[1]).unionByName(done[2])
+
+@query(f"SELECT url, max_by(fetched_at_ms, seq) AS fetched_at_ms, max_by(body, seq) AS body, max_by(status, seq) AS status FROM ({_RESPONSES}) GROUP BY url")
+def cache_commits(spark, sf_dir):
+    """Three commits to a store, the second of which comes twice, as after a restart: every URL's last write."""
+    r = _responses(spark, sf_dir)
+    writes = r.select("seq", "url", "fetched_at_ms", F.col("url").alias("resolved_url"), "status", F.lit("{}").alias("headers_json"), "body")
+    store, end = cache.page_store(spark, shared_folder(spark, "store"), 8), (r.agg(F.max("seq")).first()[0] or 0) + 1
+    for n in (0, 1, 1, 2):
+        store.upsert(writes.where((F.col("seq") >= end * n // 3) & (F.col("seq") < end * (n + 1) // 3)), cache.cache_upsert, stream="events", batch=n)
+    return store.frame().select("url", "fetched_at_ms", "body", "status")
+
 @query("SELECT p_partkey, '{\"name\":\"' || p_name || '\",\"quantity\":' || CAST(p_size AS STRING) || ',\"half\":' || CAST(p_size AS STRING) || '.5}' AS value FROM part")
 def sink_jsonl(spark, sf_dir):
     p = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("quantity"), (F.col("p_size") + 0.5).cast("double").alias("half"), F.lit(None).cast("string").alias("aisle"))
