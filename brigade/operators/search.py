@@ -138,19 +138,41 @@ def fallback_pages(hits: DataFrame, pages: DataFrame, keys: list[str]) -> DataFr
 
 
 def search_merge(hits: DataFrame, *, per_site: int = 5, total: int = 10, query: str | None = None) -> DataFrame:
-    """Hits (site_rank, pos, url, name, source_name) in the sites' order: each URL once, at most
+    """Hits (site_rank, pos, url, name, source_name) in the order of sites and places: each URL once, at most
     ``per_site`` of a site and ``total`` of a query. ``query`` names the column of the query, if there
-    are several. Exact while a URL belongs to one site, as the sites' host filters see to."""
+    are several.
+
+    A URL counts as seen when it's taken, so one past a site's cap may still be taken from a later site.
+    Of a site no more than its first ``per_site + total`` URLs can matter, as at most ``total`` were seen
+    before: these go through one ordered fold a query, whatever a site lists. Hits without a URL are
+    left out, an empty table gives an empty result.
+    """
     by = [query] if query else []
-    first = W.Window.partitionBy(*by, "url").orderBy("site_rank", "pos")
-    site = W.Window.partitionBy(*by, "site_rank").orderBy("pos")
-    kept = hits.withColumn("rn", F.row_number().over(first)).where("rn = 1").withColumn("rn", F.row_number().over(site)).where(F.col("rn") <= per_site).drop("rn")
-    out = kept.withColumn("name", js_trim(F.coalesce("name", fallback_name(F.col("url")))))
-    if query:
-        order = W.Window.partitionBy(query).orderBy("site_rank", "pos")
-        return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= total)
-    top = out.orderBy("site_rank", "pos").limit(total)  # at most `total` rows are left to number
-    return top.withColumn("rank", F.row_number().over(W.Window.partitionBy(F.lit(0)).orderBy("site_rank", "pos")))
+    first = W.Window.partitionBy(*by, "site_rank", "url").orderBy("pos")
+    site = W.Window.partitionBy(*by, "site_rank").orderBy("pos", "url")
+    near = hits.where("url is not null").withColumn("rn", F.row_number().over(first)).where("rn = 1").withColumn("rn", F.row_number().over(site)).where(F.col("rn") <= per_site + total).drop("rn")
+    rest = [c for c in hits.columns if c not in {*by, "site_rank", "pos", "url"}]
+    row = F.struct("site_rank", "pos", "url", *rest)
+    kind = near.select(row.alias("h")).schema["h"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("kept"), F.lit(None).cast(near.schema["site_rank"].dataType).alias("site"), F.lit(0).alias("n"))
+
+    def take(acc, h):
+        n = F.when(acc["site"] == h["site_rank"], acc["n"]).otherwise(F.lit(0))
+        fits = (n < per_site) & (F.size(acc["kept"]) < total) & ~F.exists(acc["kept"], lambda k: k["url"] == h["url"])
+        return F.struct(F.when(fits, F.concat(acc["kept"], F.array(h))).otherwise(acc["kept"]).alias("kept"), h["site_rank"].alias("site"), (n + fits.cast("int")).alias("n"))
+
+    folded = near.groupBy(*by).agg(F.array_sort(F.collect_list(row), lambda a, b: _before(a, b)).alias("all"))
+    kept = folded.select(*by, F.posexplode(F.aggregate("all", start, take, lambda acc: acc["kept"])).alias("rank", "_hit"))
+    out = kept.select(*by, *[F.col("_hit").getField(c).alias(c) for c in ("site_rank", "pos", "url", *rest)], (F.col("rank") + 1).alias("rank"))
+    return out.withColumn("name", js_trim(F.coalesce("name", fallback_name(F.col("url"))))).select(*[c for c in hits.columns], "rank")
+
+
+def _before(a: Column, b: Column) -> Column:
+    """The order of two hits: by site, place and URL."""
+    result = F.lit(0)
+    for c in ("url", "pos", "site_rank"):
+        result = F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(result)
+    return result
 
 
 def search_recipes(requests: DataFrame, fetch, *, per_site: int = 5, total: int = 10, query: str | None = None) -> tuple[DataFrame, DataFrame]:

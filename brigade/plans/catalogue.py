@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import jscompat, text, urls
 from ..functions.rules import SITES
 from ..operators import cache, classify, html, ingredients, recipe, search, sinks, sites, steps
+from ..sources import responses
 from ..sources.shared import shared_folder, stash
 from . import synthetic as syn
 
@@ -454,6 +455,18 @@ def search_schedule(spark, sf_dir):
     run = cache.Run(spark, spark.createDataFrame([], "url string, status int, html string"), now_ms=1_000_000, ttl_ms=1, jitter_ms=0)
     return run(own).select("seq", F.lit(1).alias("pass"), "start_ms").unionByName(run(again).select("seq", F.lit(2).alias("pass"), "start_ms"))
 
+@query("SELECT url, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host, length(html) AS n_chars, md5(html) AS digest FROM pages WHERE page_id % 3 <> 0 AND page_id % 4 <> 1")
+def stored_responses(spark, sf_dir):
+    """The pages written as stored responses and read again by the data source: those that were answered well,
+    of what was sent after a filter on status that the source takes."""
+    responses.register(spark)
+    at = shared_folder(spark, "responses")
+    k = F.col("page_id")
+    pages = _table(spark, sf_dir, "pages").select("url", F.when(k % 3 == 0, 404).when(k % 4 == 1, 503).otherwise(200).alias("status"), "html")
+    pages.write.format("responses").mode("append").save(at)
+    got = spark.read.format("responses").load(at).where("status = 200")
+    return got.select("url", "host", F.length("html").cast("long").alias("n_chars"), F.md5("html").alias("digest"))
+
 @query("SELECT event_id, 'https://h' || CAST(user_id AS VARCHAR) || CASE event_id % 5 WHEN 0 THEN '.example.org/a?b=1' WHEN 1 THEN '.example.org/' WHEN 2 THEN '.example.net/y' ELSE '.example.org/x' END AS resolved_url FROM events")
 def redirects(spark, sf_dir):
     """The URL that answered, normalised; the one asked for where there's none or none that can be read."""
