@@ -24,7 +24,7 @@ from .sources.shared import stash
 HELP = """Usage: brigade extract <urls...> [options]
        brigade search <words...> [options] [--sites a,b] [--max-results N] [--max-results-per-site N]
 
-Options: --responses PATH --plan PATH --format json|jsonl --no-cache --cache-path PATH --cache-ttl DURATION
+Options: --responses PATH --plan PATH --output PATH --format json|jsonl --no-cache --cache-path PATH --cache-ttl DURATION
          --timeout DURATION --rate DURATION --user-agent TEXT --accept-language TEXT
 Durations: 1500, 250ms, 2s, 1.5s, 2m, 1h, 1d
 """
@@ -50,6 +50,7 @@ class Options:
     accept_language: str = "fr-FR,fr;q=0.9,en;q=0.8"
     responses: str = "responses.parquet"
     plan: str = ""
+    output: str = ""
     sites: list[str] = field(default_factory=lambda: [s[0] for s in SITES])
     max_results: int = 10
     max_results_per_site: int = 5
@@ -77,7 +78,7 @@ def parse_args(args: list[str]) -> Options:
         raise UsageError(f"Unknown command: {command}")
     o = Options(command, cache_ttl=DAY if command == "search" else 7 * DAY)
     rest = list(args[1:])
-    texts = {"--cache-path": "cache_path", "--user-agent": "user_agent", "--accept-language": "accept_language", "--responses": "responses", "--plan": "plan"}
+    texts = {"--cache-path": "cache_path", "--user-agent": "user_agent", "--accept-language": "accept_language", "--responses": "responses", "--plan": "plan", "--output": "output"}
     while rest:
         a = rest.pop(0)
         value = rest[0] if rest else None
@@ -143,7 +144,10 @@ def extract(spark: SparkSession, o: Options, now: int):
     want = spark.createDataFrame(asked, "seq int, spec string, url string, bad string")
     run = _run(spark, o, now)
     pages = run(want).withColumn("fetch_error", F.coalesce("bad", "fetch_error")).withColumn("url", F.coalesce("url", "spec"))
-    done = stash(recipe.normalize_nodes(pages, keep=["seq", "url"]), "recipes")
+    made = recipe.normalize_nodes(pages, keep=["seq", "url"])
+    if o.output:
+        return made, None, run
+    done = stash(made, "recipes")
     return recipe.valid(done).select("seq", *recipe.FIELDS), recipe.errors(done).orderBy("seq").drop("seq"), run
 
 
@@ -172,7 +176,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
         print(e, file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.getOrCreate()
+    if o.output and o.command == "search":
+        print("--output requires extract", file=sys.stderr)
+        return 1
     rows, failed, run = (extract if o.command == "extract" else search_sites)(spark, o, now or int(time.time() * 1000))
+    if o.output:  # one pass over the pages, whose numbers tell the exit code
+        _, bad = sinks.write_outcomes(rows, o.output, result=recipe.FIELDS, error=["url", "error"])
+        _remember(o, run)
+        return int(bad > 0)
     order = rows.columns[0]
     if o.format == "jsonl":
         out = [r["value"] for r in rows.orderBy(order).select(sinks.to_js_json(rows, rows.columns[1:]).alias("value")).collect()]

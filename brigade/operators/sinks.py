@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,17 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     sink_jsonl(df).write.text(path)
 
 
+def write_outcomes(rows: DataFrame, path: str, *, result: list[str], error: list[str], by: str = "error") -> tuple[int, int]:
+    """Results and errors as JSON lines below ``path``, in outcome=results and outcome=errors, in one pass
+    over ``rows`` and one commit; returns how many there are of each. Rows with ``by`` are errors."""
+    seen = Observation()
+    bad = F.col(by).isNotNull()
+    rows = rows.observe(seen, F.count_if(~bad).alias("results"), F.count_if(bad).alias("errors"))
+    value = F.when(bad, to_js_json(rows, error)).otherwise(to_js_json(rows, result))
+    rows.select(value.alias("value"), F.when(bad, "errors").otherwise("results").alias("outcome")).write.partitionBy("outcome").text(path)
+    return seen.get["results"], seen.get["errors"]
+
+
 def sink_json(df: DataFrame, order: str, *, always_array: bool = False) -> DataFrame:
     """All rows as one JSON text, for results small enough to print: nothing for none, an object for
     one, else an array. ``always_array`` gives an array for any number."""

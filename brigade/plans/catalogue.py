@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jscompat, text, urls
 from ..functions.rules import SITES
-from ..operators import cache, classify, html, ingredients, recipe, search, sinks, sites, steps
+from ..operators import cache, classify, html, ingredients, recipe, refresh, search, sinks, sites, steps
 from ..sources import responses
 from ..sources.shared import shared_folder, stash
 from . import synthetic as syn
@@ -296,6 +296,31 @@ def normalize_recipe(spark, sf_dir):
 def recipe_errors(spark, sf_dir):
     return recipe.errors(recipe.normalize_nodes(syn.recipe_pages(spark, sf_dir), only_errors=True)).select("page_id", "error")
 
+@query(f"SELECT 'results' AS outcome, name AS label, source_url AS detail FROM ({_RECIPE}) WHERE error IS NULL UNION ALL SELECT 'errors', CAST(id AS VARCHAR), error FROM ({_RECIPE}) WHERE error IS NOT NULL")
+def dual_sink(spark, sf_dir):
+    """Recipes and errors written in one pass over the pages, and read again."""
+    at = shared_folder(spark, "outcomes")
+    done = recipe.normalize_nodes(syn.recipe_pages(spark, sf_dir))
+    sinks.write_outcomes(done, at, result=recipe.FIELDS, error=["page_id", "error"])
+    field = lambda n: F.get_json_object("value", f"$.{n}")
+    good = F.col("outcome") == "results"
+    return spark.read.text(at).select("outcome", F.when(good, field("name")).otherwise(field("page_id")).alias("label"), F.when(good, field("source_url")).otherwise(field("error")).alias("detail"))
+
+@query(f"SELECT id AS page_id, CASE WHEN error IS NULL THEN name END AS name, CASE WHEN error IS NULL THEN n_lines END AS n_ingredients, error FROM ({_RECIPE})")
+def refresh_results(spark, sf_dir):
+    """Recipes after two feeds of pages: first a fifth of them is empty and another fifth that of a page
+    without a recipe, then they are as they should be."""
+    pages = stash(syn.recipe_pages(spark, sf_dir), "pages")
+    k = F.col("page_id") % 5
+    first = pages.withColumn("html", F.when(k == 0, "").when(k == 1, "<title>Nothing</title>").otherwise(F.col("html")))
+    store, results = cache.page_store(spark, shared_folder(spark, "store"), 8), refresh.result_store(spark, shared_folder(spark, "results"), 8)
+    for n, feed in enumerate((first, pages.where(k < 2))):
+        writes = feed.select(F.lit(n).cast("long").alias("seq"), "url", F.lit(n).cast("long").alias("fetched_at_ms"), F.col("url").alias("resolved_url"), F.lit(200).alias("status"), F.lit("{}").alias("headers_json"), F.col("html").alias("body"))
+        store.upsert(writes, cache.cache_upsert)
+        refresh.refresh(store, results)
+    good = F.col("error").isNull()
+    return results.frame().select(F.regexp_extract("url", "/p/([0-9]+)", 1).cast("long").alias("page_id"), F.when(good, F.col("name")).alias("name"), F.when(good, F.size("ingredients").cast("long")).alias("n_ingredients"), "error")
+
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'max_prep_time' WHEN 2 THEN 'name,ingredients' ELSE 'allergens,source_url' END AS violations FROM orders")
 def validate_schema(spark, sf_dir):
     k = F.col("o_orderkey") % 4

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Store:
@@ -21,7 +22,7 @@ class Store:
     killed writer leaves is in no version.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, key: str, buckets: int = 64):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
         jvm = spark.sparkContext._jvm
         self._at = jvm.org.apache.hadoop.fs.Path
@@ -88,6 +89,20 @@ class Store:
         manifest = self.version()[1]
         return self._read(manifest, self.touched(keys, key or self.key, manifest["buckets"]))
 
+    def changes(self, since: int) -> tuple[DataFrame, int]:
+        """(rows of the newest version that version ``since`` didn't have so, the newest version's number).
+        Only buckets that were written since are read; every row counts as changed where ``since`` is 0
+        or was vacuumed."""
+        number, new = self.version()
+        if not since or since > number or not self._fs.exists(self._at(self._name(since))):
+            return self._read(new), number
+        old = self._manifest(since)
+        fresh = [int(b) for b, f in new["folders"].items() if old["folders"].get(b) != f]
+        rows = self._read(new, fresh)
+        print_ = F.xxhash64(*[F.col(c) for c in rows.columns])
+        before = self._read(old, fresh).select(F.col(self.key).alias("_key"), print_.alias("_print"))
+        return rows.join(before, (F.col(self.key) == F.col("_key")) & (print_ == F.col("_print")), "left_anti"), number
+
     def upsert(self, writes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], *, stream: str = "", batch: int = -1, tries: int = 50) -> int:
         """Commit ``merge(old rows, writes)`` of every bucket that the writes touch; returns the version.
 

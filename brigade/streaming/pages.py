@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cache import later_slots, limit_store, rate_schedule, upsert_store
+from ..operators.cache import later_slots, limit_store, page_store, rate_schedule, upsert_store
 from ..operators.recipe import normalize_nodes
+from ..operators.refresh import refresh, result_store
 
 PAGES = "page_id long, url string, html string"
 
@@ -26,6 +27,18 @@ def upsert_batches(writes: DataFrame, store: str, checkpoint: str, *, buckets: i
     return writes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
+def extract_batches(writes: DataFrame, store: str, results: str, checkpoint: str, *, buckets: int = 64):
+    """Keep the cache at ``store`` and the recipes at ``results`` up to date with a stream of responses (the
+    cache's columns and seq): a batch normalises the pages that it changes."""
+    spark = writes.sparkSession
+
+    def apply(batch: DataFrame, n: int) -> None:
+        upsert_store(batch, store, buckets=buckets, stream=checkpoint, batch=n)
+        refresh(page_store(spark, store, buckets), result_store(spark, results, buckets))
+
+    return writes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
 def schedule_batches(requests: DataFrame, out: str, limits: str, checkpoint: str, *, delay_ms: int = 1500, jitter: Column | None = None, state_buckets: int = 16):
     """Schedule a stream of requests (seq, host, arrival_ms) as they come: start times go to ``out``, a
     folder for each batch, and hosts' slots are carried from batch to batch, and over restarts, in the
