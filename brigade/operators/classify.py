@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jscompat import js_trim, let
 from ..functions.rules import AISLE_RULES, ALLERGEN_RULES, BATCH_PHRASES, NOT_VEGETARIAN, SEASONAL
-from ..functions.text import ascii_lower, fold, keyword_regex, tokens_text
+from ..functions.text import ascii_lower, fold, keyword_regex, tokenize, tokens_text
 
 
 def aisle(name: Column) -> Column:
@@ -105,3 +105,43 @@ def duration_ms(c: Column) -> Column:
     factor = F.element_at(F.create_map(*[F.lit(x) for x in ("ms", 1, "s", 1000, "m", 60_000, "h", 3_600_000, "d", 86_400_000)]), F.lower(F.regexp_extract(s, DURATION, 2)))
     plain = F.when(s.rlike(r"^\d+$"), s.try_cast("bigint"))
     return F.coalesce(plain, F.when(s.rlike(DURATION), F.floor(F.regexp_extract(s, DURATION, 1).try_cast("double") * factor + 0.5).cast("bigint")))
+
+
+def rule_words(rules: DataFrame, keys: list[str], phrase: str = "phrase") -> DataFrame:
+    """(keys, n, at, forms, word): rules' phrases folded to ``n`` words, each given by the array of forms that
+    count as it, and the longest of them, at ``at``, in one row for each of its forms. Phrases without a
+    word are left out."""
+    words = tokenize(F.col(phrase))
+    size = F.size("words")
+
+    def forms(w, i):
+        ends = F.substring(w, -1, 1).isin("s", "x")
+        plain = F.array(w, F.concat(w, F.lit("s")), F.concat(w, F.lit("x")), F.when(ends, F.substring(w, F.lit(1), F.length(w) - 1)))
+        more = F.when((size > 1) & (i == size - 1), F.transform(F.array(*map(F.lit, ("ss", "sx", "xs", "xx"))), lambda e: F.concat(w, e))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.filter(F.concat(plain, more), lambda x: x.isNotNull() & (x != "")))
+
+    r = rules.select(*keys, words.alias("words")).where(size > 0)
+    longest = F.array_max(F.transform("words", lambda w: F.length(w)))
+    r = r.select(*keys, size.alias("n"), F.array_position(F.transform("words", lambda w: F.length(w)), longest).cast("int").alias("at"), F.transform("words", forms).alias("forms"))
+    return r.withColumn("at", F.col("at") - 1).withColumn("word", F.explode(F.get("forms", F.col("at"))))
+
+
+def match_rules(texts: DataFrame, rules: DataFrame, *, key: list[str], text: str, rule: list[str], phrase: str = "phrase", words: int = 8) -> DataFrame:
+    """(key, rule, pos): the places, in words from 0, at which a rule's phrase stands in a text, its words in the
+    forms that ``keyword_regex`` takes: rules from a table of any size, in place of patterns.
+
+    Each word of a text is joined with the rules' longest words, and carries its neighbours, so that the
+    rest of a phrase is compared beside it. Rules of more than ``words`` words are an error. A text
+    of null has no words; equal rows of texts or rules count each.
+    """
+    r = rule_words(rules, rule, phrase)
+    r = r.withColumn("n", F.when(F.col("n") > words, F.raise_error(F.concat(F.lit("more words than expected in a rule: "), F.col("n").cast("string"))).cast("int")).otherwise(F.col("n")))
+    t = texts.select(*key, tokenize(F.col(text)).alias("_all"))
+    # pad so that every word has as many neighbours on both sides
+    pad = F.array_repeat(F.lit(""), words - 1)
+    t = t.select(*key, F.concat(pad, F.col("_all"), pad).alias("_all"), F.posexplode("_all").alias("_pos", "_word"))
+    t = t.select(*key, "_pos", "_word", F.slice("_all", F.col("_pos") + 1, 2 * words - 1).alias("_near"))
+    j = t.join(r, F.col("_word") == F.col("word"))
+    first = F.lit(words - 1) - F.col("at")  # where the phrase would begin among the neighbours
+    fits = F.forall(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_contains(F.get("forms", i), F.get("_near", first + i)))
+    return j.where(fits).select(*key, *rule, (F.col("_pos") - F.col("at")).alias("pos"))
