@@ -9,6 +9,7 @@ import zlib
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,13 +107,14 @@ class Pieces:
             found = self.pairs[key] = self.together(x, y)
         return found
 
-    def viterbi(self, text: str, hold: int = 256):
+    def viterbi(self, text: str, hold: int = 0):
         """Yield the ids of the segmentation, committing early.
 
         Only the last ``longest`` boundaries can still be reached back to. When ``hold`` boundaries
-        wait, the paths from all of those are followed back, and what they have in common is
-        committed, so memory is bounded by how far paths stay apart, not by the text.
+        wait, by default twice as many, the paths from all of those are followed back, and what they
+        have in common is committed, so memory is bounded by how far paths stay apart, not by the text.
         """
+        hold = hold or 2 * self.longest
         base, starts, ids, best = 0, [0], [-1], [0.0]  # of the boundaries from base on
         ranked, follows, pairs, stride = self.merges, self._follows, self.pairs, 2 * LOST
         for e, (n, piece) in self.machine.iter(text):
@@ -142,52 +144,12 @@ class Pieces:
             self._lost(text, base, starts, ids, best)
         yield from self._path(text, starts, ids, base, len(text))
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        """viterbi for many short texts of a model of merges, one after another in one pass: nothing needs to
-        be committed early, and no piece crosses the character between two of them."""
-        text = "\0".join(words)
-        ids, starts = [-2] * (len(text) + 1), [0] * (len(text) + 1)  # -2: not settled
-        at = 0
-        for w in words:
-            ids[at] = -1
-            at += len(w) + 1
-        follows, pairs, stride = self._follows, self.pairs, 2 * LOST
-        for e, (n, piece) in self.machine.iter(text):
-            if ids[e + 1] != -2:
-                continue
-            begin = e + 1 - n
-            before = ids[begin]
-            if before == -2:
-                before = self._fill(text, ids, starts, begin)
-            found = pairs.get((before + 1) * stride + piece)
-            if follows(before, piece) if found is None else found:
-                ids[e + 1] = piece
-                starts[e + 1] = begin
-        out, at = [], 0
-        for w in words:
-            end, got = at + len(w), []
-            while end > at:
-                i = ids[end]
-                if i == -2:
-                    i = self._fill(text, ids, starts, end)
-                if i < LOST:
-                    got.append(i)
-                else:
-                    got += [self.bytes.get(x, self.unknown) for x in reversed(chr(i - LOST).encode())]
-                end = starts[end]
-            got.reverse()
-            out.append(got)
-            at += len(w) + 1
-        return out
-
-    def _fill(self, text, ids, starts, at) -> int:
-        """Settle a boundary, and those before it, by characters without a piece."""
-        first = at
-        while ids[first - 1] == -2:
-            first -= 1
-        for i in range(first, at + 1):
-            ids[i], starts[i] = LOST + ord(text[i - 1]), i - 1
-        return ids[at]
+    def _stream(self, parts: list[str]) -> list[array]:
+        """Ids of parts, which hold no NUL, by one streaming search over all of them: no piece crosses the NUL
+        between two, so their paths meet there, and its byte's id tells where each ends."""
+        ids = array("I", self.viterbi("\0".join(parts)))
+        ends = [*np.flatnonzero(np.frombuffer(ids, np.uint32) == self.bytes[0]).tolist(), len(ids)]
+        return [ids[i:j] for i, j in zip([0, *(e + 1 for e in ends)], ends)]
 
     def _lost(self, text, base, starts, ids, best):
         """Settle the next boundary by a character without a piece."""
@@ -225,10 +187,10 @@ class Pieces:
         new = set(parts).difference(cache)
         if not new:
             return [cache[x] for x in parts]
-        short = [x for x in new if len(x) <= 48 and "\0" not in x] if self.merges else []
+        # sums of scores would lose digits over many parts
+        joined = [x for x in new if "\0" not in x] if self.merges and 0 in self.bytes else []
         long = {}
-        for part, ids in itertools.chain(zip(short, self._words(short)), ((x, self.viterbi(x)) for x in new.difference(short))):
-            ids = array("I", ids)
+        for part, ids in itertools.chain(zip(joined, self._stream(joined) if joined else ()), ((x, array("I", self.viterbi(x))) for x in new.difference(joined))):
             (cache if len(part) <= 48 else long)[part] = ids.tobytes()
             if self.plain(ids) != part:
                 self.odd.add(part)

@@ -237,6 +237,19 @@ def test_pieces_window_is_bounded():
     tracemalloc.stop()
 
 
+def test_pieces_commit_where_paths_meet():
+    """Encoding goes through the windowed search, whatever the lengths: it commits before the end and
+    never holds much more than twice the longest piece."""
+    p = pieces.Pieces(pieces.default_path())
+    seen, path = [], p._path
+    p._path = lambda text, starts, ids, base, end: seen.append((len(starts), end, len(text))) or path(text, starts, ids, base, end)
+    random.seed(5)
+    text = " ".join("".join(random.choices("aehinorst", k=random.choice([1, 4, 9, 30]))) for _ in range(3000)) + " " + "e" * 5000
+    ids = p.encode(text)
+    assert p.decode(ids) == text and len(seen) > len(text) // (8 * p.longest)
+    assert max(n for n, _, _ in seen) < 8 * p.longest and sum(end < whole for _, end, whole in seen) > 100
+
+
 def test_kneser_ney(spark, odd, none):
     for t in (docs(spark), odd):
         rows = t.collect()
