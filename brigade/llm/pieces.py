@@ -114,7 +114,7 @@ class Pieces:
         wait, by default twice as many, the paths from all of those are followed back, and what they
         have in common is committed, so memory is bounded by how far paths stay apart, not by the text.
         """
-        hold = hold or 2 * self.longest
+        hold = due = hold or 2 * self.longest
         base, starts, ids, best = 0, [0], [-1], [0.0]  # of the boundaries from base on
         ranked, follows, pairs, stride = self.merges, self._follows, self.pairs, 2 * LOST
         for e, (n, piece) in self.machine.iter(text):
@@ -134,12 +134,13 @@ class Pieces:
             ids.append(piece)
             if not ranked:
                 best.append(best[k] + self.score[self.names[piece]])
-            if len(starts) > hold and len(starts) % hold == 1:
+            if len(starts) > due:
                 meet = self._meet(starts, base)
                 if meet > base:
                     yield from self._path(text, starts, ids, base, meet)
                     cut = meet - base
                     starts, ids, best, base = starts[cut:], ids[cut:], best[cut:], meet
+                due = max(hold, len(starts) + self.longest)
         while base + len(starts) <= len(text):
             self._lost(text, base, starts, ids, best)
         yield from self._path(text, starts, ids, base, len(text))
