@@ -75,6 +75,20 @@ def url_normalize(spark, sf_dir):
     u = urls.normalize_url(F.col("url"))
     return _table(spark, sf_dir, "pages").select("page_id", u["url"].alias("url"), u["host"].alias("host"))
 
+_LETTERS = r"regexp_extract_all(text, '[a-zA-Z\p{L}]*[^\x00-\x7F\P{L}][a-zA-Z\p{L}]*')"
+
+@query(f"SELECT lower(w) || '.example' AS shown, count(*) AS n, count(DISTINCT w) AS spellings FROM (SELECT unnest({_LETTERS}) AS w FROM documents) GROUP BY 1")
+def url_host_scripts(spark, sf_dir):
+    """Words with letters beyond ASCII as host names: plain, in capitals or percent-encoded, all of
+    them must come to one ASCII form, and that form back to the word."""
+    words = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([a-zA-Z\p{L}]*[^\x00-\x7F\P{L}][a-zA-Z\p{L}]*)"), 1)).alias("w"))
+    each = words.groupBy("w").agg(F.count("*").alias("n"))
+    k = F.pmod(F.xxhash64("w"), F.lit(3))
+    spelled = F.when((k == 0) & (F.length(F.upper("w")) == F.length("w")) & ~F.col("w").rlike("[\u03c2\u0131\u017f]"), F.upper("w")).when(k == 1, F.url_encode("w")).otherwise(F.col("w"))
+    host = urls.normalize_url(F.concat(F.lit("https://"), spelled, F.lit("\uff0eExample/")))["host"]
+    hosts = each.select("n", host.alias("host")).groupBy("host").agg(F.sum("n").alias("n"), F.count("*").alias("spellings"))
+    return hosts.select(urls.shown_host(F.col("host")).alias("shown"), "n", "spellings")
+
 @query("SELECT o_orderkey, 'https://www.example.com/a/' || CAST(o_orderkey AS STRING) || '?q=1' AS url, 'www.example.com' AS host FROM orders")
 def url_host(spark, sf_dir):
     """Unusual spellings, all of which the Python way must take to one form."""
