@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,57 +57,43 @@ def _leaves(tree) -> list[int]:
     return out
 
 
-def windows(sizes, capacity: int, cut: bool = True, spare: float = 1 / 128) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start, length), each of at most ``capacity`` in sum.
+def windows(sizes, capacity: int) -> list[list[int]]:
+    """Items dealt to windows of at most ``capacity`` in sum; no item may be above it.
 
-    Items above the capacity must have been cut before. The count starts at ceil(total/capacity)
-    and rises by one whenever a window of the differencing exceeds the capacity. With ``cut`` it
-    rises by the share ``spare`` at most, as each more is padding; what a window then still holds
-    beyond its capacity is cut off its largest items and dealt to windows with room. Without ``cut`` items stay whole and the count rises until all fit.
+    The count starts at ceil(total/capacity) and rises whenever a window of the differencing exceeds
+    the capacity, by the share by which the largest does, as windows are near-equal; with as many
+    windows as items each is alone, so it ends.
     """
-    total = int(sum(sizes))
-    k = max(1, -(-total // capacity))
-    most = k + int(k * spare)
+    k = max(1, -(-int(sum(sizes)) // capacity))
     while True:
         dealt = karmarkar_karp(sizes, k)
-        sums = [sum(int(sizes[i]) for i in p) for p in dealt]
-        if max(sums, default=0) <= capacity or (cut and k >= most):
-            break
-        k += 1
-    out = [[(i, 0, int(sizes[i])) for i in p] for p in dealt]
-    spare = []
-    for w, s in zip(out, sums):
-        over = s - capacity
-        w.sort(key=lambda x: (-x[2], x[0]))
-        while over > 0:
-            i, start, n = w.pop(0)
-            keep = max(0, n - over)
-            spare.append((i, start + keep, n - keep))
-            if keep:
-                w.append((i, start, keep))
-            over -= n - keep
-    room = sorted(((capacity - s, j) for j, s in enumerate(sums) if s < capacity), reverse=True)
-    for i, start, n in spare:
-        while n:
-            free, j = room[0]
-            take = min(n, free)
-            out[j].append((i, start, take))
-            start, n = start + take, n - take
-            room[0] = (free - take, j)
-            if free == take:
-                room.pop(0)
-    return [w for w in out if w]
-
-
-def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, group_tokens: int = 1 << 19, group_docs: int = 1 << 17, small: int = 64, cut: bool = True) -> DataFrame:
+        over = max(sum(int(sizes[i]) for i in p) for p in dealt) - capacity
+        if over <= 0:
+            return [p for p in dealt if p]
+        k += max(1, k * over // capacity)
+
+
+def _cut(pieces, capacity: int, end_id: int):
+    """((start, crc) of each full window, the rest's ids, how many ids in all) of a document's ids, which come in pieces."""
+    full, rest, start = [], np.zeros(0, "<u4"), 0
+    for ids in chain(pieces, [[end_id]]):
+        rest = np.concatenate([rest, np.array(ids, "<u4")])
+        n = len(rest) // capacity * capacity
+        full += [(start + i, zlib.crc32(rest[i : i + capacity].tobytes())) for i in range(0, n, capacity)]
+        rest, start = rest[n:].copy() if n else rest, start + n
+    return full, rest, start + len(rest)
+
+
+def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, group_tokens: int = 1 << 19, group_docs: int = 1 << 17, small: int = 64) -> DataFrame:
     """One row for each piece of a document: where it starts, how long it is, and its place.
 
     Each task tokenises its own split and packs groups of about ``group_tokens`` tokens and of at
     most ``group_docs`` documents, so no row is shuffled; sequence ids are the task's number times
     2**33 plus a count, so a repeated task gives the same ids. Documents longer than the capacity
-    first give full windows; what is left of each document goes through the differencing, documents
-    of fewer than ``small`` tokens in runs of about so many, as one item: a group has at most
-    2 * group_tokens / small items or so, and memory is bounded whatever the texts' lengths.
+    first give full windows, as their ids come from stretches of the text; what is left of each
+    document goes through the differencing whole, documents of fewer than ``small`` tokens in runs of
+    about so many, as one item: a group has at most 2 * group_tokens / small items or so, and memory
+    beside the text is bounded where it has safe places to cut (``bpe.safe_pieces``).
     Null or empty texts hold the end id alone. Repeated rows or keys are packed as separate
     documents. Extra columns are ignored; an empty table gives an empty result.
     """
@@ -127,23 +114,19 @@ def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer:
             runs, size = [], small  # items: runs of documents
             for i, h in enumerate(held):
                 n = len(h[1])
-                if cut and n < small and size < small:
+                if n < small and size < small:
                     runs[-1].append(i)
                     size += n
                 else:
                     runs.append([i])
                     size = n if n < small else small
-            bounds = [np.concatenate([[0], np.cumsum([len(held[i][1]) for i in r])]) for r in runs]
-            for w in windows([int(b[-1]) for b in bounds], capacity, cut):
+            sizes = [sum(len(held[i][1]) for i in r) for r in runs]
+            for w in windows(sizes, capacity):
                 at = 0
-                for item, start, n in w:
-                    j = int(np.searchsorted(bounds[item], start, "right")) - 1
-                    while n:
-                        doc, ids, first, total = held[runs[item][j]]
-                        here = start - int(bounds[item][j])
-                        take = min(n, len(ids) - here)
-                        rows.append((doc, first + here, take, crc(ids[here : here + take]), total, base + made, at))
-                        at, start, n, j = at + take, start + take, n - take, j + 1
+                for i in sorted(i for item in w for i in runs[item]):
+                    doc, ids, first, total = held[i]
+                    rows.append((doc, first, len(ids), crc(ids), total, base + made, at))
+                    at += len(ids)
                 made += 1
             held, waiting = [], 0
 
@@ -156,14 +139,13 @@ def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer:
         for whole in batches:
             for b in byte_batches(whole):
                 for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids = np.array([x for p in bpe.safe_pieces(t) for x in enc.ids(p)] + [end_id], "<u4")
-                    full = len(ids) // capacity * capacity
-                    for s in range(0, full, capacity):
-                        rows.append((doc, s, capacity, crc(ids[s : s + capacity]), len(ids), base + made, 0))
+                    full, rest, total = _cut(map(enc.ids, bpe.safe_pieces(t)), capacity, end_id)
+                    for start, sum_ in full:
+                        rows.append((doc, start, capacity, sum_, total, base + made, 0))
                         made += 1
-                    if full < len(ids):
-                        held.append((doc, ids[full:].copy(), full, len(ids)))
-                        waiting += len(ids) - full
+                    if len(rest):
+                        held.append((doc, rest, total - len(rest), total))
+                        waiting += len(rest)
                     if waiting >= group_tokens or len(held) >= group_docs:
                         flush()
                         yield out()
