@@ -31,7 +31,9 @@ def block_identities(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     many copies not at all.
     """
     blocks = _blocks(docs, text, key, block_bytes)
-    buckets = max(1, docs.count() // bucket_rows)
+    # buckets by blocks, not documents: few long texts have as many blocks as many short ones
+    count = tagged(docs, text, key).agg(F.sum(F.greatest(F.lit(1), F.ceil(F.octet_length("text") / block_bytes)))).first()[0] or 0
+    buckets = max(1, int(count) // bucket_rows)
     frequent = blocks.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(HOT).select("h")
     # at most HOT hashes, and so about HOT blocks: a broadcast of bounded size
     hot = blocks.join(F.broadcast(frequent), "h", "left_semi").groupBy("block").agg(F.lit(1).alias("one")).select("block", (-F.row_number().over(W.Window.orderBy("block"))).cast("long").alias("name"))
