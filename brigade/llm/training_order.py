@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,16 +100,22 @@ def materialise(docs: DataFrame, folder: str, *, text: str = "text", key: str =
         for whole in batches:
             for b in byte_batches(whole):
                 for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    new = [x for p in bpe.safe_pieces(t) for x in enc.ids(p)] + [end_id]
-                    start = 0
-                    while start < len(new):
-                        take = min(length - len(ids), len(new) - start)
-                        pieces.append((-1 if doc is None else doc, int(doc is None), start, take, len(ids)))
-                        ids += new[start : start + take]
-                        start += take
-                        if len(ids) == length:
-                            put(ids)
-                            ids = []
+                    start, opened = 0, len(ids)  # of the open sequence's piece of this document
+                    for new in chain(map(enc.ids, bpe.safe_pieces(t)), [[end_id]]):
+                        at = 0
+                        while at < len(new):
+                            take = min(length - len(ids), len(new) - at)
+                            ids += new[at : at + take]
+                            at += take
+                            if len(ids) == length:
+                                pieces.append((-1 if doc is None else doc, int(doc is None), start, length - opened, opened))
+                                start, opened = start + length - opened, 0
+                                put(ids)
+                                ids = []
+                                if len(out) >= 64:
+                                    yield batch()
+                    if len(ids) > opened:
+                        pieces.append((-1 if doc is None else doc, int(doc is None), start, len(ids) - opened, opened))
                 if out:
                     yield batch()
         if ids:
