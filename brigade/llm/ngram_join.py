@@ -120,16 +120,16 @@ def _incidence(docs: DataFrame, k: int, num: int, den: int, frequent, most: int)
     return docs.mapInArrow(run, "kind byte, a long, b long, n int, p int")
 
 
-def _runs(batches, most: int = 1 << 18):
-    """Whole columns' worth of rows in order of the first column, cut between its values where that
-    is possible; a value with more rows comes whole."""
+def _runs(batches, keys: int, most: int = 1 << 18):
+    """Rows in order of their first ``keys`` columns, cut between values of these where that is
+    possible; a value with more rows comes whole."""
     held, size = [], 0
     for b in batches:
         held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
         size += b.num_rows
         if size >= most:
             cols = [np.concatenate(c) for c in zip(*held)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            cut = int(np.flatnonzero(_heads(*cols[:keys]))[-1])
             if cut:
                 yield [c[:cut] for c in cols]
                 cols = [c[cut:] for c in cols]
@@ -156,7 +156,7 @@ def _shared_columns(rows: DataFrame, num: int, den: int) -> DataFrame:
     their own: candidates only say which sets to take first, links don't depend on them."""
 
     def work(batches):
-        for a, p, b, n, kind in _runs(batches):
+        for a, p, b, n, kind in _runs(batches, 2):
             for k in (0, 3):
                 if (doc := kind == k).any():
                     yield _rows(k, a[doc], b[doc], n[doc], np.zeros(int(doc.sum()), np.int32))
@@ -228,16 +228,19 @@ def _unit_links(a: np.ndarray, bounds: np.ndarray, sig: np.ndarray, part: np.nda
     return out, linked.sum(1)
 
 
-def _cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int, block: int = 256) -> DataFrame:
+def _cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int, block: int = 256, block_bytes: int = 32 << 20) -> DataFrame:
     """Rows (a, b, n) of each cluster (node, component): links that connect all that is linked
     within it, with n null, and the number n of links that a set has to others of its part or to
     those of one other, with b null.
 
-    A cluster is cut into blocks of about ``block`` sets, and each two of its blocks are multiplied
-    in a task of their own, so that no task holds a cluster and no pair becomes a row.
+    A cluster is cut into blocks of about ``block`` sets, or of ``block_bytes`` where its sets are
+    large, and each two of its blocks are multiplied in a task of their own, so that no task holds a
+    cluster and no pair becomes a row.
     """
-    parts = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")).where("nb > 0")
-    dealt = stash(clusters.join(parts, "component").select(F.col("node").alias("sig"), "component", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("p")), "blocks")
+    sized = clusters.join(sets.select(F.col("sig").alias("node"), "size"), "node")
+    number = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_bytes))
+    parts = sized.groupBy("component").agg(number.cast("int").alias("nb"))
+    dealt = stash(sized.join(parts, "component").select(F.col("node").alias("sig"), "component", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("p")), "blocks")
     units = dealt.select("sig", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda q: F.struct(F.least("p", q).alias("p"), F.greatest("p", q).alias("q")))).alias("u"), "p")
 
     def run(t: pa.Table) -> pa.Table:
@@ -248,7 +251,7 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int, blo
         a, b, n = [x for x, _ in got] + sig[some].tolist(), [y for _, y in got] + [None] * len(some), [None] * len(got) + degree[some].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    return units.join(sets.hint("merge"), "sig").groupBy("component", "u").applyInArrow(run, "a long, b long, n long")
+    return units.join(sets.select("sig", "s").hint("merge"), "sig").groupBy("component", "u").applyInArrow(run, "a long, b long, n long")
 
 
 def _cross(columns: DataFrame, reps: DataFrame, clusters: DataFrame, num: int, den: int, block: int = 256, wide: int = 256) -> DataFrame:
@@ -276,7 +279,7 @@ def _cross(columns: DataFrame, reps: DataFrame, clusters: DataFrame, num: int, d
     open_ = dealt.select(*unit, "b", "n", "cluster", "part").repartition("a", "u", "v").sortWithinPartitions("a", "u", "v", "n", "b")
 
     def work(batches):
-        for a, u, v, b, n, g, part in _runs(batches):
+        for a, u, v, b, n, g, part in _runs(batches, 3):
             apart = u != v  # two blocks: pairs within either are in its own unit
             first = np.append(np.flatnonzero(_heads(a, u, v)), len(a))
             size = np.repeat(np.diff(first), np.diff(first))
@@ -379,11 +382,12 @@ def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
             for b in byte_batches(w, most=1 << 20):
                 h, bounds = _sets(b.column(1), words)
                 same = pa.array(_signed(_set_hashes(h, bounds)) == b.column(2).to_numpy())  # a repeated key may have another text
-                yield pa.RecordBatch.from_arrays([b.column(2).filter(same), pa.array([h[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary()).filter(same)], names=["sig", "s"])
+                s = pa.array([h[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(2).filter(same), s.filter(same), pa.array(np.diff(bounds) * 8, pa.int64()).filter(same)], names=["sig", "s", "size"])
 
     # sort-merge joins wherever texts or sets are joined: one plan for every size
     texts = own.join(reps.hint("merge"), "doc_id").select("doc_id", "text", "sig")
-    sets = stash(texts.mapInArrow(whole, "sig long, s binary"), "sets")
+    sets = stash(texts.mapInArrow(whole, "sig long, s binary, size long"), "sets")
     inside = stash(_cluster_links(clusters, sets, num, den), "links")
     # behind its leading columns a set has at most _fewest - 1 more in common with a partner
     behind = F.greatest(_fewest("n", num, den), _fewest("m", num, den)) - 1

@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from brigade.llm import kneser_ney, ngram_join
@@ -71,3 +73,32 @@ def test_ngram_join_counts_every_link(spark):
         want = {i: found[x] for x, ids in sets.items() for i in ids} | {len(rows): 0}
         assert max(want.values()) > 256
         assert {r.doc_id: r.n_links for r in ngram_join.ngram_components(t, words=k, threshold=(num, den)).collect()} == want
+
+
+def test_runs_are_cut_at_the_whole_key():
+    """Parts of one hot column that meet in a task don't come together again."""
+    rnd = np.random.default_rng(3)
+    rows = np.sort(rnd.integers(0, 12, 4000))
+    cols = [np.zeros(4000, np.int64), rows, rnd.integers(0, 9, 4000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 100]) for c in cols], names=["a", "p", "b"]) for i in range(0, 4000, 100)]
+    got = list(ngram_join._runs(iter(batches), 2, most=500))
+    assert all(np.array_equal(np.concatenate([g[k] for g in got]), cols[k]) for k in range(3))
+    seen = [set(g[1].tolist()) for g in got]
+    assert len(got) > 4 and all(not (x & y) for i, x in enumerate(seen) for y in seen[:i])
+
+
+def test_ngram_join_blocks_by_bytes(spark):
+    """A family of long texts in blocks of a few sets has the links of one in a single block."""
+    base = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(base[: 2800 + 10 * i])) for i in range(12)]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(x.split()[j : j + 5]) for j in range(len(x.split()) - 4)} for i, x in rows}
+    want = {i: sum(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in sets if j != i) for i in sets}
+    original = ngram_join._cluster_links
+    for size in (32 << 20, 60_000):
+        ngram_join._cluster_links = lambda *a, size=size: original(*a, block_bytes=size)
+        try:
+            got = ngram_join.ngram_components(t).collect()
+        finally:
+            ngram_join._cluster_links = original
+        assert {r.doc_id: r.n_links for r in got} == want and {r.component_id for r in got} == {0}
