@@ -207,7 +207,7 @@ def train(docs: DataFrame, *, least: int = 1, flush_tokens: int = 1 << 21, bucke
     and a bitmap of the buckets from each task.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(18, max(5, int(size // bucket_bytes).bit_length()))
+    bits = max(5, int(size // bucket_bytes).bit_length())
     context_bits = bits - 4
     folder = shared_folder(docs.sparkSession, "kneser-ney")
 
@@ -277,7 +277,7 @@ def train(docs: DataFrame, *, least: int = 1, flush_tokens: int = 1 << 21, bucke
 
     def gathered(rows):
         stats, there = np.zeros(12, np.int64), np.zeros(1 << bits >> 3, np.uint8)
-        for r in rows.coalesce(64).mapInArrow(gather, ROWS).select("data").collect():
+        for r in rows.coalesce(64).mapInArrow(gather, ROWS).select("data").toLocalIterator():  # one bitmap at a time
             stats += np.frombuffer(r[0][:96], "<i8")
             there |= np.frombuffer(r[0][96:], np.uint8)
         return [int(x) for x in stats], there.tobytes()
