@@ -8,7 +8,7 @@ from ..functions import jscompat, text, urls
 from ..functions.rules import ALLERGEN_RULES, SITES
 from ..operators import cache, classify, html, ingredients, recipe, refresh, search, sinks, sites, steps
 from ..sources import responses
-from ..sources.shared import shared_folder, stash
+from ..sources.shared import each_text, shared_folder, stash
 from . import synthetic as syn
 
 FLAGSHIP = "normalize_recipe"
@@ -42,11 +42,13 @@ def text_ascii_lower(spark, sf_dir):
 
 @query(f"SELECT recipe_id, pos, v IN (2) AS milk, v IN (3) AS eggs FROM ({syn.LINES})")
 def keyword_match(spark, sf_dir):
-    return syn.lines(spark, sf_dir).select("recipe_id", "pos", text.matches_keywords(F.col("line"), ["lait"]).alias("milk"), text.matches_keywords(F.col("line"), ["oeuf"]).alias("eggs"))
+    found = {"milk": text.matches_keywords(F.col("line"), ["lait"]), "eggs": text.matches_keywords(F.col("line"), ["oeuf"])}
+    return each_text(syn.lines(spark, sf_dir), "line", found).select("recipe_id", "pos", "milk", "eggs")
 
 @query(f"SELECT recipe_id, pos, v = 7 AS chickpeas, v = 17 AS film FROM ({syn.LINES})")
 def phrase_match(spark, sf_dir):
-    return syn.lines(spark, sf_dir).select("recipe_id", "pos", text.matches_keywords(F.col("line"), ["pois chiche"]).alias("chickpeas"), text.matches_keywords(F.col("line"), ["film alimentaire"]).alias("film"))
+    found = {"chickpeas": text.matches_keywords(F.col("line"), ["pois chiche"]), "film": text.matches_keywords(F.col("line"), ["film alimentaire"])}
+    return each_text(syn.lines(spark, sf_dir), "line", found).select("recipe_id", "pos", "chickpeas", "film")
 
 @query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
 def html_title(spark, sf_dir):
@@ -143,21 +145,20 @@ def build_search_url(spark, sf_dir):
 
 @query(f"SELECT recipe_id, pos, name, quantity, unit FROM ({syn.LINES})")
 def ing_full(spark, sf_dir):
-    x = syn.lines(spark, sf_dir).select("recipe_id", "pos", ingredients.parse_ingredient(F.col("line")).alias("i"))
+    x = each_text(syn.lines(spark, sf_dir), "line", {"i": ingredients.parse_ingredient(F.col("line"))})
     return x.select("recipe_id", "pos", "i.name", "i.quantity", "i.unit")
 
 @query(f"SELECT recipe_id, pos, CASE WHEN t = 2 THEN quantity / 10 WHEN t = 15 THEN NULL ELSE quantity END AS q FROM ({syn.LINES})")
 def ing_quantity(spark, sf_dir):
     s = ingredients.ing_fractions(F.regexp_replace("line", "^- ", ""))
-    return syn.lines(spark, sf_dir).select("recipe_id", "pos", ingredients.ing_quantity(s)["q"].alias("q"))
+    return each_text(syn.lines(spark, sf_dir), "line", {"q": ingredients.ing_quantity(s)["q"]}).select("recipe_id", "pos", "q")
 
 @query(f"SELECT recipe_id, pos, nullif(unit, 'unit') AS unit, CAST(CASE WHEN t = 2 THEN 10 WHEN unit <> 'unit' THEN 1 END AS INT) AS factor FROM ({syn.LINES})")
 def ing_unit(spark, sf_dir):
     """Every line, behind its quantity of any form; null where no unit is given."""
-    x = syn.lines(spark, sf_dir).withColumn("s", ingredients.ing_fractions(F.regexp_replace("line", "^- ", "")))
-    x = x.withColumn("n", F.coalesce(ingredients.ing_quantity(F.col("s"))["n"], F.lit(0)))
-    u = ingredients.ing_unit(jscompat.js_trim(F.substring(F.col("s"), F.col("n") + 1, F.length("s"))))
-    return x.select("recipe_id", "pos", u["unit"].alias("unit"), u["factor"].alias("factor"))
+    behind = lambda s: jscompat.js_trim(F.substring(s, F.coalesce(ingredients.ing_quantity(s)["n"], F.lit(0)) + 1, F.length(s)))
+    u = jscompat.let(ingredients.ing_fractions(F.regexp_replace("line", "^- ", "")), lambda s: jscompat.let(behind(s), ingredients.ing_unit))
+    return each_text(syn.lines(spark, sf_dir), "line", {"u": u}).select("recipe_id", "pos", "u.unit", "u.factor")
 
 @query(f"SELECT recipe_id, pos, CASE WHEN t = 14 THEN '1/2 ' || w ELSE line END AS line FROM ({syn.LINES})")
 def ing_fractions(spark, sf_dir):
@@ -200,13 +201,12 @@ def step_strip_index(spark, sf_dir):
 
 @query(f"SELECT recipe_id, pos, aisle FROM ({syn.LINES})")
 def aisle(spark, sf_dir):
-    return syn.lines(spark, sf_dir).select("recipe_id", "pos", classify.aisle(F.col("line")).alias("aisle"))
+    return each_text(syn.lines(spark, sf_dir).drop("aisle"), "line", {"aisle": classify.aisle(F.col("line"))}).select("recipe_id", "pos", "aisle")
 
 @query(f"SELECT coalesce(aisle, 'none') AS aisle, count(*) AS n, sum(quantity) AS quantity FROM ({syn.LINES}) GROUP BY ALL")
 def aisle_counts(spark, sf_dir):
-    # the lines' table may be one split, and parsing is work on each line
-    spread = syn.lines(spark, sf_dir).select("recipe_id", "line").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "recipe_id")
-    x = spread.select(ingredients.parse_ingredient(F.col("line")).alias("i")).select("i.quantity", classify.aisle(F.col("i.name")).alias("aisle"))
+    of = jscompat.let(ingredients.parse_ingredient(F.col("line")), lambda i: F.struct(i["quantity"].alias("quantity"), classify.aisle(i["name"]).alias("aisle")))
+    x = each_text(syn.lines(spark, sf_dir).select("line"), "line", {"x": of}).select("x.quantity", "x.aisle")
     return x.groupBy(F.coalesce("aisle", F.lit("none")).alias("aisle")).agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
 
 def _names(spark, sf_dir):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -24,3 +25,10 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def each_text(rows: DataFrame, text: str, made: dict[str, Column]) -> DataFrame:
+    """``rows`` with columns made of their ``text`` alone: a text is worked on once, however many rows hold it,
+    and joined with them; rows without a text have nulls."""
+    texts = rows.select(text).where(F.col(text).isNotNull()).distinct()
+    return rows.join(stash(texts.withColumns(made), "texts"), text, "left")
