@@ -221,11 +221,12 @@ def allergen_rules(spark, sf_dir):
     """The allergens by rules from a table, which also holds a rule of its own for the name of every part."""
     own = spark.createDataFrame([(i, a, k) for i, (a, ks) in enumerate(ALLERGEN_RULES) for k in ks], "rank int, label string, phrase string")
     parts = _table(spark, sf_dir, "part").select(F.lit(len(ALLERGEN_RULES)).alias("rank"), F.concat(F.lit("part "), "p_partkey").alias("label"), F.col("p_name").alias("phrase"))
-    lines = syn.lines(spark, sf_dir)
-    found = classify.match_rules(lines.select("recipe_id", "line"), own.unionByName(parts), key=["recipe_id"], text="line", rule=["rank", "label"])
-    named = found.where(F.col("rank") < len(ALLERGEN_RULES)).groupBy("recipe_id").agg(F.array_sort(F.collect_set(F.struct("rank", "label"))).alias("all"))
-    every = lines.select("recipe_id").distinct().join(named, "recipe_id", "left")
-    return every.select("recipe_id", F.coalesce(F.array_join(F.transform("all", lambda x: x["label"]), ","), F.lit("")).alias("allergens"))
+    lines = syn.lines(spark, sf_dir).select("recipe_id", "line")
+    texts = stash(lines.select("line").distinct(), "texts")  # rules are matched with each text once
+    found = classify.match_rules(texts, own.unionByName(parts), key=["line"], text="line", rule=["rank", "label"])
+    named = stash(found.where(F.col("rank") < len(ALLERGEN_RULES)).groupBy("line").agg(F.collect_set(F.struct("rank", "label")).alias("some")), "named")
+    every = lines.join(named, "line", "left").groupBy("recipe_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("some")))).alias("all"))
+    return every.select("recipe_id", F.array_join(F.transform("all", lambda x: x["label"]), ",").alias("allergens"))
 
 @query(f"SELECT recipe_id, seasonal FROM ({syn.KINDS})")
 def seasonal(spark, sf_dir):

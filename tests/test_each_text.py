@@ -20,6 +20,6 @@ def test_each_text(spark):
 
 def test_lines_are_parsed_once_each(spark):
     """What is planned over the rows holds no pattern: these stand in the pass over the texts."""
-    for name in ("ing_full", "ing_quantity", "ing_unit", "aisle", "aisle_counts", "keyword_match", "phrase_match"):
+    for name in ("ing_full", "ing_quantity", "ing_unit", "aisle", "aisle_counts", "keyword_match", "phrase_match", "allergen_rules"):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp" not in plan.lower() and "RLIKE" not in plan and "Join" in plan, name
