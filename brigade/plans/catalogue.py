@@ -305,8 +305,9 @@ def canonical_url(spark, sf_dir):
 
 @query(f"SELECT id AS page_id, CASE WHEN NOT canonical AND layout = 5 THEN 'https://mirror.example.net/p/' || k ELSE source_url END AS source_url FROM ({syn.RECIPES})")
 def pick_source_url(spark, sf_dir):
-    p = _nodes(spark, sf_dir)
-    return p.select("page_id", html.pick_source_url(F.col("url"), html.canonical_url(F.col("html")), F.col("x.node.main_entity"), F.col("x.node.node_url")).alias("source_url"))
+    """Of every page the first of its own URLs, canonical or of its recipe, that resolves; all in the one pass over pages."""
+    p = syn.recipe_pages(spark, sf_dir).withColumn("x", F.explode(F.array(html.extract_page(F.col("html"), F.col("url")))))
+    return p.select("page_id", F.col("x.source_url").alias("source_url"))
 
 _ERROR = "CASE WHEN layout = 5 THEN 'No recipe data found' WHEN coalesce(n_lines, 0) < 2 THEN 'Not enough ingredients extracted' END"
 _RECIPE = f"SELECT r.*, k.n_lines, k.seasonal, k.meat, k.allergens, {_ERROR} AS error FROM ({syn.RECIPES}) r LEFT JOIN ({syn.KINDS}) k ON id = recipe_id"
