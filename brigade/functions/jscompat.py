@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 #: What \s and trim() cover in JavaScript; Java's \s and Python's differ from it.
 WS = "\\t\\n\\u000B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 WS_CHARS = "\t\n\x0b\f\r \xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
+#: The same as a class that plain characters leave at once.
+SPACE = f"[[^!-~]&&[{WS}]]"
 #: The end of a word of ASCII letters, digits and underscores.
 END = "(?![0-9A-Za-z_])"
 START = "(?<![0-9A-Za-z_])"
@@ -16,7 +18,7 @@ START = "(?<![0-9A-Za-z_])"
 
 def rx(pattern: str) -> str:
     r"""A Java pattern from one that writes {s} for a space class, {e} and {b} for a word's end and start."""
-    return pattern.replace("{s}", f"[{WS}]").replace("{e}", END).replace("{b}", START)
+    return pattern.replace("{s}", SPACE).replace("{e}", END).replace("{b}", START)
 
 
 def js_trim(c: Column) -> Column:

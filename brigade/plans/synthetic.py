@@ -3,6 +3,8 @@ both read, with what the operators must find stated beside it."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,9 @@ FROM (SELECT *, CAST(n AS STRING) AS q, {_case("v", [_text(x[0]) for x in VOCABU
                    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS pos
             FROM {{lineitem}}) a) b"""
 
+#: The lines with what orders them within a recipe as ``pos``.
+ORDERED = re.sub(r"CAST\(row_number\(\) OVER \(PARTITION BY l_orderkey ORDER BY (.*)\) AS BIGINT\) AS pos", r"struct(\1) AS pos", LINES)
+
 
 def _any(which) -> str:
     return "v IN (" + ", ".join(str(i) for i, x in enumerate(VOCABULARY) if which(x)) + ")"
@@ -99,7 +104,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recipe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, html, layout): JSON-LD plain, in a graph, with a type array; microdata; both; neither."""
     r = sql(spark, sf_dir, RECIPES)
-    ing = lines(spark, sf_dir).groupBy("recipe_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
+    # grouped by what a line's position is counted by, in place of the position, so that lines are shuffled once
+    ing = sql(spark, sf_dir, ORDERED).groupBy("recipe_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line")))["line"].alias("lines"))
     # orders come in one split, and what follows is work on each page
     r = r.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     p = r.join(ing, r.id == ing.recipe_id, "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
