@@ -10,6 +10,8 @@ from pyspark.sql import window as W
 
 from .shared import stash
 
+#: A task takes at most so many blocks of rows and of queries, and fewer while there are fewer tasks than ``TASKS``.
+SPAN, QUERY_SPAN, TASKS = 16, 64, 64
 SCHEMA = "query_id long, vec_id long, score long"
 BLOCK = "len int, n_queries int, rb int, ids binary, x binary, index binary, bits int, cut int, sliced boolean, copies binary"
 BLOCK_ARROW = [("len", pa.int32()), ("n_queries", pa.int32()), ("rb", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("index", pa.binary()), ("bits", pa.int32()), ("cut", pa.int32()), ("sliced", pa.bool_()), ("copies", pa.binary())]
@@ -178,9 +180,10 @@ def top_k(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id",
     Queries are the rows whose key is divisible by ``query_every``; every row but those of the
     query's own key is a candidate. Attributes become floor(scale * x). Rows are dealt into blocks by
     a hash of key and vector; each block's slices are built once and written to the shared folder.
-    Queries are dealt into blocks too, and each of those meets each block of rows in a task of
-    its own: nothing is broadcast, and no task holds more than one block of either. A row's own
-    answer in a block is at most ``k`` rows for each query.
+    Queries are dealt into blocks too, and each of those meets each block of rows: a task takes a
+    group of blocks of either, at most ``SPAN`` of rows and ``QUERY_SPAN`` of queries, so a block is sent
+    once for each group of the other side. Nothing is broadcast, and a task's answer is at most
+    ``k`` rows for each query.
 
     Vectors that are null or hold null or non-finite components take no part, nor do null keys. A
     query meets the vectors of its own length; those of no components all score 0. Quantised
@@ -199,7 +202,7 @@ def top_k(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id",
     blocks_of = lambda df, size, name: df.groupBy("len").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     sizes = stash(blocks_of(rows, row_block, "n_rows").join(blocks_of(asked, query_block, "n_queries"), "len"), "block-counts")
     deal = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
-    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
     dealt = rows.join(sizes, "len").groupBy("len", "n_queries", deal("n_rows", "vec_id", "v").alias("rb")).agg(F.collect_list(F.struct("vec_id", "v", "copies")).alias("r"))
 
     def build(batches):
@@ -210,22 +213,44 @@ def top_k(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id",
                 yield pa.RecordBatch.from_pydict({"len": [length.as_py()], "n_queries": [n.as_py()], "rb": [rb.as_py()], "ids": [ids_], "x": [x_], "index": [index], "bits": [bits], "cut": [cut], "sliced": [sliced], "copies": [copies.tobytes()]}, pa.schema(BLOCK_ARROW))
 
     blocks = stash(dealt.select("len", "n_queries", "rb", "r").mapInArrow(build, BLOCK), "sliced-index")
-    queries = asked.join(sizes, "len").groupBy("len", "n_rows", deal("n_queries", "vec_id").alias("qb")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    met = blocks.withColumn("qb", to_all("n_queries")).join(queries.withColumn("rb", to_all("n_rows")), ["len", "rb", "qb"])
-
-    def run(batches):
-        for t in batches:
-            for length, ids, x, index, bits, cut, sliced, copies, q in zip(*t.columns):
-                block = Block.unpack(*(c.as_buffer() for c in (ids, x, index)), bits.as_py(), cut.as_py(), sliced.as_py())
-                qi, place, score = block.top(*_matrix(q.values, length.as_py())[:2], k)
-                times = np.minimum(np.frombuffer(copies.as_buffer(), np.int64)[place], k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, times).astype(np.int64)) for c in (qi, block.ids[place], score)], names=["query_id", "vec_id", "score"])
-
-    best = met.select("len", "ids", "x", "index", "bits", "cut", "sliced", "copies", "q").mapInArrow(run, SCHEMA)
+    queries = asked.join(sizes, "len").groupBy("len", "n_rows", "n_queries", deal("n_queries", "vec_id").alias("qb")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
+    # blocks of rows meet blocks of queries in groups, so that what is sent grows with the groups and not with the blocks
+    n_rows, n_queries = F.col("n_rows"), F.col("n_queries")
+    row_span = F.least(F.lit(SPAN), F.ceil(n_rows / TASKS)).cast("int")
+    row_groups = F.ceil(n_rows / row_span).cast("int")
+    query_span = F.greatest(F.lit(1), F.least(F.lit(QUERY_SPAN), F.floor(row_groups * n_queries / TASKS))).cast("int")
+    query_groups = F.ceil(n_queries / query_span).cast("int")
+    left = blocks.join(sizes, ["len", "n_queries"]).withColumn("rg", F.floor(F.col("rb") / row_span)).withColumn("qg", to_all(query_groups))
+    right = queries.withColumn("qg", F.floor(F.col("qb") / query_span)).withColumn("rg", to_all(row_groups))
+    meet = lambda df, *c: df.select("len", F.col("rg").cast("int").alias("rg"), F.col("qg").cast("int").alias("qg"), *c).groupBy("len", "rg", "qg")
+
+    def run(key, rows, asks):
+        parts = []
+        for q in (x for c in asks["q"].chunks for x in c):
+            ids, x, _ = _matrix(q.values, key[0].as_py())
+            found = []
+            for r in rows.to_batches(max_chunksize=1):
+                of = {n: r.column(n)[0] for n in r.schema.names}
+                block = Block.unpack(*(of[n].as_buffer() for n in ("ids", "x", "index")), of["bits"].as_py(), of["cut"].as_py(), of["sliced"].as_py())
+                qi, place, score = block.top(ids, x, k)
+                times = np.minimum(np.frombuffer(of["copies"].as_buffer(), np.int64)[place], k)
+                found.append([np.repeat(c, times).astype(np.int64) for c in (qi, block.ids[place], score)])
+            parts.append(_best(*(np.concatenate(c) for c in zip(*found)), k) if found else [np.zeros(0, np.int64)] * 3)
+        return pa.table([pa.array(np.concatenate(c) if parts else [], pa.int64()) for c in (zip(*parts) if parts else [[]] * 3)], names=["query_id", "vec_id", "score"])
+
+    best = meet(left, "ids", "x", "index", "bits", "cut", "sliced", "copies").cogroup(meet(right, "q")).applyInArrow(run, SCHEMA)
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> list[np.ndarray]:
+    """Each query's ``k`` best of rows from several blocks."""
+    order = np.lexsort((ids, ~scores, query_ids))
+    q = query_ids[order]
+    kept = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+    return [c[kept] for c in (query_ids, ids, scores)]
+
+
 def _matrix(block, length: int) -> tuple:
     """(ids, matrix, copies) of a list of structs, by id and vector."""
     ids = block.field("vec_id").to_numpy()
