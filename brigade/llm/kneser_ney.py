@@ -19,16 +19,24 @@ _16 = np.uint64(16)
 
 
 def _tokens(col: pa.Array):
-    """(hash of each token, of the token before it, row of each): words, then one end in each row."""
+    """(hash of each token, how many tokens each row has): words, then one end in each row."""
     h, firsts = word_hashes(col)
-    rows = len(col)
-    row = np.concatenate([np.repeat(np.arange(rows), np.diff(firsts)), np.arange(rows)])
-    order = np.argsort(row, kind="stable")
-    w = np.concatenate([h, np.full(rows, END)])[order]
-    row = row[order]
-    before = np.concatenate([[BEGIN], w[:-1]]) if len(w) else w
-    before[np.searchsorted(row, np.arange(rows))] = BEGIN
-    return w, before, row
+    many = np.diff(firsts)
+    w = np.full(len(h) + len(many), END)
+    inside = np.ones(len(w), bool)
+    inside[np.cumsum(many + 1) - 1] = False
+    w[inside] = h
+    return w, many + 1
+
+
+def _bigrams(w: np.ndarray, many: np.ndarray):
+    """(distinct tokens and BEGIN, the place among them of each token of ``w``, of the token before it):
+    tokens are sorted once for both, as each follows another one or the beginning."""
+    words, at = np.unique(np.append(w, BEGIN), return_inverse=True)
+    at = at.astype(np.int32)
+    before = np.roll(at, 1)[:-1]  # the last is the beginning's
+    before[np.cumsum(many) - many] = at[-1]
+    return words, at[:-1], before
 
 
 def _codes(h: np.ndarray) -> np.ndarray:
@@ -215,24 +223,25 @@ def train(docs: DataFrame, *, least: int = 1, flush_tokens: int = 1 << 21, bucke
         held, size = [], 0
 
         def flush():
-            w, before = (np.concatenate(x) for x in zip(*held))
-            words, back = np.unique(np.concatenate([w, before]), return_inverse=True)
-            own = np.bincount(back[: len(w)], minlength=len(words))
+            w, many = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            words, iw, ih = _bigrams(w, many)
+            del w
+            own = np.bincount(iw, minlength=len(words))
             k = np.flatnonzero(own)
             rows = _split(0, _bucket(words[k], bits), _pack, words[k], own[k][None])
-            pairs, c = np.unique(back[: len(w)] * len(words) + back[len(w) :], return_counts=True)
+            pairs, c = np.unique(iw * np.int64(len(words)) + ih, return_counts=True)
             k = words[pairs // len(words)]
             rows += _split(1, _bucket(k, bits), _pack_pairs, k, _codes(words[pairs % len(words)]), c)
             return _table(rows).to_batches()[0]
 
         for whole in batches:
             for b in byte_batches(whole):
-                w, before, _ = _tokens(b.column(1))
-                held.append((w, before))
-                size += len(w)
+                held.append(_tokens(b.column(1)))
+                size += len(held[-1][0])
                 if size >= flush_tokens:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flush()
 
@@ -321,23 +330,25 @@ def scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", folds: i
         docs_seen = at.find("word", np.array([END]), 1)[0, 0]
         for whole in batches:
             for b in byte_batches(whole, most=batch_bytes):
-                w, before, row = _tokens(b.column(1))
-                words, back = np.unique(np.concatenate([w, before]), return_inverse=True)
-                iw, ih = back[: len(w)], back[len(w) :]
+                w, many = _tokens(b.column(1))
+                words, iw, ih = _bigrams(w, many)
+                del w
                 c, follows, rank = at.find("word", words, 2)
                 lower = np.maximum(follows - low[np.minimum(follows, 3)], 0) / pairs + rest / (types + 1)
                 seen = np.where(words == BEGIN, docs_seen, np.where(words == END, 0, c)).astype(float)
                 mass, k1, k2, k3, _ = at.find("context", _codes(words) << _16, 4)
                 left = 1 - (mass - d[1] * k1 - d[2] * k2 - d[3] * k3) / np.maximum(seen, 1)
                 left = np.where(seen > 0, np.clip(left, 1e-9, 1), 1.0)
-                one, ip = np.unique(iw * len(words) + ih, return_inverse=True)  # distinct bigrams in the order of their second words
-                one, h = one // len(words), one % len(words)
-                both = at.find("pair", words[one], 1, rank[one], _codes(words[h]))[0][ip]
-                p = np.where(both > 0, (both - d[np.minimum(both, 3)]) / np.maximum(np.maximum(seen[ih], both), 1), 0.0) + left[ih] * lower[iw]
-                base = np.log10((c[iw] + 0.5) / (total + 0.5 * (types + 1)))
-                k = b.num_rows
-                sums = lambda x: np.bincount(row, x, k)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.bincount(row, minlength=k).astype(np.int64)), pa.array(sums(c[iw] > 0).astype(np.int64)), pa.array(np.full(k, total, np.int64)), pa.array(sums(base)), pa.array(sums(np.log10(p)))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                row = np.repeat(np.arange(b.num_rows, dtype=np.int32), many)
+                sums = lambda x: np.bincount(row, x[iw], b.num_rows)
+                known, base = sums(c > 0).astype(np.int64), sums(np.log10((c + 0.5) / (total + 0.5 * (types + 1))))
+                one, iw = np.unique(iw * np.int64(len(words)) + ih, return_inverse=True)  # distinct bigrams in the order of their second words
+                second, h = one // len(words), one % len(words)
+                del one, ih
+                both = at.find("pair", words[second], 1, rank[second], _codes(words[h]))[0]
+                p = np.where(both > 0, (both - d[np.minimum(both, 3)]) / np.maximum(np.maximum(seen[h], both), 1), 0.0) + left[h] * lower[second]
+                score = sums(np.log10(p))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(many), pa.array(known), pa.array(np.full(b.num_rows, total, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return rows.mapInArrow(run, SCHEMA)
 

@@ -56,7 +56,7 @@ def spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tupl
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = LOWER, chunk: int = 1 << 20) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = LOWER, chunk: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of each span, about ``chunk`` bytes at a time."""
     out = np.empty(len(starts), np.uint64)
     lens = ends - starts
