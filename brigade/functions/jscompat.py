@@ -36,8 +36,8 @@ def let(c: Column, body) -> Column:
 
 
 def struct_type(text: str) -> T.StructType:
-    """A struct of strings, booleans, whole numbers and arrays of strings from 'name type, ...', without a session."""
-    kinds = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "array<string>": T.ArrayType(T.StringType())}
+    """A struct of strings, booleans, numbers and arrays of strings from 'name type, ...', without a session."""
+    kinds = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "array<string>": T.ArrayType(T.StringType())}
     return T.StructType([T.StructField(*(n, kinds[k])) for n, k in (f.split(" ") for f in text.split(", "))])
 
 

@@ -31,6 +31,14 @@ def strip_diacritics(c: Column) -> Column:
     return F.translate(c, source + "".join(map(chr, range(0x300, 0x370))), target)
 
 
+def folding() -> dict[int, str | None]:
+    """For str.translate: letters without their marks, ligatures written out."""
+    source, target = _marks()
+    table = dict.fromkeys(range(0x300, 0x370)) | {ord(a): b for a, b in zip(source, target)}
+    ligatures = {"Œ": "oe", "œ": "oe", "Æ": "ae", "æ": "ae"}
+    return {k: ligatures.get(v, v) for k, v in table.items()} | {ord(k): v for k, v in ligatures.items()}
+
+
 def ascii_lower(c: Column) -> Column:
     """Marks off, ligatures written out, lower case; other letters stay."""
     c = strip_diacritics(c)
@@ -54,23 +62,28 @@ def fold(s: str) -> str:
     return s.replace("œ", "oe").replace("Œ", "oe").replace("æ", "ae").replace("Æ", "ae").lower()
 
 
-def _variants(word: str, last: bool) -> str:
+def variants(word: str, last: bool) -> list[str]:
     """A token's accepted forms: plural s or x added, or its own taken off; a phrase's last word takes both."""
     forms = [word, word + "s", word + "x"]
     if word[-1] in "sx":
         forms.append(word[:-1])
     if last:
         forms += [word + a + b for a in "sx" for b in "sx"]
-    return "(?:" + "|".join(dict.fromkeys(forms)) + ")"
+    return list(dict.fromkeys(forms))
+
+
+def phrase_words(phrase: str) -> list[str]:
+    """A keyword's words, folded."""
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in fold(phrase)).split()
 
 
 def keyword_regex(keywords: list[str]) -> str:
     """One pattern over space-joined tokens for any of the keywords; plain enough for RE2 as well."""
     parts = []
     for k in keywords:
-        words = "".join(c if c.isascii() and c.isalnum() else " " for c in fold(k)).split()
+        words = phrase_words(k)
         if words:
-            parts.append(" ".join(_variants(w, len(words) > 1 and i == len(words) - 1) for i, w in enumerate(words)))
+            parts.append(" ".join("(?:" + "|".join(variants(w, len(words) > 1 and i == len(words) - 1)) + ")" for i, w in enumerate(words)))
     return "(?:^| )(?:" + "|".join(parts) + ")(?: |$)"
 
 
@@ -95,6 +108,8 @@ def decode_text(s: str) -> str:
     """Entities of one string: hexadecimal, decimal, then the five names, & last."""
     import re
 
+    if "&" not in s:
+        return s
     s = decode_numeric(s)
     for name, char in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
         s = re.sub(f"&{name};", lambda _, c=char: c, s, flags=re.I)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.jscompat import js_trim, let
+from ..functions.jscompat import js_trim, struct_type
 from ..functions.rules import AISLES, ALLERGENS, UNITS
-from . import classify
-from .html import NODE_FIELDS, extract_page, html_title
-from .ingredients import parse_ingredient
-from .sites import source_meta
-from .steps import steps_normalize
+from . import plain
+from .html import read_page
 
 FIELDS = ["name", "description", "vegetarian", "max_prep_time", "is_seasonal", "batch_friendly", "base_servings", "allergens", "ingredients", "steps", "source_name", "source_url", "source_license", "source_attribution"]
 
@@ -29,56 +30,70 @@ def violations(r: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in checks]), lambda x: x.isNotNull())
 
 
+DONE = "name string, description string, vegetarian boolean, max_prep_time int, is_seasonal boolean, batch_friendly boolean, base_servings int, allergens array<string>, source_name string, source_url string, source_license string, source_attribution string, error string"
+_LINE, _STEP = struct_type("name string, quantity double, unit string, aisle string"), struct_type("description string, minutes bigint")
+
+
+def _done() -> T.StructType:
+    of = {f.name: f for f in struct_type(DONE)} | {"ingredients": T.StructField("ingredients", T.ArrayType(_LINE)), "steps": T.StructField("steps", T.ArrayType(_STEP))}
+    return T.StructType([of[c] for c in (*FIELDS, "error")])
+
+
+def _lists(rows: list[list[tuple] | None], kind: T.StructType) -> pa.Array:
+    """Lists of structs from lists of their fields' values."""
+    ends, flat = [0], []
+    for r in rows:
+        flat += r or ()
+        ends.append(len(flat))
+    offsets = pa.array(ends, pa.int32(), mask=np.array([r is None for r in rows] + [False]))
+    values = [pa.array([x[i] for x in flat], to_arrow_type(f.dataType)) for i, f in enumerate(kind)]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(values, fields=list(to_arrow_type(kind))), type=to_arrow_type(T.ArrayType(kind)))
+
+
+def _each(work, arrays: tuple[pa.Array, ...]) -> list:
+    """``work(page, html, fetch_error, overrides)`` of every page."""
+    return [work(read_page(h, u), h or "", e, over) for h, u, e, *over in zip(*(a.to_pylist() for a in arrays))]
+
+
+def _pages(*, only_errors: bool):
+    """The one pass over pages in Python: (html, url, error of fetching, overrides of name, license and attribution) to recipes, or errors alone."""
+    if only_errors:
+
+        @F.arrow_udf(struct_type("error string"))
+        def extract_page(html: pa.Array, url: pa.Array, fetch_error: pa.Array, name: pa.Array, licence: pa.Array, attribution: pa.Array) -> pa.Array:
+            errors = _each(plain.error_alone, (html, url, fetch_error, name, licence, attribution))
+            return pa.StructArray.from_arrays([pa.array(errors, pa.string())], ["error"])
+
+    else:
+
+        @F.arrow_udf(_done())
+        def extract_page(html: pa.Array, url: pa.Array, fetch_error: pa.Array, name: pa.Array, licence: pa.Array, attribution: pa.Array) -> pa.Array:
+            rows = _each(plain.whole, (html, url, fetch_error, name, licence, attribution))
+            kinds = {"ingredients": _LINE, "steps": _STEP}
+            values = [_lists([r[f.name] for r in rows], kinds[f.name]) if f.name in kinds else pa.array([r[f.name] for r in rows], to_arrow_type(f.dataType)) for f in _done()]
+            return pa.StructArray.from_arrays(values, fields=list(to_arrow_type(_done())))
+
+    return extract_page
+
+
 def normalize_nodes(pages: DataFrame, *, keep: list[str] | None = None, only_errors: bool = False) -> DataFrame:
     """Rows of the recipe's fields and ``error`` from (url, html, and optionally overrides name,
     license and attribution of the source, the URL that answered as resolved_url, and an error of fetching).
 
     The error is the first that applies: fetching, no recipe, bad URL, no name, under two
-    ingredients, under two steps, a yield without text, the schema. Arrays stay arrays throughout,
-    so nothing is shuffled, and each page goes to Python once. ``only_errors`` leaves out the fields
+    ingredients, under two steps, a yield without text, the schema. Each page goes to Python once and comes
+    back whole, so nothing is shuffled. ``only_errors`` leaves out the fields
     that no error depends on, and gives (keep, error).
     """
     have = pages.columns
     own = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     keep = keep if keep is not None else [c for c in ("page_id", "url") if c in have]
-    # exploding an array of one keeps filters on the result from being moved below, which would
-    # evaluate the Python function and all that is built on it once more
-    once = lambda c: F.explode(F.array(c))
     asked = F.coalesce(own("resolved_url"), F.col("url"))
-    p = pages.withColumn("x", once(extract_page(F.col("html"), asked))).withColumn("page_title", html_title(F.col("html")))
-    flat = {f"n_{f}": F.col(f"x.node.{f}") for f in NODE_FIELDS} | {"no_node": F.col("x.node").isNull(), "page_error": F.col("x.error"), "url_error": F.col("x.url_error"), "source_url": F.col("x.source_url"), "meta": source_meta(F.col("x.host"))}
-    p = p.withColumns(flat).drop("x", "html")
-    texts = {
-        "name": js_trim(F.coalesce(F.col("n_name"), F.col("page_title"), F.lit(""))), "description": js_trim(F.coalesce(F.col("n_description"), F.lit(""))),
-        "ingredients": F.filter(F.transform("n_lines", parse_ingredient), lambda i: i.isNotNull()), "steps": steps_normalize(F.col("n_step_texts")),
-    }
-    p = p.withColumn("r", once(F.struct(*[c.alias(k) for k, c in texts.items()]))).withColumns({k: F.col(f"r.{k}") for k in texts})
-    none = F.lit(None).cast("string")
-    if only_errors:
-        # classes of names and clamped numbers are within the schema whatever they are
-        p = p.withColumns({"ingredients": F.transform("ingredients", lambda i: i.withField("aisle", none)), "allergens": F.array().cast("array<string>"), "max_prep_time": F.lit(5), "base_servings": F.lit(1)})
-    else:
-        p = p.withColumn("lines", once(classify.folded(F.transform("ingredients", lambda i: i["name"]))))
-        p = p.withColumn("ingredients", classify.aisles(F.col("ingredients"), F.col("lines")))
-        p = p.withColumns({
-            "vegetarian": classify.vegetarian_in(F.col("n_diets"), F.col("lines")), "max_prep_time": classify.clamp_int(classify.total_minutes(F.col("n_total_time"), F.col("n_prep_time"), F.col("n_cook_time")), 5, 300),
-            "is_seasonal": classify.seasonal_in(F.col("lines")), "batch_friendly": classify.batch_friendly(F.col("name"), F.col("description"), F.transform("steps", lambda s: s["description"])),
-            "base_servings": classify.clamp_int(classify.servings(F.col("n_yield_text")), 1, 20), "allergens": classify.allergens_in(F.col("lines")),
-        })
-    p = p.withColumns({f"source_{k}": F.coalesce(own(f"source_{k}_override"), F.col(f"meta.source_{k}")) for k in ("name", "license", "attribution")})
-    if not only_errors:  # arrays of whole ingredients are computed once, and then checked
-        p = p.withColumn("ingredients", once(F.col("ingredients")))
-    broken = violations({c: F.col(c) for c in FIELDS if c in p.columns})
-    error = (
-        F.when(own("fetch_error").isNotNull(), own("fetch_error")).when(F.col("page_error").isNotNull(), F.col("page_error")).when(F.col("no_node"), F.lit("No recipe data found"))
-        .when(F.col("source_url").isNull(), F.col("url_error")).when(F.col("name") == "", F.lit("Unable to derive recipe name"))
-        .when(F.size("ingredients") < 2, F.lit("Not enough ingredients extracted")).when(F.size("steps") < 2, F.lit("Not enough steps extracted"))
-        .when(F.col("n_yield_error"), F.lit("Yield has no text"))
-    )
-    error = F.coalesce(error, let(broken, lambda b: F.when(F.size(b) > 0, F.concat(F.lit("Invalid: "), F.array_join(b, ", ")))))
-    fields = [] if only_errors else FIELDS
-    done = p.select(*keep, once(F.struct(*fields, error.alias("error"))).alias("done"))
-    return done.select(*keep, *[F.col(f"done.{c}").alias(c) for c in (*fields, "error")])
+    read = _pages(only_errors=only_errors)(F.col("html"), asked, own("fetch_error"), *[own(f"source_{k}_override") for k in ("name", "license", "attribution")])
+    # exploding an array of one keeps filters on the result from being moved below, which would
+    # evaluate the Python function once more
+    done = pages.select(*keep, F.explode(F.array(read)).alias("done"))
+    return done.select(*keep, *[F.col(f"done.{c}").alias(c) for c in (*([] if only_errors else FIELDS), "error")])
 
 
 def valid(recipes: DataFrame) -> DataFrame:

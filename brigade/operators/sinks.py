@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def to_js_json(df: DataFrame, columns: list[str] | None = None) -> Column:
     """A row as JSON; whole doubles lose their .0."""
     text = F.to_json(F.struct(*(columns or df.columns)))
-    return F.regexp_replace(text, r"(?<=[:,\[]-?\d{1,15})\.0(?=[,}\]])", "")
+    # looked for from the dot, so that what comes before is read there only
+    return F.regexp_replace(text, r"\.0(?=[,}\]])(?<=[:,\[]-?\d{1,15}\.0)", "")
 
 
 def sink_jsonl(df: DataFrame) -> DataFrame:

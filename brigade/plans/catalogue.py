@@ -329,9 +329,9 @@ def dual_sink(spark, sf_dir):
     at = shared_folder(spark, "outcomes")
     done = recipe.normalize_nodes(syn.recipe_pages(spark, sf_dir))
     sinks.write_outcomes(done, at, result=recipe.FIELDS, error=["page_id", "error"])
-    field = lambda n: F.get_json_object("value", f"$.{n}")
     good = F.col("outcome") == "results"
-    return spark.read.text(at).select("outcome", F.when(good, field("name")).otherwise(field("page_id")).alias("label"), F.when(good, field("source_url")).otherwise(field("error")).alias("detail"))
+    read = spark.read.text(at).select("outcome", F.json_tuple("value", "name", "source_url", "page_id", "error").alias("name", "source_url", "page_id", "error"))
+    return read.select("outcome", F.when(good, F.col("name")).otherwise(F.col("page_id")).alias("label"), F.when(good, F.col("source_url")).otherwise(F.col("error")).alias("detail"))
 
 @query(f"SELECT id AS page_id, CASE WHEN error IS NULL THEN name END AS name, CASE WHEN error IS NULL THEN n_lines END AS n_ingredients, error FROM ({_RECIPE})")
 def refresh_results(spark, sf_dir):
