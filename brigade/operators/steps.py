@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +49,10 @@ def steps_normalize(texts: Column) -> Column:
 
 def split_text(s: str) -> list[str]:
     """steps_split for one string, for texts met while flattening."""
+    return list(_last_split(s)) if len(s) <= 500 else _split_text(s)
+
+
+def _split_text(s: str) -> list[str]:
     raw = s.replace("\r\n", "\n").replace("\r", "\n").strip(WS_CHARS)
     if not raw:
         return []
@@ -59,6 +64,9 @@ def split_text(s: str) -> list[str]:
     return parts if len(parts) >= 2 else [tidy(raw)]
 
 
+_last_split = lru_cache(1 << 13)(_split_text)
+
+
 def flatten(value) -> list[str]:
     """Step texts of a JSON value: strings are split, arrays joined; of an object its text, its
     items, its steps, or, of a plain HowToStep, its name."""
