@@ -10,7 +10,7 @@ from pyspark.sql import window as W
 
 from ..functions.urls import normalize_url
 from ..sources.shared import stash
-from ..sources.store import Store
+from ..sources.store import Store, last_of
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, *, now_ms: Column, ttl_ms: int) -> DataFrame:
@@ -30,8 +30,7 @@ def decode_headers(c: Column) -> Column:
 def cache_upsert(cache: DataFrame, writes: DataFrame, *, seq: str = "seq") -> DataFrame:
     """The cache after ``writes``, the last one of each URL staying; entries of the cache come before all writes."""
     both = cache.withColumn(seq, F.lit(-1).cast("long")).unionByName(writes)
-    values = [c for c in both.columns if c != "url"]
-    return both.groupBy("url").agg(F.max_by(F.struct(*values), F.struct(seq, "fetched_at_ms")).alias("v")).select("url", *[F.col(f"v.{c}").alias(c) for c in values if c != seq])
+    return last_of(both, "url", [seq, "fetched_at_ms"]).drop(seq)
 
 
 #: What a cache holds of each page.

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.shared import stash
-from ..sources.store import Store
+from ..sources.store import Store, last_of
 from .recipe import normalize_nodes
 
 
@@ -16,8 +17,8 @@ def result_store(spark: SparkSession, path: str, buckets: int = 64) -> Store:
 
 
 def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` rows in place of ``old`` ones of the same URL."""
-    return old.join(new.select("url"), "url", "left_anti").unionByName(new)
+    """``new`` rows, one of each URL, in place of ``old`` ones of the same URL."""
+    return last_of(old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True))), "url", ["_new"]).drop("_new")
 
 
 def refresh(pages: Store, results: Store) -> int:
@@ -32,5 +33,5 @@ def refresh(pages: Store, results: Store) -> int:
     if number <= since:
         return number
     made = normalize_nodes(rows.select("url", rows.body.alias("html"), "resolved_url"), keep=["url"])
-    results.upsert(stash(made, "refreshed"), replaced, stream="pages", batch=number)
+    results.upsert(stash(made, "refreshed"), replaced, by_bucket=True, stream="pages", batch=number)
     return number

@@ -343,7 +343,7 @@ def refresh_results(spark, sf_dir):
     store, results = cache.page_store(spark, shared_folder(spark, "store"), 8), refresh.result_store(spark, shared_folder(spark, "results"), 8)
     for n, feed in enumerate((first, pages.where(k < 2))):
         writes = feed.select(F.lit(n).cast("long").alias("seq"), "url", F.lit(n).cast("long").alias("fetched_at_ms"), F.col("url").alias("resolved_url"), F.lit(200).alias("status"), F.lit("{}").alias("headers_json"), F.col("html").alias("body"))
-        store.upsert(writes, cache.cache_upsert)
+        store.upsert(writes, cache.cache_upsert, by_bucket=True)
         refresh.refresh(store, results)
     good = F.col("error").isNull()
     return results.frame().select(F.regexp_extract("url", "/p/([0-9]+)", 1).cast("long").alias("page_id"), F.when(good, F.col("name")).alias("name"), F.when(good, F.size("ingredients").cast("long")).alias("n_ingredients"), "error")

@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def last_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Of each key's rows the last by ``order``. Where rows have a _bucket they are dealt by it, no two to a task that
+    others could take, and grouped there."""
+    by = [c for c in ("_bucket", key) if c in rows.columns]
+    if "_bucket" in by:
+        top = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        rows = rows.repartitionById(int(top), F.col("_bucket"))
+    values = [c for c in rows.columns if c not in by]
+    kept = rows.groupBy(*by).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v"))
+    return kept.select(*by, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
 class Store:
     """Rows by ``key`` at ``path``, in buckets by the keys' hashes.
 
@@ -103,10 +115,11 @@ class Store:
         before = self._read(old, fresh).select(F.col(self.key).alias("_key"), print_.alias("_print"))
         return rows.join(before, (F.col(self.key) == F.col("_key")) & (print_ == F.col("_print")), "left_anti"), number
 
-    def upsert(self, writes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], *, stream: str = "", batch: int = -1, tries: int = 50) -> int:
+    def upsert(self, writes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], *, by_bucket: bool = False, stream: str = "", batch: int = -1, tries: int = 50) -> int:
         """Commit ``merge(old rows, writes)`` of every bucket that the writes touch; returns the version.
 
-        ``merge`` must treat keys apart. A batch of a stream that was committed before isn't again.
+        ``merge`` must treat keys apart. With ``by_bucket`` it is given rows with a column _bucket, and returns such
+        rows dealt by it (``last_of``): they are shuffled once, for merging and writing. A batch of a stream that was committed before isn't again.
         """
         writes = writes.where(F.col(self.key).isNotNull())
         done: dict[int, str] = {}
@@ -120,9 +133,13 @@ class Store:
             stale = [b for b in touched if b not in done or made[b] != manifest["folders"].get(str(b))]
             if stale:
                 folder = f"data/{uuid.uuid4().hex}"
+                named = lambda df: df.withColumn("_bucket", self.bucket(F.col(self.key), n))
                 mine = writes.where(self.bucket(F.col(self.key), n).isin(stale))
-                rows = merge(self._read(manifest, stale), mine).withColumn("_bucket", self.bucket(F.col(self.key), n))
-                rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+                if by_bucket:
+                    rows = merge(named(self._read(manifest, stale)), named(mine))
+                else:
+                    rows = named(merge(self._read(manifest, stale), mine)).repartition("_bucket")
+                rows.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
                 for b in stale:
                     done[b], made[b] = f"{folder}/_bucket={b}", manifest["folders"].get(str(b))
             if not touched and not stream:
